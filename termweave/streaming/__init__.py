@@ -1,0 +1 @@
+"""Nothing to build: no listed operator has a stream source, window, watermark or state."""
