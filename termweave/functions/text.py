@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +85,6 @@ def ascii_fold(column: Column | str, full: bool = False) -> Column:
 
 @lru_cache(maxsize=1)
 def _full_fold():
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
         return texts.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
@@ -102,7 +101,7 @@ def extraction_clean(column: Column | str, full: bool = False) -> Column:
 
 def keyword_clean(column: Column | str) -> Column:
     """Keyword without bracketed groups, only letters, dashes and blanks."""
-    no_groups = F.regexp_replace(_c(column), fixed.BRACKET_GROUPS, "")
+    no_groups = F.regexp_replace(_c(column), "(?d)" + fixed.BRACKET_GROUPS, "")
     return strip(F.lower(F.regexp_replace(no_groups, fixed.KEYWORD_LETTERS, "")))
 
 
@@ -209,7 +208,7 @@ def null_to_empty(column: Column | str) -> Column:
     return F.coalesce(_c(column), F.lit(""))
 
 
-def tfidf_words(column: Column | str) -> Column:
+def tfidf_words(column: Column | str, stop_words: list[str] | None = None) -> Column:
     """Word tokens of at least two characters after accent folding, without stop words."""
     folded = F.lower(ascii_fold(column))
-    return without_stop_words(F.regexp_extract_all(folded, F.lit(f"({fixed.TFIDF_TOKEN})"), F.lit(1)))
+    return without_stop_words(F.regexp_extract_all(folded, F.lit(f"({fixed.TFIDF_TOKEN})"), F.lit(1)), stop_words)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,49 @@ from termweave.operators import scan
 from termweave.operators.skew import dense_id
 
 
+def phrase_entries(
+    df: DataFrame,
+    phrase: str,
+    value: str,
+    weight: str | None = None,
+    order: str | None = None,
+    normalise: bool = True,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """One row per distinct non-empty phrase (per group of `by`); the last insertion wins."""
+    words = dictionary_words(phrase) if normalise else split_words(phrase)
+    rows = df.select(
+        *by,
+        words.alias("words"),
+        F.col(value).cast("long").alias("value"),
+        (F.col(weight).cast("double") if weight else F.lit(None).cast("double")).alias("weight"),
+        F.col(order or value).cast("long").alias("ord"),
+    ).where(F.size("words") > 0)
+    return rows.groupBy(*by, F.array_join("words", " ").alias("phrase")).agg(
+        F.first("words").alias("words"),
+        F.max_by("value", "ord").alias("value"),
+        F.max_by("weight", "ord").alias("weight"),
+        F.min("ord").alias("ord"),
+    )
+
+
+def _prefixes_of(entries: DataFrame, *columns: str) -> DataFrame:
+    exploded = entries.select(*columns, "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("depth"))
+    prefix = F.array_join(F.slice("words", F.lit(1), F.col("depth")), " ")
+    return exploded.withColumn("prefix", prefix).withColumn("_ends", F.col("depth") == F.size("words")).drop("words")
+
+
+def prefix_rows(entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct word prefix; minima and maxima combine on the map side."""
+    steps = _prefixes_of(entries, *by, "value", "weight", "ord")
+    return steps.groupBy(*by, "prefix", "depth").agg(
+        F.max("_ends").alias("is_terminal"),
+        F.max(F.when(F.col("_ends"), F.col("value"))).alias("value"),
+        F.max(F.when(F.col("_ends"), F.col("weight"))).alias("weight"),
+        F.min("ord").alias("first_ord"),
+    )
+
+
 class PhraseDictionary:
     """A set of phrases with a value and an optional weight, applied to text columns.
 
@@ -42,19 +87,7 @@ class PhraseDictionary:
         for column in filter(None, (value, weight, order)):
             if column not in df.columns:
                 raise ValueError(f"missing column {column!r}")
-        words = dictionary_words(phrase) if normalise else split_words(phrase)
-        rows = df.select(
-            words.alias("words"),
-            F.col(value).cast("long").alias("value"),
-            (F.col(weight).cast("double") if weight else F.lit(None).cast("double")).alias("weight"),
-            F.col(order or value).cast("long").alias("ord"),
-        ).where(F.size("words") > 0)
-        entries = rows.groupBy(F.array_join("words", " ").alias("phrase")).agg(
-            F.first("words").alias("words"),
-            F.max_by("value", "ord").alias("value"),
-            F.max_by("weight", "ord").alias("weight"),
-            F.min("ord").alias("ord"),
-        )
+        entries = phrase_entries(df, phrase, value, weight, order, normalise)
         return cls(entries, weighted=weight is not None, normalise=normalise)
 
     @classmethod
@@ -65,26 +98,7 @@ class PhraseDictionary:
     @property
     def prefixes(self) -> DataFrame:
         """`(prefix, depth, is_terminal, value, weight, first_ord)`, one row per distinct prefix."""
-        depths = F.sequence(F.lit(1), F.size("words"))
-        exploded = self.entries.select("*", F.explode(depths).alias("depth"))
-        ends = F.col("depth") == F.size("words")
-        return (
-            exploded.select(
-                F.array_join(F.slice("words", F.lit(1), F.col("depth")), " ").alias("prefix"),
-                "depth",
-                ends.alias("ends"),
-                F.when(ends, F.col("value")).alias("value"),
-                F.when(ends, F.col("weight")).alias("weight"),
-                "ord",
-            )
-            .groupBy("prefix", "depth")
-            .agg(
-                F.max("ends").alias("is_terminal"),
-                F.max("value").alias("value"),
-                F.max("weight").alias("weight"),
-                F.min("ord").alias("first_ord"),
-            )
-        )
+        return prefix_rows(self.entries)
 
     def counts(self) -> DataFrame:
         """Number of nodes (distinct prefixes and the root) and of phrases."""
@@ -100,9 +114,7 @@ class PhraseDictionary:
         arrays compare element by element with the shorter one first, which is exactly
         pre-order.
         """
-        steps = self.entries.select(
-            "phrase", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("depth"), "words"
-        ).select("phrase", "depth", F.array_join(F.slice("words", F.lit(1), F.col("depth")), " ").alias("prefix"))
+        steps = _prefixes_of(self.entries, "phrase")
         path = (
             steps.join(self.prefixes.select("prefix", "first_ord"), "prefix")
             .groupBy("phrase")
