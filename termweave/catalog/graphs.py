@@ -12,6 +12,7 @@ from termweave.functions.ids import hashed_id
 from termweave.functions.text import dictionary_words
 from termweave.operators import graph
 from termweave.plans.records import listed_edges, normalise_records
+from termweave.sources.readers import balanced_scan
 
 SQL_DOC_ID = sql_id("'http://papers.example/' || doc_id")
 
@@ -54,7 +55,7 @@ def raw_records(spark, sf):
     UNION ALL SELECT 'papers_repos', {sql_id("'http://papers.example/' || page_id")}, {sql_id("'repo/' || url")} FROM pages
     UNION ALL SELECT 'datasets_tasks', {sql_id("'http://data.example/' || s_suppkey")}, {sql_id("'task/task-' || s_nationkey")} FROM supplier
     UNION ALL SELECT 'tasks_areas', {sql_id("'task/t' || n_nationkey")}, {sql_id("'area/' || lower(r_name)")} FROM nation JOIN region ON n_regionkey = r_regionkey
-    UNION ALL SELECT 'methods', {sql_id("'method/' || replace(lower(p_name || ' ' || p_partkey), ' ', '-')")}, p_type || '  of ' || p_brand FROM part
+    UNION ALL SELECT 'methods', {sql_id("'method/' || replace(lower(p_name || ' ' || p_partkey), ' ', '-')")}, regexp_replace(regexp_replace('<p>' || p_type || ' *  of</p> ' || p_brand, '<[^<]+?>|\\*|\n|\\s{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') FROM part
     UNION ALL SELECT 'tasks', {sql_id("'task/t' || n_nationkey")}, 'about ' || n_name FROM nation""",
 )
 def normalise(spark, sf):
@@ -103,7 +104,7 @@ def part_nodes(spark, sf):
 
 
 def order_edges(spark, sf):
-    lines = table(spark, sf, "lineitem").select(
+    lines = balanced_scan(table(spark, sf, "lineitem"), "l_orderkey").select(
         hashed_id("l_orderkey").alias("paper"), hashed_id("l_partkey", "method/").alias("method"), F.col("l_quantity").alias("score")
     )
     return graph.to_edges(lines, "paper", "method", "HAS_METHOD", source="order")

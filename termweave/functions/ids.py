@@ -23,28 +23,26 @@ def _int(value: int) -> Column:
     return F.lit(str(value)).cast(f"decimal({len(str(value))},0)")
 
 
-def _word(digest: Column, start: int) -> Column:
-    """Eight hex digits from `start`, as an exact decimal."""
-    return F.conv(F.substring(digest, start, 8), 16, 10).cast("decimal(10,0)")
+def _half(digest: Column, start: int) -> Column:
+    """Sixteen hex digits from `start`, as an exact decimal."""
+    return F.conv(F.substring(digest, start, 16), 16, 10).cast("decimal(20,0)")
 
 
 def hashed_id(key: Column | str, namespace: str = "") -> Column:
     """Decimal text (up to 39 digits) of md5(namespace + key), exact for all 128 bits.
 
-    39 digits are one too many for DECIMAL(38,0), so the number is held in two
-    limbs of base 10^19: the upper 96 bits are split first, then shifted by 32
-    bits together with the lowest word.
+    39 digits are one too many for DECIMAL(38,0), so the last ten digits are kept
+    apart: with 2^64 = a * 10^10 + b the number is
+    (high * a) * 10^10 + (high * b + low), and both brackets have at most 30 digits.
     """
     key = F.col(key) if isinstance(key, str) else key
     digest = F.md5(F.concat(F.lit(namespace), key.cast("string")).cast("binary"))
-    base = _int(10**19)
-    upper = _word(digest, 1) * _int(2**64) + _word(digest, 9) * _int(2**32) + _word(digest, 17)
-    shifted_low = (upper % base) * _int(2**32) + _word(digest, 25)
-    upper_quotient = F.call_function("div", upper, base).cast("decimal(12,0)")
-    carry = F.call_function("div", shifted_low, base).cast("decimal(12,0)")
-    high = (upper_quotient * _int(2**32) + carry).cast("decimal(22,0)")
-    low = (shifted_low % base).cast("decimal(19,0)").cast("string")
-    return F.when(high > 0, F.concat(high.cast("string"), F.lpad(low, 19, "0"))).otherwise(low)
+    high, low = _half(digest, 1), _half(digest, 17)
+    a, b = divmod(2**64, 10**10)
+    lower = F.lpad((high * _int(b) + low).cast("string"), 30, "0")
+    upper = high * _int(a) + F.substring(lower, 1, 20).cast("decimal(20,0)")
+    digits = F.concat(upper.cast("string"), F.substring(lower, 21, 10))
+    return F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.when(key.isNotNull(), F.lit("0")))
 
 
 def slug(name: Column | str) -> Column:
