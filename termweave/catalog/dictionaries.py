@@ -32,8 +32,8 @@ SQL_EXTENDED = """extended AS (
 
 SQL_MERGED = f"""{SQL_CORE}, {SQL_EXTENDED},
     merged AS (
-        SELECT keyword, source, dict, row_number() OVER (ORDER BY dict, at, source, keyword) - 1 AS trie_id FROM (
-            SELECT keyword, source, 'core' AS dict, trie_id AS at FROM core
+        SELECT keyword, source, dict, row_number() OVER (ORDER BY dict, place, source, keyword) - 1 AS trie_id FROM (
+            SELECT keyword, source, 'core' AS dict, trie_id AS place FROM core
             UNION ALL SELECT keyword, source, 'extended', 0 FROM extended WHERE keyword NOT IN (SELECT keyword FROM core)))"""
 
 

@@ -1 +1,120 @@
-"""To be filled."""
+"""Key-phrase extraction: term statistics, scores and the final lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from termweave.catalog.cleaning import SQL_EXTRACTION
+from termweave.catalog.registry import SQL_STOP_WORDS, documents, query, table
+from termweave.functions import fixed
+from termweave.operators import keyphrase as kp
+from termweave.plans import dictionaries as dic
+from termweave.plans import keyword_graph
+
+SQL_TOKENS = f"""
+    plain AS (SELECT doc_id, {SQL_EXTRACTION} AS t FROM documents),
+    parsed AS (
+        SELECT doc_id, list_filter(list_transform(string_split_regex(t, '[.!?]+'),
+            lambda s: list_filter(string_split_regex(replace(s, ',', ' '), '\\s+'), lambda w: regexp_matches(w, '[a-zA-Z]'))), lambda x: len(x) > 0) AS sents
+        FROM plain),
+    sent_rows AS (SELECT doc_id, len(sents) AS n_sents, unnest(sents) AS words, generate_subscripts(sents, 1) - 1 AS sent FROM parsed),
+    tok AS (SELECT doc_id, n_sents, sent, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS at FROM sent_rows)"""
+
+SQL_STATS = f"""{SQL_TOKENS},
+    own AS (
+        SELECT doc_id, lower(word) AS term, sent, count(*) AS n, sum((length(word) > 1 AND upper(word) = word)::INT) AS up,
+               sum((at > 0 AND word[1] BETWEEN 'A' AND 'Z')::INT) AS cap, max(n_sents) AS n_sents
+        FROM tok GROUP BY ALL),
+    occ AS (
+        SELECT doc_id, term, sum(n)::BIGINT AS tf, sum(up)::BIGINT AS tf_upper, sum(cap)::BIGINT AS tf_capital, count(*) AS sents,
+               median(sent) AS median_sent, max(n_sents)::BIGINT AS n_sents
+        FROM own GROUP BY doc_id, term),
+    lows AS (SELECT doc_id, sent, at, lower(word) AS term FROM tok),
+    before AS (
+        SELECT doc_id, term, unnest([lag(term, 1) OVER o, lag(term, 2) OVER o, lag(term, 3) OVER o, lag(term, 4) OVER o, lag(term, 5) OVER o]) AS other
+        FROM lows WINDOW o AS (PARTITION BY doc_id, sent ORDER BY at)),
+    pairs AS (SELECT doc_id, term, other, count(*) AS n FROM before WHERE other IS NOT NULL GROUP BY ALL),
+    lefts AS (SELECT doc_id, term, count(*) AS left_terms, sum(n)::BIGINT AS left_total FROM pairs GROUP BY ALL),
+    rights AS (SELECT doc_id, other AS term, count(*) AS right_terms, sum(n)::BIGINT AS right_total FROM pairs GROUP BY ALL),
+    stats AS (
+        SELECT doc_id, term, tf, tf_upper, tf_capital, sents, median_sent, n_sents, coalesce(left_terms, 0) AS left_terms, coalesce(left_total, 0) AS left_total,
+               coalesce(right_terms, 0) AS right_terms, coalesce(right_total, 0) AS right_total
+        FROM occ LEFT JOIN lefts USING (doc_id, term) LEFT JOIN rights USING (doc_id, term))"""
+
+SQL_SCORES = f"""{SQL_STATS},
+    spread AS (SELECT doc_id, max(tf) AS max_tf, coalesce(avg(tf) FILTER (term NOT IN ({SQL_STOP_WORDS})) + stddev_pop(tf) FILTER (term NOT IN ({SQL_STOP_WORDS})), 0) AS spread
+               FROM stats GROUP BY doc_id),
+    parts AS (
+        SELECT stats.*, greatest(tf_upper, tf_capital) / (1 + ln(tf)) AS tcase, ln(ln(3 + median_sent)) AS tpos, CASE WHEN spread > 0 THEN tf / spread ELSE tf END AS tfreq,
+               1 + (CASE WHEN left_total > 0 THEN left_terms / left_total ELSE 0 END + CASE WHEN right_total > 0 THEN right_terms / right_total ELSE 0 END) * tf / max_tf AS rel
+        FROM stats JOIN spread USING (doc_id)),
+    scores AS (SELECT doc_id, term, tf, rel * tpos / (tcase + tfreq / rel + (sents / n_sents) / rel) AS score FROM parts)"""
+
+SQL_CANDIDATES = f"""
+    run_words AS (SELECT doc_id, lower(word) AS w1, lower(lead(word, 1) OVER o) AS w2, lower(lead(word, 2) OVER o) AS w3 FROM tok WINDOW o AS (PARTITION BY doc_id, sent ORDER BY at)),
+    runs AS (
+        SELECT doc_id, [w1] AS terms FROM run_words WHERE w1 NOT IN ({SQL_STOP_WORDS})
+        UNION ALL SELECT doc_id, [w1, w2] FROM run_words WHERE w1 NOT IN ({SQL_STOP_WORDS}) AND w2 IS NOT NULL AND w2 NOT IN ({SQL_STOP_WORDS})
+        UNION ALL SELECT doc_id, [w1, w2, w3] FROM run_words WHERE w1 NOT IN ({SQL_STOP_WORDS}) AND w3 IS NOT NULL AND w3 NOT IN ({SQL_STOP_WORDS})),
+    candidates AS (SELECT doc_id, terms, count(*) AS tf FROM runs GROUP BY ALL)"""
+
+
+def texts(spark, sf):
+    return documents(spark, sf).select("doc_id", "text")
+
+
+@query("keyphrases_term_stats", f"WITH {SQL_STATS} SELECT * FROM stats")
+def term_stats(spark, sf):
+    return kp.term_statistics(texts(spark, sf), "doc_id", "text")
+
+
+@query("keyphrases_term_scores", f"WITH {SQL_SCORES} SELECT doc_id, term, tf, round(score, 6) AS score FROM scores")
+def term_scores(spark, sf):
+    return kp.term_scores(kp.term_statistics(texts(spark, sf), "doc_id", "text"), "doc_id").withColumn("score", F.round("score", 6))
+
+
+@query("keyphrases_candidates", f"WITH {SQL_TOKENS}, {SQL_CANDIDATES} SELECT doc_id, array_to_string(terms, ' ') AS phrase, tf FROM candidates")
+def candidates(spark, sf):
+    return kp.candidate_phrases(texts(spark, sf), "doc_id", "text")
+
+
+@query(
+    "keyphrases_phrase_scores",
+    f"""WITH {SQL_SCORES}, {SQL_CANDIDATES},
+    p AS (SELECT doc_id, terms, tf, unnest(terms) AS term FROM candidates),
+    s AS (SELECT doc_id, terms, p.tf, product(score) AS prod, sum(score) AS total FROM p JOIN scores USING (doc_id, term) GROUP BY doc_id, terms, p.tf)
+    SELECT doc_id, array_to_string(terms, ' ') AS phrase, tf, round(prod / (tf * (1 + total)), 6) AS score FROM s""",
+)
+def phrase_scores(spark, sf):
+    docs = texts(spark, sf)
+    terms = kp.term_scores(kp.term_statistics(docs, "doc_id", "text"), "doc_id")
+    scored = kp.phrase_scores(kp.candidate_phrases(docs, "doc_id", "text"), terms, "doc_id")
+    return scored.withColumn("score", F.round("score", 6))
+
+
+@query("keyphrases_top10")
+def top10(spark, sf):
+    return kp.extract_keywords(texts(spark, sf), "doc_id", "text")
+
+
+@query("keyphrases_in_chunks")
+def keyphrases_in_chunks(spark, sf):
+    """Extraction with noun chunks from an input column; whole sentences stand in for them."""
+    turns = table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.split(F.lower("text"), "[.!?]").alias("chunks")
+    )
+    return kp.extract_keywords(turns, "id", "text", chunks="chunks")
+
+
+@query("extracted_keyword_edges")
+def extracted_keyword_edges(spark, sf):
+    found = kp.extract_keywords(texts(spark, sf), "doc_id", "text")
+    return keyword_graph.keyword_edges(keyword_graph.keyword_list(found, "doc_id", "keywords", "abstract"))
+
+
+@query("extracted_core_dictionary")
+def extracted_core_dictionary(spark, sf):
+    """Core dictionary from extracted key phrases of three document groups."""
+    found = kp.keyword_rows(kp.extract_keywords(texts(spark, sf), "doc_id", "text"), "doc_id")
+    source = F.element_at(F.array(*[F.lit(s) for s in fixed.SOURCE_PRECEDENCE_CORE]), (F.col("doc_id") % 3 + 1).cast("int"))
+    return dic.core_dictionary(found.select("keyword", "score", source.alias("source")))

@@ -1 +1,63 @@
-"""To be filled."""
+"""Models on phrase features and embeddings, class weights and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from termweave.catalog.registry import documents, phrase_table, query, table
+from termweave.operators import models
+from termweave.operators import tfidf as tf
+from termweave.operators.compare import class_report, class_weights
+
+
+def labelled_documents(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    return documents(spark, sf).join(labels, "doc_id").select("doc_id", "text", "label")
+
+
+@query(
+    "class_weights",
+    """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+    SELECT label, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) AS weight FROM c""",
+)
+def weights(spark, sf):
+    return class_weights(table(spark, sf, "embeddings"), "label").withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    "class_report",
+    """WITH p AS (SELECT label AS l, (label + CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END) % 10 AS p FROM embeddings),
+    cls AS (SELECT l AS class FROM p UNION SELECT p FROM p),
+    agg AS (SELECT class, (SELECT count(*) FROM p WHERE l = class) AS support, (SELECT count(*) FROM p WHERE p = class) AS predicted,
+                   (SELECT count(*) FROM p WHERE p = class AND l = class) AS hit FROM cls),
+    pr AS (SELECT class, support, hit / predicted AS precision, hit / support AS recall FROM agg)
+    SELECT class, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM pr""",
+)
+def report(spark, sf):
+    shifted = (F.col("label") + F.when(F.col("vec_id") % 5 == 0, 1).otherwise(0)) % 10
+    predictions = table(spark, sf, "embeddings").select(F.col("label").alias("label"), shifted.alias("prediction"))
+    scored = class_report(predictions, "label", "prediction")
+    return scored.select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("batch_score")
+def batch_score(spark, sf):
+    """Logistic regression on TF-IDF of the vocabulary, applied to every document."""
+    from termweave.operators.skew import dense_id
+
+    vocab = tf.vocabulary(dense_id(phrase_table(spark, sf), ["keyword"], "trie_id"))
+    model = models.fit_text_classifier(labelled_documents(spark, sf), "doc_id", "text", "label", vocab)
+    return models.score_texts(model, documents(spark, sf).select("doc_id", "text"), "doc_id", "text", vocab)
+
+
+@query("source_classifier")
+def source_classifier(spark, sf):
+    source = F.element_at(F.array(F.lit("cso"), F.lit("method"), F.lit("task")), (F.col("label") % 3 + 1).cast("int"))
+    vectors = table(spark, sf, "embeddings").select(source.alias("source"), "embedding")
+    _, predictions = models.fit_source_classifier(vectors, "embedding", "source", folds=3, balanced=True)
+    return class_report(predictions, "class", "prediction")
+
+
+@query("pca2")
+def pca2(spark, sf):
+    return models.principal_components(table(spark, sf, "embeddings"), "vec_id", "embedding")

@@ -1 +1,113 @@
-"""To be filled."""
+"""Embedding queries: similarity join, threshold sweep, extended dictionary."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from termweave.catalog.registry import documents, query, table
+from termweave.catalog.shaping import doc_keywords
+from termweave.functions.vectors import as_doubles, parse_vector, trigram_vector
+from termweave.operators.similarity import pair_cosines, similar_keywords, similar_pairs, threshold_sweep
+from termweave.plans import dictionaries as dic
+
+# The test vectors are random: their cosines stay below 0.5, far under those of real phrase embeddings.
+LOWEST = 0.25
+THRESHOLDS = [0.25, 0.28, 0.3, 0.33, 0.36, 0.4]
+
+
+def core_vectors(spark, sf):
+    source = F.element_at(F.array(F.lit("cso"), F.lit("method"), F.lit("task")), (F.col("label") % 3 + 1).cast("int"))
+    even = table(spark, sf, "embeddings").where(F.col("vec_id") % 2 == 0)
+    return even.select(F.concat(F.lit("k"), "vec_id").alias("keyword"), source.alias("source"), "embedding")
+
+
+def ext_vectors(spark, sf):
+    """All vectors under upper-case names: the even ones equal a core keyword after lower-casing."""
+    return table(spark, sf, "embeddings").select(F.concat(F.lit("K"), "vec_id").alias("keyword"), "embedding")
+
+
+SQL_SIMILAR = f"""similar_rows AS (
+    SELECT 'k' || e.vec_id AS keyword, ['cso', 'method', 'task'][c.label % 3 + 1] AS source, 'k' || c.vec_id AS core_keyword,
+           list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS cos
+    FROM embeddings c JOIN embeddings e ON c.vec_id <> e.vec_id
+    WHERE c.vec_id % 2 = 0 AND list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) > {LOWEST})"""
+
+
+def similar(spark, sf, **limits):
+    return similar_keywords(core_vectors(spark, sf), ext_vectors(spark, sf), LOWEST, **limits)
+
+
+@query("similar_phrases", f"WITH {SQL_SIMILAR} SELECT keyword, source, core_keyword, round(cos, 6) AS cos FROM similar_rows")
+def similar_phrases(spark, sf):
+    return similar(spark, sf).withColumn("cos", F.round("cos", 6))
+
+
+@query("similar_phrases_cells", f"WITH {SQL_SIMILAR} SELECT keyword, source, core_keyword, round(cos, 6) AS cos FROM similar_rows")
+def similar_phrases_cells(spark, sf):
+    """The form for two sides that are both too large to be sent to every task."""
+    return similar(spark, sf, max_bytes=0, rows_per_cell=200).withColumn("cos", F.round("cos", 6))
+
+
+@query(
+    "threshold_sweep",
+    f"""WITH {SQL_SIMILAR}, t AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold),
+    owner AS (SELECT threshold, keyword, min(list_position(['cso', 'method', 'task'], source)) AS rank FROM similar_rows, t WHERE cos > threshold GROUP BY ALL)
+    SELECT threshold, count(*) AS n_keywords, count(*) FILTER (rank = 1) AS n_cso, count(*) FILTER (rank = 2) AS n_method, count(*) FILTER (rank = 3) AS n_task
+    FROM owner GROUP BY threshold""",
+)
+def sweep(spark, sf):
+    return threshold_sweep(similar(spark, sf), THRESHOLDS, ("cso", "method", "task"))
+
+
+@query(
+    "extended_dictionary",
+    f"""WITH {SQL_SIMILAR}, d AS (SELECT DISTINCT keyword, source, core_keyword FROM similar_rows WHERE cos > 0.3)
+    SELECT keyword, source, core_keyword FROM d
+    QUALIFY list_position(['cso', 'method', 'task'], source) = min(list_position(['cso', 'method', 'task'], source)) OVER (PARTITION BY keyword)""",
+)
+def extended_dictionary(spark, sf):
+    return dic.extended_dictionary(similar(spark, sf), 0.3)
+
+
+@query(
+    "cosine_expression",
+    """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+)
+def cosine_expression(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    pairs = pair_cosines(vectors.join(following, "vec_id"), "embedding", "other")
+    return pairs.select("vec_id", F.round("cos", 6).alias("cos"))
+
+
+@query("text_vector_parse", "SELECT vec_id, embedding::DOUBLE[] AS vector FROM embeddings")
+def text_vector_parse(spark, sf):
+    texts = table(spark, sf, "embeddings").select("vec_id", F.to_json(as_doubles("embedding")).alias("text"))
+    return texts.select("vec_id", parse_vector("text").alias("vector"))
+
+
+@query("vector_lookup", "SELECT DISTINCT 'k' || doc_id AS keyword, vec_id, label FROM documents JOIN embeddings ON vec_id = doc_id")
+def vector_lookup(spark, sf):
+    """Embeddings from a stored vector table, joined by keyword."""
+    stored = table(spark, sf, "embeddings").select(F.concat(F.lit("k"), "vec_id").alias("keyword"), "vec_id", "label")
+    wanted = documents(spark, sf).select(F.concat(F.lit("k"), "doc_id").alias("keyword")).distinct()
+    return wanted.join(stored, "keyword")
+
+
+@query("trigram_vectors")
+def trigram_vectors(spark, sf):
+    """Hashed trigram vectors of the distinct long document words."""
+    words = doc_keywords(spark, sf).where("score <= 0.125").select("keyword").distinct()
+    return words.select("keyword", trigram_vector("keyword").alias("embedding"))
+
+
+@query("similar_words")
+def similar_words(spark, sf):
+    """Extended dictionary end to end on trigram vectors: long words near core words."""
+    words = doc_keywords(spark, sf).where("score <= 0.1")
+    core = words.groupBy("keyword").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("n")).where("n >= 3")
+    core = core.select("keyword", "source", trigram_vector("keyword").alias("embedding"))
+    vectors = words.select("keyword").distinct().select("keyword", trigram_vector("keyword").alias("embedding"))
+    ext = dic.extended_candidates(words, vectors)
+    return dic.extended_dictionary(dic.similar_to_core(core, ext, 0.75), 0.75)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -83,6 +84,12 @@ def ascii_fold(column: Column | str, full: bool = False) -> Column:
     return F.regexp_replace(F.translate(_c(column), source, target), r"[^\x00-\x7F]", "")
 
 
+@lru_cache(maxsize=8)
+def _outside_ascii(pattern: str) -> str:
+    """The ASCII characters a one-character pattern matches."""
+    return "".join(c for c in map(chr, range(1, 128)) if re.fullmatch(pattern, c))
+
+
 @lru_cache(maxsize=1)
 def _full_fold():
     @F.pandas_udf("string")
@@ -96,7 +103,8 @@ def extraction_clean(column: Column | str, full: bool = False) -> Column:
     """Text as key-phrase extraction reads it: ASCII, no URLs, plain punctuation."""
     folded = strip(ascii_fold(column, full))
     no_urls = F.regexp_replace(folded, fixed.URL, "")
-    return F.regexp_replace(no_urls, fixed.EXTRACTION_TEXT, "")
+    # Only ASCII is left, so deleting the listed characters equals the pattern and is cheaper.
+    return F.translate(no_urls, _outside_ascii(fixed.EXTRACTION_TEXT), "")
 
 
 def keyword_clean(column: Column | str) -> Column:
@@ -106,15 +114,15 @@ def keyword_clean(column: Column | str) -> Column:
 
 
 def abstract_clean(column: Column | str) -> Column:
-    plain = F.regexp_replace(_c(column), fixed.ALPHANUMERIC, " ")
+    # Runs become one blank at once; they would be collapsed below anyway.
+    plain = F.regexp_replace(_c(column), fixed.ALPHANUMERIC + "+", " ")
     unmarked = F.regexp_replace(plain, "(?i)abstract", "")
     return F.lower(F.regexp_replace(strip(unmarked), r"\s+", " "))
 
 
 def dictionary_words(column: Column | str) -> Column:
     """Tokens as dictionaries see them: lower-case letter runs, anything else separates."""
-    spaced = F.regexp_replace(F.lower(_c(column)), fixed.DICTIONARY_TEXT, " ")
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.lower(_c(column)), fixed.DICTIONARY_TEXT), "")
 
 
 def dictionary_text(column: Column | str) -> Column:

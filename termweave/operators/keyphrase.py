@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termweave.functions.fixed import ENGLISH_STOP_WORDS
-from termweave.functions.text import extraction_clean, keyword_clean, keywords_in_chunks, long_keywords, split_words
+from termweave.functions.text import extraction_clean, keyword_clean, keywords_in_chunks, long_keywords
 from termweave.operators.lemma import lemmatise
 
 # Extraction parameters.
@@ -23,64 +23,68 @@ DEDUP_LIMIT = 0.2
 
 
 def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """`(key, sent, n_sents, words)`, one row per sentence with at least one word."""
-    cleaned = docs.select(key, extraction_clean(text).alias("_clean")).repartition(F.col(key))
+    """`(key, n_sents, sent, words, terms)`, one row per sentence with at least one word.
+
+    Texts are parsed before the shuffle, so every consumer reads the same exchange.
+    `terms` are the lower-cased words, made once per sentence.
+    """
     worded = F.transform(
-        F.split("_clean", r"[.!?]+"),
-        lambda s: F.filter(split_words(F.replace(s, F.lit(","), F.lit(" "))), lambda w: w.rlike("[a-zA-Z]")),
+        F.split(extraction_clean(text), r"[.!?]+"),
+        lambda s: F.filter(F.split(F.translate(s, ",\t\n\r", "    "), " +"), lambda w: F.upper(w) != F.lower(w)),
+    )
+    parsed = docs.select(key, F.filter(worded, lambda words: F.size(words) > 0).alias("_sents")).repartition(F.col(key))
+    both = F.transform(
+        "_sents",
+        lambda words, i: F.struct(i.alias("sent"), words.alias("words"), F.transform(words, F.lower).alias("terms")),
+    )
+    return parsed.select(key, F.size("_sents").alias("n_sents"), F.inline(both))
+
+
+def _neighbours(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
+    """Per term: how many different words stand up to `window` words before and behind it, and how often."""
+    tokens = sentences(docs, key, text).select(key, "sent", F.posexplode("terms").alias("at", "term"))
+    in_sentence = W.partitionBy(key, "sent").orderBy("at")
+    before = F.array(*[F.lag("term", i).over(in_sentence) for i in range(1, window + 1)])
+    pairs = tokens.select(key, "term", before.alias("_before")).select(key, "term", F.explode("_before").alias("other"))
+    counted = pairs.where(F.col("other").isNotNull()).groupBy(key, "term", "other").agg(F.count(F.lit(1)).alias("n"))
+
+    def side(term: str, left: Column, right: Column) -> Column:
+        return F.struct(F.col(term).alias("seen"), left.alias("left"), right.alias("right"))
+
+    # A pair says something about both of its terms.
+    none = F.lit(0).cast("long")
+    sides = F.array(side("term", F.col("n"), none), side("other", none, F.col("n")))
+    return counted.select(key, F.inline(sides)).groupBy(key, F.col("seen").alias("term")).agg(
+        F.count(F.when(F.col("left") > 0, 1)).alias("left_terms"),
+        F.sum("left").alias("left_total"),
+        F.count(F.when(F.col("right") > 0, 1)).alias("right_terms"),
+        F.sum("right").alias("right_total"),
     )
-    kept = cleaned.select(key, F.filter(worded, lambda words: F.size(words) > 0).alias("_sents"))
-    return kept.select(key, F.size("_sents").alias("n_sents"), F.posexplode("_sents").alias("sent", "words"))
-
-
-def _observations(words: str, window: int) -> Column:
-    """Per word: one occurrence, and its neighbours up to `window` words before it, seen from both ends."""
-    occurrence, left, right = F.lit(0), F.lit(1), F.lit(2)
-
-    def of(kind: Column, term: Column, other: Column, upper: Column, capital: Column) -> Column:
-        return F.struct(
-            kind.alias("kind"), term.alias("term"), other.alias("other"), upper.alias("upper"), capital.alias("capital")
-        )
-
-    def around(word: Column, i: Column) -> Column:
-        term = F.lower(word)
-        is_upper = ((F.length(word) > 1) & (F.upper(word) == word)).cast("int")
-        is_capital = ((i > 0) & F.substring(word, 1, 1).rlike("[A-Z]")).cast("int")
-        before = F.slice(words, F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window)))
-        none = F.lit(0)
-        return F.concat(
-            F.array(of(occurrence, term, F.lit(""), is_upper, is_capital)),
-            F.transform(before, lambda w: of(left, term, F.lower(w), none, none)),
-            F.transform(before, lambda w: of(right, F.lower(w), term, none, none)),
-        )
-
-    return F.flatten(F.transform(words, around))
 
 
 def term_statistics(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
     """Counts per document and term that the term score is made of."""
-    seen = sentences(docs, key, text).select(key, "n_sents", "sent", F.inline(_observations("words", window)))
-    by_sentence = F.when(F.col("kind") == 0, F.col("sent")).otherwise(-1)
-    grouped = seen.groupBy(key, "term", "kind", "other", by_sentence.alias("sent")).agg(
+    zipped = F.posexplode(F.arrays_zip("words", "terms")).alias("at", "w")
+    words = sentences(docs, key, text).select(key, "n_sents", "sent", zipped)
+    word = F.col("w.words")
+    is_upper = (F.length(word) > 1) & (F.upper(word) == word)
+    is_capital = (F.col("at") > 0) & F.substring(word, 1, 1).between("A", "Z")
+    by_sentence = words.groupBy(key, F.col("w.terms").alias("term"), "sent").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("upper").alias("upper"),
-        F.sum("capital").alias("capital"),
+        F.sum(is_upper.cast("int")).alias("upper"),
+        F.sum(is_capital.cast("int")).alias("capital"),
         F.max("n_sents").alias("n_sents"),
     )
-    is_own, is_left, is_right = (F.col("kind") == i for i in range(3))
-    zero = F.lit(0)
-    return grouped.groupBy(key, "term").agg(
-        F.sum(F.when(is_own, F.col("n")).otherwise(zero)).alias("tf"),
+    occurrences = by_sentence.groupBy(key, "term").agg(
+        F.sum("n").alias("tf"),
         F.sum("upper").alias("tf_upper"),
         F.sum("capital").alias("tf_capital"),
-        F.count(F.when(is_own, 1)).alias("sents"),
-        F.median(F.when(is_own, F.col("sent"))).alias("median_sent"),
-        F.count(F.when(is_left, 1)).alias("left_terms"),
-        F.sum(F.when(is_left, F.col("n")).otherwise(zero)).alias("left_total"),
-        F.count(F.when(is_right, 1)).alias("right_terms"),
-        F.sum(F.when(is_right, F.col("n")).otherwise(zero)).alias("right_total"),
+        F.count(F.lit(1)).alias("sents"),
+        F.median("sent").alias("median_sent"),
         F.max("n_sents").cast("long").alias("n_sents"),
     )
+    joined = occurrences.join(_neighbours(docs, key, text, window), [key, "term"], "left")
+    return joined.na.fill(0, ["left_terms", "left_total", "right_terms", "right_total"])
 
 
 def term_scores(statistics: DataFrame, key: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -105,27 +109,24 @@ def term_scores(statistics: DataFrame, key: str, stop_words: list[str] | None =
 
 
 def candidate_phrases(docs: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, stop_words: list[str] | None = None) -> DataFrame:
-    """`(key, phrase, terms, tf)`: runs of up to `max_words` words within a sentence, no stop word at either end."""
+    """`(key, phrase, tf)`: runs of up to `max_words` words within a sentence, no stop word at either end."""
     stop_words = ENGLISH_STOP_WORDS if stop_words is None else stop_words
-    lowered = F.transform("words", F.lower)
-
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))
-        return F.when(F.size("words") >= n, F.transform(starts, lambda i: F.slice(lowered, i, F.lit(n)))).otherwise(
-            F.slice(F.array(F.col("words")), 1, 0)
-        )
-
-    every = F.concat(*[runs(n) for n in range(1, max_words + 1)])
-    open_ended = F.filter(every, lambda r: ~F.element_at(r, 1).isin(stop_words) & ~F.element_at(r, -1).isin(stop_words))
-    exploded = sentences(docs, key, text).select(key, F.explode(open_ended).alias("terms"))
-    return exploded.groupBy(key, "terms").agg(F.count(F.lit(1)).alias("tf")).select(
-        key, F.array_join("terms", " ").alias("phrase"), "terms", "tf"
-    )
+    size = F.size("terms")
+
+    def runs_from(term: Column, i: Column) -> Column:
+        longest = F.least(size - i, F.lit(max_words))
+        ends = F.filter(F.sequence(F.lit(1), longest), lambda n: ~F.get("terms", i + n - 1).isin(stop_words))
+        return F.when(term.isin(stop_words), none).otherwise(F.transform(ends, lambda n: F.array_join(F.slice("terms", i + 1, n), " ")))
+
+    none = F.array().cast("array<string>")
+    open_ended = F.flatten(F.transform("terms", runs_from))
+    exploded = sentences(docs, key, text).select(key, F.explode(open_ended).alias("phrase"))
+    return exploded.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def phrase_scores(candidates: DataFrame, terms: DataFrame, key: str) -> DataFrame:
     """`(key, phrase, tf, score)` from the scores of a phrase's terms."""
-    parts = candidates.select(key, "phrase", "tf", F.explode("terms").alias("term"))
+    parts = candidates.select(key, "phrase", "tf", F.explode(F.split("phrase", " ")).alias("term"))
     scored = parts.join(terms.select(key, "term", "score"), [key, "term"])
     sums = scored.groupBy(key, "phrase", "tf").agg(F.product("score").alias("_product"), F.sum("score").alias("_sum"))
     return sums.select(key, "phrase", "tf", (F.col("_product") / (F.col("tf") * (1 + F.col("_sum")))).alias("score"))
