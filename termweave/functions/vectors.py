@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,22 +36,27 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(scale == 0, F.lit(0.0)).otherwise(dot(a, b) / scale)
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, not once per element of an inner lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trigram_vector(phrase: Column | str, dim: int = 64) -> Column:
     """Deterministic phrase embedding: signed hashed character-trigram counts, unit length.
 
     Stands in for a model-made embedding where no vector table is at hand.
     """
     padded = F.concat(F.lit("  "), F.lower(_c(phrase)), F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
-    hashes = F.transform(grams, lambda g: F.xxhash64(g))
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda slot: F.aggregate(
-            hashes,
-            F.lit(0.0),
-            lambda total, h: total
-            + F.when(F.pmod(h, F.lit(dim)) != slot, 0.0).when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0),
-        ),
-    )
-    length = norm(raw)
-    return F.transform(raw, lambda x: F.when(length == 0, 0.0).otherwise(x / length))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.xxhash64(F.substr(padded, i, F.lit(3))))
+
+    def signed_counts(hashes: Column) -> Column:
+        def slot_sum(slot: Column) -> Column:
+            mine = F.filter(hashes, lambda h: F.pmod(h, F.lit(dim)) == slot)
+            return F.aggregate(mine, F.lit(0.0), lambda t, h: t + F.when(h < 0, -1.0).otherwise(1.0))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), slot_sum)
+
+    def scaled(raw: Column) -> Column:
+        return _bind(norm(raw), lambda length: F.transform(raw, lambda x: F.when(length == 0, 0.0).otherwise(x / length)))
+
+    return _bind(_bind(grams, signed_counts), scaled)

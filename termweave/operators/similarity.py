@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 ROWS_PER_BLOCK = 4096
 MAX_PIVOTS = 256
 
+CELLS = "id string, vector array<double>, cell int, away double"
 PAIR = "core_id string, ext_id string, cos double"
 
 
@@ -31,6 +31,12 @@ def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
+def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of an id-and-vector table."""
+    ids = np.array(table["id"].to_pylist(), dtype=object)
+    return ids, _unit_rows(_matrix(table["vector"].combine_chunks(), table.num_rows))
+
+
 def _pairs_above(core_ids, core: np.ndarray, ext_ids, ext: np.ndarray, threshold: float) -> Iterator[tuple]:
     """Pairs above the threshold, one bounded product block after the other."""
     for start in range(0, len(ext), ROWS_PER_BLOCK):
@@ -61,18 +67,14 @@ def similar_pairs(
 
 
 def _broadcast_pairs(core: DataFrame, ext: DataFrame, threshold: float) -> DataFrame:
-    table = core.select("id", "vector").toArrow().combine_chunks()
-    ids = np.array(table["id"].to_pylist(), dtype=object)
-    vectors = _matrix(table["vector"].combine_chunks(), table.num_rows)
-    shared = core.sparkSession.sparkContext.broadcast((ids, _unit_rows(vectors) if len(vectors) else vectors))
+    shared = core.sparkSession.sparkContext.broadcast(_side(core.select("id", "vector").toArrow()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core_ids, matrix = shared.value
         for batch in batches:
             if not len(core_ids) or not batch.num_rows:
                 continue
-            ext_ids = np.array(batch.column("id").to_pylist(), dtype=object)
-            other = _unit_rows(_matrix(batch.column("vector"), batch.num_rows))
+            ext_ids, other = _side(pa.Table.from_batches([batch]))
             for a, b, cos in _pairs_above(core_ids, matrix, ext_ids, other, threshold):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(cos)], names=["core_id", "ext_id", "cos"]
@@ -82,6 +84,8 @@ def _broadcast_pairs(core: DataFrame, ext: DataFrame, threshold: float) -> DataF
 
 
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    if not len(vectors):
+        return np.empty((0, len(pivots)))
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.clip(vectors @ pivots.T, -1.0, 1.0)))
 
 
@@ -96,16 +100,22 @@ def _cell_pairs(core: DataFrame, ext: DataFrame, threshold: float, n_core: int,
     core = core.where(F.exists("vector", lambda x: x != 0))
     ext = ext.where(F.exists("vector", lambda x: x != 0))
     chosen = core.orderBy(F.md5("id")).limit(MAX_PIVOTS).select("vector").toArrow()
+    if not chosen.num_rows:
+        return core.sparkSession.createDataFrame([], PAIR)
     pivots = _unit_rows(_matrix(chosen["vector"].combine_chunks(), chosen.num_rows))
 
-    def to_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                away = _distances(_unit_rows(np.stack(frame["vector"])), pivots)
-                nearest = away.argmin(axis=1)
-                yield frame.assign(cell=nearest, away=away[np.arange(len(frame)), nearest])
+    def cells_of(batch: pa.RecordBatch, away: np.ndarray, row: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+        taken = pa.array(row)
+        columns = [batch.column("id").take(taken), batch.column("vector").take(taken), pa.array(cell.astype(np.int32)), pa.array(away)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "vector", "cell", "away"])
 
-    placed = core.mapInPandas(to_cells, "id string, vector array<double>, cell int, away double")
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away = _distances(_unit_rows(_matrix(batch.column("vector"), batch.num_rows)), pivots)
+            row, nearest = np.arange(batch.num_rows), away.argmin(axis=1)
+            yield cells_of(batch, away[row, nearest], row, nearest)
+
+    placed = core.select("id", "vector").mapInArrow(to_cells, CELLS)
     # At most MAX_PIVOTS rows reach the driver.
     bands = placed.groupBy("cell").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.count(F.lit(1)).alias("n")).collect()
     cells = np.array([b["cell"] for b in bands], dtype=int)
@@ -114,12 +124,11 @@ def _cell_pairs(core: DataFrame, ext: DataFrame, threshold: float, n_core: int,
     # A margin for rounding keeps the pruning on the safe side.
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
 
-    def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                away = _distances(_unit_rows(np.stack(frame["vector"])), pivots[cells])
-                row, slot = np.nonzero((away <= high + reach) & (away >= low - reach))
-                yield frame.iloc[row].assign(cell=cells[slot])
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            away = _distances(_unit_rows(_matrix(batch.column("vector"), batch.num_rows)), pivots[cells])
+            row, slot = np.nonzero((away <= high + reach) & (away >= low - reach))
+            yield cells_of(batch, away[row, slot], row, cells[slot])
 
     n_ext = ext.count()
     visitor_pieces = max(1, math.ceil(n_ext / rows_per_cell))
@@ -131,7 +140,7 @@ def _cell_pairs(core: DataFrame, ext: DataFrame, threshold: float, n_core: int,
         F.pmod(F.xxhash64("id"), per_cell).cast("int").alias("piece"),
         F.explode(F.sequence(F.lit(0), F.lit(visitor_pieces - 1))).alias("visit"),
     )
-    visitors = ext.mapInPandas(visits, "id string, vector array<double>, cell int").select(
+    visitors = ext.select("id", "vector").mapInArrow(visits, CELLS).select(
         "id",
         "vector",
         "cell",
@@ -139,17 +148,15 @@ def _cell_pairs(core: DataFrame, ext: DataFrame, threshold: float, n_core: int,
         F.pmod(F.xxhash64("id"), F.lit(visitor_pieces)).cast("int").alias("visit"),
     )
 
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"core_id": [], "ext_id": [], "cos": []})
-        found = _pairs_above(
-            a["id"].to_numpy(), _unit_rows(np.stack(a["vector"])), b["id"].to_numpy(), _unit_rows(np.stack(b["vector"])), threshold
-        )
-        parts = [pd.DataFrame({"core_id": x, "ext_id": y, "cos": c}) for x, y, c in found]
-        return pd.concat(parts) if parts else pd.DataFrame({"core_id": [], "ext_id": [], "cos": []})
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        parts = [(np.empty(0, object), np.empty(0, object), np.empty(0))]
+        if a.num_rows and b.num_rows:
+            parts += _pairs_above(*_side(a), *_side(b), threshold)
+        core_id, ext_id, cos = (np.concatenate(column) for column in zip(*parts))
+        return pa.table({"core_id": pa.array(core_id, pa.string()), "ext_id": pa.array(ext_id, pa.string()), "cos": pa.array(cos, pa.float64())})
 
     keys = ["cell", "piece", "visit"]
-    return resident.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInPandas(compare, PAIR)
+    return resident.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInArrow(compare, PAIR)
 
 
 def pair_cosines(pairs: DataFrame, a: str, b: str) -> DataFrame:
