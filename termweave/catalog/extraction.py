@@ -18,21 +18,21 @@ SQL_TOKENS = f"""
             lambda s: list_filter(string_split_regex(replace(s, ',', ' '), '\\s+'), lambda w: regexp_matches(w, '[a-zA-Z]'))), lambda x: len(x) > 0) AS sents
         FROM plain),
     sent_rows AS (SELECT doc_id, len(sents) AS n_sents, unnest(sents) AS words, generate_subscripts(sents, 1) - 1 AS sent FROM parsed),
-    tok AS (SELECT doc_id, n_sents, sent, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS at FROM sent_rows)"""
+    tok AS (SELECT doc_id, n_sents, sent, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM sent_rows)"""
 
 SQL_STATS = f"""{SQL_TOKENS},
     own AS (
         SELECT doc_id, lower(word) AS term, sent, count(*) AS n, sum((length(word) > 1 AND upper(word) = word)::INT) AS up,
-               sum((at > 0 AND word[1] BETWEEN 'A' AND 'Z')::INT) AS cap, max(n_sents) AS n_sents
+               sum((place > 0 AND word[1] BETWEEN 'A' AND 'Z')::INT) AS cap, max(n_sents) AS n_sents
         FROM tok GROUP BY ALL),
     occ AS (
         SELECT doc_id, term, sum(n)::BIGINT AS tf, sum(up)::BIGINT AS tf_upper, sum(cap)::BIGINT AS tf_capital, count(*) AS sents,
                median(sent) AS median_sent, max(n_sents)::BIGINT AS n_sents
         FROM own GROUP BY doc_id, term),
-    lows AS (SELECT doc_id, sent, at, lower(word) AS term FROM tok),
+    lows AS (SELECT doc_id, sent, place, lower(word) AS term FROM tok),
     before AS (
         SELECT doc_id, term, unnest([lag(term, 1) OVER o, lag(term, 2) OVER o, lag(term, 3) OVER o, lag(term, 4) OVER o, lag(term, 5) OVER o]) AS other
-        FROM lows WINDOW o AS (PARTITION BY doc_id, sent ORDER BY at)),
+        FROM lows WINDOW o AS (PARTITION BY doc_id, sent ORDER BY place)),
     pairs AS (SELECT doc_id, term, other, count(*) AS n FROM before WHERE other IS NOT NULL GROUP BY ALL),
     lefts AS (SELECT doc_id, term, count(*) AS left_terms, sum(n)::BIGINT AS left_total FROM pairs GROUP BY ALL),
     rights AS (SELECT doc_id, other AS term, count(*) AS right_terms, sum(n)::BIGINT AS right_total FROM pairs GROUP BY ALL),
@@ -51,7 +51,7 @@ SQL_SCORES = f"""{SQL_STATS},
     scores AS (SELECT doc_id, term, tf, rel * tpos / (tcase + tfreq / rel + (sents / n_sents) / rel) AS score FROM parts)"""
 
 SQL_CANDIDATES = f"""
-    run_words AS (SELECT doc_id, lower(word) AS w1, lower(lead(word, 1) OVER o) AS w2, lower(lead(word, 2) OVER o) AS w3 FROM tok WINDOW o AS (PARTITION BY doc_id, sent ORDER BY at)),
+    run_words AS (SELECT doc_id, lower(word) AS w1, lower(lead(word, 1) OVER o) AS w2, lower(lead(word, 2) OVER o) AS w3 FROM tok WINDOW o AS (PARTITION BY doc_id, sent ORDER BY place)),
     runs AS (
         SELECT doc_id, [w1] AS terms FROM run_words WHERE w1 NOT IN ({SQL_STOP_WORDS})
         UNION ALL SELECT doc_id, [w1, w2] FROM run_words WHERE w1 NOT IN ({SQL_STOP_WORDS}) AND w2 IS NOT NULL AND w2 NOT IN ({SQL_STOP_WORDS})
