@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from termweave import build_session
@@ -61,6 +62,7 @@ def main() -> None:
     for name in HEADLINE:
         run(QUERIES[name], spark, sf_dir)
         seconds[name] = round(run(QUERIES[name], spark, sf_dir), 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
     spark.stop()
