@@ -12,6 +12,7 @@ from termweave.functions.ids import hashed_id
 from termweave.functions.text import dictionary_words
 from termweave.operators import graph
 from termweave.plans.records import listed_edges, normalise_records
+from termweave.session import durable
 from termweave.sources.readers import balanced_scan
 
 SQL_DOC_ID = sql_id("'http://papers.example/' || doc_id")
@@ -218,7 +219,8 @@ SQL_TOPICS = """topics AS (
     SELECT 1 AS level, end_id FROM l1 UNION ALL SELECT 2, end_id FROM l2 UNION ALL SELECT 3, end_id FROM l3 UNION ALL SELECT 4, end_id FROM l4""",
 )
 def topic_levels(spark, sf):
-    return graph.topic_levels(topics(spark, sf), "ASIA")
+    # The triples are derived here and read once per level, so they are written first.
+    return graph.topic_levels(durable(topics(spark, sf)), "ASIA")
 
 
 @query(
@@ -228,4 +230,4 @@ def topic_levels(spark, sf):
     SELECT DISTINCT end_id FROM closure""",
 )
 def topic_closure(spark, sf):
-    return graph.topic_closure(topics(spark, sf), "ASIA")
+    return graph.topic_closure(durable(topics(spark, sf)), "ASIA")
