@@ -13,7 +13,6 @@ from termweave.functions.text import dictionary_words
 from termweave.operators.frequency import subtract
 from termweave.operators.keyphrase import extract_keywords, keyword_rows
 from termweave.operators.patterns import substring_hits
-from termweave.operators.skew import with_group_count
 from termweave.plans import dictionaries as dic
 from termweave.plans import keyword_graph, samples
 
@@ -157,7 +156,7 @@ def negative_dictionary(spark, sf):
 def negative_dictionary_extracted(spark, sf):
     """The same chain with extracted key phrases instead of words."""
     extracted = keyword_rows(extract_keywords(negative_documents(spark, sf), "doc_id", "text"), "doc_id")
-    return with_group_count(extracted, "keyword").where(F.col("frequency") >= 7).select("keyword", "frequency").distinct()
+    return dic.negative_keywords(extracted)
 
 
 SQL_CLEAN = f"array_to_string(list_filter({SQL_SPLIT}, lambda w: w NOT IN ({SQL_STOP_WORDS})), ' ')"
