@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def build_session(app_name: str = "termweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on.
@@ -28,7 +33,22 @@ def build_session(app_name: str = "termweave", master: str | None = None, **conf
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Sends the package to the workers, once per application, so that their Python can import it."""
+    name = f"{os.path.basename(PACKAGE)}.zip"
+    path = os.path.join(SparkFiles.getRootDirectory(), f"sent-{name}")
+    if not os.path.exists(path):
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, files in os.walk(PACKAGE):
+                for file in files:
+                    if file.endswith(".py"):
+                        full = os.path.join(folder, file)
+                        archive.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
+        spark.sparkContext.addPyFile(path)
+    return spark
 
 
 def _prepare_checkpoints(spark: SparkSession) -> None:
