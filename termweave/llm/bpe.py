@@ -166,7 +166,7 @@ class Vocabulary:
 class Encoder(dict):
     """Packed ids of pre-tokens; a memory of bounded size."""
 
-    def __init__(self, vocabulary: Vocabulary, size: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, size: int = 350_000):
         super().__init__()
         self.vocabulary, self.size = vocabulary, size
 
@@ -218,7 +218,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", name: str = "decoded")
     """Adds the text of packed ids; null counts as empty. Bytes that aren't UTF-8 become U+FFFD."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        known = load(path)[0].bytes
+        known = load(path)[0].bytes  # the encoder's memory is shared with `encode` in one worker
         texts = [b"".join(map(known.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
         return {name: pa.array(texts, pa.string())}
 

@@ -149,7 +149,7 @@ def _shapes(paths: tuple[str, ...]) -> list[str]:
     if not lists:
         return [f"OBJECT<{','.join(sorted(paths))}>"]
     inner = ",".join(sorted(p.split("[].")[1] for p in paths))
-    return [f"OBJECT<{lists[0]}:ARRAY<OBJECT<{inner}>>>", f"OBJECT<{lists[0]}:ARRAY<>>"]
+    return [f"OBJECT<{lists[0]}:ARRAY<OBJECT<{inner}>>>", f"OBJECT<{lists[0]}:ARRAY<VOID>>"]
 
 
 def escaped(text: Column) -> Column:

@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     whole number. Set sizes and links are exact up to collisions of 64-bit hashes and the
     stated odds of missing a pair with the bands.
     """
-    base = durable(signatures(docs.withColumn(key, F.col(key).cast("long")), key, text, shingle, bands, rows))
+    keyed = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    base = durable(signatures(keyed, "doc", "text", shingle, bands, rows))
     filled = base.where("n > 0 AND doc IS NOT NULL")
     # Exact copies: one representative each, the smallest id. Read from a stored table, so that a hot fingerprint is a skewed join key only.
     firsts = durable(filled.groupBy("d1", "d2", "n").agg(F.min("doc").alias("doc")))
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     shared = durable(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("doc").alias("least")).where("members > 1"))
     member = durable(member.join(shared, "bucket").select("bucket", "band", "doc", "least"))
     active = durable(member.select("doc").distinct())
-    sets = durable(full_sets(docs.withColumn(key, F.col(key).cast("long")).join(active, F.col(key) == F.col("doc"), "left_semi"), key, text, shingle).dropDuplicates(["doc"]))
+    sets = durable(full_sets(keyed.join(active, "doc", "left_semi"), "doc", "text", shingle).dropDuplicates(["doc"]))
     stars = member.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
     pairs = stars.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
     checked = durable(pairs.mapInArrow(_check_pairs(percent), "a long, b long"))

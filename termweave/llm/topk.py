@@ -59,7 +59,10 @@ def _whole(vectors: pd.Series) -> np.ndarray:
 
 def _products(a: np.ndarray, b: np.ndarray, exact: bool) -> np.ndarray:
     """Inner products of whole numbers; where doubles could round, by Python's integers."""
-    return a @ b.T if exact else a.astype(object) @ b.astype(object).T
+    if exact:
+        return a @ b.T
+    a, b = (np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (a, b))
+    return a @ b.T
 
 
 class Best:
