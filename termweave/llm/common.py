@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Rows of an Arrow batch are taken in slices of about so many bytes of text.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -25,7 +25,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words. A memory of bounded size: when full it is emptied, which costs time only."""
 
-    def __init__(self, size: int = 400_000):
+    def __init__(self, size: int = 200_000):
         super().__init__()
         self.size = size
 
@@ -67,6 +67,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Returns memory that Arrow keeps after a batch; workers live on after a task, and their memory counts with the executor's."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_texts(df: DataFrame, text: str, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """`df` with the columns that `function` makes from each run of rows; `schema` names them. `text` must be a string or binary column.
 
@@ -81,6 +86,7 @@ def map_texts(df: DataFrame, text: str, function: Callable[[pa.RecordBatch], dic
             for part in slices(batch, text):
                 made = function(part)
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [made[n] for n in new.names], names=[*names, *new.names])
+            give_back()
 
     return df.mapInArrow(run, T.StructType([*kept, *new.fields]))
 

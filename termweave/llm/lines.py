@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import WordHashes, list_of, mixed, same_text, slices, strings, windows
+from termweave.llm.common import WordHashes, give_back, list_of, mixed, same_text, slices, strings, windows
 from termweave.session import durable
 
 SYMBOLS = b"#*$%&|<>"
@@ -89,6 +89,7 @@ def measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
                 lengths = [len(x) for x in found[6]]
                 lists = [list_of(np.array([v for x in found[i] for v in x], kind), lengths) for i, kind in ((6, np.int64), (7, np.int32))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns, *lists], names=[*keep, *names])
+            give_back()
 
     return docs.select(*keep, text).mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL(MEASURES).fields]))
 
@@ -146,5 +147,6 @@ def without_lines(docs: DataFrame, removed: str = "removed_lines", text: str = "
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=fields.names)
+            give_back()
 
     return docs.mapInArrow(run, fields)

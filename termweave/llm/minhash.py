@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import WordHashes, as_long, list_of, mixed, slices, strings, windows, words_of
+from termweave.llm.common import SLICE_BYTES, WordHashes, as_long, give_back, list_of, mixed, slices, strings, windows, words_of
 from termweave.llm.components import connected
 from termweave.session import durable
 
@@ -90,8 +90,9 @@ def _map(df: DataFrame, column: str, run, schema: str) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, SLICE_BYTES // 2):  # a signature's permutations take some 25 bytes for each byte of text
                 yield run(part, known)
+            give_back()
 
     return df.mapInArrow(go, schema)
 

@@ -30,7 +30,7 @@ _RUNS = ((re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"[A-Z]+"), b"A"), (re.com
 class Features(dict):
     """Word feature and shape feature of a word, remembered up to a bounded number of words."""
 
-    def __init__(self, size: int = 400_000):
+    def __init__(self, size: int = 200_000):
         super().__init__()
         self.size = size
 

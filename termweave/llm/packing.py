@@ -21,13 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import SLICE_BYTES, slices, strings
+from termweave.llm.common import give_back, slices, strings
 from termweave.session import durable
 
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -179,7 +178,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, SLICE_BYTES // 2):
+            for part in slices(batch, text):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
                 for row, packed in enumerate(token_ids(strings(part, text), path)):
                     packed += ends
@@ -196,23 +195,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, tex
                     [*(kept.columns if kept else []), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())],
                     names=[*keys, *made],
                 )
+            give_back()
 
     return docs.mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL(PIECES).fields]))
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
-    """`pieces` with `_slice` and `_nth`: the how-manieth of its length a piece is in its partition."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            nth = np.zeros(batch.num_rows, np.int64)
-            for i, x in enumerate(batch.column("length").to_pylist()):
-                seen[x] = nth[i] = seen.get(x, 0) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, at, np.int32)), pa.array(nth - 1)], names=[*batch.schema.names, "_slice", "_nth"])
-
-    return pieces.mapInArrow(run, T.StructType([*pieces.schema.fields, *T.StructType.fromDDL("_slice int, _nth long").fields]))
-
-
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds `sequence_id` and `offset`: best-fit decreasing into sequences of `capacity` over all rows.
 
@@ -224,7 +211,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     partition and length, so no length, however common, meets in one task.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    placed = durable(_ranked(pieces))  # read three times: ranks must not change in between
+    # Stored, as it is read twice and a piece's partition and place in it must not change in between.
+    placed = durable(pieces.withColumn("_row", F.monotonically_increasing_id())).withColumn("_slice", F.shiftright("_row", 33))
     sizes = placed.groupBy("_slice", "length").agg(F.count(F.lit(1)).alias("_pieces"))
     counts = {r["length"]: r["_pieces"] for r in sizes.groupBy("length").agg(F.sum("_pieces").alias("_pieces")).collect()}
     plan = best_fit_plan(counts, capacity)
@@ -234,7 +222,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     columns = ["length", "rank", "pieces", "first_bin", "per_bin", "offset"]
     steps = pd.DataFrame(plan, columns=columns, dtype=np.int64).sort_values(["length", "rank"])
     table = {int(k): g[columns[1:]].to_numpy() for k, g in steps.groupby("length")}
-    ranked = placed.join(starts, ["_slice", "length"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
+    nth = F.row_number().over(W.partitionBy("_slice", "length").orderBy("_row")) - 1  # within one partition's pieces of one length
+    ranked = placed.withColumn("_nth", nth).join(starts, ["_slice", "length"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
