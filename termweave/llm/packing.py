@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import give_back, slices, strings
+from termweave.llm.common import SLICE_BYTES, give_back, slices, strings
 from termweave.session import durable
 
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
@@ -110,7 +110,7 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 class Words(dict):
     """Packed ids of words, and of chunks with characters beyond Latin-1, as the tokenizer gives them; a memory of bounded size."""
 
-    def __init__(self, path: str, size: int = 350_000):
+    def __init__(self, path: str, size: int = 500_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -178,7 +178,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 4 * SLICE_BYTES):  # new words are encoded once a slice
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
                 for row, packed in enumerate(token_ids(strings(part, text), path)):
                     packed += ends
