@@ -30,12 +30,13 @@ def keyword_documents(
 ) -> DataFrame:
     """Keywords whose frequency lies in the range, with the list of documents that hold them.
 
-    The range is applied to the counts before any list is built. Lists longer than
+    The rows of other keywords are left out before any list is built. Lists longer than
     `rows_per_list` continue in further parts.
     """
     counts = keywords.groupBy("keyword").agg(F.count(F.lit(1)).alias("frequency"))
     wanted = counts.where(F.col("frequency").between(lowest, highest))
-    lists = grouped_lists(keywords, "keyword", F.col(id_column), "ids", rows_per_list)
+    rows = keywords.join(wanted.select("keyword"), "keyword", "left_semi")
+    lists = grouped_lists(rows, "keyword", F.col(id_column), "ids", rows_per_list)
     listed = wanted.join(lists, "keyword")
     return listed.select("keyword", "frequency", "part", "ids", F.size("ids").alias("n_ids"))
 

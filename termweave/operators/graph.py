@@ -63,11 +63,15 @@ def match_pattern(
     return kept.join(sources, kept["src"] == sources["n_id"]).join(ends, F.col("dst") == F.col("t_id")).drop("src", "dst", "type")
 
 
+#: From this level on the number of edge starts is looked up, to tell a long path from a cycle.
+CYCLE_CHECK_LEVEL = 32
+
+
 def topic_levels(
     triples: DataFrame,
     root: str,
     relationship: str = "superTopicOf",
-    max_levels: int = 50,
+    max_levels: int | None = None,
     visit_once: bool = False,
 ) -> DataFrame:
     """`(level, end_id)`: every edge end reached from `root`, level by level.
@@ -75,6 +79,9 @@ def topic_levels(
     A level expands the *set* of the previous level's ends, so a topic met on two
     levels is expanded on both, as its frequency counts double later on. With
     `visit_once` a topic is expanded only the first time, which also ends cycles.
+    Levels go on until one is empty, or up to `max_levels` where the caller wants a
+    cut. A path that visits no topic twice has at most as many edges as there are
+    edge starts, so more levels than that show a cycle, which raises an error.
     Each level is made durable, so the plan does not grow with the depth and only
     a yes/no answer per level reaches the driver.
     """
@@ -83,7 +90,13 @@ def topic_levels(
     frontier = spark.createDataFrame([(root,)], "start_id string")
     seen = frontier
     levels = []
-    for level in range(1, max_levels + 1):
+    level, longest = 0, None
+    while max_levels is None or level < max_levels:
+        level += 1
+        if max_levels is None and not visit_once and level > CYCLE_CHECK_LEVEL:
+            longest = longest or edges.select("start_id").distinct().count()
+            if level > longest:
+                raise ValueError(f"the topics below {root} hold a cycle")
         reached = durable(edges.join(frontier, "start_id", "left_semi").select(F.lit(level).alias("level"), "end_id"))
         if reached.isEmpty():
             break
@@ -96,9 +109,9 @@ def topic_levels(
     return reduce(DataFrame.unionByName, levels, empty)
 
 
-def topic_closure(triples: DataFrame, root: str, relationship: str = "superTopicOf", max_levels: int = 50) -> DataFrame:
+def topic_closure(triples: DataFrame, root: str, relationship: str = "superTopicOf") -> DataFrame:
     """Distinct topics below `root`."""
-    return topic_levels(triples, root, relationship, max_levels, visit_once=True).select("end_id").distinct()
+    return topic_levels(triples, root, relationship, visit_once=True).select("end_id").distinct()
 
 
 def load_counts(tables: dict[str, DataFrame], tag: str) -> DataFrame:

@@ -13,8 +13,10 @@ def lemmatise(df: DataFrame, key: str, words: str, lemmas: DataFrame, **split: i
     """Replace each word of the list column `words` that `lemmas(word, lemma)` knows.
 
     Only distinct words per document meet the table, frequent words in pieces; the
-    order is restored inside the row from a map of the changed words.
+    order is restored inside the row from a map of the changed words. A word that
+    stands in the table more than once gets its smallest lemma.
     """
+    lemmas = lemmas.where(F.col("word").isNotNull() & F.col("lemma").isNotNull()).groupBy("word").agg(F.min("lemma").alias("lemma"))
     distinct = df.select(key, F.explode(F.array_distinct(words)).alias("word"))
     changed = salted_join(distinct, lemmas, "word", **split).where(F.col("word") != F.col("lemma"))
     maps = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "lemma"))).alias("_lemmas"))

@@ -47,6 +47,12 @@ def _pairs_above(core_ids, core: np.ndarray, ext_ids, ext: np.ndarray, threshold
                 yield core_ids[left + i], ext_ids[start + j], block[i, j]
 
 
+def _comparable(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector has a direction."""
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    return vectors.where(F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
+
+
 def similar_pairs(
     core: DataFrame,
     ext: DataFrame,
@@ -59,9 +65,18 @@ def similar_pairs(
     Both inputs are `(id string, vector array<double>)`. When the core matrix is
     small (measured) it is broadcast and the other side streams past it without a
     shuffle. Otherwise both sides are cut into cells that meet by an equi-join.
+    Null vectors, vectors with a null or non-finite value, zero vectors and, in `ext`,
+    those of another length than core's have no cosine and are in no pair, whichever
+    form runs. Core vectors of different lengths raise an error.
     """
-    size = core.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim")).first()
-    if size["n"] * size["dim"] * 8 <= max_bytes:
+    core, ext = _comparable(core), _comparable(ext)
+    own = F.size("vector")
+    text = F.coalesce(F.sum(F.octet_length("id")), F.lit(0))
+    size = core.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(own), F.lit(0)).alias("dim"), F.coalesce(F.min(own), F.lit(0)).alias("least"), text.alias("ids")).first()
+    if size["least"] != size["dim"]:
+        raise ValueError(f"core vectors have {size['least']} to {size['dim']} values")
+    ext = ext.where(own == size["dim"])
+    if size["n"] * size["dim"] * 8 + size["ids"] <= max_bytes:
         return _broadcast_pairs(core, ext, threshold)
     return _cell_pairs(core, ext, threshold, size["n"], rows_per_cell)
 

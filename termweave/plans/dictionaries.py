@@ -34,13 +34,13 @@ def topic_triples(raw: DataFrame) -> DataFrame:
     )
 
 
-def topic_keywords(triples: DataFrame, root: str, max_levels: int = 50) -> DataFrame:
+def topic_keywords(triples: DataFrame, root: str) -> DataFrame:
     """`(keyword, score, source)` extracted from the labels of all topics below `root`.
 
     A topic met on two levels counts twice, so its extracted keywords are repeated
     by its number of occurrences instead of being extracted again.
     """
-    met = topic_levels(triples, root, max_levels=max_levels).groupBy("end_id").agg(F.count(F.lit(1)).alias("times"))
+    met = topic_levels(triples, root).groupBy("end_id").agg(F.count(F.lit(1)).alias("times"))
     found = keyword_rows(extract_keywords(met, "end_id", "end_id"), "end_id").join(met, "end_id")
     repeated = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return repeated.select("keyword", "score", F.lit("cso").alias("source"))

@@ -189,3 +189,30 @@ def test_merged_dictionary_prefers_core_and_ids_are_gap_free(spark):
     rows = sorted(dic.merged_dictionary(core, ext).collect(), key=lambda r: r.trie_id)
     assert [(r.keyword, r.source, r.dict, r.trie_id) for r in rows] == [("deep net", "task", "core", 0), ("graph", "cso", "core", 1), ("nets", "cso", "extended", 2)]
     assert dic.extended_dictionary(spark.createDataFrame([], "keyword string, source string, core_keyword string, cos double"), 0.9).count() == 0
+
+
+def test_long_topic_chain_is_not_cut_and_a_cycle_raises(spark):
+    chain = [(f"t{i}", "superTopicOf", f"t{i + 1}") for i in range(60)]
+    df = spark.createDataFrame(chain, "start_id string, relationship string, end_id string")
+    assert graph.topic_closure(df, "t0").count() == 60
+    cycle = spark.createDataFrame([("a", "superTopicOf", "b"), ("b", "superTopicOf", "a")], df.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        graph.topic_levels(cycle, "a")
+
+
+def test_similarity_forms_agree_on_odd_vectors(spark):
+    from termweave.operators.similarity import similar_pairs
+
+    core = spark.createDataFrame([("a", [1.0, 0.0]), ("z", [0.0, 0.0]), ("n", None), ("m", [None, 1.0])], "id string, vector array<double>")
+    ext = spark.createDataFrame([("b", [1.0, 1.0]), ("z", [0.0, 0.0]), ("n", None), ("l", [1.0, 1.0, 1.0]), ("o", [-1.0, 0.0])], "id string, vector array<double>")
+    for limit in (1 << 20, 0):
+        found = {(r.core_id, r.ext_id) for r in similar_pairs(core, ext, -0.5, max_bytes=limit).collect()}
+        assert found == {("a", "b")}
+
+
+def test_lemma_table_with_repeated_words(spark):
+    from termweave.operators.lemma import lemmatise
+
+    df = spark.createDataFrame([(1, ["models", "run"])], "id int, words array<string>")
+    lemmas = spark.createDataFrame([("models", "model"), ("models", "model"), ("models", "modelo")], "word string, lemma string")
+    assert lemmatise(df, "id", "words", lemmas).first().words == ["model", "run"]
