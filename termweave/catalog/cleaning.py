@@ -197,7 +197,7 @@ SQL_LEMMAS = f"""lemmas AS (SELECT DISTINCT word, substr(word, 1, length(word) -
 )
 def lemma_map(spark, sf):
     words = documents(spark, sf).select("doc_id", text.dictionary_words("text").alias("words"))
-    return lemmatise(words, "doc_id", "words", plural_lemmas(spark, sf))
+    return lemmatise(words, "words", plural_lemmas(spark, sf))
 
 
 @query(

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termweave.catalog.dictionaries import SQL_MERGED, merged_dictionary
 from termweave.catalog.graphs import SQL_ORDER_EDGES, order_edges
-from termweave.catalog.registry import documents, query, sql_words, table
+from termweave.catalog.registry import documents, phrase_table, query, sql_phrases, sql_prefixes, sql_words, table
 from termweave.functions.text import dictionary_words, inverted_index_text
 from termweave.session import scratch_path
 from termweave.sources import readers, store, writers
@@ -92,17 +91,18 @@ def file_listing(spark, sf):
     return files.select(F.concat(F.lit("part-"), F.regexp_extract("path", "n_regionkey=(\\d+)", 1)).alias("folder"))
 
 
-@query(
-    "prefix_store",
-    f"""WITH {SQL_MERGED}
-    SELECT prefix, depth::INT AS depth, source, dict FROM (SELECT keyword AS prefix, 1 AS depth, source, dict FROM merged WHERE dict = 'extended' AND source = 'cso')""",
-)
+SQL_STORED = f"""{sql_phrases()}, {sql_prefixes()}"""
+
+
+@query("prefix_store", f"WITH {SQL_STORED} SELECT prefix, depth::INT AS depth, is_terminal, value, round(weight, 6) AS weight FROM prefixes")
 def prefix_store(spark, sf):
-    """All dictionary parts in one stored table; one part is a partition filter."""
+    """All depths with values and weights of one part of a stored table that holds two."""
     path = scratch_path(spark)
-    store.save_store(merged_dictionary(spark, sf), path)
-    part = store.load_part(spark, path, dict_name="extended", source="cso")
-    return part.select("prefix", "depth", F.lit("cso").alias("source"), F.lit("extended").alias("dict"))
+    rows = phrase_table(spark, sf).select("keyword", "weight", F.col("value").alias("trie_id"), F.lit("benchmark").alias("source"))
+    both = rows.withColumn("dict", F.lit("core")).unionByName(rows.withColumn("dict", F.lit("extended")).where("keyword < 'm'"))
+    store.save_store(both, path, weight="weight")
+    part = store.load_part(spark, path, dict_name="core", source="benchmark")
+    return part.select("prefix", "depth", "is_terminal", "value", F.round("weight", 6).alias("weight"))
 
 
 @query(

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.catalog.registry import documents, phrase_dictionary, phrase_table, query, sql_greedy, sql_phrases, sql_prefixes, sql_words, table
-from termweave.functions.text import dictionary_words
+from termweave.functions.text import dictionary_words, split_words
 from termweave.operators import tfidf as tf
 from termweave.operators.compare import five_numbers, metric_histogram, sample_statistics
 from termweave.operators.dictionary import PhraseDictionary
 from termweave.operators.skew import dense_id
 from termweave.plans.samples import METRICS, plot_range, score_corpus
+from termweave.session import scratch_path
+from termweave.sources import store
 
 SQL_DICT = sql_phrases() + "," + sql_prefixes()
 
@@ -29,6 +34,10 @@ def rounded(*names):
 SQL_ROUNDED = "n_hits, round(ratio, 6) AS ratio, round(mean_weight, 6) AS mean_weight, round(total_weight, 6) AS total_weight"
 
 
+def quarter(dictionary):
+    return dictionary.size().prefixes // 4 + 1
+
+
 def scored_documents(spark, sf):
     return score_corpus(documents(spark, sf), "doc_id", "text", phrase_dictionary(spark, sf))
 
@@ -45,8 +54,9 @@ def aggregate_search_info(spark, sf):
 
 @query("aggregate_search_info_joined", f"WITH {SQL_WORD_METRICS} SELECT doc_id, {SQL_ROUNDED} FROM scored")
 def aggregate_search_info_joined(spark, sf):
-    """The form for dictionaries too large to be sent to every task."""
-    scored = score_corpus(documents(spark, sf), "doc_id", "text", phrase_dictionary(spark, sf), max_prefixes=0)
+    """The same with the dictionary cut into four slices, as one too large for a task is."""
+    dictionary = phrase_dictionary(spark, sf)
+    scored = score_corpus(documents(spark, sf), "doc_id", "text", dictionary, max_prefixes=quarter(dictionary))
     return scored.select("doc_id", "n_hits", *rounded("ratio", "mean_weight", "total_weight"))
 
 
@@ -123,17 +133,20 @@ def phrase_ids(spark, sf):
 
 @query(
     "phrase_match",
-    f"""WITH {sql_phrases()}, t AS (SELECT doc_id AS id, array_to_string(({sql_words('text')})[1:2], ' ') AS text FROM documents UNION ALL SELECT item_id, text FROM benchmark)
+    f"""WITH {sql_phrases()}, t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark UNION ALL SELECT page_id, url FROM pages UNION ALL SELECT p_partkey, p_name FROM part UNION ALL SELECT item_id, unnest({sql_words('text')}) FROM benchmark)
     SELECT id, text, phrases.keyword IS NOT NULL AS matched, value, round(weight, 6) AS weight
     FROM t LEFT JOIN phrases ON phrases.keyword = array_to_string({sql_words('t.text')}, ' ')""",
 )
 def phrase_match(spark, sf):
-    """Look-up of each document's opening word pair and of whole benchmark texts."""
-    opening = F.array_join(F.slice(dictionary_words("text"), 1, 2), " ")
-    texts = documents(spark, sf).select(F.col("doc_id").alias("id"), opening.alias("text")).unionByName(
-        table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    )
-    found = phrase_dictionary(spark, sf).match(texts, "text")
+    """Look-up of whole texts of any kind; most are no phrase, the words of the benchmark are."""
+    parts = [
+        documents(spark, sf).select(F.col("doc_id").alias("id"), "text"),
+        table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"),
+        table(spark, sf, "pages").select("page_id", "url"),
+        table(spark, sf, "part").select("p_partkey", "p_name"),
+        table(spark, sf, "benchmark").select("item_id", F.explode(dictionary_words("text"))),
+    ]
+    found = phrase_dictionary(spark, sf).match(reduce(DataFrame.union, parts), "text")
     return found.select("id", "text", "matched", "value", F.round("weight", 6).alias("weight"))
 
 
@@ -152,8 +165,65 @@ def trie_search(spark, sf):
 
 @query("trie_search_joined", SQL_SEARCH)
 def trie_search_joined(spark, sf):
-    """The form for dictionaries too large to be sent to every task."""
-    return exploded(phrase_dictionary(spark, sf).search(documents(spark, sf), "doc_id", "text", max_prefixes=0), "doc_id")
+    """The same with the dictionary cut into four slices, as one too large for a task is."""
+    dictionary = phrase_dictionary(spark, sf)
+    return exploded(dictionary.search(documents(spark, sf), "doc_id", "text", max_prefixes=quarter(dictionary)), "doc_id")
+
+
+_TOKENS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+SQL_LEMMAS = f"""{sql_phrases().replace('phrases AS', 'plain_phrases AS')},
+    lemmas AS (SELECT DISTINCT word, substr(word, 1, length(word) - 1) AS lemma FROM (SELECT unnest({_TOKENS}) AS word FROM documents) WHERE word LIKE '%s'),
+    tokens AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)),
+    joined AS (SELECT doc_id, string_agg(coalesce(lemma, tokens.word), ' ' ORDER BY pos) AS text FROM tokens LEFT JOIN lemmas USING (word) GROUP BY doc_id),
+    docs AS (SELECT documents.doc_id, CASE WHEN joined.text IS NULL THEN [] ELSE {sql_words('joined.text')} END AS w FROM documents LEFT JOIN joined USING (doc_id)),
+    said AS (SELECT keyword, n, value, weight, unnest(string_split(keyword, ' ')) AS word, unnest(range(n)) AS pos FROM plain_phrases),
+    renamed AS (SELECT keyword, n, value, weight, string_agg(coalesce(lemma, said.word), ' ' ORDER BY pos) AS phrase FROM said LEFT JOIN lemmas USING (word) GROUP BY keyword, n, value, weight),
+    phrases AS (SELECT phrase AS keyword, n, arg_max(value, ord) AS value, arg_max(weight, ord) AS weight
+                FROM (SELECT *, row_number() OVER (ORDER BY keyword) AS ord FROM renamed) WHERE phrase <> '' GROUP BY phrase, n)"""
+
+
+def plural_words(spark, sf):
+    """Lemma table: every token of the documents that ends in "s", without it."""
+    tokens = table(spark, sf, "documents").select(F.explode(split_words("text")).alias("word")).distinct()
+    return tokens.where(F.endswith("word", F.lit("s"))).select("word", F.expr("substr(word, 1, length(word) - 1)").alias("lemma"))
+
+
+def lemma_dictionary(spark, sf):
+    """Phrases inserted in alphabetical order, compared by lemmas."""
+    rows = dense_id(phrase_table(spark, sf), ["keyword"], "at")
+    return PhraseDictionary.build(rows, "keyword", "value", "weight", order="at", lemmas=plural_words(spark, sf))
+
+
+@query(
+    "trie_search_lemmas",
+    f"WITH RECURSIVE {SQL_LEMMAS}, {sql_prefixes()}, {sql_greedy('docs', 'doc_id')} SELECT doc_id, pos::INT AS pos, n::INT AS n, phrase, value FROM hits",
+)
+def trie_search_lemmas(spark, sf):
+    return exploded(lemma_dictionary(spark, sf).search(documents(spark, sf), "doc_id", "text"), "doc_id")
+
+
+@query(
+    "aggregate_search_info_lemmas",
+    f"""WITH {SQL_LEMMAS}, tok AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [NULL] ELSE w END) AS word FROM docs),
+    scored AS (
+        SELECT doc_id, count(weight) AS n_hits, CASE WHEN count(word) > 0 THEN count(weight) / count(word) ELSE 0 END AS ratio,
+               coalesce(avg(weight), 0) AS mean_weight, coalesce(sum(weight), 0) AS total_weight
+        FROM tok LEFT JOIN phrases ON phrases.n = 1 AND phrases.keyword = tok.word GROUP BY doc_id)
+    SELECT doc_id, {SQL_ROUNDED} FROM scored""",
+)
+def aggregate_search_info_lemmas(spark, sf):
+    scored = lemma_dictionary(spark, sf).word_metrics(documents(spark, sf), "doc_id", "text")
+    return scored.select("doc_id", "n_hits", *rounded("ratio", "mean_weight", "total_weight"))
+
+
+@query("trie_search_stored", SQL_SEARCH)
+def trie_search_stored(spark, sf):
+    """The scan with a dictionary whose prefix table was written and read again, weights included."""
+    path = scratch_path(spark)
+    rows = phrase_table(spark, sf).select("keyword", "weight", F.col("value").alias("trie_id"), F.lit("core").alias("dict"), F.lit("benchmark").alias("source"))
+    store.save_store(rows, path, weight="weight")
+    dictionary = PhraseDictionary.from_prefixes(store.load_part(spark, path, dict_name="core"), weighted=True)
+    return exploded(dictionary.search(documents(spark, sf), "doc_id", "text"), "doc_id")
 
 
 @query(

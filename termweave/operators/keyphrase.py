@@ -186,7 +186,7 @@ def extract_keywords(
 
 def _lemmatised(found: DataFrame, key: str, lemmas: DataFrame) -> DataFrame:
     words = F.flatten(F.transform("keywords", lambda k: F.concat(F.split(k["keyword"], " "), F.array(F.lit("\n")))))
-    changed = lemmatise(found.withColumn("_words", words), key, "_words", lemmas)
+    changed = lemmatise(found.withColumn("_words", words), "_words", lemmas)
     phrases = F.transform(F.split(F.array_join("_words", " "), "\n"), lambda p: F.trim(p))
     rebuilt = F.transform("keywords", lambda k, i: F.struct(F.get(phrases, i).alias("keyword"), k["score"].alias("score")))
     return changed.withColumn("keywords", rebuilt).drop("_words")

@@ -7,27 +7,31 @@ length of the longest prefix starting at word i, the visited starts are those no
 covered by an earlier visited interval [j, j + L(j)), and a visited start is a hit
 when its longest prefix is a phrase.
 
-Two physical forms give the same rows:
-
-* Arrow: the prefix table is small (measured), so it is sent to every task and whole
-  batches of documents are walked with array arithmetic. No shuffle.
-* Joins: for dictionaries of any size; word positions are joined with the prefix
-  table and folded per run of overlapping prefixes.
+The words are never moved. A dictionary that was measured to be small is sent to every
+task as sorted arrays, which walk whole batches of documents. A larger one is cut by a
+hash of the phrase into slices of that size, each with all prefixes of its phrases, and
+the texts are read once per slice: the longest prefix at a start is the longest of the
+slices, so only starts meet per document, where they are folded. Both ways run the same
+code on the same rows and give the same result.
+
+Every row of the texts gives one row, whatever its key: null texts hold no word, null
+keys and keys that stand on several rows stay apart, an empty dictionary finds nothing.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.operators.skew import salted_join
+from termweave.operators.prefixes import prefix_rows
 
 # Stands between two list elements; never a word, so no phrase crosses it.
 BOUNDARY = ""
@@ -36,25 +40,44 @@ MAX_PREFIXES = 1_000_000
 MAX_PREFIX_BYTES = 64 * 1024 * 1024
 
 HIT = "struct<pos:int,n:int,phrase:string,value:bigint,weight:double>"
+HIT_COLUMNS = ["pos", "n", "phrase", "value", "weight"]
 
 
 @dataclass(frozen=True)
-class PrefixSize:
-    rows: int
+class DictionarySize:
+    """What the prefixes of all phrases take at most."""
+
+    phrases: int
+    prefixes: int
     bytes: int
-    depth: int
 
     @classmethod
-    def measure(cls, prefixes: DataFrame) -> PrefixSize:
-        row = prefixes.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("bytes"),
-            F.coalesce(F.max("depth"), F.lit(0)).alias("depth"),
+    def measure(cls, entries: DataFrame) -> DictionarySize:
+        depth = F.size("words")
+        row = entries.agg(
+            F.count(F.lit(1)).alias("phrases"),
+            F.coalesce(F.sum(depth), F.lit(0)).alias("prefixes"),
+            F.coalesce(F.sum(F.octet_length("phrase") * depth), F.lit(0)).alias("bytes"),
         ).first()
-        return cls(row["rows"], row["bytes"], row["depth"])
+        return cls(row["phrases"], row["prefixes"], row["bytes"])
+
+    def slices(self, max_prefixes: int = MAX_PREFIXES, max_bytes: int = MAX_PREFIX_BYTES) -> int:
+        return max(1, math.ceil(self.prefixes / max_prefixes), math.ceil(self.bytes / max_bytes))
+
 
-    def within(self, max_prefixes: int, max_bytes: int = MAX_PREFIX_BYTES) -> bool:
-        return self.rows <= max_prefixes and self.bytes <= max_bytes
+def _visited(at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which starts (ascending) the greedy walk visits; `length` is that of the longest prefix there."""
+    begin, end = [], []
+    reach = -1
+    # Prefixes of one word cover nothing else, so only longer ones decide what is visited.
+    longer = length > 1
+    for start, stop in zip(at[longer].tolist(), (at + length)[longer].tolist()):
+        if start >= reach:
+            begin.append(start)
+            end.append(stop)
+            reach = stop
+    before = np.searchsorted(np.array(begin, np.int64), at, side="left")
+    return np.concatenate([[-1], np.array(end, np.int64)])[before] <= at
 
 
 class PrefixWalker:
@@ -102,23 +125,20 @@ class PrefixWalker:
                 return
             yield depth, at, node
 
-    def greedy(self, word: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions, nodes and lengths of the greedy hits."""
-        longest = np.zeros(len(word), np.int64)
+    def longest(self, word: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions at which a prefix starts, with node and length of the longest one."""
+        length = np.zeros(len(word), np.int64)
         last = np.zeros(len(word), np.int64)
         for depth, at, node in self.steps(word, end):
-            longest[at], last[at] = depth, node
-        # Prefixes of one word cover nothing else, so only longer ones decide what is visited.
-        reach = 0
-        covered = np.zeros(len(word) + 1, np.int64)
-        for start in np.flatnonzero(longest > 1).tolist():
-            if start >= reach:
-                reach = start + int(longest[start])
-                covered[start + 1] += 1
-                covered[reach] -= 1
-        visited = np.cumsum(covered[:-1]) == 0
-        at = np.flatnonzero(visited & self.terminal[last])
-        return at, last[at], longest[at]
+            length[at], last[at] = depth, node
+        at = np.flatnonzero(length)
+        return at, last[at], length[at]
+
+    def greedy(self, word: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, nodes and lengths of the greedy hits."""
+        at, node, length = self.longest(word, end)
+        hit = _visited(at, length) & self.terminal[node]
+        return at[hit], node[hit], length[hit]
 
     def overlapping(self, word: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every phrase occurrence, overlapping ones too."""
@@ -131,166 +151,120 @@ class PrefixWalker:
         order = np.lexsort((length[phrase], at[phrase]))
         return at[phrase][order], node[phrase][order], length[phrase][order]
 
-    def scan(self, batch: pa.RecordBatch, key: str, overlapping: bool) -> pa.RecordBatch:
+    def scan(self, batch: pa.RecordBatch, walk: str) -> pa.Array:
+        """One list of hits per row of the column `words`; those that are no phrase have a null phrase."""
         lists = batch.column("words")
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        words = lists.flatten()
-        word = self.word_ids(words)
-        at, node, length = (self.overlapping if overlapping else self.greedy)(word, np.repeat(bounds[1:], sizes))
+        at, node, length = getattr(self, walk)(self.word_ids(lists.flatten()), np.repeat(bounds[1:], sizes))
+        row = pa.array(node - 1, mask=~self.terminal[node])
         document = np.searchsorted(bounds, at, side="right") - 1
-        row = pa.array(node - 1)
-        hits = pa.StructArray.from_arrays(
-            [
-                pa.array((at - bounds[document]).astype(np.int32)),
-                pa.array(length.astype(np.int32)),
-                self.phrases.take(row),
-                self.values.take(row),
-                self.weights.take(row),
-            ],
-            names=["pos", "n", "phrase", "value", "weight"],
-        )
-        offsets = pa.array(np.searchsorted(at, bounds).astype(np.int32))
-        blank = np.concatenate([[0], np.cumsum(pc.equal(words, BOUNDARY).to_numpy(zero_copy_only=False))])
-        n_words = sizes - (blank[bounds[1:]] - blank[bounds[:-1]])
-        return pa.RecordBatch.from_arrays(
-            [batch.column(key), pa.array(n_words.astype(np.int64)), pa.ListArray.from_arrays(offsets, hits)],
-            names=[key, "n_words", "hits"],
-        )
+        columns = [
+            pa.array((at - bounds[document]).astype(np.int32)),
+            pa.array(length.astype(np.int32)),
+            self.phrases.take(row),
+            self.values.take(row),
+            self.weights.take(row),
+        ]
+        hits = pa.StructArray.from_arrays(columns, names=HIT_COLUMNS)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), hits)
+
+
+def _sums(hits: pa.ListArray) -> list[pa.Array]:
+    """Number of hits, of those with a weight, and their weight, per row."""
+    sizes = pc.list_value_length(hits).to_numpy(zero_copy_only=False).astype(np.int64)
+    weights = hits.flatten().field("weight")
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    known = pc.is_valid(weights).to_numpy(zero_copy_only=False)
+    weighted = np.bincount(document[known], minlength=len(sizes))
+    values = pc.fill_null(weights, 0.0).to_numpy(zero_copy_only=False)
+    return [pa.array(sizes), pa.array(weighted.astype(np.int64)), pa.array(np.bincount(document, values, len(sizes)).astype(np.float64))]
+
+
+def _fold(starts: pa.ListArray, walk: str) -> pa.ListArray:
+    """Hits of a document from the starts that all slices found in it."""
+    sizes = pc.list_value_length(starts).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = starts.flatten()
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    pos, n = (flat.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("pos", "n"))
+    phrase = pc.is_valid(flat.field("phrase")).to_numpy(zero_copy_only=False)
+    if walk == "overlapping":
+        kept = np.lexsort((n, pos, document))
+    else:
+        # The longest of the slices, as a phrase if it is one in any of them.
+        order = np.lexsort((~phrase, -n, pos, document))
+        span = int((pos + n).max(initial=0)) + 1
+        at = (document * span + pos)[order]
+        order = order[np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]]
+        kept = order[_visited((document * span + pos)[order], n[order]) & phrase[order]]
+    bounds = np.searchsorted(document[kept], np.arange(len(sizes) + 1))
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat.take(pa.array(kept)))
 
 
-def phrase_hits(
-    words: DataFrame, key: str, dictionary, overlapping: bool = False, max_prefixes: int = MAX_PREFIXES, **split: int
-) -> DataFrame:
-    """`(key, n_words, hits)` for every row of `words(key, words)`; `key` must be unique."""
-    size = dictionary.size()
-    if size.rows == 0:
-        return words.select(key, F.size("words").cast("long").alias("n_words"), F.array().cast(f"array<{HIT}>").alias("hits"))
-    if size.within(max_prefixes):
-        return _arrow_hits(words, key, dictionary.prefixes, overlapping)
-    return _joined_hits(words, key, dictionary.prefixes, size.depth, overlapping, **split)
+def _with_column(batch: pa.RecordBatch, columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    kept = [name for name in batch.schema.names if name not in ("words", "_starts")]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, *names])
 
 
-def _arrow_hits(words: DataFrame, key: str, prefixes: DataFrame, overlapping: bool) -> DataFrame:
-    table = prefixes.select("prefix", "depth", "is_terminal", "value", "weight").toArrow()
-    walker = words.sparkSession.sparkContext.broadcast(PrefixWalker(table))
+def _outcome(hits: pa.ListArray, sums: bool) -> tuple[list[pa.Array], list[str]]:
+    return (_sums(hits), ["n_hits", "_weighted", "total_weight"]) if sums else ([hits], ["hits"])
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield walker.value.scan(batch, key, overlapping)
-
-    kind = words.schema[key].dataType.simpleString()
-    return words.select(key, "words").mapInArrow(walk, f"`{key}` {kind}, n_words bigint, hits array<{HIT}>")
 
+def _walked(rows: DataFrame, entries: DataFrame, walk: str, sums: bool) -> DataFrame:
+    """`rows` with `hits` (or their sums) in place of `words`; the size of `entries` was checked."""
+    table = prefix_rows(entries).select("prefix", "depth", "is_terminal", "value", "weight").toArrow()
+    walker = rows.sparkSession.sparkContext.broadcast(PrefixWalker(table))
 
-def _joined_hits(
-    words: DataFrame, key: str, prefixes: DataFrame, depth: int, overlapping: bool, **split: int
-) -> DataFrame:
-    counted = words.select(key, F.size(F.array_remove("words", BOUNDARY)).cast("long").alias("n_words"))
-    # The next `depth` words travel with each position; the whole document does not.
-    grams = F.transform(
-        "words", lambda w, i: F.struct(i.alias("pos"), w.alias("prefix"), F.slice("words", i + 1, F.lit(depth)).alias("gram"))
-    )
-    starts = words.select(key, F.inline(grams))
-    table = prefixes.select("prefix", "depth", "is_terminal", "value", "weight")
-    first = salted_join(starts, table.where("depth = 1"), "prefix", **split)
-    longer = first.select(
-        key,
-        "pos",
-        F.explode(F.sequence(F.lit(2), F.greatest(F.size("gram"), F.lit(2)))).alias("k"),
-        "gram",
-    ).where(F.size("gram") >= F.col("k"))
-    longer = longer.select(key, "pos", F.array_join(F.slice("gram", F.lit(1), F.col("k")), " ").alias("prefix"))
-    found = first.drop("gram").unionByName(salted_join(longer, table.where("depth > 1"), "prefix", **split))
-    hit = F.struct(
-        F.col("pos"), F.col("depth").alias("n"), F.col("prefix").alias("phrase"), "value", "weight"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _with_column(batch, *_outcome(walker.value.scan(batch, walk), sums))
+
+    return rows.mapInArrow(run, _schema(rows.drop("words"), sums))
+
+
+def _schema(rows: DataFrame, sums: bool) -> str:
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    found = "n_hits bigint, _weighted bigint, total_weight double" if sums else f"hits array<{HIT}>"
+    return ", ".join([*columns, found])
+
+
+def _found(words: DataFrame, key: str, dictionary, walk: str, sums: bool, max_prefixes: int, max_bytes: int) -> DataFrame:
+    present = F.coalesce("words", F.array().cast("array<string>"))
+    n_words = F.size(F.filter(present, lambda w: w != BOUNDARY)).cast("long")
+    rows = words.select(key, n_words.alias("n_words"), present.alias("words"))
+    slices = dictionary.size().slices(max_prefixes, max_bytes)
+    if slices == 1:
+        return _walked(rows, dictionary.entries, walk, sums)
+    # A row is told by its key and its words; rows that are equal in both have equal hits.
+    rows = rows.withColumn("_row", F.md5(F.array_join("words", " ")))
+    sliced = dictionary.entries.withColumn("_slice", F.pmod(F.xxhash64("phrase"), F.lit(slices)))
+    step = "overlapping" if walk == "overlapping" else "longest"
+    parts = [_walked(rows, sliced.where(F.col("_slice") == i).drop("_slice"), step, False) for i in range(slices)]
+    told = [key, "_row", "n_words"]
+    merged = reduce(DataFrame.unionByName, parts).groupBy(*told).agg(
+        F.flatten(F.collect_set("hits")).alias("_starts"), (F.count(F.lit(1)) / slices).cast("int").alias("_copies")
     )
-    if overlapping:
-        hits = found.where("is_terminal").groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    else:
-        hits = _greedy_fold(found, key)
-    whole = counted.join(hits, key, "left")
-    return whole.select(key, "n_words", F.coalesce("hits", F.array().cast(f"array<{HIT}>")).cast(f"array<{HIT}>").alias("hits"))
-
+    copied = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(key, "n_words", "_starts")
 
-def _greedy_fold(found: DataFrame, key: str) -> DataFrame:
-    """Hits of the greedy walk from all prefix matches.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _with_column(batch, *_outcome(_fold(batch.column("_starts"), walk), sums))
 
-    Prefixes that no earlier prefix reaches into start an island and are always
-    visited, so each fold handles one island instead of one document.
-    """
-    step = F.struct("depth", "is_terminal", F.col("prefix").alias("phrase"), "value", "weight")
-    longest = found.groupBy(key, "pos").agg(F.max_by(step, "depth").alias("s")).select(key, "pos", "s.*")
-    in_order = W.partitionBy(key).orderBy("pos")
-    reach = F.max(F.col("pos") + F.col("depth")).over(in_order.rowsBetween(W.unboundedPreceding, -1))
-    opens = (reach.isNull() | (F.col("pos") >= reach)).cast("int")
-    islands = longest.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(in_order))
-    member = F.struct(
-        F.col("pos"), F.col("depth").alias("n"), "phrase", "value", "weight", "is_terminal"
-    )
-    gathered = islands.groupBy(key, "_island").agg(F.array_sort(F.collect_list(member)).alias("_steps"))
-    start = F.struct(F.lit(0).alias("reach"), F.slice("_steps", 1, 0).alias("taken"))
-    walked = F.aggregate(
-        "_steps",
-        start,
-        lambda state, s: F.when(
-            s["pos"] >= state["reach"],
-            F.struct(
-                (s["pos"] + s["n"]).alias("reach"),
-                F.concat(state["taken"], F.filter(F.array(s), lambda t: t["is_terminal"])).alias("taken"),
-            ),
-        ).otherwise(state),
-        lambda state: state["taken"],
-    )
-    hits = gathered.select(key, F.explode(walked).alias("h"))
-    hit = F.struct(*[F.col(f"h.{c}") for c in ("pos", "n", "phrase", "value", "weight")])
-    return hits.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    return copied.mapInArrow(run, _schema(copied.drop("_starts"), sums))
 
 
-def hit_metrics(hits: Column | str) -> list[Column]:
-    """Hit count, mean and total weight; hits without a weight count but weigh nothing."""
-    hits = F.col(hits) if isinstance(hits, str) else hits
-    total = F.aggregate(hits, F.lit(0.0), lambda t, h: t + F.coalesce(h["weight"], F.lit(0.0)))
-    weighted = F.size(F.filter(hits, lambda h: h["weight"].isNotNull()))
-    return [
-        F.size(hits).cast("long").alias("n_hits"),
-        F.when(weighted > 0, total / weighted).otherwise(F.lit(0.0)).alias("mean_weight"),
-        total.alias("total_weight"),
-    ]
+def phrase_hits(
+    words: DataFrame, key: str, dictionary, overlapping: bool = False, max_prefixes: int = MAX_PREFIXES, max_bytes: int = MAX_PREFIX_BYTES
+) -> DataFrame:
+    """`(key, n_words, hits)` for every row of `words(key, words)`."""
+    return _found(words, key, dictionary, "overlapping" if overlapping else "greedy", False, max_prefixes, max_bytes)
 
 
-def word_metrics(
-    words: DataFrame, key: str, dictionary, max_prefixes: int = MAX_PREFIXES, **split: int
-) -> DataFrame:
-    """Single-word look-ups per document: count, share of all words, mean and total weight.
+def phrase_sums(words: DataFrame, key: str, dictionary, max_prefixes: int = MAX_PREFIXES, max_bytes: int = MAX_PREFIX_BYTES) -> DataFrame:
+    """`(key, n_words, n_hits, mean_weight, total_weight)` of the greedy hits.
 
-    Small (measured) dictionaries are broadcast and the per-document sums combine
-    before the shuffle. Larger ones meet one row per document and distinct word,
-    with frequent words cut into pieces.
+    Hits without a weight count but weigh nothing and are not in the mean.
     """
-    known = dictionary.entries.where(F.size("words") == 1).select(
-        F.col("phrase").alias("word"), "weight", F.lit(True).alias("known")
-    )
-    tokens = words.select(key, F.explode_outer("words").alias("word"))
-    if dictionary.size().within(max_prefixes):
-        looked_up = tokens.join(F.broadcast(known), "word", "left").withColumn("n", F.lit(1))
-    else:
-        counted = tokens.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-        looked_up = salted_join(counted, known, "word", "left", **split)
-    n = F.col("n").cast("long")
-    is_hit = F.col("known").isNotNull()
-    sums = looked_up.groupBy(key).agg(
-        F.coalesce(F.sum(F.when(is_hit, n)), F.lit(0)).alias("n_hits"),
-        F.coalesce(F.sum(F.when(F.col("word").isNotNull(), n)), F.lit(0)).alias("_words"),
-        F.coalesce(F.sum(F.col("weight") * n), F.lit(0.0)).alias("total_weight"),
-        F.coalesce(F.sum(F.when(is_hit & F.col("weight").isNotNull(), n)), F.lit(0)).alias("_weighted"),
-    )
-    columns = [
-        key,
-        "n_hits",
-        F.when(F.col("_words") > 0, F.col("n_hits") / F.col("_words")).otherwise(0.0).alias("ratio"),
-    ]
-    if dictionary.weighted:
-        mean = F.when(F.col("_weighted") > 0, F.col("total_weight") / F.col("_weighted")).otherwise(0.0)
-        columns += [mean.alias("mean_weight"), "total_weight"]
-    return sums.select(*columns)
+    found = _found(words, key, dictionary, "greedy", True, max_prefixes, max_bytes)
+    mean = F.when(F.col("_weighted") > 0, F.col("total_weight") / F.col("_weighted")).otherwise(F.lit(0.0))
+    return found.select(key, "n_words", "n_hits", mean.alias("mean_weight"), "total_weight")

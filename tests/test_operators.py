@@ -215,4 +215,4 @@ def test_lemma_table_with_repeated_words(spark):
 
     df = spark.createDataFrame([(1, ["models", "run"])], "id int, words array<string>")
     lemmas = spark.createDataFrame([("models", "model"), ("models", "model"), ("models", "modelo")], "word string, lemma string")
-    assert lemmatise(df, "id", "words", lemmas).first().words == ["model", "run"]
+    assert lemmatise(df, "words", lemmas).first().words == ["model", "run"]

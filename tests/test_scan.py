@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termweave.operators.dictionary import PhraseDictionary
+from termweave.sources import store
 
 CASES = [
     ("machine works", [1], [1, 1 / 2, 0.5, 0.5]),
@@ -41,7 +42,7 @@ def small(spark):
     return PhraseDictionary.build(df, weight="weight")
 
 
-@pytest.mark.parametrize("max_prefixes", [1000, 0])
+@pytest.mark.parametrize("max_prefixes", [1000, 3])
 def test_hand_made_cases(spark, small, max_prefixes):
     docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "doc long, text string")
     found = {r.doc: [h.value for h in r.hits] for r in small.search(docs, "doc", "text", max_prefixes=max_prefixes).collect()}
@@ -61,15 +62,14 @@ def test_both_forms_equal_a_walk(spark, seed):
     dictionary = PhraseDictionary.build(d, weight="weight")
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc long, text string")
     arrow = dictionary.search(docs, "doc", "text")
-    # One row per split forces every key through the salted path.
-    joined = dictionary.search(docs, "doc", "text", max_prefixes=0, rows_per_split=5)
+    joined = dictionary.search(docs, "doc", "text", max_prefixes=15)
     expected = {i: walk(t, phrases) for i, t in enumerate(texts)}
     for form in (arrow, joined):
         rows = {r.doc: r for r in form.collect()}
         assert {k: [(h.pos, h.phrase) for h in r.hits] for k, r in rows.items()} == expected
         assert {k: r.n_words for k, r in rows.items()} == {i: len(t) for i, t in enumerate(texts)}
     overlapping = [
-        dictionary.search(docs, "doc", "text", overlapping=True, max_prefixes=m).collect() for m in (1000, 0)
+        dictionary.search(docs, "doc", "text", overlapping=True, max_prefixes=m).collect() for m in (1000, 15)
     ]
     every = {
         i: sorted(
@@ -81,7 +81,7 @@ def test_both_forms_equal_a_walk(spark, seed):
         assert {r.doc: [(h.pos, h.n, h.phrase) for h in r.hits] for r in rows} == every
 
 
-@pytest.mark.parametrize("max_prefixes", [1000, 0])
+@pytest.mark.parametrize("max_prefixes", [1000, 3])
 def test_list_search_keeps_elements_apart(spark, small, max_prefixes):
     docs = spark.createDataFrame([(1, ["machine learning", "model", "learning rate"]), (2, [])], "doc long, texts array<string>")
     rows = {r.doc: r for r in small.search_list(docs, "doc", "texts", max_prefixes=max_prefixes).collect()}
@@ -140,3 +140,49 @@ def test_match_needs_the_exact_phrase(spark, small):
     docs = spark.createDataFrame([("machine",), ("Learning, rate",), ("learning",)], "text string")
     rows = {r.text: r.matched for r in small.match(docs, "text").collect()}
     assert rows == {"machine": True, "Learning, rate": True, "learning": False}
+
+
+@pytest.mark.parametrize("max_prefixes", [1000, 3])
+@pytest.mark.parametrize("lists", [False, True])
+def test_odd_rows_are_the_same_however_the_dictionary_is_cut(spark, small, max_prefixes, lists):
+    rows = [(None, "machine"), (None, "machine"), (7, "machine"), (7, "learning rate"), (8, None), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(k, ([t] if lists else t) if t is not None else None) for k, t in rows], f"doc long, text {'array<string>' if lists else 'string'}")
+    search = small.search_list if lists else small.search
+    found = sorted(((r.doc or 0, r.n_words, [h.value for h in r.hits]) for r in search(docs, "doc", "text", max_prefixes=max_prefixes).collect()))
+    assert found == [(0, 0, []), (0, 1, [1]), (0, 1, [1]), (7, 1, [1]), (7, 2, [3]), (8, 0, []), (9, 0, [])]
+
+
+def test_an_empty_dictionary_finds_nothing(spark):
+    empty = PhraseDictionary.build(spark.createDataFrame([], "keyword string, trie_id long, weight double"), weight="weight")
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc long, text string")
+    assert sorted((r.doc, r.n_words, r.hits) for r in empty.search(docs, "doc", "text").collect()) == [(1, 2, []), (2, 0, [])]
+    lists = spark.createDataFrame([(1, ["a b", "c"])], "doc long, text array<string>")
+    assert empty.search_list(lists, "doc", "text").first().n_words == 3
+    assert {tuple(r) for r in empty.word_metrics(docs, "doc", "text").collect()} == {(1, 0, 0.0, 0.0, 0.0), (2, 0, 0.0, 0.0, 0.0)}
+
+
+def test_lemmas_meet_in_phrases_and_texts(spark):
+    lemmas = spark.createDataFrame([("models", "model"), ("models", "modelx"), ("Rates", "rate"), (None, "a")], "word string, lemma string")
+    d = spark.createDataFrame([("learning models", 1), ("rate", 2)], "keyword string, trie_id long")
+    dictionary = PhraseDictionary.build(d, lemmas=lemmas)
+    texts = ["learning model", "learning models", "learning models, Rates", "rates"]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(2, None)], "doc long, text string")
+    values = sorted((r.n_words, [h.value for h in r.hits]) for r in dictionary.search(docs, "doc", "text").collect())
+    # "models," is looked up with its comma and "rates" in its own case, so neither has a lemma.
+    assert values == [(0, []), (1, []), (2, [1]), (2, [1]), (3, [2])]
+    lists = spark.createDataFrame([(1, ["learning", "models Rates", None])], "doc long, text array<string>")
+    assert [h.value for h in dictionary.search_list(lists, "doc", "text").first().hits] == [2]
+    assert {(r.text, r.matched) for r in dictionary.match(docs, "text").collect()} >= {("learning model", True), ("rates", False)}
+
+
+def test_values_of_equal_phrases_combine(spark):
+    d = spark.createDataFrame([("a b", 5, 1), ("A-b", 2, 2)], "keyword string, trie_id long, at long")
+    for combine, value in ((None, 2), (F.max, 5), (F.sum, 7)):
+        assert [e.value for e in PhraseDictionary.build(d, order="at", combine=combine).entries.collect()] == [value]
+
+
+def test_stored_prefixes_keep_weights_and_insertions(spark, small, tmp_path):
+    rows = [("machine", 1, 0.5, "core", "x"), ("machine", 9, 0.1, "core", "y"), ("learning rate", 3, 0.7, "core", "x")]
+    store.save_store(spark.createDataFrame(rows, "keyword string, trie_id long, weight double, dict string, source string"), str(tmp_path / "s"), weight="weight")
+    loaded = PhraseDictionary.from_prefixes(store.load_part(spark, str(tmp_path / "s")), weighted=True)
+    assert {(e.phrase, e.value, e.weight, e.ord, e.last_ord) for e in loaded.entries.collect()} == {("machine", 9, 0.1, 1, 9), ("learning rate", 3, 0.7, 3, 3)}
