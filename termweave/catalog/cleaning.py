@@ -13,7 +13,7 @@ from termweave.operators.lemma import clean_sample, lemmatise
 # SQL forms of the text functions.
 SQL_SPLIT = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
 SQL_FOLD = "regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')"
-SQL_LETTERS = r"regexp_replace(lower(text), '[^a-z\s]+', ' ', 'g')"
+SQL_PLAIN = r"regexp_replace(lower(text), '[0-9!-/:-@\[-`{-~]+', '', 'g')"
 SQL_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 SQL_EXTRACTION = (
     "regexp_replace(regexp_replace("
@@ -92,7 +92,8 @@ def ascii_fold(spark, sf):
 
 @query("ascii_fold_full", f"SELECT doc_id, {SQL_FOLD.format('text')} AS folded FROM documents")
 def ascii_fold_full(spark, sf):
-    return documents(spark, sf).select("doc_id", text.ascii_fold("text", full=True).alias("folded"))
+    """Ligatures and signs that fold to several letters, put in the place of those letters, give them back."""
+    return documents(spark, sf).select("doc_id", text.ascii_fold(F.replace(F.replace("text", F.lit("fi"), F.lit("\ufb01")), F.lit("No"), F.lit("\u2116"))).alias("folded"))
 
 
 @query("extraction_clean", f"SELECT doc_id, {SQL_EXTRACTION} AS plain FROM documents")
@@ -158,8 +159,9 @@ def body_cut(spark, sf):
 
 @query(
     "fulltext_gate",
-    f"""WITH letters AS (SELECT doc_id, {SQL_SPLIT.format(SQL_LETTERS)} AS w FROM documents),
-    kept AS (SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ({SQL_STOP_WORDS}) AND length(x) BETWEEN 3 AND 29), ' ') AS t FROM letters),
+    f"""WITH letters AS (SELECT doc_id, {SQL_SPLIT.format(SQL_PLAIN)} AS w FROM documents),
+    whole AS (SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ({SQL_STOP_WORDS}) AND length(x) BETWEEN 3 AND 29), ' ') AS t FROM letters),
+    kept AS (SELECT doc_id, trim(regexp_replace(t, '[^a-z\\s]+', ' ', 'g')) AS t FROM whole),
     body AS (SELECT doc_id, CASE WHEN greatest(instr(t, 'abstract'), instr(t, 'introduction')) > 1
              THEN substr(t, greatest(instr(t, 'abstract'), instr(t, 'introduction')) + 12) ELSE t END AS t FROM kept)
     SELECT doc_id, trim(t) AS text FROM body
@@ -246,7 +248,7 @@ def null_to_empty(spark, sf):
 
 @query("keyword_string", f"SELECT doc_id, substr(array_to_string({sql_words('text')}, ', '), 1, 2000) AS label FROM documents")
 def keyword_string(spark, sf):
-    return documents(spark, sf).select("doc_id", text.keyword_string(text.dictionary_words("text")).alias("label"))
+    return documents(spark, sf).select("doc_id", text.keyword_string(text.dictionary_words("text"), 2000).alias("label"))
 
 
 @query("list_guard", "SELECT event_id, user_id AS item FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, event_id FROM events WHERE event_type <> 'error'")

@@ -90,17 +90,20 @@ def benchmark_words(spark, sf, longer_than):
     return words.where(F.length("keyword") > longer_than).distinct()
 
 
-def _sql_hits(longer_than: int, text: str, source: str, key: str) -> str:
-    return f"""pattern AS (
-        SELECT '(' || string_agg(keyword, '|' ORDER BY length(keyword) DESC, keyword) || ')' AS p
-        FROM (SELECT DISTINCT unnest({sql_words('text')}) AS keyword FROM benchmark) WHERE length(keyword) > {longer_than}),
+def _sql_found(patterns: str, text: str, source: str, key: str) -> str:
+    return f"""pattern AS (SELECT '(' || string_agg(keyword, '|' ORDER BY length(keyword) DESC, keyword) || ')' AS p FROM {patterns}),
     found AS (SELECT {key}, regexp_extract_all({text}, p) AS hits FROM {source}, pattern)"""
 
 
-@query("multi_pattern_hits", f"WITH {_sql_hits(8, 'lower(text)', 'documents', 'doc_id')} SELECT doc_id, hits FROM found")
+def _sql_hits(longer_than: int, text: str, source: str, key: str) -> str:
+    words = f"(SELECT DISTINCT unnest({sql_words('text')}) AS keyword FROM benchmark) WHERE length(keyword) > {longer_than}"
+    return _sql_found(words, text, source, key)
+
+
+@query("multi_pattern_hits", f"WITH {_sql_hits(3, 'lower(text)', 'documents', 'doc_id')} SELECT doc_id, hits FROM found")
 def multi_pattern_hits(spark, sf):
     docs = documents(spark, sf).select("doc_id", F.lower("text").alias("text"))
-    return substring_hits(docs, "doc_id", "text", benchmark_words(spark, sf, 8))
+    return substring_hits(docs, "doc_id", "text", benchmark_words(spark, sf, 3))
 
 
 @query("few_pattern_hits", f"WITH {_sql_hits(12, 'lower(text)', 'documents', 'doc_id')} SELECT doc_id, len(hits) AS n_hits, hits FROM found")
@@ -112,18 +115,19 @@ def few_pattern_hits(spark, sf):
 
 @query(
     "hit_cap",
-    f"""WITH {_sql_hits(8, 'lower(text)', 'documents', 'doc_id')} SELECT doc_id, len(hits) AS n_hits FROM found WHERE len(hits) < 3 ORDER BY n_hits DESC, doc_id""",
+    f"""WITH {_sql_hits(3, 'lower(text)', 'documents', 'doc_id')} SELECT doc_id, len(hits) AS n_hits FROM found WHERE len(hits) < 3 ORDER BY n_hits DESC, doc_id""",
 )
 def hit_cap(spark, sf):
     docs = documents(spark, sf).select("doc_id", F.lower("text").alias("text"))
-    hits = substring_hits(docs, "doc_id", "text", benchmark_words(spark, sf, 8))
+    hits = substring_hits(docs, "doc_id", "text", benchmark_words(spark, sf, 3))
     counted = hits.select("doc_id", F.size("hits").cast("long").alias("n_hits"))
     return counted.where(F.col("n_hits") < 3).orderBy(F.desc("n_hits"), "doc_id")
 
 
+# Follows SQL_CORE.
 SQL_NEGATIVE = f"""cleaned AS (SELECT doc_id, {SQL_ABSTRACT.format('text')} AS t FROM documents WHERE lang = 'en'),
     long_enough AS (SELECT * FROM cleaned WHERE len({SQL_SPLIT.format('t')}) > 10),
-    {_sql_hits(8, 't', 'long_enough', 'doc_id, t')},
+    {_sql_found('core', 't', 'long_enough', 'doc_id, t')},
     neg_docs AS (SELECT doc_id, t FROM found WHERE len(hits) < 3),
     negative AS (SELECT keyword, count(*) AS frequency FROM (SELECT unnest(list_filter(string_split(t, ' '), lambda w: length(w) > 3)) AS keyword FROM neg_docs)
                  GROUP BY keyword HAVING count(*) >= 7)"""
@@ -131,17 +135,17 @@ SQL_NEGATIVE = f"""cleaned AS (SELECT doc_id, {SQL_ABSTRACT.format('text')} AS t
 
 def negative_documents(spark, sf):
     english = documents(spark, sf).where("lang = 'en'").select("doc_id", "text")
-    return dic.negative_documents(english, "doc_id", "text", benchmark_words(spark, sf, 8))
+    return dic.negative_documents(english, "doc_id", "text", core_dictionary(spark, sf).select("keyword"))
 
 
-@query("negative_documents", f"WITH {SQL_NEGATIVE} SELECT doc_id, t AS text FROM neg_docs")
+@query("negative_documents", f"WITH {SQL_CORE}, {SQL_NEGATIVE} SELECT doc_id, t AS text FROM neg_docs")
 def negative_docs(spark, sf):
     return negative_documents(spark, sf)
 
 
 @query(
     "negative_dictionary",
-    f"""WITH {SQL_NEGATIVE}, {SQL_MERGED}
+    f"""WITH {SQL_MERGED}, {SQL_NEGATIVE}
     SELECT keyword, source, dict, keyword IN (SELECT keyword FROM negative) AS removed FROM merged""",
 )
 def negative_dictionary(spark, sf):

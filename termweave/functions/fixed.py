@@ -30,6 +30,7 @@ BRACKET_GROUPS = r"\[.*?\]|\(.*?\)|\{.*?\}"
 KEYWORD_LETTERS = r"[^a-zA-Z- ]"
 ALPHANUMERIC = r"[^a-zA-Z0-9 ]"
 DICTIONARY_TEXT = r"[^a-z]+"
+DIGITS_PUNCTUATION = r"[0-9!-/:-@\[-`{-~]+"
 TFIDF_TOKEN = r"\b\w\w+\b"
 
 # Body markers and size limits of the full-text gate.

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,29 +59,40 @@ def topic_label(column: Column | str) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _latin_table() -> tuple[str, str]:
-    """Every BMP letter whose compatibility decomposition leaves one ASCII character."""
-    source, target = [], []
-    for code in range(0x80, 0xFFFF):
-        char = chr(code)
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition leaves one ASCII character, and those that leave several."""
+    single, several = {}, {}
+    for char in map(chr, range(0x80, sys.maxunicode + 1)):
         folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
-        if len(folded) == 1:
-            source.append(char)
-            target.append(folded)
-    return "".join(source), "".join(target)
+        if folded:
+            (single if len(folded) == 1 else several)[char] = folded
+    return "".join(single), "".join(single.values()), several
 
 
-def ascii_fold(column: Column | str, full: bool = False) -> Column:
-    """Fold letters to ASCII and drop the rest.
+@lru_cache(maxsize=1)
+def _several_pattern() -> str:
+    """A character class of the characters that fold to several, as ranges."""
+    codes = sorted(map(ord, _fold_tables()[2]))
+    firsts = [c for c in codes if chr(c - 1) not in _fold_tables()[2]]
+    lasts = [c for c in codes if chr(c + 1) not in _fold_tables()[2]]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(firsts, lasts)) + "]"
+
+
+def ascii_fold(column: Column | str) -> Column:
+    """Fold letters to ASCII by their compatibility decomposition and drop the rest.
 
-    The native form covers characters that fold to one ASCII character. `full`
-    also expands ligatures and the like (one to many) through a vectorised
-    Arrow normalisation.
+    Characters that fold to one are translated. Ligatures and the like, which fold to
+    several, are looked up one by one, only in texts that hold any.
     """
-    if full:
-        return _full_fold()(_c(column))
-    source, target = _latin_table()
-    return F.regexp_replace(F.translate(_c(column), source, target), r"[^\x00-\x7F]", "")
+    source, target, several = _fold_tables()
+    one_by_one = F.array_join(F.transform(F.split(_c(column), ""), _expanded), "")
+    expanded = F.when(F.regexp_like(_c(column), F.lit(_several_pattern())), one_by_one).otherwise(_c(column))
+    return F.regexp_replace(F.translate(expanded, source, target), r"[^\x00-\x7F]", "")
+
+
+def _expanded(char: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in _fold_tables()[2].items() for x in pair])
+    return F.when(char > "\x7f", F.coalesce(F.element_at(table, char), char)).otherwise(char)
 
 
 @lru_cache(maxsize=8)
@@ -90,18 +101,9 @@ def _outside_ascii(pattern: str) -> str:
     return "".join(c for c in map(chr, range(1, 128)) if re.fullmatch(pattern, c))
 
 
-@lru_cache(maxsize=1)
-def _full_fold():
-    @F.pandas_udf("string")
-    def fold(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
-
-    return fold
-
-
-def extraction_clean(column: Column | str, full: bool = False) -> Column:
+def extraction_clean(column: Column | str) -> Column:
     """Text as key-phrase extraction reads it: ASCII, no URLs, plain punctuation."""
-    folded = strip(ascii_fold(column, full))
+    folded = strip(ascii_fold(column))
     no_urls = F.regexp_replace(folded, fixed.URL, "")
     # Only ASCII is left, so deleting the listed characters equals the pattern and is cheaper.
     return F.translate(no_urls, _outside_ascii(fixed.EXTRACTION_TEXT), "")
@@ -157,14 +159,15 @@ def without_stop_words(words: Column | str, stop_words: list[str] | None = None)
     return F.filter(_c(words), lambda w: ~w.isin(stop_words))
 
 
-def fulltext_clean(column: Column | str) -> Column:
-    """Full-text chain: lower-case letters, no stop words, word window, body cut, gate.
+def fulltext_clean(column: Column | str, stop_words: list[str] | None = None) -> Column:
+    """Full-text chain: lower case without digits and punctuation, no stop words, word window, letters only, body cut, gate.
 
-    Null where the text does not pass the gate.
+    The window looks at whole words; what is no letter separates only afterwards, so
+    `naïve` keeps its pieces. Null where the text does not pass the gate.
     """
-    letters = split_words(F.regexp_replace(F.lower(_c(column)), r"[^a-z\s]+", " "))
-    kept = words_in_window(without_stop_words(letters))
-    body = body_cut(F.array_join(kept, " "))
+    plain = F.regexp_replace(F.lower(_c(column)), fixed.DIGITS_PUNCTUATION, "")
+    kept = F.array_join(words_in_window(without_stop_words(split_words(plain), stop_words)), " ")
+    body = body_cut(strip(F.regexp_replace(kept, r"[^a-z\s]+", " ")))
     return F.when(passes_fulltext_gate(split_words(body)), strip(body))
 
 
@@ -207,7 +210,7 @@ def long_keywords(keywords: Column | str, chars: int = fixed.MIN_KEYWORD_CHARS)
     return F.coalesce(kept, F.slice(F.array(F.struct(F.lit("").alias("keyword"), F.lit(0.0).alias("score"))), 1, 0))
 
 
-def keyword_string(keywords: Column | str, longest: int = 2000) -> Column:
+def keyword_string(keywords: Column | str, longest: int) -> Column:
     """Keyword list as one comma-separated label of at most `longest` characters."""
     return F.substring(F.array_join(_c(keywords), ", "), 1, longest)
 

@@ -1,24 +1,146 @@
-"""Leftmost-longest scan of texts for many substrings at once."""
+"""Leftmost-longest scan of texts for many substrings at once.
+
+Hashes of all windows of a text follow from two running sums, so a whole block of
+texts is searched per pattern length with array arithmetic. A window that has the hash
+of a pattern is compared with it byte by byte.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A regular expression tries its alternatives one after the other, an automaton all at once.
+from termweave.operators import scan
+
+# A regular expression tries its alternatives one after the other, the index all at once.
 MAX_ALTERNATIVES = 64
 MAX_PATTERN_BYTES = 32 * 1024 * 1024
+# Texts are searched in blocks of about this size; a longer text is a block of its own.
+BLOCK_BYTES = 4 * 1024 * 1024
+COMPARED_BYTES = 16 * 1024 * 1024
+
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+FILTER_BITS = 20
 
 
 def _quoted(pattern: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in pattern)
 
 
+@lru_cache(maxsize=4)
+def _powers(base: int, size: int) -> np.ndarray:
+    steps = np.full(size, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+class Windows:
+    """Hashes of any windows of a byte array."""
+
+    def __init__(self, data: np.ndarray, letters: np.ndarray):
+        size = 1 << max(10, len(data).bit_length())
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[data] * _powers(BASE, size)[: len(data)], dtype=np.uint64)])
+        self.back = _powers(pow(BASE, -1, 1 << 64), size)
+
+    def hashes(self, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        return (self.sums[at + length] - self.sums[at]) * self.back[at]
+
+
+class PatternIndex:
+    """Sorted window hashes per pattern length. Built only from patterns whose size was checked."""
+
+    def __init__(self, patterns: pa.Array):
+        self.patterns = patterns
+        encoded = [p.encode() for p in patterns.to_pylist()]
+        self.data = np.frombuffer(b"".join(encoded), np.uint8)
+        self.sizes = np.array([len(p) for p in encoded], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        if not len(encoded):
+            return
+        seed = 0
+        while True:  # another hash in the unlikely case that two patterns of one length share one
+            self.letters = np.random.default_rng(seed).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+            windows = Windows(self.data, self.letters)
+            hashes = windows.hashes(self.starts, self.sizes)
+            order = np.lexsort((hashes, self.sizes))
+            same = (np.diff(hashes[order]) == 0) & (np.diff(self.sizes[order]) == 0)
+            if not same.any():
+                break
+            seed += 1
+        lengths, firsts = np.unique(self.sizes[order], return_index=True)
+        self.by_length = [(int(n), hashes[part], part) for n, part in zip(lengths, np.split(order, firsts[1:]))]
+        self.shortest = min(8, int(lengths[0]))
+        self.filter = np.zeros(1 << FILTER_BITS, bool)
+        self.filter[windows.hashes(self.starts, self.shortest) >> np.uint64(64 - FILTER_BITS)] = True
+
+    def _equal(self, data: np.ndarray, at: np.ndarray, pattern: np.ndarray, length: int) -> np.ndarray:
+        """Whether the windows at `at` are the patterns, compared in pieces of bounded size."""
+        step = max(1, COMPARED_BYTES // length)
+        offsets = np.arange(length)
+        pieces = [
+            (data[at[i : i + step, None] + offsets] == self.data[self.starts[pattern[i : i + step], None] + offsets]).all(axis=1)
+            for i in range(0, len(at), step)
+        ]
+        return np.concatenate(pieces) if pieces else np.zeros(0, bool)
+
+    def longest(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ascending positions at which a pattern starts and the longest one there; texts end at `bounds`."""
+        empty = np.zeros(0, np.int64)
+        if not len(self.sizes) or len(data) < self.shortest:
+            return empty, empty
+        windows = Windows(data, self.letters)
+        every = np.arange(len(data) - self.shortest + 1)
+        at = np.flatnonzero(self.filter[windows.hashes(every, self.shortest) >> np.uint64(64 - FILTER_BITS)])
+        room = bounds[np.searchsorted(bounds, at, side="right")] - at
+        best = np.full(len(at), -1, np.int64)
+        for length, hashes, pattern in self.by_length:
+            fits = np.flatnonzero(room >= length)
+            wanted = windows.hashes(at[fits], length)
+            slot = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+            likely = hashes[slot] == wanted
+            fits, slot = fits[likely], slot[likely]
+            equal = self._equal(data, at[fits], pattern[slot], length)
+            best[fits[equal]] = pattern[slot[equal]]
+        found = best >= 0
+        return at[found], best[found]
+
+    def search(self, texts: pa.Array, free_only: bool) -> pa.Array:
+        """Per text the longest pattern at every start, or only at those outside an earlier hit."""
+        texts = pc.fill_null(texts, "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+        positions, patterns, rows = [], [], []
+        for first, last in zip(edges, edges[1:]):
+            data = np.frombuffer(b"".join(t.as_buffer() for t in texts.slice(first, last - first)), np.uint8)
+            bounds = np.cumsum(sizes[first:last])
+            at, pattern = self.longest(data, bounds)
+            if free_only:
+                free = scan.visited(at, self.sizes[pattern])
+                at, pattern = at[free], pattern[free]
+            row = np.searchsorted(bounds, at, side="right")
+            positions.append(at - (bounds - sizes[first:last])[row])
+            patterns.append(pattern)
+            rows.append(row + first)
+        at, pattern, row = (np.concatenate(part) for part in (positions, patterns, rows))
+        columns = [
+            pa.array(at.astype(np.int32)),
+            pa.array(self.sizes[pattern].astype(np.int32)),
+            self.patterns.take(pa.array(pattern)),
+            pa.nulls(len(at), pa.int64()),
+            pa.nulls(len(at), pa.float64()),
+        ]
+        offsets = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=scan.HIT_COLUMNS))
+
+
 def substring_hits(
     docs: DataFrame,
     key: str,
@@ -30,11 +152,12 @@ def substring_hits(
 ) -> DataFrame:
     """`(key, hits array<string>)`: at every free position the longest pattern wins.
 
-    Few patterns become one alternation, longest first, evaluated natively. More
-    patterns are searched by an automaton per task. Patterns that exceed the
-    checked size are cut into slices by hash; each slice reports its longest match
-    per position and the final choice is made per document over all slices, so the
-    result does not depend on the slicing.
+    Few patterns become one alternation, longest first, evaluated natively. More are
+    searched by their window hashes. Patterns that exceed the checked size are cut into
+    slices by hash, and the texts are read once per slice; each slice gives its longest
+    match per position and the choice is made per document over all slices, so the
+    result does not depend on the slicing. Null texts have no hit; every row of `docs`
+    gives one row, whatever its key.
     """
     distinct = patterns.select(F.col(pattern).alias("pattern")).where(F.length(pattern) > 0).distinct()
     size = distinct.agg(
@@ -49,67 +172,29 @@ def substring_hits(
         found = F.regexp_extract_all(F.col(text), F.lit(alternation), F.lit(1))
         return docs.select(key, F.coalesce(found, empty).alias("hits"))
 
-    slices = max(1, math.ceil(size["bytes"] / max_bytes))
+    rows = docs.select(key, F.col(text).alias("text"))
+    slices = math.ceil(size["bytes"] / max_bytes)
     if slices == 1:
-        found = _longest_starts(docs, key, text, distinct, free_only=True)
-        return found.select(key, F.col("starts.pattern").alias("hits"))
-
-    sliced = distinct.withColumn("_slice", F.pmod(F.xxhash64("pattern"), F.lit(slices)))
-    parts = [
-        _longest_starts(docs, key, text, sliced.where(F.col("_slice") == i), free_only=False) for i in range(slices)
-    ]
-    # One row per document and slice meets here; a list is bounded by its document.
-    flat = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    # Positions ascending, and the longest first where several slices match.
-    ordered = F.array_sort(
-        F.transform("starts", lambda s: F.struct(s["at"], (-s["n"]).alias("minus_n"), s["pattern"]))
-    )
-    taken = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("reach"), empty.alias("hits")),
-        lambda state, s: F.when(
-            s["at"] >= state["reach"],
-            F.struct(
-                (s["at"] - s["minus_n"]).alias("reach"), F.concat(state["hits"], F.array(s["pattern"])).alias("hits")
-            ),
-        ).otherwise(state),
-        lambda state: state["hits"],
-    )
-    return flat.select(key, taken.alias("hits"))
-
-
-def _longest_starts(docs: DataFrame, key: str, text: str, patterns: DataFrame, free_only: bool) -> DataFrame:
-    """`(key, starts)`: the longest pattern at every position where one starts.
-
-    `free_only` leaves out positions inside an earlier kept match.
-    """
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for row in patterns.select("pattern").toLocalIterator():
-        automaton.add_word(row["pattern"], row["pattern"])
-    automaton.make_automaton()
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+        found = _searched(rows, distinct, free_only=True)
+    else:
+        told = rows.withColumn("_row", F.md5("text"))
+        sliced = distinct.withColumn("_slice", F.pmod(F.xxhash64("pattern"), F.lit(slices)))
+        parts = [_searched(told, sliced.where(F.col("_slice") == i), free_only=False) for i in range(slices)]
+        found = scan.merged(parts, [key], "_row", "greedy")
+    return found.select(key, F.col("hits.phrase").alias("hits"))
+
+
+def _searched(rows: DataFrame, patterns: DataFrame, free_only: bool) -> DataFrame:
+    """`rows` with the list `hits` in place of `text`."""
+    index = PatternIndex(patterns.select("pattern").toArrow()["pattern"].combine_chunks().cast(pa.string()))
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+    kept = rows.drop("text")
+    names = kept.columns
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = []
-            for value in batch.column(text).to_pylist():
-                longest: dict[int, str] = {}
-                for end, found in shared.value.iter(value or "") if len(shared.value) else ():
-                    at = end + 1 - len(found)
-                    if len(found) > len(longest.get(at, "")):
-                        longest[at] = found
-                kept, reach = [], 0
-                for at in sorted(longest):
-                    if at >= reach or not free_only:
-                        kept.append({"at": at, "n": len(longest[at]), "pattern": longest[at]})
-                        reach = at + len(longest[at])
-                starts.append(kept)
-            kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("pattern", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(starts, kind)], names=[key, "starts"])
-
-    key_type = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(
-        search, f"`{key}` {key_type}, starts array<struct<at:int,n:int,pattern:string>>"
-    )
+            columns = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, shared.value.search(batch.column("text"), free_only)], names=[*names, "hits"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
+    return rows.mapInArrow(search, ", ".join([*fields, f"hits array<{scan.HIT}>"]))

@@ -65,7 +65,7 @@ class DictionarySize:
         return max(1, math.ceil(self.prefixes / max_prefixes), math.ceil(self.bytes / max_bytes))
 
 
-def _visited(at: np.ndarray, length: np.ndarray) -> np.ndarray:
+def visited(at: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which starts (ascending) the greedy walk visits; `length` is that of the longest prefix there."""
     begin, end = [], []
     reach = -1
@@ -137,7 +137,7 @@ class PrefixWalker:
     def greedy(self, word: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, nodes and lengths of the greedy hits."""
         at, node, length = self.longest(word, end)
-        hit = _visited(at, length) & self.terminal[node]
+        hit = visited(at, length) & self.terminal[node]
         return at[hit], node[hit], length[hit]
 
     def overlapping(self, word: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def _fold(starts: pa.ListArray, walk: str) -> pa.ListArray:
         span = int((pos + n).max(initial=0)) + 1
         at = (document * span + pos)[order]
         order = order[np.concatenate([[True], at[1:] != at[:-1]])[: len(at)]]
-        kept = order[_visited((document * span + pos)[order], n[order]) & phrase[order]]
+        kept = order[visited((document * span + pos)[order], n[order]) & phrase[order]]
     bounds = np.searchsorted(document[kept], np.arange(len(sizes) + 1))
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat.take(pa.array(kept)))
 
@@ -240,11 +240,19 @@ def _found(words: DataFrame, key: str, dictionary, walk: str, sums: bool, max_pr
     sliced = dictionary.entries.withColumn("_slice", F.pmod(F.xxhash64("phrase"), F.lit(slices)))
     step = "overlapping" if walk == "overlapping" else "longest"
     parts = [_walked(rows, sliced.where(F.col("_slice") == i).drop("_slice"), step, False) for i in range(slices)]
-    told = [key, "_row", "n_words"]
-    merged = reduce(DataFrame.unionByName, parts).groupBy(*told).agg(
-        F.flatten(F.collect_set("hits")).alias("_starts"), (F.count(F.lit(1)) / slices).cast("int").alias("_copies")
+    return merged(parts, [key, "n_words"], "_row", walk, sums)
+
+
+def merged(parts: list[DataFrame], columns: list[str], row: str, walk: str, sums: bool = False) -> DataFrame:
+    """`columns` with the hits that follow from the starts (`hits`) each of `parts` found; each part has all rows.
+
+    Rows are told by `columns` and `row`, a digest of their text; as often as a row is
+    repeated in the parts, it is in the result.
+    """
+    told = reduce(DataFrame.unionByName, parts).groupBy(*columns, row).agg(
+        F.flatten(F.collect_set("hits")).alias("_starts"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("_copies")
     )
-    copied = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(key, "n_words", "_starts")
+    copied = told.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns, "_starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

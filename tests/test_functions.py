@@ -23,12 +23,12 @@ def test_hashed_ids_equal_python(spark):
 @pytest.mark.parametrize("value", ["Café naïve Ünïcode ﬁne ½", "ＡＢ １", "plain", "Ångström №"])
 def test_full_fold_equals_nfkd(spark, value):
     expected = unicodedata.normalize("NFKD", value).encode("ascii", "ignore").decode()
-    assert one(spark, value, text.ascii_fold("t", full=True)) == expected
+    assert one(spark, value, text.ascii_fold("t")) == expected
 
 
-def test_native_fold_covers_single_letters(spark):
+def test_fold_covers_latin_letters(spark):
     letters = "".join(chr(c) for c in range(0xC0, 0x250))
-    expected = "".join(f for f in (unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in letters) if len(f) == 1)
+    expected = unicodedata.normalize("NFKD", letters).encode("ascii", "ignore").decode()
     assert one(spark, letters, text.ascii_fold("t")) == expected
 
 
@@ -79,3 +79,17 @@ def test_cosine_and_trigram_vectors(spark):
 
 def test_fixed_lists_are_plain_words():
     assert len(set(fixed.ENGLISH_STOP_WORDS)) == len(fixed.ENGLISH_STOP_WORDS)
+
+
+def test_fold_of_every_code_point(spark):
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.range(0, 0x110000, numPartitions=8).where("id > 0 AND NOT id BETWEEN 55296 AND 57343")
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    folded = dict(df.select("id", text.ascii_fold(char).alias("f")).where("f <> ''").collect())
+    expected = {c: unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for c in points}
+    assert folded == {c: f for c, f in expected.items() if f}
+
+
+def test_fulltext_windows_whole_words(spark):
+    body = "naïve reasoning about ab things 12-34 " * 60
+    assert "na ve reasoning things" in one(spark, body, text.fulltext_clean("t"))
