@@ -212,7 +212,7 @@ def both_samples(spark, sf):
 
 @query(
     "keyword_lists",
-    f"WITH {SQL_KEYWORDS} SELECT doc_id AS n_id, 0 AS part, list_sort(list(keyword)) AS keywords FROM doc_keywords WHERE score <= 0.1 GROUP BY doc_id",
+    f"WITH {SQL_KEYWORDS} SELECT doc_id AS n_id, keyword FROM doc_keywords WHERE score <= 0.1",
 )
 def keyword_lists(spark, sf):
     rows = doc_keywords(spark, sf)

@@ -11,7 +11,6 @@ from termweave.catalog.registry import query, sql_id, table
 from termweave.functions.ids import hashed_id
 from termweave.operators.compare import share
 from termweave.operators.frequency import subtract
-from termweave.operators.skew import grouped_lists
 from termweave.plans import bibliography as bib
 from termweave.plans.samples import ai_work_ids
 from termweave.sources.readers import register_keys, with_stored_columns
@@ -114,21 +113,20 @@ def keyset_view(spark, sf):
 
 @query(
     "records_by_key",
-    """SELECT 'W' || l_orderkey AS work_id, 0 AS part,
-        list_sort(list({'author_id': 'A' || l_suppkey, 'author_position': l_linenumber::VARCHAR, 'institution_id': l_returnflag})) AS authorships
-    FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey""",
+    """SELECT 'W' || l_orderkey AS work_id, 'A' || l_suppkey AS author_id, l_linenumber::VARCHAR AS author_position, l_returnflag AS institution_id
+    FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 def records_by_key(spark, sf):
-    return bib.authorship_lists(papers(spark, sf), authorships(spark, sf))
+    return bib.authorship_records(papers(spark, sf), authorships(spark, sf))
 
 
 @query(
     "values_by_key",
-    """SELECT 'W' || l_orderkey AS work_id, 0 AS part, list_sort(list('W' || l_partkey)) AS citations
-    FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey""",
+    """SELECT 'W' || l_orderkey AS work_id, 'W' || l_partkey AS citation
+    FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 def values_by_key(spark, sf):
-    return bib.citation_lists(papers(spark, sf), references(spark, sf))
+    return bib.citation_records(papers(spark, sf), references(spark, sf))
 
 
 SQL_CITATION_EDGES = """SELECT a.id AS ":START_ID", b.id AS ":END_ID", 'CITES' AS ":TYPE" FROM lineitem
@@ -179,12 +177,11 @@ def bibliography_enrichment(spark, sf):
     found = papers(spark, sf)
     enriched = bib.with_works(found, works(spark, sf), dropped=("display_name", "title"))
 
-    def sizes(lists, name):
-        # A very large group is spread over several lists.
-        return lists.groupBy("work_id").agg(F.sum(F.size(name)).alias(f"n_{name}")).withColumnRenamed("work_id", "openalex_id")
+    def sizes(records, name):
+        return records.groupBy(F.col("work_id").alias("openalex_id")).agg(F.count(F.lit(1)).alias(name))
 
-    written = sizes(bib.authorship_lists(found, authorships(spark, sf)), "authorships")
-    cited = sizes(bib.citation_lists(found, references(spark, sf)), "citations")
+    written = sizes(bib.authorship_records(found, authorships(spark, sf)), "n_authorships")
+    cited = sizes(bib.citation_records(found, references(spark, sf)), "n_citations")
     joined = enriched.join(written, "openalex_id", "left").join(cited, "openalex_id", "left")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_authorships", "n_citations")]
     return joined.select("id", "arxiv_id", "openalex_id", "cited", *counts)

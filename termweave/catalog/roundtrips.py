@@ -44,7 +44,7 @@ def csv_round_trip(spark, sf):
     """Whole texts with line breaks and quotes through CSV."""
     path = scratch_path(spark)
     writers.write_csv(documents(spark, sf).select("doc_id", "text", "source"), path)
-    return readers.read_csv(spark, path, "doc_id long, text string, source string")
+    return readers.read_csv(spark, path, "doc_id long, text string, source string", multi_line=True)
 
 
 @query("csv_parts", "SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings")

@@ -135,8 +135,8 @@ def max_share(spark, sf):
 
 @query(
     "keyword_papers",
-    f"""WITH {SQL_KEYWORDS} SELECT keyword, count(*) AS frequency, 0 AS part, list_sort(list(doc_id)) AS ids, count(*)::INT AS n_ids
-    FROM doc_keywords GROUP BY keyword HAVING count(*) BETWEEN 2 AND 50""",
+    f"""WITH {SQL_KEYWORDS} SELECT keyword, frequency, doc_id FROM (SELECT keyword, doc_id, count(*) OVER (PARTITION BY keyword) AS frequency FROM doc_keywords)
+    WHERE frequency BETWEEN 2 AND 50""",
 )
 def keyword_papers(spark, sf):
     return keyword_documents(doc_keywords(spark, sf).select("doc_id", "keyword"), "doc_id", 2, 50)
@@ -195,11 +195,11 @@ def source_precedence(spark, sf):
 
 @query(
     "freq_sort",
-    f"WITH {SQL_KEYWORDS} SELECT keyword, count(*) AS frequency FROM doc_keywords GROUP BY keyword ORDER BY frequency DESC, keyword LIMIT 100",
+    f"WITH {SQL_KEYWORDS} SELECT keyword, count(*) AS frequency FROM doc_keywords GROUP BY keyword ORDER BY frequency DESC, keyword",
 )
 def freq_sort(spark, sf):
     counts = doc_keywords(spark, sf).groupBy("keyword").agg(F.count(F.lit(1)).alias("frequency"))
-    return counts.orderBy(F.desc("frequency"), "keyword").limit(100)
+    return counts.orderBy(F.desc("frequency"), "keyword")
 
 
 @query(

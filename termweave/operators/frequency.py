@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.operators.skew import grouped_lists
+from termweave.operators.skew import salted_join
 
 
 def keyword_frequency(keywords: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -25,20 +25,11 @@ def keyword_frequency(keywords: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return shared.withColumn("frequency_normalized", F.col("frequency") / F.col("_top")).drop("_top")
 
 
-def keyword_documents(
-    keywords: DataFrame, id_column: str, lowest: int, highest: int, rows_per_list: int = 100_000
-) -> DataFrame:
-    """Keywords whose frequency lies in the range, with the list of documents that hold them.
-
-    The rows of other keywords are left out before any list is built. Lists longer than
-    `rows_per_list` continue in further parts.
-    """
+def keyword_documents(keywords: DataFrame, id_column: str, lowest: int, highest: int, **split: int) -> DataFrame:
+    """`(keyword, frequency, id)`: the documents of every keyword whose frequency lies in the range, one row each."""
     counts = keywords.groupBy("keyword").agg(F.count(F.lit(1)).alias("frequency"))
     wanted = counts.where(F.col("frequency").between(lowest, highest))
-    rows = keywords.join(wanted.select("keyword"), "keyword", "left_semi")
-    lists = grouped_lists(rows, "keyword", F.col(id_column), "ids", rows_per_list)
-    listed = wanted.join(lists, "keyword")
-    return listed.select("keyword", "frequency", "part", "ids", F.size("ids").alias("n_ids"))
+    return salted_join(keywords, wanted, "keyword", **split).select("keyword", "frequency", id_column)
 
 
 def subtract(df: DataFrame, other: DataFrame, key: str = "keyword") -> DataFrame:

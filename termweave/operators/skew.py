@@ -20,7 +20,7 @@ def hot_keys(df: DataFrame, on: str | Sequence[str], rows_per_split: int, max_ho
 
     At most `max_hot` rows, so the result may be broadcast whatever the size of
     `df`. A key that is hot but not among them holds under 1/max_hot of the rows
-    and is handled by an ordinary shuffle.
+    and is handled by an ordinary shuffle: `max_hot` bounds the broadcast, no row is lost by it.
     """
     on = _names(on)
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
@@ -62,27 +62,13 @@ def with_group_count(df: DataFrame, key: str, name: str = "frequency", **split:
     return salted_join(df, counts, key, **split)
 
 
-def grouped_lists(
-    df: DataFrame,
-    key: str | Sequence[str],
-    value: Column,
-    name: str,
-    rows_per_list: int = 100_000,
-    max_hot: int = 100_000,
-) -> DataFrame:
-    """`(key, part, list)`: the values of each group as sorted lists.
+def keyed_values(df: DataFrame, key: str | Sequence[str], **values: Column) -> DataFrame:
+    """The groups of `df` in long form: one row per member, with its key and the named values.
 
-    A group up to `rows_per_list` rows is one list (part 0). A larger one
-    continues in further parts, cut by a hash of the row, so no task holds an
-    unbounded group and nothing is dropped.
+    A list per group would hold an unbounded number of rows in one task; rows need no
+    shuffle, and counts or joins over them combine on the map side.
     """
-    key = _names(key)
-    hot = F.broadcast(hot_keys(df, key, rows_per_list, max_hot))
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_pieces"))
-    parted = df.join(hot, key, "left").select(
-        *key, F.coalesce(part, F.lit(0)).cast("int").alias("part"), value.alias("_value")
-    )
-    return parted.groupBy(*key, "part").agg(F.array_sort(F.collect_list("_value")).alias(name))
+    return df.select(*_names(key), *[value.alias(name) for name, value in values.items()])
 
 
 def keep_first(df: DataFrame, key: str | Sequence[str], order_by: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from termweave.functions.ids import NAMESPACES, hashed_id
 from termweave.functions.text import last_path_part
 from termweave.operators.graph import to_edges, to_nodes
-from termweave.operators.skew import grouped_lists, salted_join
+from termweave.operators.skew import keyed_values, salted_join
 
 
 def external_ids(papers: DataFrame, locations: DataFrame, site: str = "arxiv") -> DataFrame:
@@ -52,11 +52,9 @@ def authorship_edges(papers: DataFrame, authorships: DataFrame) -> DataFrame:
     return to_edges(named, "author_id", "paper_id", "AUTHORS")
 
 
-def authorship_lists(papers: DataFrame, authorships: DataFrame, **limits: int) -> DataFrame:
-    """`(work_id, part, authorships)`: the records of each work."""
-    rows = of_keys(authorships, "work_id", papers, "openalex_id").drop("raw_affiliation_string")
-    record: Column = F.struct(*[c for c in rows.columns if c != "work_id"])
-    return grouped_lists(rows, "work_id", record, "authorships", **limits)
+def authorship_records(papers: DataFrame, authorships: DataFrame) -> DataFrame:
+    """`(work_id, author_id, author_position, institution_id)`: the records of each work, one row each."""
+    return of_keys(authorships, "work_id", papers, "openalex_id").drop("raw_affiliation_string")
 
 
 def author_nodes(papers: DataFrame, authorships: DataFrame, authors: DataFrame) -> DataFrame:
@@ -96,5 +94,6 @@ def citation_edges(papers: DataFrame, references: DataFrame) -> DataFrame:
     return to_edges(ended, "citing", "cited", "CITES")
 
 
-def citation_lists(papers: DataFrame, references: DataFrame, **limits: int) -> DataFrame:
-    return grouped_lists(citations(papers, references), "work_id", F.col("referenced_work_id"), "citations", **limits)
+def citation_records(papers: DataFrame, references: DataFrame) -> DataFrame:
+    """`(work_id, citation)`: the citations of each work, one row each."""
+    return keyed_values(citations(papers, references), "work_id", citation=F.col("referenced_work_id"))

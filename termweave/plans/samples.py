@@ -17,7 +17,7 @@ from termweave.operators.graph import match_pattern, to_edges, to_nodes
 from termweave.operators.keyphrase import extract_keywords
 from termweave.operators.language import keep_language
 from termweave.operators.lemma import clean_sample
-from termweave.operators.skew import grouped_lists, keep_first, smallest_n
+from termweave.operators.skew import keep_first, keyed_values, smallest_n
 
 METRICS = ("n_hits", "ratio", "mean_weight", "total_weight")
 
@@ -68,11 +68,11 @@ def labelled(positive: DataFrame, negative: DataFrame) -> DataFrame:
     return positive.withColumn("label", F.lit(1)).unionByName(negative.withColumn("label", F.lit(0)))
 
 
-def positive_keyword_lists(nodes: DataFrame, edges: DataFrame, keywords: DataFrame, threshold: float = SCORE_THRESHOLD, **limits: int) -> DataFrame:
-    """`(n_id, part, keywords)`: good keywords of each node."""
+def positive_keyword_lists(nodes: DataFrame, edges: DataFrame, keywords: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
+    """`(n_id, keyword)`: good keywords of each node, one row each."""
     good = F.col("score").cast("double") <= threshold
     found = match_pattern(nodes, edges, keywords, "HAS_KEYWORD", good)
-    return grouped_lists(found, "n_id", F.col("t_keyword"), "keywords", **limits)
+    return keyed_values(found, "n_id", keyword=F.col("t_keyword"))
 
 
 def negative_keyword_lists(docs: DataFrame, key: str, text: str, threshold: float = SCORE_THRESHOLD) -> DataFrame:

@@ -26,10 +26,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, spread: int | N
     return df.repartition(spread) if spread else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV file or folder of part files with a header; quoted fields may span lines."""
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """CSV file or folder of part files with a header.
+
+    Files are split. Only `multi_line` lets quoted fields span lines, and then one
+    task reads each file.
+    """
     return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+        spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
     )
 
 
@@ -42,11 +46,23 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_query(spark: SparkSession, query: str, **options: str) -> DataFrame:
-    """Result of a query on a relational database; the caller supplies every connection option."""
+def read_query(
+    spark: SparkSession, query: str, split_by: str | None = None, bounds: tuple[int, int] | None = None, splits: int = 200, **options: str
+) -> DataFrame:
+    """Result of a query on a relational database; the caller supplies every connection option.
+
+    With a numeric column `split_by` and its `bounds` (which only place the splits,
+    rows beyond them are read too) `splits` connections read at once; else one does.
+    """
     if "url" not in options:
         raise ValueError("a JDBC url is needed")
-    return spark.read.format("jdbc").option("query", query).options(**options).load()
+    if (split_by is None) != (bounds is None):
+        raise ValueError("split_by and bounds are needed together")
+    reader = spark.read.format("jdbc").options(**options)
+    if split_by is None:
+        return reader.option("query", query).load()
+    placed = {"partitionColumn": split_by, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": splits}
+    return reader.option("dbtable", f"({query}) q").options(**placed).load()
 
 
 def list_files(spark: SparkSession, folder: str, extension: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from termweave.functions.fixed import ENGLISH_STOP_WORDS
 from termweave.operators import graph, keyphrase, skew
 from termweave.operators.lemma import clean_sample
+from termweave.operators.frequency import keyword_documents
 from termweave.operators.patterns import substring_hits
 from termweave.operators.similarity import similar_pairs
 from termweave.plans import dictionaries as dic
@@ -36,13 +37,9 @@ def test_group_count_and_lists(spark, skewed):
     df, rows = skewed
     counts = Counter(k for _, k in rows)
     assert all(r.frequency == counts[r.key] for r in skew.with_group_count(df, "key", rows_per_split=20).collect())
-    parts = skew.grouped_lists(df, "key", F.col("id"), "ids", rows_per_list=50).collect()
-    gathered = defaultdict(list)
-    for r in parts:
-        gathered[r.key] += r.ids
-        assert len(r.ids) < 120
-    assert {k: sorted(v) for k, v in gathered.items()} == {k: sorted(i for i, x in rows if x == k) for k in counts}
-    assert sum(r.key == "hot" for r in parts) > 3
+    assert sorted((r.member, r.key) for r in skew.keyed_values(df, "key", member=F.col("id")).collect()) == sorted(rows)
+    wanted = keyword_documents(df.withColumnRenamed("key", "keyword"), "id", 20, 25, rows_per_split=5).collect()
+    assert sorted((r.id, r.keyword, r.frequency) for r in wanted) == sorted((i, k, counts[k]) for i, k in rows if 20 <= counts[k] <= 25)
 
 
 def test_keep_first_dense_id_smallest_n(spark, skewed):
