@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termweave.catalog.registry import documents, phrase_table, query, table
+from termweave.catalog.registry import documents, query, table
+from termweave.catalog.scanning import SQL_VOCABULARY, sql_tfidf, vocabulary
 from termweave.operators import models
 from termweave.operators import tfidf as tf
 from termweave.operators.compare import class_report, class_weights
@@ -42,20 +43,36 @@ def report(spark, sf):
 
 @query("batch_score")
 def batch_score(spark, sf):
-    """Logistic regression on TF-IDF of the vocabulary, applied to every document."""
-    from termweave.operators.skew import dense_id
-
-    vocab = tf.vocabulary(dense_id(phrase_table(spark, sf), ["keyword"], "trie_id"))
+    """Logistic regression on TF-IDF of the vocabulary, fitted on the labelled documents and applied to every document."""
+    vocab = vocabulary(spark, sf)
     model = models.fit_text_classifier(labelled_documents(spark, sf), "doc_id", "text", "label", vocab)
     return models.score_texts(model, documents(spark, sf).select("doc_id", "text"), "doc_id", "text", vocab)
 
 
+@query(
+    "linear_score",
+    f"""WITH {sql_tfidf()}, {SQL_VOCABULARY},
+    weighted AS (SELECT doc_id, phrase_id, tf * idf AS w FROM tf JOIN idf USING (keyword) JOIN vocab USING (keyword)),
+    lengths AS (SELECT doc_id, sqrt(sum(w * w)) AS length FROM weighted GROUP BY doc_id)
+    SELECT doc_id, round(1 / (1 + exp(-(sum(w / length * CASE WHEN phrase_id % 3 = 0 THEN 0 ELSE (phrase_id % 7 - 3) / 2 END) + 0.25))), 6) AS probability
+    FROM weighted JOIN lengths USING (doc_id) GROUP BY doc_id""",
+)
+def linear_score(spark, sf):
+    """The scoring step by itself, with given coefficients; every third phrase has none."""
+    vocab = vocabulary(spark, sf)
+    ids = vocab.entries.select(F.col("value").alias("phrase_id")).where("phrase_id % 3 <> 0")
+    coefficients = ids.select("phrase_id", ((F.col("phrase_id") % 7 - 3) / 2).alias("weight"))
+    features = tf.tfidf(documents(spark, sf), "doc_id", "text", vocab)
+    scored = models.linear_scores(features, "doc_id", coefficients, 0.25)
+    return scored.withColumn("probability", F.round("probability", 6))
+
+
 @query("source_classifier")
 def source_classifier(spark, sf):
     source = F.element_at(F.array(F.lit("cso"), F.lit("method"), F.lit("task")), (F.col("label") % 3 + 1).cast("int"))
-    vectors = table(spark, sf, "embeddings").select(source.alias("source"), "embedding")
-    _, predictions = models.fit_source_classifier(vectors, "embedding", "source", folds=3, balanced=True)
-    return class_report(predictions, "class", "prediction")
+    vectors = table(spark, sf, "embeddings").select("vec_id", source.alias("source"), "embedding")
+    _, predictions = models.fit_source_classifier(vectors, "vec_id", "embedding", "source", balanced=True)
+    return class_report(predictions, "source", "predicted")
 
 
 @query("pca2")

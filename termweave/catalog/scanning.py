@@ -280,7 +280,7 @@ def phrase_list_matrix(spark, sf):
     return ordered_dictionary(spark, sf).document_matrix(lists, "doc_id", "phrases")
 
 
-def _sql_tfidf() -> str:
+def sql_tfidf() -> str:
     from termweave.catalog.cleaning import SQL_FOLD
     from termweave.catalog.registry import SQL_STOP_WORDS
 
@@ -303,7 +303,7 @@ def vocabulary(spark, sf):
 SQL_VOCABULARY = "vocab AS (SELECT keyword, row_number() OVER (ORDER BY keyword) - 1 AS phrase_id FROM phrases)"
 
 
-@query("doc_freq", f"WITH {_sql_tfidf()}, {SQL_VOCABULARY} SELECT phrase_id, df, n_docs, round(idf, 6) AS idf FROM idf JOIN vocab USING (keyword)")
+@query("doc_freq", f"WITH {sql_tfidf()}, {SQL_VOCABULARY} SELECT phrase_id, df, n_docs, round(idf, 6) AS idf FROM idf JOIN vocab USING (keyword)")
 def doc_freq(spark, sf):
     docs = documents(spark, sf)
     counts = tf.term_counts(docs, "doc_id", "text", vocabulary(spark, sf))
@@ -312,7 +312,7 @@ def doc_freq(spark, sf):
 
 @query(
     "tfidf_vocab",
-    f"""WITH {_sql_tfidf()}, {SQL_VOCABULARY}
+    f"""WITH {sql_tfidf()}, {SQL_VOCABULARY}
     SELECT doc_id, phrase_id, tf, round(idf, 6) AS idf, round(tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY doc_id)), 6) AS tfidf
     FROM tf JOIN idf USING (keyword) JOIN vocab USING (keyword)""",
 )

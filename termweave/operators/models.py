@@ -2,76 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+import math
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer
+from pyspark.ml.feature import PCA, IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.functions.text import tfidf_words
-from termweave.operators import scan, tfidf
+from termweave.operators import tfidf
 from termweave.operators.compare import class_weights
+from termweave.operators.skew import salted_join
+from termweave.session import durable
+
+@dataclass(frozen=True)
+class TextClassifier:
+    """A logistic regression on TF-IDF: `idf(phrase_id, idf)`, `coefficients(phrase_id, weight)`, intercept and the idf of phrases not met in the fit."""
+
+    idf: DataFrame
+    coefficients: DataFrame
+    intercept: float
+    unseen_idf: float
 
-MAX_FEATURES = 1_000_000
+    def features(self, docs: DataFrame, key: str, text: str, vocab) -> DataFrame:
+        """`(key, phrase_id, tf, idf, tfidf)` with the idf of the fit."""
+        counts = tfidf.term_counts(docs, key, text, vocab)
+        known = salted_join(counts, self.idf, "phrase_id", "left")
+        return tfidf.scaled(known.withColumn("idf", F.coalesce("idf", F.lit(self.unseen_idf))), key)
 
 
-def phrase_features(docs: DataFrame, key: str, text: str, vocab) -> DataFrame:
-    """Documents with the list of their vocabulary phrases, overlaps included."""
-    words = docs.withColumn("words", tfidf_words(text))
-    found = scan.phrase_hits(words.select(key, "words"), key, vocab, overlapping=True)
-    return docs.join(found.select(key, F.col("hits.phrase").alias("phrases")), key)
+@F.udf(VectorUDT())
+def _sparse(size, ids, values):
+    """Spark offers no expression that makes a sparse vector; used for the labelled documents of a fit only."""
+    return Vectors.sparse(size, ids, values)
 
 
-def fit_text_classifier(docs: DataFrame, key: str, text: str, label: str, vocab, reg_param: float = 0.01) -> PipelineModel:
-    """Logistic regression on length-normalised TF-IDF of the vocabulary phrases.
+def fit_text_classifier(docs: DataFrame, key: str, text: str, label: str, vocab, reg_param: float = 0.01, iterations: int = 50) -> TextClassifier:
+    """Logistic regression on length-normalised TF-IDF of the vocabulary phrases; `key` must be unique.
 
-    Vectors are made in the JVM (counts, element-wise idf, normaliser). The feature
-    space must fit a coefficient vector, so the vocabulary size is checked.
+    A phrase's value (`trie_id`) is its place in the coefficient vector, so it must be
+    a number from 0 on. The vocabulary itself never reaches the driver; the solver keeps
+    one coefficient per phrase there. `iterations` bounds the solver, not the data.
     """
-    n_phrases = vocab.entries.count()
-    if n_phrases > MAX_FEATURES:
-        raise ValueError(f"{n_phrases} phrases exceed the {MAX_FEATURES} features a linear model is given")
-    counts = tfidf.term_counts(docs, key, text, vocab)
-    idf = tfidf.document_frequency(counts, docs).select(F.col("phrase_id").alias("value"), "idf")
-    n_docs = docs.count()
-    unseen = F.log(F.lit(1.0 + n_docs)) + 1
-    rows = vocab.entries.join(idf, "value", "left").select("phrase", F.coalesce("idf", unseen).alias("idf")).orderBy("phrase").collect()
-    vectorizer = CountVectorizerModel.from_vocabulary([r["phrase"] for r in rows], inputCol="phrases", outputCol="counts")
-    scaler = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]), inputCol="counts", outputCol="weighted")
-    stages = [
-        vectorizer,
-        scaler,
-        Normalizer(p=2.0, inputCol="weighted", outputCol="features"),
-        LogisticRegression(labelCol=label, featuresCol="features", regParam=reg_param, maxIter=50),
-    ]
-    return Pipeline(stages=stages).fit(phrase_features(docs, key, text, vocab).withColumn(label, F.col(label).cast("double")))
-
-
-def score_texts(model: PipelineModel, docs: DataFrame, key: str, text: str, vocab) -> DataFrame:
-    """`(key, prediction, probability)` of the positive class, in batch."""
-    scored = model.transform(phrase_features(docs, key, text, vocab))
-    return scored.select(
-        key, F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability")
-    )
+    counts = durable(tfidf.term_counts(docs, key, text, vocab))
+    frequency = durable(tfidf.document_frequency(counts, docs).select("phrase_id", "idf"))
+    unseen = math.log(1.0 + docs.count()) + 1
+    size = (vocab.entries.agg(F.max("value").alias("last")).first()["last"] or 0) + 1
+    rows = tfidf.scaled(salted_join(counts, frequency, "phrase_id"), key)
+    entries = F.array_sort(F.collect_list(F.struct("phrase_id", "tfidf")))
+    vectors = rows.groupBy(key).agg(entries.alias("_entries"))
+    labelled = docs.select(key, F.col(label).cast("double").alias("_label")).join(vectors, key, "left")
+    entries = F.coalesce("_entries", F.array().cast("array<struct<phrase_id:bigint,tfidf:double>>"))
+    data = labelled.select("_label", _sparse(F.lit(size), entries["phrase_id"].cast("array<int>"), entries["tfidf"]).alias("features"))
+    fitted = LogisticRegression(labelCol="_label", featuresCol="features", regParam=reg_param, maxIter=iterations).fit(data)
+    weights = fitted.coefficients.toArray()
+    used = weights.nonzero()[0]
+    table = pd.DataFrame({"phrase_id": used.astype("int64"), "weight": weights[used]})
+    coefficients = docs.sparkSession.createDataFrame(table, "phrase_id long, weight double")
+    return TextClassifier(frequency, coefficients, float(fitted.intercept), unseen)
+
+
+def linear_scores(features: DataFrame, key: str, coefficients: DataFrame, intercept: float) -> DataFrame:
+    """`(key, probability)` of the positive class from `features(key, phrase_id, tfidf)`.
+
+    Products are summed on the map side; frequent phrases are cut into pieces.
+    """
+    products = salted_join(features.select(key, "phrase_id", "tfidf"), coefficients, "phrase_id", "left")
+    margin = F.coalesce(F.sum(F.col("tfidf") * F.col("weight")), F.lit(0.0)) + intercept
+    return products.groupBy(key).agg((1 / (1 + F.exp(-margin))).alias("probability"))
+
+
+def score_texts(model: TextClassifier, docs: DataFrame, key: str, text: str, vocab) -> DataFrame:
+    """`(key, prediction, probability)` of the positive class; without a known phrase the intercept decides."""
+    scored = linear_scores(model.features(docs, key, text, vocab), key, model.coefficients, model.intercept)
+    nothing = 1 / (1 + math.exp(-model.intercept))
+    probability = F.coalesce("probability", F.lit(nothing))
+    joined = docs.select(key).join(scored, key, "left").select(key, probability.alias("probability"))
+    return joined.select(key, (F.col("probability") > 0.5).cast("int").alias("prediction"), "probability")
 
 
 def fit_source_classifier(
-    df: DataFrame, embedding: str, label: str, grid: tuple[float, ...] = (0.001, 0.01, 0.1), folds: int = 5, balanced: bool = False
-) -> tuple[PipelineModel, DataFrame]:
+    df: DataFrame,
+    key: str,
+    embedding: str,
+    label: str,
+    grid: tuple[float, ...] = (0.001, 0.01, 0.1, 1.0),
+    folds: int = 5,
+    balanced: bool = False,
+    iterations: int = 20,
+) -> tuple[OneVsRestModel, DataFrame]:
     """Linear one-versus-rest classifier on embeddings with a cross-validated grid.
 
-    Returns the best model and its predictions on the held-out fifth.
+    Returns the best model and, for the held-out fifth, `(key, label, predicted)` with
+    the names of the classes. The fifth and the folds follow from a hash of `key`, so
+    they do not depend on partitions. `iterations` bounds the solver, not the data.
     """
+    place = F.pmod(F.xxhash64(key), F.lit(5 * folds))
+    df = df.withColumn("_held", place % 5 == 0).withColumn("_fold", F.floor(place / 5).cast("int"))
     data = df.withColumn("features", array_to_vector(F.col(embedding).cast("array<double>")))
     if balanced:
         data = data.join(class_weights(data, label).select(label, "weight"), label)
-    indexed = StringIndexer(inputCol=label, outputCol="class", stringOrderType="alphabetAsc").fit(data).transform(data)
-    train, test = indexed.randomSplit([0.8, 0.2], seed=42)
-    svc = LinearSVC(maxIter=20)
+    names = StringIndexer(inputCol=label, outputCol="class", stringOrderType="alphabetAsc").fit(data)
+    indexed = names.transform(data)
+    train, test = durable(indexed.where(~F.col("_held"))), indexed.where("_held")
+    svc = LinearSVC(maxIter=iterations)
     ovr = OneVsRest(classifier=svc, labelCol="class", featuresCol="features", parallelism=3)
     if balanced:
         ovr = ovr.setWeightCol("weight")
@@ -79,9 +118,10 @@ def fit_source_classifier(
     # OneVsRest keeps its classifier's parameters, so the grid varies whole classifiers.
     params = [{ovr.classifier: svc.copy(p)} for p in params]
     judge = MulticlassClassificationEvaluator(labelCol="class", metricName="accuracy")
-    search = CrossValidator(estimator=ovr, estimatorParamMaps=params, evaluator=judge, numFolds=folds, parallelism=4, seed=42)
+    search = CrossValidator(estimator=ovr, estimatorParamMaps=params, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=4)
     best = search.fit(train).bestModel
-    return best, best.transform(test)
+    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=names.labels).transform(best.transform(test))
+    return best, named.select(key, label, "predicted")
 
 
 def principal_components(df: DataFrame, key: str, embedding: str, k: int = 2) -> DataFrame:

@@ -44,9 +44,12 @@ def tfidf(
     idf = document_frequency(counts, docs).select("phrase_id", "idf")
     if vocab.size().slices(limits.get("max_prefixes", scan.MAX_PREFIXES)) == 1:
         # One row per vocabulary phrase, whose number was just checked.
-        weighted = counts.join(F.broadcast(idf), "phrase_id")
-    else:
-        weighted = salted_join(counts, idf, "phrase_id")
-    weighted = weighted.withColumn("_w", F.col("tf") * F.col("idf"))
+        return scaled(counts.join(F.broadcast(idf), "phrase_id"), key)
+    return scaled(salted_join(counts, idf, "phrase_id"), key)
+
+
+def scaled(counts: DataFrame, key: str) -> DataFrame:
+    """`(key, phrase_id, tf, idf, tfidf)` of counts with their idf, each document scaled to length one."""
+    weighted = counts.withColumn("_w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
     return weighted.select(key, "phrase_id", "tf", "idf", (F.col("_w") / length).alias("tfidf"))

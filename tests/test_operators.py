@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from termweave.functions.fixed import ENGLISH_STOP_WORDS
-from termweave.operators import graph, keyphrase, skew
-from termweave.operators.lemma import clean_sample
+from termweave.operators import graph, keyphrase, models, skew, tfidf
 from termweave.operators.frequency import keyword_documents
+from termweave.operators.lemma import clean_sample
 from termweave.operators.patterns import substring_hits
 from termweave.operators.similarity import similar_pairs
 from termweave.plans import dictionaries as dic
@@ -213,3 +213,15 @@ def test_lemma_table_with_repeated_words(spark):
     df = spark.createDataFrame([(1, ["models", "run"])], "id int, words array<string>")
     lemmas = spark.createDataFrame([("models", "model"), ("models", "model"), ("models", "modelo")], "word string, lemma string")
     assert lemmatise(df, "words", lemmas).first().words == ["model", "run"]
+
+
+def test_text_classifier_learns_and_scores_by_its_coefficients(spark):
+    rows = [(i, ("good fine text " if i % 2 else "bad poor text ") + f"word{i % 5}", i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(100, None, 0), (101, "unknown", 0)], "id long, text string, label int")
+    phrases = spark.createDataFrame([(p, i) for i, p in enumerate(["good", "bad", "fine text", "poor text", "never met"])], "keyword string, trie_id long")
+    vocab = tfidf.vocabulary(phrases)
+    model = models.fit_text_classifier(docs, "id", "text", "label", vocab)
+    scored = {r.id: r for r in models.score_texts(model, docs, "id", "text", vocab).collect()}
+    assert all(scored[i].prediction == label for i, _, label in rows)
+    intercept = 1 / (1 + math.exp(-model.intercept))
+    assert scored[100].probability == pytest.approx(intercept) and scored[101].probability == pytest.approx(intercept)
