@@ -157,15 +157,20 @@ def body_cut(spark, sf):
     return documents(spark, sf).select("doc_id", text.body_cut(marked).alias("body"))
 
 
-@query(
-    "fulltext_gate",
-    f"""WITH letters AS (SELECT doc_id, {SQL_SPLIT.format(SQL_PLAIN)} AS w FROM documents),
+# CTE `body(doc_id, t)`: the full-text chain up to its gate.
+SQL_FULLTEXT = f"""letters AS (SELECT doc_id, {SQL_SPLIT.format(SQL_PLAIN)} AS w FROM documents),
     whole AS (SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ({SQL_STOP_WORDS}) AND length(x) BETWEEN 3 AND 29), ' ') AS t FROM letters),
     kept AS (SELECT doc_id, trim(regexp_replace(t, '[^a-z\\s]+', ' ', 'g')) AS t FROM whole),
     body AS (SELECT doc_id, CASE WHEN greatest(instr(t, 'abstract'), instr(t, 'introduction')) > 1
-             THEN substr(t, greatest(instr(t, 'abstract'), instr(t, 'introduction')) + 12) ELSE t END AS t FROM kept)
+             THEN substr(t, greatest(instr(t, 'abstract'), instr(t, 'introduction')) + 12) ELSE t END AS t FROM kept)"""
+SQL_GATE = f"len({SQL_SPLIT.format('t')}) > 100 AND len(list_filter(string_split(t, ' '), lambda x: length(x) > 30)) = 0"
+
+
+@query(
+    "fulltext_gate",
+    f"""WITH {SQL_FULLTEXT}
     SELECT doc_id, trim(t) AS text FROM body
-    WHERE len({SQL_SPLIT.format('t')}) > 100 AND len(list_filter(string_split(t, ' '), lambda x: length(x) > 30)) = 0""",
+    WHERE {SQL_GATE}""",
 )
 def fulltext_gate(spark, sf):
     cleaned = documents(spark, sf).select("doc_id", text.fulltext_clean("text").alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termweave.catalog.cleaning import SQL_ABSTRACT, SQL_SPLIT
+from termweave.catalog.cleaning import SQL_ABSTRACT, SQL_FULLTEXT, SQL_GATE, SQL_SPLIT
 from termweave.catalog.enrichment import papers_raw
 from termweave.catalog.graphs import topics
 from termweave.catalog.registry import SQL_STOP_WORDS, documents, query, sql_id, sql_words, table
@@ -253,9 +253,8 @@ def keyword_nodes(spark, sf):
 
 @query(
     "fulltext_graph",
-    rf"""WITH letters AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\s]+', ' ', 'g'), '\s+'), lambda w: w <> '') AS w FROM documents),
-    kept AS (SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ({SQL_STOP_WORDS}) AND length(x) BETWEEN 3 AND 29), ' ') AS t FROM letters),
-    gated AS (SELECT doc_id, CASE WHEN len(string_split(t, ' ')) > 100 THEN t END AS text FROM kept),
+    f"""WITH {SQL_FULLTEXT},
+    gated AS (SELECT doc_id, CASE WHEN {SQL_GATE} THEN trim(t) END AS text FROM body),
     papers AS (SELECT {sql_id("'paper-' || o_orderkey")} AS id, o_orderkey::VARCHAR AS arxiv_id FROM orders)
     SELECT {sql_id("'fulltext/' || arxiv_id")} AS id, text, papers.id AS paper FROM gated JOIN papers ON arxiv_id = doc_id::VARCHAR""",
 )
