@@ -3,7 +3,8 @@
 Every line is hashed after normalising; for each host and line the documents that hold it
 are counted. Lines above the limit are boilerplate: they are taken out, and a document of
 which too little is left is rejected. Copies of one text must not make its own lines
-boilerplate, so documents of one host with the same text sketch count once.
+boilerplate, so documents of one host with the same whole text count once; documents that
+differ anywhere count each, also where nearly all they hold is shared.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termweave.llm.common import WordHashes, give_back, list_of, mixed, same_text, slices, strings, windows
+from termweave.llm.common import WordHashes, give_back, list_of, same_text, slices, strings, windows
 from termweave.session import durable
 
 SYMBOLS = b"#*$%&|<>"
@@ -67,16 +68,14 @@ def _measure(text: str, known: WordHashes) -> tuple:
         key = line_key(line)
         keys[key] = keys.get(key, 0) + n
     hashes = known.of(words)
-    grams = windows(hashes, 3)
-    sketch = int(mixed(grams).min()) >> 1 if len(grams) else 0
-    return len(words), len(joined) - n_chars, symbols, duplicates, repeated_words(hashes), sketch, list(keys), list(keys.values())
+    return len(words), len(joined) - n_chars, symbols, duplicates, repeated_words(hashes), list(keys), list(keys.values())
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, sketch long, line_keys array<long>, line_words array<int>"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_keys array<long>, line_words array<int>"
 
 
 def measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """`keep` columns with word, symbol and repetition counts, a sketch of the text, and its distinct lines with their numbers of words."""
+    """`keep` columns with word, symbol and repetition counts, and its distinct lines with their numbers of words."""
     fields = [docs.schema[c] for c in keep]
     names = [f.name for f in T.StructType.fromDDL(MEASURES).fields]
 
@@ -84,10 +83,10 @@ def measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         known = WordHashes()
         for batch in batches:
             for part in slices(batch, text):
-                found = list(zip(*(_measure(t, known) for t in strings(part, text)), strict=True)) or [()] * 8
-                columns = [pa.array(x, pa.int64()) for x in found[:6]]
-                lengths = [len(x) for x in found[6]]
-                lists = [list_of(np.array([v for x in found[i] for v in x], kind), lengths) for i, kind in ((6, np.int64), (7, np.int32))]
+                found = list(zip(*(_measure(t, known) for t in strings(part, text)), strict=True)) or [()] * 7
+                columns = [pa.array(x, pa.int64()) for x in found[:5]]
+                lengths = [len(x) for x in found[5]]
+                lists = [list_of(np.array([v for x in found[i] for v in x], kind), lengths) for i, kind in ((5, np.int64), (6, np.int32))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns, *lists], names=[*keep, *names])
             give_back()
 
@@ -106,9 +105,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     """
     one = docs.select(F.col(key).alias("_key"), same_text(text).alias("text_hash"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_host"), F.col(text).alias("_text"))
     base = durable(measured(one, "_text", ["_key", "text_hash", "_host"]))
-    # One document of each sketch and host counts; a hot host is spread over its sketches.
-    first = durable(base.where("n_words > 0").groupBy("_host", "sketch").agg(F.min(F.struct("_key", "text_hash", "line_keys")).alias("doc")).select("_host", F.explode("doc.line_keys").alias("line")))
-    hosts = base.where("n_words > 0").groupBy("_host", "sketch").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count(F.lit(1)).alias("documents"))
+    # Each text of a host counts once; a hot host is spread over its texts. Equal texts have equal lines, so any row's will do.
+    first = durable(base.where("n_words > 0").groupBy("_host", "text_hash").agg(F.first("line_keys").alias("lines")))
+    hosts = first.groupBy("_host").agg(F.count(F.lit(1)).alias("documents"))
+    first = first.select("_host", F.explode("lines").alias("line"))
     counts = first.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > line_documents)
     common = durable(counts.join(hosts, "_host").where(F.col("held") > line_share * F.col("documents")).select("_host", "line"))
     lines = base.where("n_words > 0").select("_key", "text_hash", "_host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("row"))

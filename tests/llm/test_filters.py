@@ -123,6 +123,20 @@ def test_boilerplate_lines_go_and_copies_stay(spark):
     assert left.where("doc_id = 0").first().text == own[0]
 
 
+def test_depleted_pages_of_one_menu_count_each(spark):
+    rng = np.random.default_rng(6)
+
+    def words(n):
+        return " ".join("".join(w) for w in rng.choice(list("abcdefghijklmnop"), (n, 9)))
+
+    menu, copy = words(90), words(60)
+    df = make_docs(spark, [f"{menu}\n{words(12)}" for _ in range(100)] + [words(100) for _ in range(200)] + [copy] * 100)
+    rows = {r.doc_id: r for r in lines.judge(df).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert all(not rows[i].kept and rows[i].removed_words == 90 for i in range(100))
+    assert all(rows[i].kept and not rows[i].removed_lines for i in range(100, 400))
+
+
 def test_license_spans(spark):
     passage = license.PASSAGES[0][0]
     changed = passage.replace("free of charge", "free of any charge").replace("merge ", "")
