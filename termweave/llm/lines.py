@@ -26,8 +26,8 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 #: A document fails below so many words, or where so many hundredths of its words stand in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: A line of a host is boilerplate if more documents hold it than this number and than this share of the host's documents.
-LINE_DOCUMENTS, LINE_SHARE = 20, 0.05
+#: A line of a host is boilerplate if more documents hold it than this number, however many documents the host has.
+LINE_DOCUMENTS = 20
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.2
 DIGITS = re.compile(rb"[0-9]+")
@@ -93,7 +93,7 @@ def measured(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return docs.select(*keep, text).mapInArrow(run, T.StructType([*fields, *T.StructType.fromDDL(MEASURES).fields]))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_documents: int = LINE_DOCUMENTS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", line_documents: int = LINE_DOCUMENTS, least_left: float = LEAST_LEFT) -> DataFrame:
     """Counts, verdicts and boilerplate lines of each row.
 
     Columns: `key`, `text_hash` (tells rows with one key apart), `n_words`, `word_chars`, `n_symbols`, `n_dup_lines`, `n_repeat_words`,
@@ -106,11 +106,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     one = docs.select(F.col(key).alias("_key"), same_text(text).alias("text_hash"), F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_host"), F.col(text).alias("_text"))
     base = durable(measured(one, "_text", ["_key", "text_hash", "_host"]))
     # Each text of a host counts once; a hot host is spread over its texts. Equal texts have equal lines, so any row's will do.
-    first = durable(base.where("n_words > 0").groupBy("_host", "text_hash").agg(F.first("line_keys").alias("lines")))
-    hosts = first.groupBy("_host").agg(F.count(F.lit(1)).alias("documents"))
-    first = first.select("_host", F.explode("lines").alias("line"))
-    counts = first.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > line_documents)
-    common = durable(counts.join(hosts, "_host").where(F.col("held") > line_share * F.col("documents")).select("_host", "line"))
+    first = base.where("n_words > 0").groupBy("_host", "text_hash").agg(F.first("line_keys").alias("lines")).select("_host", F.explode("lines").alias("line"))
+    common = durable(first.groupBy("_host", "line").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > line_documents).select("_host", "line"))
     lines = base.where("n_words > 0").select("_key", "text_hash", "_host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("row"))
     lines = lines.select("_key", "text_hash", "_host", F.col("row.line_keys").alias("line"), F.col("row.line_words").alias("words"))
     hits = lines.join(common, ["_host", "line"]).dropDuplicates(["_key", "text_hash", "_host", "line"])

@@ -137,6 +137,20 @@ def test_depleted_pages_of_one_menu_count_each(spark):
     assert all(rows[i].kept and not rows[i].removed_lines for i in range(100, 400))
 
 
+def test_a_larger_host_excuses_no_line(spark):
+    rng = np.random.default_rng(8)
+
+    def words(n):
+        return " ".join("".join(w) for w in rng.choice(list("abcdefghijklmnop"), (n, 9)))
+
+    notice, rare = words(30), words(30)
+    texts = [f"{words(5)}\n{notice}" for _ in range(21)] + [f"{words(5)}\n{rare}" for _ in range(20)] + [words(25) for _ in range(1000)]
+    for size in (41, 500, 1041):
+        rows = {r.doc_id: r for r in lines.judge(make_docs(spark, texts[:size])).collect()}
+        assert sorted(i for i, r in rows.items() if not r.kept) == list(range(21))
+        assert all(rows[i].removed_words == (30 if i < 21 else 0) for i in rows)
+
+
 def test_license_spans(spark):
     passage = license.PASSAGES[0][0]
     changed = passage.replace("free of charge", "free of any charge").replace("merge ", "")
