@@ -33,12 +33,24 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _WORD = "|".join(SPELLED)
 SPELLED_RUN = re.compile(rf"(?i)\b(?:plus\s+)?(?:{_WORD})(?:(?:[\s,-]+|\s*[\[({{]?\bdot\b[\])}}]?\s*)(?:{_WORD})\b){{3,}}")
 SPELLED_PART = re.compile(rf"(?i)\b(plus|dot|{_WORD})\b|[\[({{\])}}\s,-]+")
+#: Spelled digits and numerals in any mixture; `dot` in words or brackets may stand between them.
+_ALONE = r"(?<![^\W\d_])(?:{})(?![^\W\d_])"
+_DIGIT, _GAP_DOT = rf"(?:{_ALONE.format(_WORD)}|[0-9]++)", rf"\s*+(?:[\[({{]\s*+)?{_ALONE.format('dot')}\s*+(?:[\])}}]\s*+)?"
+MIXED_RUN = re.compile(rf"(?i)(?:(?:{_ALONE.format('plus')}|\+)[\s(]*)?{_DIGIT}(?:(?:{_GAP_DOT}|[\s,()-]++|\.)?{_DIGIT})+")
+MIXED_PART = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>{_GAP_DOT})|(?P<word>{_WORD})|(?P<number>[0-9]+)|(?P<gap>[\s,()-]+)")
 _AT, _DOT = r"\s*[\[({<]\s*at\s*[\])}>]\s*", r"\s*[\[({<]\s*(?:dot|punto|punkt|point)\s*[\])}>]\s*"
 #: A bracketed `at`, or an `at` in words that is followed by a `dot` in words or brackets.
 DISGUISED = re.compile(rf"(?i)(?<=[A-Z0-9])(?:(?P<at>{_AT}|\s*@\s*)|(?P<word>\s+at\s+))(?P<name>[A-Z0-9-]+)(?P<rest>(?:(?:{_DOT}|\s+dot\s+|\.)[A-Z0-9-]+)+)")
-LOCAL_DOT = re.compile(rf"(?i)(?<=[A-Z0-9])(?:{_DOT}|\s+dot\s+)(?=[A-Z0-9._%+-]+\Z)")
-#: Last labels that make a domain of words alone, besides labels of two letters (fixed values).
-LAST_LABELS = frozenset(["com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "example", "test", "mail", "dev", "app"])
+#: A disguised dot of the local part, read backwards.
+LOCAL_DOT = re.compile(r"(?i)(?:\s*[\])}>]\s*(?:tod|otnup|tknup|tniop)\s*[\[({<]\s*|\s+tod\s+)(?=[A-Z0-9])")
+LOCAL_RUN = re.compile(r"(?i)[A-Z0-9._%+-]+")
+#: A domain in words alone is prose if it starts or ends with one of these, or ends like a compound of `dot` (fixed values). Two letters are a country.
+PROSE = frozenset(
+    "the this that these those each every any all some another its his her our their your what which whatever one once least most first last best worst and but for nor yet with from into onto over under then than"
+    " when where while who whose was were are has had have not you she they can could will would should may might must been being just also only".split()
+)
+PROSE_LAST = PROSE | {"matrix", "product", "products", "plot", "plots", "notation"}
+LABEL = re.compile(r"[a-z]{2,}|xn--[a-z0-9-]+")
 DOT = re.compile(rf"(?i){_DOT}|\s+dot\s+")
 BEYOND = re.compile("[^\x00-ɏ]|[" + INVISIBLE[0] + "]")
 
@@ -128,55 +140,110 @@ def _character_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _word_edits(text: str) -> list[tuple[int, int, str]]:
+def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
+    """Runs of spelled digits alone."""
     out = []
-    lower = text.lower()
-    if sum(w in lower for w in SPELLED) >= 2:
-        for run in SPELLED_RUN.finditer(text):
-            for m in SPELLED_PART.finditer(text, run.start(), run.end()):
-                word = (m[1] or "").lower()
-                out.append((m.start(), m.end(), "+" if word == "plus" else "." if word == "dot" else SPELLED.get(word, "")))
-    if "dot" in lower or "@" in text or "at" in lower and any(c in text for c in "[({<"):
-        for m in DISGUISED.finditer(text):
-            dotted = DOT.search(m["rest"])
-            if m["word"] and not dotted or m["at"] == "@" and not dotted:
-                continue
-            last = re.split(r"[^A-Za-z0-9-]+", m["rest"])[-1].lower()
-            if m["word"] and last not in LAST_LABELS and len(last) != 2:
-                continue
-            sign = "at" if m["at"] else "word"
-            out.append((m.start(sign), m.end(sign), "@"))
-            out += [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in DOT.finditer(m["rest"])]
-            before = text[max(0, m.start() - 80) : m.start()]
-            while d := LOCAL_DOT.search(before):
-                at = m.start() - len(text[max(0, m.start() - 80) : m.start()])
-                out.append((at + d.start(), at + d.end(), "."))
-                before = before[: d.start()]
+    for run in SPELLED_RUN.finditer(text):
+        for m in SPELLED_PART.finditer(text, run.start(), run.end()):
+            word = (m[1] or "").lower()
+            out.append((m.start(), m.end(), "+" if word == "plus" else "." if word == "dot" else SPELLED.get(word, "")))
+    return out
+
+
+def _mixed_edits(text: str) -> list[tuple[int, int, str]]:
+    """Runs of spelled digits and numerals that hold an identifier when rewritten. What is between two numerals stays."""
+    out = []
+    for run in MIXED_RUN.finditer(text):
+        if run[0].isascii() and not any(c.isalpha() for c in run[0]):
+            continue
+        parts, edits = list(MIXED_PART.finditer(text, run.start(), run.end())), []
+        for i, m in enumerate(parts):
+            kind = m.lastgroup
+            if kind == "gap":
+                near = [parts[k] if 0 <= k < len(parts) else None for k in (i - 1, i + 1)]
+                if near[0] and all(x and x.lastgroup == "number" for x in near):
+                    continue
+                joined = not near[0] or near[0].lastgroup == "plus" or all(x and (x.lastgroup == "word" or len(x[0]) == 1) for x in near)
+                edits.append((m.start(), m.end(), "" if joined else " "))
+            elif kind != "number":
+                edits.append((m.start(), m.end(), "+" if kind == "plus" else "." if kind == "dot" else SPELLED.get(m[0].lower(), "")))
+        moved = [(a - run.start(), b - run.start(), by) for a, b, by in edits]
+        if plain_spans(Rewritten(run[0], moved).text):
+            out += edits
+    return out
+
+
+def _in_words(name: str, rest: str) -> bool:
+    """Whether `name` and `rest`, after an `at` in words, are a domain and not prose."""
+    last = re.split(r"[^A-Za-z0-9-]+", rest)[-1].lower()
+    if len(last) == 2:
+        return True
+    if not LABEL.fullmatch(last):
+        return False
+    return any(c in "[({<" for c in rest) or name.lower() not in PROSE and last not in PROSE_LAST
+
+
+def _address_edits(text: str) -> list[tuple[int, int, str]]:
+    out, back = [], None
+    for m in DISGUISED.finditer(text):
+        dotted = DOT.search(m["rest"])
+        if m["word"] and not dotted or m["at"] == "@" and not dotted:
+            continue
+        if m["word"] and not _in_words(m["name"], m["rest"]):
+            continue
+        sign = "at" if m["at"] else "word"
+        out.append((m.start(sign), m.end(sign), "@"))
+        out += [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in DOT.finditer(m["rest"])]
+        back = back or text[::-1]
+        size, at = len(text), len(text) - m.start()
+        while (part := LOCAL_RUN.match(back, at)) and (d := LOCAL_DOT.match(back, part.end())):
+            out.append((size - d.end(), size - d.start(), "."))
+            at = d.end()
+    return out
+
+
+def _in_order(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Edits by place; of overlapping ones the first."""
     clean, done = [], -1
-    for edit in sorted(set(out)):
+    for edit in sorted(set(edits)):
         if edit[0] >= done:
             clean.append(edit)
             done = edit[1]
     return clean
 
 
+def _word_edits(text: str) -> list[list[tuple[int, int, str]]]:
+    """The ways to rewrite the words of a text: digits in mixed runs, and where that differs spelled ones alone."""
+    lower = text.lower()
+    mixed, spelled, address = [], [], []
+    if "dot" in lower or any(w in lower for w in SPELLED) or "plus" in lower:
+        mixed, spelled = _mixed_edits(text), _spelled_edits(text)
+    if "dot" in lower or "@" in text or "at" in lower and any(c in text for c in "[({<"):
+        address = _address_edits(text)
+    ways = [_in_order(mixed + address)]
+    if not set(spelled) <= set(mixed):
+        ways.append(_in_order(spelled + address))
+    return ways
+
+
 def disguised_spans(text: str) -> list[tuple[int, str, int]]:
     """`(start, kind, end)` of identifiers that only the rewritten text shows."""
     first = Rewritten(text, _character_edits(text)) if not text.isascii() and BEYOND.search(text) else None
     middle = first.text if first else text
-    edits = _word_edits(middle)
-    if not edits and not (first and first.new):
-        return []
-    second = Rewritten(middle, edits)
     out = []
-    for start, kind, end in plain_spans(second.text):
-        a, b = second.source(start, False), second.source(end, True)
-        touched = second.touched(start, end)
-        if first:
-            touched = touched or first.touched(a, b)
-            a, b = first.source(a, False), first.source(b, True)
-        if touched:
-            out.append((a, kind, b))
+    for edits in _word_edits(middle):
+        if not edits and not (first and first.new):
+            continue
+        second, found = Rewritten(middle, edits), []
+        for start, kind, end in plain_spans(second.text):
+            a, b = second.source(start, False), second.source(end, True)
+            touched = second.touched(start, end)
+            if first:
+                touched = touched or first.touched(a, b)
+                a, b = first.source(a, False), first.source(b, True)
+            if touched:
+                found.append((a, kind, b))
+        out += [x for x in found if not any(y[0] < x[2] and x[0] < y[2] and x[1] == y[1] for y in out)]
     return out
 
 

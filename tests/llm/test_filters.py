@@ -55,6 +55,27 @@ def test_disguises_are_mapped_back():
         assert pii.all_spans(text) == ([], [])
 
 
+def test_mixed_digits_any_label_and_long_local_parts():
+    long = " dot ".join(["abcdefghij"] * 20)
+    cases = {
+        "call +1 five five five 867 five three zero nine now": ("phone", "+1 five five five 867 five three zero nine"),
+        "call plus one 212 five five five 0199": ("phone", "plus one 212 five five five 0199"),
+        "ip one nine two dot 168 dot 1 dot one 443": ("ip", "one nine two dot 168 dot 1 dot one"),
+        "ip one nine two dot one six eight dot one dot one 443": ("ip", "one nine two dot one six eight dot one dot one"),
+        "card four 111 1111 one one one one 1111 ok": ("card", "four 111 1111 one one one one 1111"),
+        "jane at acme dot tech": ("email", "jane at acme dot tech"),
+        "jane at acme dot cloud, or": ("email", "jane at acme dot cloud"),
+        "jane at acme dot online": ("email", "jane at acme dot online"),
+        "jane at acme [dot] xyz": ("email", "jane at acme [dot] xyz"),
+        f"to {long} at acme dot com": ("email", f"{long} at acme dot com"),
+    }
+    for text, (kind, part) in cases.items():
+        assert [(k, text[a:b]) for a, k, b in pii.all_spans(text)[1]] == [(kind, part)], text
+        assert f"<{kind.upper()}>" in pii.redacted(text) and part not in pii.redacted(text)
+    for text in ("look at the dot and the line", "look at vector dot product", "we met at noon dot then left", "one 2 three 4 and 5 six", "plus one 2 three", "3 dot 5 dot 7"):
+        assert pii.all_spans(text) == ([], []), text
+
+
 def test_pii_over_tables(spark):
     df = make_docs(spark, [*EDGES, "a@b.com +1 (222) 555-2020, 1.2.3.4"], spans=F.lit(1), plain=F.lit(2))
     rows = sorted(pii.find(df).collect(), key=lambda r: r.doc_id)
