@@ -69,11 +69,26 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage.
+    """Write `df` below the shared checkpoint folder and read it back, which cuts its lineage.
 
     Used where a result is read more than once and must not change between the
-    reads (range partitions, loop frontiers). A reliable checkpoint survives the
-    loss of any executor.
+    reads (range partitions, loop frontiers). A written table survives the loss of
+    any executor, and later plans see its true size instead of an estimate that
+    grows with every join. It is deleted by `release`, or when the session ends.
     """
-    _prepare_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by `durable` that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
