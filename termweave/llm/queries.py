@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import bpe, chat, license, lines, minhash, ordinal, packing, pii, topk, urls
+from termweave.llm import bpe, chat, fim, license, lines, minhash, ordinal, packing, pii, simhash, spelling, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -228,3 +228,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", whole).alias("vector"))
     found = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, key="vec_id")
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op11_simhash")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
+@query(
+    "op12_fim",
+    """
+    WITH hashed AS (
+        SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id::VARCHAR) AS h FROM documents
+    ),
+    numbered AS (SELECT doc_id, t, u, len(u) AS n, [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT FOR i IN range(4)] AS h FROM hashed),
+    cut AS (
+        SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high, u,
+               CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+        FROM numbered
+    ),
+    parts AS (
+        SELECT *, array_to_string(u[1:low], '') AS prefix, array_to_string(u[low + 1:high], '') AS middle, array_to_string(u[high + 1:n], '') AS suffix FROM cut
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM parts""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.pieces(table(spark, sf_dir, "documents"), rates=fim.Rates(transformed=100, suffix_first=50))
+    found = fim.digests(fim.in_output_order(cut))
+    return found.select(F.col("doc").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query("op13_spelling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.group_variants(table(spark, sf_dir, "documents"), every=199)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
