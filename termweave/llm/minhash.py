@@ -5,11 +5,14 @@ signature's places together with ascending ranks; a place keeps its smallest ran
 ranks of one element are correlated over the places, which lowers the variance against
 independent hashes, and a set is finished as soon as no later rank can be smaller.
 
-Grouping: exact copies are joined by a fingerprint of their sets. Signatures are cut into
-bands; equal bands make a bucket. Every member of a bucket is checked against the
-bucket's smallest, on the full sets, and checked links are united. What is still apart in
-a bucket is then compared block by block: signatures first, full sets where those are
-near, with a local union-find, so that only links that join something leave a task.
+Grouping: rows with equal shingle sets are one node. Signatures are cut into bands; equal
+bands make a bucket. Only signatures are looked at first: every node against the best
+connected member of its buckets, then, in buckets that still hold several groups, block by
+block. Near signatures join nodes to candidate groups, found by union-find, which hold
+every link. Each text is then sent once to the task of its candidate group, where pairs
+still apart are verified on full sets. A candidate group too large for a task is first
+verified against its best connected member; what that leaves apart meets all of the group
+in blocks. Only links that join something leave a task.
 """
 
 from __future__ import annotations
@@ -17,21 +20,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from termweave.llm.common import SLICE_BYTES, WordHashes, as_long, give_back, list_of, mixed, slices, strings, windows, words_of
-from termweave.llm.components import connected
-from termweave.session import durable
+from termweave.llm.common import SLICE_BYTES, WordHashes, as_long, give_back, list_of, mixed, same_text, slices, strings, windows, words_of
+from termweave.llm.components import Forest, connected
+from termweave.session import durable, release
 
 #: Bands and places in a band: a pair of similarity 0.85 is missed with probability 7e-8, one of 0.8 with 1.5e-5.
 BANDS, ROWS = 28, 5
-#: Pairs whose signatures agree in this much less than the limit are not looked up: four standard deviations at 140 places.
-MARGIN = 0.13
-#: A bucket is cut into blocks of so many documents, or of so many shingles.
+#: Pairs whose signatures agree in this much less than the limit are not looked up. At 140 places a pair
+#: at the limit falls below with probability under 1e-8, less than the odds that all bands miss it.
+MARGIN = 0.2
+#: A task holds so many nodes, or so many shingles, of a group at once.
 BLOCK_ROWS, BLOCK_SHINGLES = 2_048, 600_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 WRAP = (1 << 64) - 1
@@ -86,43 +88,39 @@ def shingle_sets(texts: list[str], size: int, known: WordHashes) -> list[np.ndar
     return [np.unique(windows(known.of(words_of(t)), size)) for t in texts]
 
 
-def _map(df: DataFrame, column: str, run, schema: str) -> DataFrame:
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signatures(docs: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """`(doc, text_hash, n, node, sig)` of `docs(doc, text_hash, text)`: size, 64-bit fingerprint and signature of each row's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for part in slices(batch, column, SLICE_BYTES // 2):  # a signature's permutations take some 25 bytes for each byte of text
-                yield run(part, known)
+            for part in slices(batch, "text", SLICE_BYTES // 2):  # a signature's permutations take some 25 bytes for each byte of text
+                sets = shingle_sets(strings(part, "text"), shingle, known)
+                n = np.array([len(s) for s in sets], np.int64)
+                elements = np.concatenate([*sets, np.empty(0, np.uint64)])
+                sig = super_minhash(elements, np.repeat(np.arange(len(sets)), n), len(sets), bands * rows)
+                prints = np.array([int(mixed(mixed(s + GOLDEN).sum(dtype=np.uint64) + np.uint64(len(s)))) if len(s) else 0 for s in sets], np.uint64)
+                columns = [part.column("doc"), part.column("text_hash"), pa.array(n), as_long(prints), pa.array([s.tobytes() for s in sig], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "text_hash", "n", "node", "sig"])
             give_back()
 
-    return df.mapInArrow(go, schema)
-
+    return docs.mapInArrow(run, "doc long, text_hash long, n long, node long, sig binary")
 
-def signatures(docs: DataFrame, key: str, text: str, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """`(doc, n, d1, d2, sig, bands)`: size, 128-bit fingerprint, signature and band keys of each row's shingle set."""
 
-    def run(part: pa.RecordBatch, known: WordHashes) -> pa.RecordBatch:
-        sets = shingle_sets(strings(part, text), shingle, known)
-        n = np.array([len(s) for s in sets], np.int64)
-        elements = np.concatenate([*sets, np.empty(0, np.uint64)])
-        sig = super_minhash(elements, np.repeat(np.arange(len(sets)), n), len(sets), bands * rows)
-        prints = [tuple(int(mixed(s + np.uint64(k)).sum(dtype=np.uint64) if len(s) else 0) for k in (1, 2)) for s in sets]
-        first, second = (np.array([p[k] for p in prints], np.uint64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays(
-            [part.column(key), pa.array(n), as_long(first), as_long(second), pa.array([s.tobytes() for s in sig], pa.binary()), list_of(band_keys(sig, bands).view(np.int64).ravel(), np.full(len(sets), bands))],
-            names=["doc", "n", "d1", "d2", "sig", "bands"],
-        )
+def _signature_rows(column: pa.Array) -> np.ndarray:
+    """Binary signatures as a matrix of their places."""
+    return np.stack([np.frombuffer(x, np.uint16) for x in column.to_pylist()]) if len(column) else np.empty((0, 0), np.uint16)
 
-    return _map(docs.select(key, text), text, run, "doc long, n long, d1 long, d2 long, sig binary, bands array<long>")
 
+def buckets(nodes: DataFrame, bands: int = BANDS) -> DataFrame:
+    """`(bucket, node)`: one row per node and band."""
 
-def full_sets(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """`(doc, shingles)`: the sorted shingle set as packed 64-bit integers."""
-
-    def run(part: pa.RecordBatch, known: WordHashes) -> pa.RecordBatch:
-        packed = [s.tobytes() for s in shingle_sets(strings(part, text), shingle, known)]
-        return pa.RecordBatch.from_arrays([part.column(key), pa.array(packed, pa.binary())], names=["doc", "shingles"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = band_keys(_signature_rows(batch.column("sig")), bands) if batch.num_rows else np.empty((0, bands), np.uint64)
+            yield pa.RecordBatch.from_arrays([as_long(keys.ravel()), batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), bands)))], names=["bucket", "node"])
 
-    return _map(docs.select(key, text), text, run, "doc long, shingles binary")
+    return nodes.select("node", "sig").mapInArrow(run, "bucket long, node long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -134,94 +132,226 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def _check_pairs(percent: int):
+def _near_pairs(need: float):
+    """Rows `(a, b)` of `(a, b, left, right)` whose signatures agree in `need` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = (_signature_rows(batch.column("left")) == _signature_rows(batch.column("right"))).sum(axis=-1) >= need
+            yield batch.select(["a", "b"]).filter(pa.array(keep.reshape(-1), pa.bool_()))
+
+    return run
+
+
+class _Group:
+    """The nodes of a group that later ones are compared with."""
+
+    def __init__(self):
+        self.unit, self.forest, self.nodes, self.parts, self.sets, self.sig = None, Forest(), [], [], [], np.empty((0, 0), np.uint16)
+
+    def add(self, node: int, sig: np.ndarray, part: int = 0, elements: np.ndarray | None = None) -> None:
+        at = len(self.nodes)
+        if at >= len(self.sig):
+            grown = np.empty((max(16, 2 * at), len(sig)), np.uint16)
+            if at:
+                grown[:at] = self.sig
+            self.sig = grown
+        self.sig[at] = sig
+        self.nodes.append(node)
+        self.parts.append(part)
+        self.sets.append(elements)
+
+    def near(self, sig: np.ndarray, need: float) -> list[int]:
+        """Numbers of the nodes with near signatures, the nearest first."""
+        if not self.nodes:
+            return []
+        agree = (self.sig[: len(self.nodes)] == sig).sum(axis=1)
+        found = np.flatnonzero(agree >= need)
+        return found[np.argsort(-agree[found], kind="stable")].tolist()
+
+
+def _near_in_blocks(need: float):
+    """Near signatures that join something, from rows `(unit, node, label, part, across, sig)` sorted by unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = _Group()
+        for batch in batches:
+            out = []
+            for unit, node, label, part, across, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if unit != group.unit:
+                    group = _Group()
+                    group.unit = unit
+                group.forest.unite(node, label)
+                sig = np.frombuffer(raw, np.uint16)
+                for i in group.near(sig, need):
+                    if not (across and group.parts[i] == part) and group.forest.unite(group.nodes[i], node):
+                        out.append((group.nodes[i], node))
+                group.add(node, sig, part)
+            yield _links(out)
+
+    return run
+
+
+def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+
+#: Roles of a row in its group: compared and kept, kept only, compared only.
+BOTH, HELD, PASSING = 0, 1, 2
+
+
+def _verified(shingle: int, percent: int, need: float):
+    """Links on full sets that join something, from rows `(unit, role, node, label, sig, text)` sorted by unit and role."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, group = WordHashes(), _Group()
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(left, right, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for rows in slices(batch, "text"):
+                out, sets = [], shingle_sets(strings(rows, "text"), shingle, known)
+                for unit, role, node, label, raw, elements in zip(*(rows.column(i).to_pylist() for i in range(5)), sets, strict=True):
+                    if unit != group.unit:
+                        group = _Group()
+                        group.unit = unit
+                    forest, sig = group.forest, np.frombuffer(raw, np.uint16)
+                    forest.unite(node, label)
+                    if role != HELD:
+                        for i in group.near(sig, need):
+                            if forest.root(group.nodes[i]) != forest.root(node) and linked(group.sets[i], elements, percent):
+                                forest.unite(group.nodes[i], node)
+                                out.append((group.nodes[i], node))
+                    if role != PASSING:
+                        group.add(node, sig, 0, elements)
+                yield _links(out)
+            give_back()
 
     return run
 
 
-def _check_block(percent: int, bands: int):
-    """Links that join something, among the members of one block, or of two blocks, of a bucket."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc")
-        docs, part = group["doc"].to_numpy(), group["part"].to_numpy()
-        across = bool(group["low"].iloc[0] != group["high"].iloc[0])
-        band = int(group["band"].iloc[0])
-        sig = np.stack([np.frombuffer(x, np.uint16) for x in group["sig"]])
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        code = pd.factorize(group["component"])[0]
-        keys = band_keys(sig, bands)
-        need, out = (percent / 100 - MARGIN) * sig.shape[1], []
-        for i in range(1, len(docs)):
-            others = np.flatnonzero(code[:i] != code[i])
-            if across:
-                others = others[part[others] != part[i]]
-            if not len(others):
-                continue
-            agree = (sig[others] == sig[i]).sum(axis=1)
-            others, agree = others[agree >= need], agree[agree >= need]
-            others = others[np.argsort(-agree, kind="stable")]
-            if len(others) and band:  # pairs that share an earlier band are looked at there
-                others = others[~(keys[others, :band] == keys[i, :band]).any(axis=1)]
-            for other in others:
-                if code[other] != code[i] and linked(sets[other], sets[i], percent):
-                    out.append((docs[other], docs[i]))
-                    code[code == code[i]] = code[other]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _verified_stars(shingle: int, percent: int):
+    """Rows `(a, b)` of `(a, b, left, right)` whose texts are linked; few texts stand on the left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last, hub = WordHashes(), None, None
+        for batch in batches:
+            for rows in slices(batch, "right"):
+                keep = []
+                for a, left, elements in zip(rows.column("a").to_pylist(), rows.column("left"), shingle_sets(strings(rows, "right"), shingle, known), strict=True):
+                    if a != last:
+                        last, (hub,) = a, shingle_sets([left.as_py() or ""], shingle, known)
+                    keep.append(linked(hub, elements, percent))
+                yield rows.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     return run
 
 
+def candidates(nodes: DataFrame, need: float, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """`(node, component)` of the groups that near signatures in shared buckets make, and `(node, degree)`: how many meet it in its buckets."""
+    member = durable(buckets(nodes, bands))
+    shared = durable(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    both = durable(member.join(shared, "bucket"))
+    degree = durable(both.groupBy("node").agg(F.sum(F.col("members") - 1).alias("degree")))
+    release(member, shared)
+    # The best connected member stands in for its bucket; a node looks at the best of its buckets'.
+    known = durable(both.select("bucket", "node").join(degree, "node"))
+    top = known.groupBy("bucket").agg(F.max(F.struct("degree", F.col("node").alias("hub"))).alias("top"))
+    best = known.join(top, "bucket").groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.hub").alias("hub")).where("node <> hub")
+    left, right = nodes.select(F.col("node").alias("a"), F.col("sig").alias("left")), nodes.select(F.col("node").alias("b"), F.col("sig").alias("right"))
+    stars = best.toDF("b", "a").join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    near = durable(stars.mapInArrow(_near_pairs(need), "a long, b long"))
+    first = durable(connected(near).toDF("node", "label"))
+    labelled = durable(known.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
+    release(known, first, both)
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("bucket", "blocks")
+    apart = labelled.join(split, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+    low, high = (lambda x: F.least(x, F.col("part"))), (lambda x: F.greatest(x, F.col("part")))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.xxhash64("bucket", low(x), high(x)).alias("unit"), (x != F.col("part")).alias("across")))
+    units = apart.select("node", "label", "part", F.inline(pair)).join(nodes.select("node", "sig"), "node")
+    rows = units.select("unit", "node", "label", "part", "across", "sig").repartition("unit").sortWithinPartitions("unit")
+    more = durable(rows.mapInArrow(_near_in_blocks(need), "a long, b long"))
+    found = durable(connected(near.unionByName(more)).toDF("node", "component"))
+    release(labelled, near, more)
+    return found, degree
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, degree: DataFrame, shingle: int, percent: int, need: float) -> DataFrame:
+    """`(a, b)`: links on full sets, whose components are those of all links within the candidate groups."""
+    known = durable(found.join(nodes, "node").select("component", "node", "n", "sig", "doc", "text_hash"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = durable(known.groupBy("component").agg(parts.alias("parts")))
+    small, large = (known.join(sizes.where(c), "component") for c in ("parts = 1", "parts > 1"))
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return rows.join(docs, ["doc", "text_hash"])
+
+    units = with_text(small).select(F.col("component").alias("unit"), F.lit(BOTH).alias("role"), "node", F.col("node").alias("label"), "sig", "text")
+    rows = units.repartition("unit").sortWithinPartitions("unit", "node")
+    check = _verified(shingle, percent, need)
+    links = durable(rows.mapInArrow(check, "a long, b long"))
+    if large.isEmpty():
+        release(known, sizes)
+        return links
+    big = durable(with_text(large).select("component", "node", "n", "sig", "text"))
+    hubs = large.join(degree, "node").groupBy("component").agg(F.max(F.struct("degree", "node")).alias("top")).select("component", F.col("top.node").alias("a"))
+    hubs = durable(big.join(hubs, (big["component"] == hubs["component"]) & (big["node"] == hubs["a"])).select(big["component"], "a", F.col("text").alias("left")))
+    pairs = hubs.join(big.select("component", F.col("node").alias("b"), F.col("text").alias("right")), "component").where("a <> b").select("a", "b", "left", "right")
+    stars = durable(pairs.mapInArrow(_verified_stars(shingle, percent), "a long, b long"))
+    # What is not linked with its group's hub meets every node of the group.
+    labels = stars.toDF("label", "node").unionByName(hubs.select(F.col("a").alias("label"), F.col("a").alias("node"))).distinct()
+    told = durable(big.join(labels, "node", "left").select("component", "node", "n", "sig", "text", "label"))
+    plan = told.groupBy("component").agg(
+        F.ceil(F.greatest(F.count(F.when(F.col("label").isNull(), 1)) / BLOCK_ROWS, F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("runs"),
+    )
+    met = told.join(plan.where("blocks > 0"), "component")
+    block, run = (F.pmod(F.xxhash64(F.col("node"), F.lit(salt)), F.col(name)).cast("int") for salt, name in ((1, "blocks"), (2, "runs")))
+
+    def placed(df: DataFrame, role: int, block, run) -> DataFrame:
+        where = df.withColumn("block", block).withColumn("run", run)
+        return where.select(F.xxhash64("component", "block", "run").alias("unit"), F.lit(role).alias("role"), "node", F.coalesce("label", "node").alias("label"), "sig", "text")
+
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    held = placed(met.where("label IS NULL"), HELD, block, every("runs"))
+    passing = placed(met, PASSING, every("blocks"), run)
+    rows = held.unionByName(passing).repartition("unit").sortWithinPartitions("unit", "role", "node")
+    rest = durable(rows.mapInArrow(check, "a long, b long"))
+    out = durable(links.unionByName(stars).unionByName(rest))
+    release(known, sizes, big, hubs, told, links, stars, rest)
+    return out
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """`(doc_id, n_shingles, component_id, kept)` for each row of `docs`.
+    """`(doc_id, n_shingles, component_id, kept, text_hash, first)` for each row of `docs`.
 
     Two documents are linked if 100 * intersection >= percent * union of their word-
     shingle sets; `component_id` is the smallest id reachable over links, itself
     included, and `kept` marks the document that has it. Words are runs without ASCII
     white space, A-Z lower-cased; a text with fewer words than a shingle is one shingle.
     Null and empty texts have no shingles and are linked with nothing. Rows that repeat an
-    id stand for one document each in the result, with one component. A null id has no
+    id with different texts are linked by their own texts only; `text_hash` tells them
+    apart and `first` marks the rows of one id and text in each component. A null id has no
     links, is its own (null) component and is kept. Other columns are not read. `key` is a
     whole number. Set sizes and links are exact up to collisions of 64-bit hashes and the
     stated odds of missing a pair with the bands.
     """
-    keyed = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    base = durable(signatures(keyed, "doc", "text", shingle, bands, rows))
+    keyed = docs.select(F.col(key).cast("long").alias("doc"), same_text(text).alias("text_hash"), F.col(text).alias("text"))
+    base = durable(signatures(keyed, shingle, bands, rows))
     filled = base.where("n > 0 AND doc IS NOT NULL")
-    # Exact copies: one representative each, the smallest id. Read from a stored table, so that a hot fingerprint is a skewed join key only.
-    firsts = durable(filled.groupBy("d1", "d2", "n").agg(F.min("doc").alias("doc")))
-    copies = filled.select("d1", "d2", "n", "doc").join(firsts.withColumnRenamed("doc", "first"), ["d1", "d2", "n"]).select("doc", "first")
-    reps = firsts.join(filled.dropDuplicates(["doc", "d1", "d2"]).select("doc", "d1", "d2", "sig", "bands"), ["doc", "d1", "d2"])
-    member = reps.select("doc", F.posexplode("bands").alias("band", "bucket"))
-    shared = durable(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("doc").alias("least")).where("members > 1"))
-    member = durable(member.join(shared, "bucket").select("bucket", "band", "doc", "least"))
-    active = durable(member.select("doc").distinct())
-    sets = durable(full_sets(keyed.join(active, "doc", "left_semi"), "doc", "text", shingle).dropDuplicates(["doc"]))
-    stars = member.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
-    pairs = stars.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
-    checked = durable(pairs.mapInArrow(_check_pairs(percent), "a long, b long"))
-    first = durable(connected(checked))
-    # Buckets whose members are still apart.
-    size = sets.select("doc", (F.length("shingles") / 8).cast("long").alias("n"))
-    labelled = durable(
-        member.join(first.withColumnRenamed("node", "doc"), "doc", "left").join(size, "doc").select("bucket", "band", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    )
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    mixed_buckets = durable(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("bucket", "blocks"))
-    apart = labelled.join(mixed_buckets, "bucket").withColumn("part", F.pmod(F.xxhash64("doc", "bucket"), F.col("blocks")).cast("int"))
-    pair = F.explode(
-        F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("part")).alias("low"), F.greatest(x, F.col("part")).alias("high")))
-    )
-    apart = apart.withColumn("pair", pair).select("bucket", "band", "doc", "component", "part", "pair.low", "pair.high")
-    known = durable(sets.join(reps.select("doc", "sig"), "doc"))
-    more = apart.join(known, "doc").groupBy("bucket", "low", "high").applyInPandas(_check_block(percent, bands), "a long, b long")
-    links = checked.unionByName(durable(more)).unionByName(copies.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")))
-    found = durable(connected(links)).toDF("doc", "component")
-    out = base.select("doc", "n").join(found, "doc", "left")
-    component = F.coalesce("component", "doc")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
+    # Equal sets are one node, which its smallest row stands for.
+    own = filled.groupBy("node").agg(F.min(F.struct("doc", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = durable(own.select("node", "n", "sig", "least.doc", "least.text_hash"))
+    need = (percent / 100 - MARGIN) * bands * rows
+    found, degree = candidates(nodes, need, bands)
+    repeated = base.groupBy("doc", "text_hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    texts = keyed if repeated.isEmpty() else keyed.dropDuplicates(["doc", "text_hash"])
+    links = verified_links(texts, nodes, found, degree, shingle, percent, need)
+    labels = connected(links).toDF("node", "component")
+    placed = durable(nodes.join(labels, "node", "left").select("node", "doc", "text_hash", F.coalesce("component", "node").alias("component")))
+    least = placed.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("least"))
+    named = durable(placed.join(least, "component").select("node", "least"))
+    release(nodes, found, degree, placed)
+    doc, other = F.col("doc"), base.where("n = 0 OR doc IS NULL")
+    some = filled.join(named, "node").select("doc", "n", F.col("least.doc").alias("component"), "text_hash", F.struct("doc", "text_hash").eqNullSafe(F.col("least")).alias("first"))
+    out = some.unionByName(other.select("doc", "n", doc.alias("component"), "text_hash", F.lit(True).alias("first")))
+    return out.select(doc.alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), doc.eqNullSafe(F.col("component")).alias("kept"), "text_hash", "first")

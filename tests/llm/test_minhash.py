@@ -56,7 +56,7 @@ def test_groups_equal_brute_force(docs, size, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
-def test_chain_of_copies_through_a_late_base(spark):
+def test_chain_of_copies_through_a_late_base(spark, monkeypatch):
     """Copies that are linked through their base only, which has the largest id; blocks are forced to be small."""
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(200)]
@@ -68,13 +68,28 @@ def test_chain_of_copies_through_a_late_base(spark):
         texts.append(" ".join(own))
     texts.append(" ".join(base))
     component, _ = brute(range(len(texts)), texts, 3, 85)
-    before = minhash.BLOCK_ROWS
-    minhash.BLOCK_ROWS = 8
-    try:
+    for rows in (8, minhash.BLOCK_ROWS):
+        monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
         found = {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(spark, texts), shingle=3, percent=85).collect()}
-    finally:
-        minhash.BLOCK_ROWS = before
-    assert found == component
+        assert found == component
+
+
+def test_ring_ends(spark):
+    """Each text is linked with the next one only, and the last with the first."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join((words + words)[i * 10 : i * 10 + 200]) for i in range(30)]
+    component, _ = brute(range(30), texts, 3, 85)
+    assert set(component.values()) == {0}
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(make_docs(spark, texts), shingle=3, percent=85).collect()} == component
+
+
+def test_repeated_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    rows = [(3, a), (3, b), (4, b + " end"), (5, a + " end"), (3, a), (9, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (3, 3), (3, 3), (4, 3), (5, 3), (9, 3)]
+    assert sum(r.first for r in found) == 3
 
 
 def test_edge_cases(spark):
@@ -94,3 +109,8 @@ def test_components(spark):
     found = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90, 200: 200, 201: 200}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_chain_ends(spark):
+    edges = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(16, F.hash("a"))
+    assert connected(edges).where("component <> 0").count() == 0 and connected(edges).count() == 20_001

@@ -52,3 +52,21 @@ def test_stages_on_edge_cases(spark, sf):
         pieces = corpus_pipeline.packing(spark, df, sf).count()
         assert pieces >= df.count()
     assert corpus_pipeline.near_dedup(spark, own.unionByName(own), sf).count() == len(EDGES) - 1
+
+
+def test_stages_hand_on_clashing_columns(spark, sf, docs):
+    names = ["removed_lines", "_id", "_hash", "_rows", "kept", "tail", "selected", "spans", "expected_grade", "id", "hash", "row", "text_hash", "first", "gone"]
+    clashing = docs.withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id")) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, out = stage(spark, docs, sf), stage(spark, clashing, sf)
+        assert out.columns == clashing.columns
+        rows = {r.doc_id: r for r in out.collect()}
+        assert {r.doc_id: r.text for r in plain.collect()} == {k: r.text for k, r in rows.items()}
+        assert all(r[n] == f"{n} {k}" for k, r in rows.items() for n in names)
+    assert corpus_pipeline.packing(spark, clashing, sf).count() == corpus_pipeline.packing(spark, docs, sf).count()
+
+
+def test_dedup_keeps_other_texts_of_an_id(spark, sf):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    df = make_docs(spark, [a, b, a, b + " end"]).withColumn("doc_id", F.array(*[F.lit(x) for x in (3, 3, 3, 9)])[F.col("doc_id").cast("int")].cast("long"))
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, sf).collect()) == [(3, a), (3, b)]
