@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from termweave.session import durable, release
 
-#: A task hands on its local forest when it holds so many nodes.
-FOREST_NODES = 1_000_000
+#: A task hands on its local forest when it holds so many nodes; so many edges are finished by one task.
+FOREST_NODES = 250_000
 
 
 class Forest(dict):
@@ -41,7 +41,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.unite(u, v)
-        if len(forest) >= FOREST_NODES:
+        if len(forest) > 2 * FOREST_NODES:
             yield out()
     yield out()
 
@@ -55,10 +55,15 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     one step within a logarithmic number of rounds. Only counts reach the driver; each
     round is written to the shared folder and the round before deleted. A node with
     very many neighbours is a skewed join key, which adaptive execution splits, as both
-    sides of the join are plain exchanges of stored tables.
+    sides of the join are plain exchanges of stored tables. Where the contracted edges
+    fit one task, as a bound says, that task ends the work instead of the rounds.
     """
     edges = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     edges = durable(edges.mapInArrow(_contracted, "u long, v long"))
+    if edges.count() <= FOREST_NODES:
+        whole = durable(edges.coalesce(1).mapInArrow(_contracted, "u long, v long"))
+        release(edges)
+        return _labelled(whole)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -73,4 +78,9 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return _labelled(edges)
+
+
+def _labelled(stars: DataFrame) -> DataFrame:
+    """Nodes and their components from edges that all lead to the smallest node."""
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

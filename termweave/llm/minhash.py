@@ -247,11 +247,10 @@ def _verified_stars(shingle: int, percent: int):
 
 def candidates(nodes: DataFrame, need: float, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
     """`(node, component)` of the groups that near signatures in shared buckets make, and `(node, degree)`: how many meet it in its buckets."""
-    member = durable(buckets(nodes, bands))
-    shared = durable(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    member = buckets(nodes, bands)
+    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     both = durable(member.join(shared, "bucket"))
-    degree = durable(both.groupBy("node").agg(F.sum(F.col("members") - 1).alias("degree")))
-    release(member, shared)
+    degree = both.groupBy("node").agg(F.sum(F.col("members") - 1).alias("degree"))
     # The best connected member stands in for its bucket; a node looks at the best of its buckets'.
     known = durable(both.select("bucket", "node").join(degree, "node"))
     top = known.groupBy("bucket").agg(F.max(F.struct("degree", F.col("node").alias("hub"))).alias("top"))
@@ -259,9 +258,8 @@ def candidates(nodes: DataFrame, need: float, bands: int = BANDS) -> tuple[DataF
     left, right = nodes.select(F.col("node").alias("a"), F.col("sig").alias("left")), nodes.select(F.col("node").alias("b"), F.col("sig").alias("right"))
     stars = best.toDF("b", "a").join(right, "b").join(left, "a").select("a", "b", "left", "right")
     near = durable(stars.mapInArrow(_near_pairs(need), "a long, b long"))
-    first = durable(connected(near).toDF("node", "label"))
-    labelled = durable(known.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
-    release(known, first, both)
+    first = connected(near).toDF("node", "label")
+    labelled = known.join(first, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     blocks = F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")
     split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("bucket", "blocks")
     apart = labelled.join(split, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
@@ -270,17 +268,17 @@ def candidates(nodes: DataFrame, need: float, bands: int = BANDS) -> tuple[DataF
     units = apart.select("node", "label", "part", F.inline(pair)).join(nodes.select("node", "sig"), "node")
     rows = units.select("unit", "node", "label", "part", "across", "sig").repartition("unit").sortWithinPartitions("unit")
     more = durable(rows.mapInArrow(_near_in_blocks(need), "a long, b long"))
-    found = durable(connected(near.unionByName(more)).toDF("node", "component"))
-    release(labelled, near, more)
-    return found, degree
+    found = connected(near.unionByName(more)).toDF("node", "component")
+    release(both, near, more)
+    return found, known.select("node", "degree").distinct()
 
 
 def verified_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, degree: DataFrame, shingle: int, percent: int, need: float) -> DataFrame:
     """`(a, b)`: links on full sets, whose components are those of all links within the candidate groups."""
-    known = durable(found.join(nodes, "node").select("component", "node", "n", "sig", "doc", "text_hash"))
+    inside = found.join(nodes, "node").select("component", "node", "n", "sig", "doc", "text_hash")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = durable(known.groupBy("component").agg(parts.alias("parts")))
-    small, large = (known.join(sizes.where(c), "component") for c in ("parts = 1", "parts > 1"))
+    known = durable(inside.join(inside.groupBy("component").agg(parts.alias("parts")), "component"))
+    small, large = known.where("parts = 1"), known.where("parts > 1")
 
     def with_text(rows: DataFrame) -> DataFrame:
         return rows.join(docs, ["doc", "text_hash"])
@@ -290,16 +288,14 @@ def verified_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, degree:
     check = _verified(shingle, percent, need)
     links = durable(rows.mapInArrow(check, "a long, b long"))
     if large.isEmpty():
-        release(known, sizes)
         return links
     big = durable(with_text(large).select("component", "node", "n", "sig", "text"))
-    hubs = large.join(degree, "node").groupBy("component").agg(F.max(F.struct("degree", "node")).alias("top")).select("component", F.col("top.node").alias("a"))
-    hubs = durable(big.join(hubs, (big["component"] == hubs["component"]) & (big["node"] == hubs["a"])).select(big["component"], "a", F.col("text").alias("left")))
-    pairs = hubs.join(big.select("component", F.col("node").alias("b"), F.col("text").alias("right")), "component").where("a <> b").select("a", "b", "left", "right")
-    stars = durable(pairs.mapInArrow(_verified_stars(shingle, percent), "a long, b long"))
+    tops = large.join(degree, "node").groupBy("component").agg(F.max(F.struct("degree", "node")).alias("top")).select(F.col("component").alias("of"), F.col("top.node").alias("a"))
+    hubs = big.join(tops, (F.col("component") == F.col("of")) & (F.col("node") == F.col("a"))).select("component", "a", F.col("text").alias("left"))
+    pairs = hubs.join(big.select("component", F.col("node").alias("b"), F.col("text").alias("right")), "component").select("a", "b", "left", "right")
+    stars = durable(pairs.mapInArrow(_verified_stars(shingle, percent), "a long, b long"))  # a hub is linked with itself
     # What is not linked with its group's hub meets every node of the group.
-    labels = stars.toDF("label", "node").unionByName(hubs.select(F.col("a").alias("label"), F.col("a").alias("node"))).distinct()
-    told = durable(big.join(labels, "node", "left").select("component", "node", "n", "sig", "text", "label"))
+    told = big.join(stars.toDF("label", "node"), "node", "left").select("component", "node", "n", "sig", "text", "label")
     plan = told.groupBy("component").agg(
         F.ceil(F.greatest(F.count(F.when(F.col("label").isNull(), 1)) / BLOCK_ROWS, F.coalesce(F.sum(F.when(F.col("label").isNull(), F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int").alias("blocks"),
         F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("runs"),
@@ -316,9 +312,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, found: DataFrame, degree:
     passing = placed(met, PASSING, every("blocks"), run)
     rows = held.unionByName(passing).repartition("unit").sortWithinPartitions("unit", "role", "node")
     rest = durable(rows.mapInArrow(check, "a long, b long"))
-    out = durable(links.unionByName(stars).unionByName(rest))
-    release(known, sizes, big, hubs, told, links, stars, rest)
-    return out
+    release(big)
+    return links.unionByName(stars).unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -347,10 +342,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     texts = keyed if repeated.isEmpty() else keyed.dropDuplicates(["doc", "text_hash"])
     links = verified_links(texts, nodes, found, degree, shingle, percent, need)
     labels = connected(links).toDF("node", "component")
-    placed = durable(nodes.join(labels, "node", "left").select("node", "doc", "text_hash", F.coalesce("component", "node").alias("component")))
+    placed = nodes.join(labels, "node", "left").select("node", "doc", "text_hash", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("least"))
-    named = durable(placed.join(least, "component").select("node", "least"))
-    release(nodes, found, degree, placed)
+    named = placed.join(least, "component").select("node", "least")
     doc, other = F.col("doc"), base.where("n = 0 OR doc IS NULL")
     some = filled.join(named, "node").select("doc", "n", F.col("least.doc").alias("component"), "text_hash", F.struct("doc", "text_hash").eqNullSafe(F.col("least")).alias("first"))
     out = some.unionByName(other.select("doc", "n", doc.alias("component"), "text_hash", F.lit(True).alias("first")))
