@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,11 @@ from termweave.functions.vectors import as_doubles, cosine
 
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 ROWS_PER_BLOCK = 4096
-MAX_PIVOTS = 256
+#: Bounds what the pivot tree takes on the driver and in each task.
+MAX_PIVOTS = 4096
+#: A cell that more vectors visit is met in several runs.
+VISITS_PER_RUN = 500_000
 
-CELLS = "id string, vector array<double>, cell int, away double"
 PAIR = "core_id string, ext_id string, cos double"
 
 
@@ -38,13 +41,34 @@ def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs_above(core_ids, core: np.ndarray, ext_ids, ext: np.ndarray, threshold: float) -> Iterator[tuple]:
-    """Pairs above the threshold, one bounded product block after the other."""
+    """Pairs above the threshold, one bounded product block after the other.
+
+    The dimensions are taken by falling weight. After the leading quarter the rest of a
+    product is at most the product of the rests' lengths (Cauchy-Schwarz); where few pairs
+    of a block can still pass, only those are finished.
+    """
+    if not len(core) or not len(ext):
+        return
+    order = np.argsort(-((core * core).sum(axis=0) / len(core) + (ext * ext).sum(axis=0) / len(ext)), kind="stable")
+    head = max(1, core.shape[1] // 4)
+    core, ext = core[:, order], ext[:, order]
+    core_rest, ext_rest = (np.sqrt((x[:, head:] ** 2).sum(axis=1)) for x in (core, ext))
     for start in range(0, len(ext), ROWS_PER_BLOCK):
+        y, y_rest = ext[start : start + ROWS_PER_BLOCK], ext_rest[start : start + ROWS_PER_BLOCK]
         for left in range(0, len(core), ROWS_PER_BLOCK):
-            block = core[left : left + ROWS_PER_BLOCK] @ ext[start : start + ROWS_PER_BLOCK].T
-            i, j = np.nonzero(block > threshold)
+            x, x_rest = core[left : left + ROWS_PER_BLOCK], core_rest[left : left + ROWS_PER_BLOCK]
+            part = x[:, :head] @ y[:, :head].T
+            i, j = np.nonzero(part + np.outer(x_rest, y_rest) > threshold - 1e-9)
+            if len(i) < part.size // 16:
+                cos = part[i, j] + np.einsum("ij,ij->i", x[i, head:], y[j, head:])
+                keep = cos > threshold
+                i, j, cos = i[keep], j[keep], cos[keep]
+            else:
+                part += x[:, head:] @ y[:, head:].T
+                i, j = np.nonzero(part > threshold)
+                cos = part[i, j]
             if len(i):
-                yield core_ids[left + i], ext_ids[start + j], block[i, j]
+                yield core_ids[left + i], ext_ids[start + j], cos
 
 
 def _comparable(vectors: DataFrame) -> DataFrame:
@@ -104,74 +128,161 @@ def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.clip(vectors @ pivots.T, -1.0, 1.0)))
 
 
+class PivotTree:
+    """Two levels of pivots: each leaf pivot hangs on its nearest root, and vectors on the nearest leaf of their nearest root.
+
+    A vector within `reach` of some member of a cell is within the cell's radius plus
+    `reach` of its leaf pivot, and the same holds for the root's radius, so whole roots
+    are passed over before their leaves are looked at.
+    """
+
+    def __init__(self, vectors: np.ndarray):
+        roots = max(1, math.isqrt(len(vectors)))
+        self.roots, self.leaves = vectors[:roots], vectors
+        parent = _distances(vectors, self.roots).argmin(axis=1)
+        self.children = [np.flatnonzero(parent == r) for r in range(roots)]
+        self.root_of = parent
+
+    def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell of each vector, its distance to the cell's pivot and to the root."""
+        to_root = _distances(vectors, self.roots)
+        nearest = to_root.argmin(axis=1)
+        cell, away = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+        for r in np.unique(nearest):
+            rows = np.flatnonzero(nearest == r)
+            to_leaf = _distances(vectors[rows], self.leaves[self.children[r]])
+            best = to_leaf.argmin(axis=1)
+            cell[rows], away[rows] = self.children[r][best], to_leaf[np.arange(len(rows)), best]
+        return cell, away, to_root[np.arange(len(vectors)), nearest]
+
+    def visits(self, vectors: np.ndarray, low: np.ndarray, high: np.ndarray, root_high: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """`(row, cell)` of every cell that may hold a vector within `reach`; empty cells have a radius below any distance."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        to_root = _distances(vectors, self.roots)
+        for r, leaves in enumerate(self.children):
+            rows = np.flatnonzero(to_root[:, r] <= root_high[r] + reach)
+            if len(rows) and len(leaves):
+                to_leaf = _distances(vectors[rows], self.leaves[leaves])
+                row, leaf = np.nonzero((to_leaf <= high[leaves] + reach) & (to_leaf >= low[leaves] - reach))
+                found.append((rows[row], leaves[leaf]))
+        row, cell = (np.concatenate(x) for x in zip(*found, strict=True))
+        return row, cell
+
+
 def _cell_pairs(core: DataFrame, ext: DataFrame, threshold: float, n_core: int, rows_per_cell: int) -> DataFrame:
     """Exact join without a broadcast side.
 
-    Core vectors go to the cell of their nearest pivot. Unit vectors with cosine
-    above t are closer than sqrt(2 - 2t), so by the triangle inequality another
-    vector needs to visit only cells whose distance band it can reach. Cells and
-    visitors are cut by hash into bounded pieces; each pair meets exactly once.
+    Core vectors go to the cell of their nearest pivot; there are as many pivots as
+    cells of `rows_per_cell` vectors, up to a bound. Unit vectors with cosine above t are
+    closer than sqrt(2 - 2t), so another vector needs to visit only the cells it can
+    reach. Cells are cut by hash into pieces of `rows_per_cell` residents, and only where
+    very many vectors visit one are its residents repeated, once per run of visitors.
+    Residents come first in their sorted partition and are held; visitors stream past
+    them batch by batch. Each pair meets exactly once.
     """
-    core = core.where(F.exists("vector", lambda x: x != 0))
-    ext = ext.where(F.exists("vector", lambda x: x != 0))
-    chosen = core.orderBy(F.md5("id")).limit(MAX_PIVOTS).select("vector").toArrow()
+    wanted = min(MAX_PIVOTS, max(1, math.ceil(n_core / rows_per_cell)))
+    chosen = core.orderBy(F.md5("id")).limit(wanted).select("vector").toArrow()
     if not chosen.num_rows:
         return core.sparkSession.createDataFrame([], PAIR)
-    pivots = _unit_rows(_matrix(chosen["vector"].combine_chunks(), chosen.num_rows))
+    tree = PivotTree(_unit_rows(_matrix(chosen["vector"].combine_chunks(), chosen.num_rows)))
+    cells, roots = len(tree.leaves), len(tree.roots)
 
-    def cells_of(batch: pa.RecordBatch, away: np.ndarray, row: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
-        taken = pa.array(row)
-        columns = [batch.column("id").take(taken), batch.column("vector").take(taken), pa.array(cell.astype(np.int32)), pa.array(away)]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "vector", "cell", "away"])
+    def unit(batch: pa.RecordBatch) -> np.ndarray:
+        return _unit_rows(_matrix(batch.column("vector"), batch.num_rows))
 
-    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, root_high, n = np.full(cells, np.inf), np.full(cells, -np.inf), np.full(roots, -np.inf), np.zeros(cells, np.int64)
         for batch in batches:
-            away = _distances(_unit_rows(_matrix(batch.column("vector"), batch.num_rows)), pivots)
-            row, nearest = np.arange(batch.num_rows), away.argmin(axis=1)
-            yield cells_of(batch, away[row, nearest], row, nearest)
-
-    placed = core.select("id", "vector").mapInArrow(to_cells, CELLS)
-    # At most MAX_PIVOTS rows reach the driver.
-    bands = placed.groupBy("cell").agg(F.min("away").alias("low"), F.max("away").alias("high"), F.count(F.lit(1)).alias("n")).collect()
-    cells = np.array([b["cell"] for b in bands], dtype=int)
-    low, high = np.array([b["low"] for b in bands]), np.array([b["high"] for b in bands])
-    pieces = {b["cell"]: max(1, math.ceil(b["n"] / rows_per_cell)) for b in bands}
+            if batch.num_rows:
+                cell, away, to_root = tree.place(unit(batch))
+                np.minimum.at(low, cell, away)
+                np.maximum.at(high, cell, away)
+                np.maximum.at(root_high, tree.root_of[cell], to_root)
+                n += np.bincount(cell, minlength=cells)
+        own = np.flatnonzero(n)
+        columns = [own, low[own], high[own], n[own], root_high[tree.root_of[own]]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["cell", "low", "high", "n", "root_high"])
+
+    found = core.select("vector").mapInArrow(radii, "cell long, low double, high double, n long, root_high double")
+    low, high, root_high, residents = np.full(cells, np.inf), np.full(cells, -np.inf), np.full(roots, -np.inf), np.zeros(cells, np.int64)
+    # At most MAX_PIVOTS rows reach the driver, here and below.
+    for r in found.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.max("root_high").alias("root_high")).collect():
+        low[r["cell"]], high[r["cell"]], residents[r["cell"]] = r["low"], r["high"], r["n"]
+        root_high[tree.root_of[r["cell"]]] = max(root_high[tree.root_of[r["cell"]]], r["root_high"])
     # A margin for rounding keeps the pruning on the safe side.
     reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-6
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                n += np.bincount(tree.visits(unit(batch), low, high, root_high, reach)[1], minlength=cells)
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[own])], names=["cell", "n"])
+
+    visitors = np.zeros(cells, np.int64)
+    for r in ext.select("vector").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        visitors[r["cell"]] = r["n"]
+    pieces = np.maximum(1, -(-residents // rows_per_cell))
+    runs = np.maximum(1, -(-visitors // VISITS_PER_RUN))
+    first = np.concatenate([[0], np.cumsum(pieces * runs)])
+
+    def dealt(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, resident: bool) -> Iterator[pa.RecordBatch]:
+        """Each row once per run of its cell's visitors (residents), or once per piece of residents (visitors)."""
+        own, other = (pieces, runs) if resident else (runs, pieces)
+        hashed = np.array([zlib.crc32(x.encode()) for x in batch.column("id").to_pylist()], np.int64)
+        slot = hashed[row] % own[cell]
+        copies = other[cell]
+        again = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        row, cell, slot = (np.repeat(x, copies) for x in (row, cell, slot))
+        at = first[cell] + (slot * runs[cell] + again if resident else again * runs[cell] + slot)
+        for start in range(0, len(row), ROWS_PER_BLOCK):
+            taken = pa.array(row[start : start + ROWS_PER_BLOCK])
+            columns = [pa.array(at[start : start + ROWS_PER_BLOCK]), pa.array(np.full(len(taken), 0 if resident else 1, np.int32)), batch.column("id").take(taken), batch.column("vector").take(taken)]
+            yield pa.RecordBatch.from_arrays(columns, names=["unit", "role", "id", "vector"])
+
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, _, _ = tree.place(unit(batch)) if batch.num_rows else (np.empty(0, np.int64),) * 3
+            yield from dealt(batch, np.arange(batch.num_rows), cell, True)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from dealt(batch, *tree.visits(unit(batch), low, high, root_high, reach), False)
+
+    rows = "unit long, role int, id string, vector array<double>"
+    met = core.select("id", "vector").mapInArrow(stay, rows).unionByName(ext.select("id", "vector").mapInArrow(visit, rows))
+    n = max(1, min(int((pieces * runs)[residents > 0].sum()), 20_000))
+    ordered = met.repartition(n, "unit") if n < cells else met.repartition("unit")
+    return ordered.sortWithinPartitions("unit", "role").mapInArrow(_streamed(threshold), PAIR)
+
+
+def _streamed(threshold: float):
+    """Pairs above the threshold from rows sorted by unit, residents before visitors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held_ids, held, closed = None, [], [], None
         for batch in batches:
-            away = _distances(_unit_rows(_matrix(batch.column("vector"), batch.num_rows)), pivots[cells])
-            row, slot = np.nonzero((away <= high + reach) & (away >= low - reach))
-            yield cells_of(batch, away[row, slot], row, cells[slot])
-
-    n_ext = ext.count()
-    visitor_pieces = max(1, math.ceil(n_ext / rows_per_cell))
-    per_cell = F.coalesce(*[F.when(F.col("cell") == c, F.lit(n)) for c, n in pieces.items()])
-    resident = placed.select(
-        "id",
-        "vector",
-        "cell",
-        F.pmod(F.xxhash64("id"), per_cell).cast("int").alias("piece"),
-        F.explode(F.sequence(F.lit(0), F.lit(visitor_pieces - 1))).alias("visit"),
-    )
-    visitors = ext.select("id", "vector").mapInArrow(visits, CELLS).select(
-        "id",
-        "vector",
-        "cell",
-        F.explode(F.sequence(F.lit(0), per_cell - 1)).alias("piece"),
-        F.pmod(F.xxhash64("id"), F.lit(visitor_pieces)).cast("int").alias("visit"),
-    )
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        parts = [(np.empty(0, object), np.empty(0, object), np.empty(0))]
-        if a.num_rows and b.num_rows:
-            parts += _pairs_above(*_side(a), *_side(b), threshold)
-        core_id, ext_id, cos = (np.concatenate(column) for column in zip(*parts))
-        return pa.table({"core_id": pa.array(core_id, pa.string()), "ext_id": pa.array(ext_id, pa.string()), "cos": pa.array(cos, pa.float64())})
-
-    keys = ["cell", "piece", "visit"]
-    return resident.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInArrow(compare, PAIR)
+            if not batch.num_rows:
+                continue
+            keys = batch.column("unit").to_numpy() * 2 + batch.column("role").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                ids, vectors = _side(pa.Table.from_batches([batch.slice(a, b - a)]))
+                unit, role = divmod(int(keys[a]), 2)
+                if unit != now:
+                    now, held_ids, held, closed = unit, [], [], None
+                if role == 0:
+                    held_ids.append(ids)
+                    held.append(vectors)
+                elif held:
+                    if closed is None:
+                        closed = np.concatenate(held_ids), np.concatenate(held)
+                    for x, y, cos in _pairs_above(*closed, ids, vectors, threshold):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(cos)], names=["core_id", "ext_id", "cos"])
+
+    return run
 
 
 def pair_cosines(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -225,3 +225,45 @@ def test_text_classifier_learns_and_scores_by_its_coefficients(spark):
     assert all(scored[i].prediction == label for i, _, label in rows)
     intercept = 1 / (1 + math.exp(-model.intercept))
     assert scored[100].probability == pytest.approx(intercept) and scored[101].probability == pytest.approx(intercept)
+
+
+def test_cells_are_visited_where_they_can_hold_a_pair(spark):
+    """Clustered vectors: a visitor's copies are few, every pair is found, and a much visited cell is cut into runs."""
+    import numpy as np
+
+    from termweave.operators import similarity
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    vectors = [(centres[i % 40] + 0.05 * rng.normal(size=16)).tolist() for i in range(800)]
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(vectors)], "id string, vector array<double>")
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = {(str(i), str(j)) for i, j in zip(*np.nonzero(unit @ unit.T > 0.95))}
+    before = similarity.VISITS_PER_RUN
+    try:
+        for similarity.VISITS_PER_RUN in (before, 15):
+            found = similarity.similar_pairs(df, df, 0.95, max_bytes=0, rows_per_cell=20).collect()
+            assert len(found) == len(want) and {(r.core_id, r.ext_id) for r in found} == want
+    finally:
+        similarity.VISITS_PER_RUN = before
+    tree = similarity.PivotTree(unit[:40])
+    cell, away, to_root = tree.place(unit)
+    low, high, root_high = np.full(40, np.inf), np.full(40, -np.inf), np.full(len(tree.roots), -np.inf)
+    np.minimum.at(low, cell, away)
+    np.maximum.at(high, cell, away)
+    np.maximum.at(root_high, tree.root_of[cell], to_root)
+    row, seen = tree.visits(unit, low, high, root_high, (2 - 2 * 0.95) ** 0.5)
+    assert len(row) < 6 * len(unit) and len(set(zip(row.tolist(), seen.tolist()))) == len(row)
+
+
+def test_rest_of_a_product_is_bounded():
+    import numpy as np
+
+    from termweave.operators.similarity import _pairs_above, _unit_rows
+
+    rng = np.random.default_rng(7)
+    a, b = (_unit_rows(rng.normal(size=(n, 32)) * np.linspace(3, 0.05, 32)) for n in (300, 500))
+    ids_a, ids_b = np.array([str(i) for i in range(300)], object), np.array([str(i) for i in range(500)], object)
+    for threshold in (-1.1, 0.2, 0.9, 0.99):
+        found = {(x, y) for xs, ys, _ in _pairs_above(ids_a, a, ids_b, b, threshold) for x, y in zip(xs, ys)}
+        assert found == {(str(i), str(j)) for i, j in zip(*np.nonzero(a @ b.T > threshold))}
