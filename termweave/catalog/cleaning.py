@@ -20,6 +20,7 @@ SQL_EXTRACTION = (
     + SQL_STRIP.format(SQL_FOLD.format("text"))
     + ", 'https?:\\/\\/\\S+', '', 'g'), '[^a-zA-Z0-9\\- .,!?]', '', 'g')"
 )
+SQL_KEYWORD = r"regexp_replace(lower(regexp_replace(regexp_replace({0}, '\[.*?\]|\(.*?\)|\{{.*?\}}', '', 'g'), '[^a-zA-Z\- ]', '', 'g')), '^\s+|\s+$', '', 'g')"
 SQL_ABSTRACT = (
     "lower(regexp_replace(trim(regexp_replace(regexp_replace({0}, '[^a-zA-Z0-9 ]', ' ', 'g'), 'abstract', '', 'gi')), '\\s+', ' ', 'g'))"
 )
@@ -103,7 +104,7 @@ def extraction_clean(spark, sf):
 
 @query(
     "keyword_clean",
-    r"""SELECT page_id, regexp_replace(lower(regexp_replace(regexp_replace(html, '\[.*?\]|\(.*?\)|\{.*?\}', '', 'g'), '[^a-zA-Z\- ]', '', 'g')), '^\s+|\s+$', '', 'g') AS keyword FROM pages""",
+    f"SELECT page_id, {SQL_KEYWORD.format('html')} AS keyword FROM pages",
 )
 def keyword_clean(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.keyword_clean("html").alias("keyword"))

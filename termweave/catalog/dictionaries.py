@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from termweave.catalog.cleaning import SQL_ABSTRACT, SQL_FULLTEXT, SQL_GATE, SQL_SPLIT
 from termweave.catalog.enrichment import papers_raw
-from termweave.catalog.graphs import topics
-from termweave.catalog.registry import SQL_STOP_WORDS, documents, query, sql_id, sql_words, table
+from termweave.catalog.extraction import sql_keyphrases
+from termweave.catalog.graphs import SQL_TOPICS, topics
+from termweave.catalog.registry import SQL_CORE_RULES, SQL_STOP_WORDS, documents, query, sql_id, sql_words, table
 from termweave.catalog.shaping import SQL_KEYWORDS, doc_keywords
 from termweave.functions.text import dictionary_words
 from termweave.operators.frequency import subtract
@@ -16,13 +17,7 @@ from termweave.operators.patterns import substring_hits
 from termweave.plans import dictionaries as dic
 from termweave.plans import keyword_graph, samples
 
-SQL_CORE = f"""{SQL_KEYWORDS},
-    core_counts AS (SELECT source, keyword, count(*) AS frequency FROM doc_keywords WHERE score <= 0.1 GROUP BY ALL),
-    core_owned AS (SELECT * FROM core_counts QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY list_position(['cso', 'task', 'method'], source)) = 1),
-    core AS (
-        SELECT keyword, frequency, frequency / top AS frequency_normalized, source,
-               row_number() OVER (ORDER BY list_position(['task', 'method', 'cso'], source), frequency DESC, keyword) - 1 AS trie_id
-        FROM (SELECT *, max(frequency) OVER (PARTITION BY source) AS top FROM core_owned) WHERE length(keyword) > 3)"""
+SQL_CORE = f"{SQL_KEYWORDS}, {SQL_CORE_RULES}"
 
 SQL_EXTENDED = """extended AS (
     SELECT DISTINCT d.keyword, d.source FROM doc_keywords d WHERE score <= 0.125
@@ -78,7 +73,17 @@ def ngram_sizes(spark, sf):
     return names.groupBy(F.size(F.split("p_name", " ")).alias("n_words")).agg(F.count(F.lit(1)).alias("n_phrases"))
 
 
-@query("topic_keywords")
+@query(
+    "topic_keywords",
+    f"""WITH {SQL_TOPICS},
+    labelled AS (SELECT start_id, regexp_replace(end_id, '#0*', ' number ', 'g') AS end_id FROM topics),
+    t1 AS (SELECT end_id FROM labelled WHERE start_id = 'ASIA'),
+    t2 AS (SELECT end_id FROM labelled WHERE start_id IN (SELECT end_id FROM t1)),
+    t3 AS (SELECT end_id FROM labelled WHERE start_id IN (SELECT end_id FROM t2)),
+    met AS (SELECT end_id AS doc_id, end_id AS text, count(*) AS times FROM (FROM t1 UNION ALL FROM t2 UNION ALL FROM t3) GROUP BY end_id),
+    {sql_keyphrases('met')}
+    SELECT keyword, score, 'cso' AS source FROM (SELECT keyword, score, unnest(range(times)) FROM keyphrase_rows JOIN met USING (doc_id))""",
+)
 def topic_keywords(spark, sf):
     """Keywords extracted from the labels of all topics below a region; word names need letters."""
     labelled = topics(spark, sf).withColumn("end_id", F.regexp_replace("end_id", "#0*", " number "))
@@ -156,7 +161,10 @@ def negative_dictionary(spark, sf):
     return both.select("keyword", "source", "dict", "removed")
 
 
-@query("negative_dictionary_extracted")
+SQL_NEGATIVE_PHRASES = f"{SQL_CORE}, {SQL_NEGATIVE}, neg_texts AS (SELECT doc_id, t AS text FROM neg_docs), {sql_keyphrases('neg_texts')}"
+
+
+@query("negative_dictionary_extracted", f"WITH {SQL_NEGATIVE_PHRASES} SELECT keyword, count(*) AS frequency FROM keyphrase_rows GROUP BY keyword HAVING count(*) >= 7")
 def negative_dictionary_extracted(spark, sf):
     """The same chain with extracted key phrases instead of words."""
     extracted = keyword_rows(extract_keywords(negative_documents(spark, sf), "doc_id", "text"), "doc_id")
@@ -222,7 +230,10 @@ def keyword_lists(spark, sf):
     return samples.positive_keyword_lists(nodes, edges, targets)
 
 
-@query("negative_keyword_lists")
+@query(
+    "negative_keyword_lists",
+    f"WITH {SQL_NEGATIVE_PHRASES} SELECT doc_id, list_transform(list_filter(keywords, lambda x: x.score <= 0.1), lambda x: x.keyword) AS keywords FROM keyphrases",
+)
 def negative_keyword_lists(spark, sf):
     return samples.negative_keyword_lists(negative_documents(spark, sf), "doc_id", "text")
 

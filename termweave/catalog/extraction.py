@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termweave.catalog.cleaning import SQL_EXTRACTION
-from termweave.catalog.registry import SQL_STOP_WORDS, documents, query, table
+from termweave.catalog.cleaning import SQL_EXTRACTION, SQL_KEYWORD
+from termweave.catalog.registry import SQL_CORE_RULES, SQL_STOP_WORDS, documents, query, sql_id, table
 from termweave.functions import fixed
 from termweave.operators import keyphrase as kp
 from termweave.plans import dictionaries as dic
 from termweave.plans import keyword_graph
 
-SQL_TOKENS = f"""
-    plain AS (SELECT doc_id, {SQL_EXTRACTION} AS t FROM documents),
+
+def sql_tokens(rows: str) -> str:
+    """Tokens of `rows(doc_id, text)`."""
+    return f"""
+    plain AS (SELECT doc_id, {SQL_EXTRACTION} AS t FROM {rows}),
     parsed AS (
         SELECT doc_id, list_filter(list_transform(string_split_regex(t, '[.!?]+'),
             lambda s: list_filter(string_split_regex(replace(s, ',', ' '), '\\s+'), lambda w: regexp_matches(w, '[a-zA-Z]'))), lambda x: len(x) > 0) AS sents
@@ -20,7 +23,9 @@ SQL_TOKENS = f"""
     sent_rows AS (SELECT doc_id, len(sents) AS n_sents, unnest(sents) AS words, generate_subscripts(sents, 1) - 1 AS sent FROM parsed),
     tok AS (SELECT doc_id, n_sents, sent, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM sent_rows)"""
 
-SQL_STATS = f"""{SQL_TOKENS},
+
+def sql_stats(rows: str) -> str:
+    return f"""{sql_tokens(rows)},
     own AS (
         SELECT doc_id, lower(word) AS term, sent, count(*) AS n, sum((length(word) > 1 AND upper(word) = word)::INT) AS up,
                sum((place > 0 AND word[1] BETWEEN 'A' AND 'Z')::INT) AS cap, max(n_sents) AS n_sents
@@ -41,7 +46,9 @@ SQL_STATS = f"""{SQL_TOKENS},
                coalesce(right_terms, 0) AS right_terms, coalesce(right_total, 0) AS right_total
         FROM occ LEFT JOIN lefts USING (doc_id, term) LEFT JOIN rights USING (doc_id, term))"""
 
-SQL_SCORES = f"""{SQL_STATS},
+
+def sql_scores(rows: str) -> str:
+    return f"""{sql_stats(rows)},
     spread AS (SELECT doc_id, max(tf) AS max_tf, coalesce(avg(tf) FILTER (term NOT IN ({SQL_STOP_WORDS})) + stddev_pop(tf) FILTER (term NOT IN ({SQL_STOP_WORDS})), 0) AS spread
                FROM stats GROUP BY doc_id),
     parts AS (
@@ -50,6 +57,7 @@ SQL_SCORES = f"""{SQL_STATS},
         FROM stats JOIN spread USING (doc_id)),
     scores AS (SELECT doc_id, term, tf, rel * tpos / (tcase + tfreq / rel + (sents / n_sents) / rel) AS score FROM parts)"""
 
+
 SQL_CANDIDATES = f"""
     run_words AS (SELECT doc_id, lower(word) AS w1, lower(lead(word, 1) OVER o) AS w2, lower(lead(word, 2) OVER o) AS w3 FROM tok WINDOW o AS (PARTITION BY doc_id, sent ORDER BY place)),
     runs AS (
@@ -59,31 +67,48 @@ SQL_CANDIDATES = f"""
     candidates AS (SELECT doc_id, terms, count(*) AS tf FROM runs GROUP BY ALL)"""
 
 
+SQL_PHRASES = f"""{SQL_CANDIDATES},
+    phrase_terms AS (SELECT doc_id, terms, tf, unnest(terms) AS term FROM candidates),
+    phrases AS (
+        SELECT doc_id, array_to_string(terms, ' ') AS phrase, p.tf, product(score) / (p.tf * (1 + sum(score))) AS score
+        FROM phrase_terms p JOIN scores USING (doc_id, term) GROUP BY doc_id, terms, p.tf)"""
+
+
+def sql_keyphrases(rows: str) -> str:
+    """`keyphrases(doc_id, keywords)` of `rows(doc_id, text)`: the best phrases in order, near copies of a taken one left out, cleaned, short ones dropped."""
+    return f"""{sql_scores(rows)}, {SQL_PHRASES},
+    ranked AS (SELECT doc_id, list([{{'keyword': phrase, 'score': s}}] ORDER BY s, phrase) AS r FROM (SELECT doc_id, phrase, round(score, 9) AS s FROM phrases) GROUP BY doc_id),
+    taken AS (
+        SELECT doc_id, list_reduce(r, lambda kept, c: CASE WHEN len(kept) < {kp.TOP} AND len(list_filter(kept, lambda k:
+            1 - levenshtein(k.keyword, c[1].keyword) / greatest(length(k.keyword), length(c[1].keyword)) > {kp.DEDUP_LIMIT})) = 0 THEN list_concat(kept, c) ELSE kept END) AS k FROM ranked),
+    named AS (SELECT doc_id, list_transform(k, lambda x: {{'keyword': {SQL_KEYWORD.format("x.keyword")}, 'score': x.score}}) AS k FROM taken),
+    keyphrases AS (
+        SELECT i.doc_id, coalesce(list_filter(k, lambda x: length(x.keyword) > {fixed.MIN_KEYWORD_CHARS}), []) AS keywords FROM {rows} i LEFT JOIN named ON named.doc_id = i.doc_id),
+    keyphrase_rows AS (SELECT doc_id, x.keyword, x.score FROM (SELECT doc_id, unnest(keywords) AS x FROM keyphrases))"""
+
+
 def texts(spark, sf):
     return documents(spark, sf).select("doc_id", "text")
 
 
-@query("keyphrases_term_stats", f"WITH {SQL_STATS} SELECT * FROM stats")
+@query("keyphrases_term_stats", f"WITH {sql_stats('documents')} SELECT * FROM stats")
 def term_stats(spark, sf):
     return kp.term_statistics(texts(spark, sf), "doc_id", "text")
 
 
-@query("keyphrases_term_scores", f"WITH {SQL_SCORES} SELECT doc_id, term, tf, round(score, 6) AS score FROM scores")
+@query("keyphrases_term_scores", f"WITH {sql_scores('documents')} SELECT doc_id, term, tf, round(score, 6) AS score FROM scores")
 def term_scores(spark, sf):
     return kp.term_scores(kp.term_statistics(texts(spark, sf), "doc_id", "text"), "doc_id").withColumn("score", F.round("score", 6))
 
 
-@query("keyphrases_candidates", f"WITH {SQL_TOKENS}, {SQL_CANDIDATES} SELECT doc_id, array_to_string(terms, ' ') AS phrase, tf FROM candidates")
+@query("keyphrases_candidates", f"WITH {sql_tokens('documents')}, {SQL_CANDIDATES} SELECT doc_id, array_to_string(terms, ' ') AS phrase, tf FROM candidates")
 def candidates(spark, sf):
     return kp.candidate_phrases(texts(spark, sf), "doc_id", "text")
 
 
 @query(
     "keyphrases_phrase_scores",
-    f"""WITH {SQL_SCORES}, {SQL_CANDIDATES},
-    p AS (SELECT doc_id, terms, tf, unnest(terms) AS term FROM candidates),
-    s AS (SELECT doc_id, terms, p.tf, product(score) AS prod, sum(score) AS total FROM p JOIN scores USING (doc_id, term) GROUP BY doc_id, terms, p.tf)
-    SELECT doc_id, array_to_string(terms, ' ') AS phrase, tf, round(prod / (tf * (1 + total)), 6) AS score FROM s""",
+    f"WITH {sql_scores('documents')}, {SQL_PHRASES} SELECT doc_id, phrase, tf, round(score, 6) AS score FROM phrases",
 )
 def phrase_scores(spark, sf):
     docs = texts(spark, sf)
@@ -92,12 +117,17 @@ def phrase_scores(spark, sf):
     return scored.withColumn("score", F.round("score", 6))
 
 
-@query("keyphrases_top10")
+@query("keyphrases_top10", f"WITH {sql_keyphrases('documents')} SELECT * FROM keyphrases")
 def top10(spark, sf):
     return kp.extract_keywords(texts(spark, sf), "doc_id", "text")
 
 
-@query("keyphrases_in_chunks")
+@query(
+    "keyphrases_in_chunks",
+    f"""WITH turns AS (SELECT conv_id * 1000 + turn AS doc_id, text, string_split_regex(lower(text), '[.!?]') AS chunks FROM conversations), {sql_keyphrases('turns')}
+    SELECT k.doc_id AS id, list_filter(keywords, lambda x: len(list_filter(chunks, lambda c: contains(c, x.keyword))) > 0) AS keywords
+    FROM keyphrases k JOIN turns USING (doc_id)""",
+)
 def keyphrases_in_chunks(spark, sf):
     """Extraction with noun chunks from an input column; whole sentences stand in for them."""
     turns = table(spark, sf, "conversations").select(
@@ -106,13 +136,21 @@ def keyphrases_in_chunks(spark, sf):
     return kp.extract_keywords(turns, "id", "text", chunks="chunks")
 
 
-@query("extracted_keyword_edges")
+@query(
+    "extracted_keyword_edges",
+    f"""WITH {sql_keyphrases('documents')}
+    SELECT doc_id::VARCHAR AS ":START_ID", {sql_id("'keyword/' || keyword")} AS ":END_ID", score, 'abstract' AS source, 'HAS_KEYWORD' AS ":TYPE" FROM keyphrase_rows""",
+)
 def extracted_keyword_edges(spark, sf):
     found = kp.extract_keywords(texts(spark, sf), "doc_id", "text")
     return keyword_graph.keyword_edges(keyword_graph.keyword_list(found, "doc_id", "keywords", "abstract"))
 
 
-@query("extracted_core_dictionary")
+@query(
+    "extracted_core_dictionary",
+    f"""WITH {sql_keyphrases('documents')}, doc_keywords AS (SELECT keyword, score, {list(fixed.SOURCE_PRECEDENCE_CORE)}[doc_id % 3 + 1] AS source FROM keyphrase_rows), {SQL_CORE_RULES}
+    SELECT * FROM core""",
+)
 def extracted_core_dictionary(spark, sf):
     """Core dictionary from extracted key phrases of three document groups."""
     found = kp.keyword_rows(kp.extract_keywords(texts(spark, sf), "doc_id", "text"), "doc_id")

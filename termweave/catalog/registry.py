@@ -150,3 +150,12 @@ def sql_greedy(source: str, key: str) -> str:
         FROM longest l JOIN prefixes p ON p.prefix = l.phrase AND p.is_terminal
         ANTI JOIN covered c ON c.k = l.k AND c.pos = l.pos
     )"""
+
+# The core dictionary from `doc_keywords(keyword, score, source)`.
+SQL_CORE_RULES = """
+    core_counts AS (SELECT source, keyword, count(*) AS frequency FROM doc_keywords WHERE score <= 0.1 GROUP BY ALL),
+    core_owned AS (SELECT * FROM core_counts QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY list_position(['cso', 'task', 'method'], source)) = 1),
+    core AS (
+        SELECT keyword, frequency, frequency / top AS frequency_normalized, source,
+               row_number() OVER (ORDER BY list_position(['task', 'method', 'cso'], source), frequency DESC, keyword) - 1 AS trie_id
+        FROM (SELECT *, max(frequency) OVER (PARTITION BY source) AS top FROM core_owned) WHERE length(keyword) > 3)"""

@@ -1,15 +1,24 @@
 """Key-phrase extraction from term statistics (Campos et al., Information Sciences 509, 2020).
 
-Every statistic is a count per document and term. The cleaned texts are hash
-partitioned by document once; all later groupings and windows contain the document
-key, so they run on that partitioning and the much larger token rows never move.
+Every statistic is a count per document and term, and a row holds the whole document, so
+everything is counted where the text is read and no token moves: one pass codes the tokens
+of a run of documents as whole numbers and counts terms, sentences, neighbours and
+candidate phrases of all of them by sorting arrays. Cleaning before the pass, and choice,
+cleaning and lemmas of the key phrases behind it, are native expressions.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termweave.functions.fixed import ENGLISH_STOP_WORDS
 from termweave.functions.text import extraction_clean, keyword_clean, keywords_in_chunks, long_keywords
@@ -21,70 +30,176 @@ WINDOW = 5
 TOP = 10
 DEDUP_LIMIT = 0.2
 
-
-def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """`(key, n_sents, sent, words, terms)`, one row per sentence with at least one word.
-
-    Texts are parsed before the shuffle, so every consumer reads the same exchange.
-    `terms` are the lower-cased words, made once per sentence.
-    """
-    worded = F.transform(
-        F.split(extraction_clean(text), r"[.!?]+"),
-        lambda s: F.filter(F.split(F.translate(s, ",\t\n\r", "    "), " +"), lambda w: F.upper(w) != F.lower(w)),
-    )
-    parsed = docs.select(key, F.filter(worded, lambda words: F.size(words) > 0).alias("_sents")).repartition(F.col(key))
-    both = F.transform(
-        "_sents",
-        lambda words, i: F.struct(i.alias("sent"), words.alias("words"), F.transform(words, F.lower).alias("terms")),
-    )
-    return parsed.select(key, F.size("_sents").alias("n_sents"), F.inline(both))
-
-
-def _neighbours(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """Per term: how many different words stand up to `window` words before and behind it, and how often."""
-    tokens = sentences(docs, key, text).select(key, "sent", F.posexplode("terms").alias("at", "term"))
-    in_sentence = W.partitionBy(key, "sent").orderBy("at")
-    before = F.array(*[F.lag("term", i).over(in_sentence) for i in range(1, window + 1)])
-    pairs = tokens.select(key, "term", before.alias("_before")).select(key, "term", F.explode("_before").alias("other"))
-    counted = pairs.where(F.col("other").isNotNull()).groupBy(key, "term", "other").agg(F.count(F.lit(1)).alias("n"))
-
-    def side(term: str, left: Column, right: Column) -> Column:
-        return F.struct(F.col(term).alias("seen"), left.alias("left"), right.alias("right"))
-
-    # A pair says something about both of its terms.
-    none = F.lit(0).cast("long")
-    sides = F.array(side("term", F.col("n"), none), side("other", none, F.col("n")))
-    return counted.select(key, F.inline(sides)).groupBy(key, F.col("seen").alias("term")).agg(
-        F.count(F.when(F.col("left") > 0, 1)).alias("left_terms"),
-        F.sum("left").alias("left_total"),
-        F.count(F.when(F.col("right") > 0, 1)).alias("right_terms"),
-        F.sum("right").alias("right_total"),
-    )
+#: Documents are analysed in runs of about so many bytes.
+RUN_BYTES = 1_000_000
+#: A worker remembers so many word forms; when full it starts anew, which costs time only.
+REMEMBERED = 100_000
+SENTENCE_END = re.compile(r"[.!?]+")
+
+STATISTICS = "tf long, tf_upper long, tf_capital long, sents long, median_sent double, n_sents long, left_terms long, left_total long, right_terms long, right_total long"
+TERMS = f"array<struct<term string, {STATISTICS}, score double>>"
+PHRASES = "array<struct<phrase string, tf long, score double>>"
+
+
+class Words(dict):
+    """For a word form its lower-case term and whether it is in capitals (1) or starts with one (2); None without a letter."""
+
+    def __missing__(self, word: str):
+        if len(self) >= REMEMBERED:
+            self.clear()
+        lower = word.lower()
+        value = None if lower == word.upper() else (lower, (len(word) > 1 and word.isupper()) + 2 * ("A" <= word[0] <= "Z"))
+        self[word] = value
+        return value
+
+
+class Tokens:
+    """The tokens of a run of cleaned texts as arrays: term code, sentence, flags; terms are told apart by document."""
+
+    def __init__(self, texts: list[str | None], words: Words):
+        self.terms: list[str] = []
+        term_doc, code, sent, flags, whole, self.n_sents = [], [], [], [], [], np.zeros(len(texts), np.int64)
+        total = 0
+        for d, text in enumerate(texts):
+            own: dict[str, int] = {}
+            first, n = len(self.terms), 0
+            for part in SENTENCE_END.split(text) if text else ():
+                found = [x for x in map(words.__getitem__, part.replace(",", " ").split()) if x]
+                if found:
+                    code += [own.setdefault(term, first + len(own)) for term, _ in found]
+                    flags += [found[0][1] & 1, *(f for _, f in found[1:])]  # the first word's capital says nothing
+                    sent += [n] * len(found)
+                    whole += [total] * len(found)
+                    n, total = n + 1, total + 1
+            self.terms += own
+            term_doc += [d] * len(own)
+            self.n_sents[d] = n
+        self.code, self.sent, self.flags, self.whole = (np.array(x, np.int64) for x in (code, sent, flags, whole))
+        self.term_doc = np.array(term_doc, np.int64)
+
+    def statistics(self, window: int) -> dict[str, np.ndarray]:
+        n = len(self.terms)
+
+        def counted(at: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+            return np.bincount(at, weights=weights, minlength=n).astype(np.int64)
+
+        span = int(self.sent.max()) + 1 if len(self.sent) else 1
+        held = np.unique(self.code * span + self.sent)
+        sents = counted(held // span)
+        start = np.cumsum(sents) - sents
+        middle = (held[start + (sents - 1) // 2] % span + held[start + sents // 2] % span) / 2 if n else np.empty(0)
+        keys = [np.empty(0, np.int64)]
+        for i in range(1, window + 1):
+            near = self.whole[i:] == self.whole[:-i]
+            keys.append(self.code[i:][near] * n + self.code[:-i][near])
+        pairs, times = np.unique(np.concatenate(keys), return_counts=True)
+        behind, before = (pairs // n, pairs % n) if n else (pairs, pairs)
+        return {
+            "tf": counted(self.code),
+            "tf_upper": counted(self.code, self.flags & 1),
+            "tf_capital": counted(self.code, self.flags >> 1),
+            "sents": sents,
+            "median_sent": middle,
+            "n_sents": self.n_sents[self.term_doc],
+            "left_terms": counted(behind),
+            "left_total": counted(behind, times),
+            "right_terms": counted(before),
+            "right_total": counted(before, times),
+        }
+
+    def scores(self, s: dict[str, np.ndarray], stop: np.ndarray) -> np.ndarray:
+        """A lower score marks a more telling term."""
+        docs, content = len(self.n_sents), ~stop
+        tf, doc = s["tf"].astype(float), self.term_doc
+        n = np.maximum(1, np.bincount(doc[content], minlength=docs))
+        mean = np.bincount(doc[content], weights=tf[content], minlength=docs) / n
+        spread = (mean + np.sqrt(np.bincount(doc[content], weights=(tf[content] - mean[doc[content]]) ** 2, minlength=docs) / n))[doc]
+        most = np.zeros(docs)
+        np.maximum.at(most, doc, tf)
+        case = np.maximum(s["tf_upper"], s["tf_capital"]) / (1 + np.log(tf))
+        position = np.log(np.log(3 + s["median_sent"]))
+        frequency = np.where(spread > 0, tf / np.where(spread > 0, spread, 1), tf)
+        diverse = s["left_terms"] / np.maximum(1, s["left_total"]) + s["right_terms"] / np.maximum(1, s["right_total"])
+        related = 1 + diverse * tf / most[doc]
+        return related * position / (case + frequency / related + s["sents"] / s["n_sents"] / related)
+
+    def phrases(self, stop: np.ndarray, scores: np.ndarray, longest: int) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Document, words, count and score of each candidate, by document: runs within a sentence, no stop word at either end."""
+        docs, texts, counts, values = [np.empty(0, np.int64)], [], [np.empty(0, np.int64)], [np.empty(0)]
+        for n in range(1, longest + 1):
+            at = np.arange(len(self.code) - n + 1)
+            last = at + n - 1
+            at = at[(self.whole[at] == self.whole[last]) & ~stop[self.code[at]] & ~stop[self.code[last]]]
+            runs = self.code[at[:, None] + np.arange(n)]
+            _, first, tf = np.unique(_row_keys(runs, len(self.terms)), return_index=True, return_counts=True)
+            runs = runs[first]
+            parts = scores[runs]
+            docs.append(self.term_doc[runs[:, 0]])
+            texts += [" ".join([self.terms[c] for c in run]) for run in runs.tolist()]
+            counts.append(tf)
+            values.append(parts.prod(axis=1) / (tf * (1 + parts.sum(axis=1))))
+        doc = np.concatenate(docs)
+        order = np.argsort(doc, kind="stable")
+        return doc[order], [texts[i] for i in order.tolist()], np.concatenate(counts)[order], np.concatenate(values)[order]
+
+
+def _row_keys(rows: np.ndarray, codes: int) -> np.ndarray:
+    """One sortable value for each row of codes: a number where it fits 64 bits."""
+    width = rows.shape[1]
+    if codes**width >= 1 << 62:
+        return np.ascontiguousarray(rows).view([("", rows.dtype)] * width).ravel()
+    key = rows[:, 0]
+    for i in range(1, width):
+        key = key * codes + rows[:, i]
+    return key
+
+
+def _lists(doc: np.ndarray, docs: int, columns: dict[str, pa.Array]) -> pa.Array:
+    offsets = np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
+
+
+def analysed(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    wanted: str,
+    stop_words: list[str] | None = None,
+    window: int = WINDOW,
+    max_words: int = MAX_WORDS,
+    carried: tuple[str, ...] = (),
+) -> DataFrame:
+    """`(key, carried columns, terms or phrases)`, one row per document: the statistics of its terms or its scored candidate phrases."""
+    stops = frozenset(ENGLISH_STOP_WORDS if stop_words is None else stop_words)
+    kept = [key, *carried]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column("_plain")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part_of = (np.cumsum(size) - size) // RUN_BYTES
+            edges = [*np.flatnonzero(np.diff(part_of, prepend=-1)).tolist(), len(size)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                part = batch.slice(a, b - a)
+                tokens = Tokens(part.column("_plain").to_pylist(), words)
+                counts = tokens.statistics(window)
+                stop = np.array([t in stops for t in tokens.terms], bool)
+                scores = tokens.scores(counts, stop)
+                if wanted == "terms":
+                    made = _lists(tokens.term_doc, b - a, {"term": pa.array(tokens.terms, pa.string()), **{k: pa.array(v) for k, v in counts.items()}, "score": pa.array(scores)})
+                else:
+                    doc, texts, tf, score = tokens.phrases(stop, scores, max_words)
+                    made = _lists(doc, b - a, {"phrase": pa.array(texts, pa.string()), "tf": pa.array(tf), "score": pa.array(score)})
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), made], names=[*kept, wanted])
+
+    plain = docs.select(*kept, extraction_clean(text).alias("_plain"))
+    made = T.StructType.fromDDL(f"{wanted} {TERMS if wanted == 'terms' else PHRASES}")
+    return plain.mapInArrow(run, T.StructType([*plain.select(*kept).schema.fields, *made.fields]))
 
 
 def term_statistics(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> DataFrame:
-    """Counts per document and term that the term score is made of."""
-    zipped = F.posexplode(F.arrays_zip("words", "terms")).alias("at", "w")
-    words = sentences(docs, key, text).select(key, "n_sents", "sent", zipped)
-    word = F.col("w.words")
-    is_upper = (F.length(word) > 1) & (F.upper(word) == word)
-    is_capital = (F.col("at") > 0) & F.substring(word, 1, 1).between("A", "Z")
-    by_sentence = words.groupBy(key, F.col("w.terms").alias("term"), "sent").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(is_upper.cast("int")).alias("upper"),
-        F.sum(is_capital.cast("int")).alias("capital"),
-        F.max("n_sents").alias("n_sents"),
-    )
-    occurrences = by_sentence.groupBy(key, "term").agg(
-        F.sum("n").alias("tf"),
-        F.sum("upper").alias("tf_upper"),
-        F.sum("capital").alias("tf_capital"),
-        F.count(F.lit(1)).alias("sents"),
-        F.median("sent").alias("median_sent"),
-        F.max("n_sents").cast("long").alias("n_sents"),
-    )
-    joined = occurrences.join(_neighbours(docs, key, text, window), [key, "term"], "left")
-    return joined.na.fill(0, ["left_terms", "left_total", "right_terms", "right_total"])
+    """Counts per document and term that the term score is made of. Rows that repeat a key are documents of their own."""
+    return analysed(docs, key, text, "terms", window=window).select(key, F.inline("terms")).drop("score")
 
 
 def term_scores(statistics: DataFrame, key: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -110,18 +225,8 @@ def term_scores(statistics: DataFrame, key: str, stop_words: list[str] | None =
 
 def candidate_phrases(docs: DataFrame, key: str, text: str, max_words: int = MAX_WORDS, stop_words: list[str] | None = None) -> DataFrame:
     """`(key, phrase, tf)`: runs of up to `max_words` words within a sentence, no stop word at either end."""
-    stop_words = ENGLISH_STOP_WORDS if stop_words is None else stop_words
-    size = F.size("terms")
-
-    def runs_from(term: Column, i: Column) -> Column:
-        longest = F.least(size - i, F.lit(max_words))
-        ends = F.filter(F.sequence(F.lit(1), longest), lambda n: ~F.get("terms", i + n - 1).isin(stop_words))
-        return F.when(term.isin(stop_words), none).otherwise(F.transform(ends, lambda n: F.array_join(F.slice("terms", i + 1, n), " ")))
-
-    none = F.array().cast("array<string>")
-    open_ended = F.flatten(F.transform("terms", runs_from))
-    exploded = sentences(docs, key, text).select(key, F.explode(open_ended).alias("phrase"))
-    return exploded.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("tf"))
+    found = analysed(docs, key, text, "phrases", stop_words, max_words=max_words)
+    return found.select(key, F.inline("phrases")).select(key, "phrase", "tf")
 
 
 def phrase_scores(candidates: DataFrame, terms: DataFrame, key: str) -> DataFrame:
@@ -133,28 +238,31 @@ def phrase_scores(candidates: DataFrame, terms: DataFrame, key: str) -> DataFram
 
 
 def distinct_best(scored: DataFrame, key: str, top: int = TOP, limit: float = DEDUP_LIMIT) -> DataFrame:
-    """`(key, keywords)`: best phrases first, without near copies of an already taken one.
+    """`(key, keywords)` of scored phrases in rows: see `best_of`."""
+    listed = scored.groupBy(key).agg(F.collect_list(F.struct("phrase", "score")).alias("_scored"))
+    return listed.select(key, best_of("_scored", top, limit).alias("keywords"))
+
+
+def best_of(scored: str, top: int = TOP, limit: float = DEDUP_LIMIT) -> Column:
+    """Best phrases first, without near copies of an already taken one, from a list of `(phrase, score)`.
 
     The list is bounded by the phrases of one document. Scores are compared at nine
     digits with the phrase as tie-break, so the order does not depend on how the
     floating point sums were grouped.
     """
-    ranked = scored.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.round("score", 9).alias("score"), F.col("phrase").alias("keyword")))).alias("_ranked")
-    )
+    ranked = F.array_sort(F.transform(scored, lambda p: F.struct(F.round(p["score"], 9).alias("score"), p["phrase"].alias("keyword"))))
 
     def unlike(a: Column, b: Column) -> Column:
         return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)) <= limit
 
     taken = F.aggregate(
-        "_ranked",
-        F.slice("_ranked", 1, 0),
+        ranked,
+        F.slice(ranked, 1, 0),
         lambda kept, c: F.when(
             (F.size(kept) < top) & F.forall(kept, lambda k: unlike(k["keyword"], c["keyword"])), F.concat(kept, F.array(c))
         ).otherwise(kept),
     )
-    swapped = F.transform(taken, lambda k: F.struct(k["keyword"], k["score"]))
-    return ranked.select(key, swapped.alias("keywords"))
+    return F.transform(taken, lambda k: F.struct(k["keyword"], k["score"]))
 
 
 def extract_keywords(
@@ -170,12 +278,9 @@ def extract_keywords(
     Optional refinement: keep only keywords inside a noun chunk (`chunks`, a list
     column of `docs`) and lemmatise their words by a table.
     """
-    terms = term_scores(term_statistics(docs, key, text), key, stop_words)
-    best = distinct_best(phrase_scores(candidate_phrases(docs, key, text, stop_words=stop_words), terms, key), key)
-    columns = [key] + ([chunks] if chunks else [])
-    joined = docs.select(*columns).join(best, key, "left")
+    found = analysed(docs, key, text, "phrases", stop_words, carried=(chunks,) if chunks else ()).withColumn("keywords", best_of("phrases"))
     cleaned = F.transform("keywords", lambda k: F.struct(keyword_clean(k["keyword"]).alias("keyword"), k["score"].alias("score")))
-    found = joined.withColumn("keywords", cleaned)
+    found = found.withColumn("keywords", cleaned).drop("phrases")
     if chunks:
         inside = keywords_in_chunks(F.col("keywords.keyword"), chunks)
         found = found.withColumn("keywords", F.filter("keywords", lambda k: F.array_contains(inside, k["keyword"])))

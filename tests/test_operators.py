@@ -168,6 +168,10 @@ def test_keyphrases_equal_brute_force(spark):
         expected = brute_keywords(re.sub(r"[^a-zA-Z0-9- .,!?]", "", texts[r.doc]))
         assert [k.keyword for k in r.keywords] == [p for _, p in expected]
         assert [k.score for k in r.keywords] == pytest.approx([s for s, _ in expected], abs=1e-8)
+    whole = keyphrase.analysed(docs, "doc", "text", "phrases").withColumn("keywords", keyphrase.best_of("phrases"))
+    assert {r.doc: r.keywords for r in whole.collect()} == {r.doc: r.keywords for r in best.collect()}
+    plan = keyphrase.extract_keywords(docs, "doc", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
 
 
 def test_extraction_handles_empty_and_options(spark):

@@ -10,8 +10,10 @@ from tools.check_queries import compare, connect
 SF = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
-# Model fits take long and have no SQL; they are run by the checking tool.
-SLOW = {"batch_score", "source_classifier", "negative_dictionary_extracted", "extracted_core_dictionary", "extracted_keyword_edges", "negative_keyword_lists"}
+
+
+# No key phrase reaches the negative dictionary's seven documents in the smallest tables.
+EMPTY = {"negative_dictionary_extracted"}
 
 
 @pytest.fixture(scope="module")
@@ -19,10 +21,10 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     problem = compare(QUERIES[name](spark, SF), con, ORACLES.get(name))
-    assert problem is None or problem.startswith("rows only") and problem != "rows only: 0", problem
+    assert problem is None or (name in EMPTY and problem == "DIFF empty on both sides") or problem.startswith("rows only") and problem != "rows only: 0", problem
 
 
 def test_every_sql_has_its_query():
