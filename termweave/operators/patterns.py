@@ -7,7 +7,6 @@ of a pattern is compared with it byte by byte.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termweave.operators import scan
+from termweave.operators.membership import KeyFilter, mixed
 
 # A regular expression tries its alternatives one after the other, the index all at once.
 MAX_ALTERNATIVES = 64
@@ -111,8 +111,8 @@ class PatternIndex:
         found = best >= 0
         return at[found], best[found]
 
-    def search(self, texts: pa.Array, free_only: bool) -> pa.Array:
-        """Per text the longest pattern at every start, or only at those outside an earlier hit."""
+    def search(self, texts: pa.Array) -> pa.Array:
+        """Per text the longest pattern at every start outside an earlier hit."""
         texts = pc.fill_null(texts, "")
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
         block = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
@@ -122,9 +122,8 @@ class PatternIndex:
             data = np.frombuffer(b"".join(t.as_buffer() for t in texts.slice(first, last - first)), np.uint8)
             bounds = np.cumsum(sizes[first:last])
             at, pattern = self.longest(data, bounds)
-            if free_only:
-                free = scan.visited(at, self.sizes[pattern])
-                at, pattern = at[free], pattern[free]
+            free = scan.visited(at, self.sizes[pattern])
+            at, pattern = at[free], pattern[free]
             row = np.searchsorted(bounds, at, side="right")
             positions.append(at - (bounds - sizes[first:last])[row])
             patterns.append(pattern)
@@ -153,11 +152,10 @@ def substring_hits(
     """`(key, hits array<string>)`: at every free position the longest pattern wins.
 
     Few patterns become one alternation, longest first, evaluated natively. More are
-    searched by their window hashes. Patterns that exceed the checked size are cut into
-    slices by hash, and the texts are read once per slice; each slice gives its longest
-    match per position and the choice is made per document over all slices, so the
-    result does not depend on the slicing. Null texts have no hit; every row of `docs`
-    gives one row, whatever its key.
+    searched by their window hashes, sent to every task. Patterns that exceed the checked
+    size stay distributed: a compact filter of them is sent, and windows that pass it are
+    joined with the patterns. All ways give the same result. Null texts have no hit; every
+    row of `docs` gives one row, whatever its key.
     """
     distinct = patterns.select(F.col(pattern).alias("pattern")).where(F.length(pattern) > 0).distinct()
     size = distinct.agg(
@@ -173,18 +171,79 @@ def substring_hits(
         return docs.select(key, F.coalesce(found, empty).alias("hits"))
 
     rows = docs.select(key, F.col(text).alias("text"))
-    slices = math.ceil(size["bytes"] / max_bytes)
-    if slices == 1:
-        found = _searched(rows, distinct, free_only=True)
+    if size["bytes"] <= max_bytes:
+        found = _searched(rows, distinct)
     else:
-        told = rows.withColumn("_row", F.md5("text"))
-        sliced = distinct.withColumn("_slice", F.pmod(F.xxhash64("pattern"), F.lit(slices)))
-        parts = [_searched(told, sliced.where(F.col("_slice") == i), free_only=False) for i in range(slices)]
-        found = scan.merged(parts, [key], "_row", "greedy")
+        found = _filtered(rows, distinct, size["n"])
     return found.select(key, F.col("hits.phrase").alias("hits"))
 
 
-def _searched(rows: DataFrame, patterns: DataFrame, free_only: bool) -> DataFrame:
+LETTERS = np.random.default_rng(0).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _window_keys(hashes: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    return mixed(hashes + np.asarray(length, np.uint64) * np.uint64(BASE))
+
+
+def _pattern_keys(batch: pa.RecordBatch) -> np.ndarray:
+    encoded = [p.encode() for p in batch.column("pattern").to_pylist()]
+    sizes = np.array([len(p) for p in encoded], np.int64)
+    data = np.frombuffer(b"".join(encoded), np.uint8)
+    return _window_keys(Windows(data, LETTERS).hashes(np.cumsum(sizes) - sizes, sizes), sizes) if len(sizes) else np.empty(0, np.uint64)
+
+
+def _text(window: bytes) -> str | None:
+    """The characters of a window, if it starts and ends where characters do."""
+    try:
+        return window.decode()
+    except UnicodeDecodeError:
+        return None
+
+
+def _filtered(rows: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
+    """`rows` with the list `hits` in place of `text`, for patterns that stay distributed.
+
+    One pass over the texts tests the windows of every pattern length against a compact
+    filter of the patterns. Windows that pass are joined with the patterns, which decides,
+    and the hits of a text are chosen where they meet again.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(KeyFilter.of(patterns, _pattern_keys, n))
+    # One row per pattern length.
+    lengths = sorted(r["n"] for r in patterns.select(F.octet_length("pattern").alias("n")).distinct().collect())
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.encode() for x in pc.fill_null(batch.column("text"), "").to_pylist()]
+            told = pa.StructArray.from_arrays([batch.column(f.name) for f in kept], names=[f.name for f in kept])
+            ids = batch.column("_row").to_pylist()
+            for i, text in enumerate(texts):
+                at, size = [-1], [0]
+                if text:
+                    data = np.frombuffer(text, np.uint8)
+                    for first in range(0, len(data), BLOCK_BYTES):  # blocks overlap by the longest pattern
+                        block = data[first : first + BLOCK_BYTES + lengths[-1]]
+                        windows = Windows(block, LETTERS)
+                        for length in lengths:
+                            every = np.arange(max(0, min(BLOCK_BYTES, len(block) - length + 1)))
+                            found = every[shared.value.may_hold(_window_keys(windows.hashes(every, length), length))] + first
+                            at += found.tolist()
+                            size += [length] * len(found)
+                whole = [(a, n, cut) for a, n in zip(at[1:], size[1:], strict=True) if (cut := _text(text[a : a + n])) is not None]
+                at, size, cut = (list(x) for x in zip((-1, 0, f"\0{ids[i]}"), *whole, strict=True))
+                number = pa.array([ids[i]] * len(at), pa.int64())
+                columns = [number, told.take(pa.array([i, *[None] * (len(at) - 1)], pa.int64())), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(cut, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_row", "_told", "pos", "n", "prefix"])
+
+    columns = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kept)
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    candidates = numbered.mapInArrow(run, f"_row long, _told struct<{columns}>, pos int, n int, prefix string")
+    none = F.lit(None)
+    table = patterns.select(F.col("pattern").alias("prefix"), F.octet_length("pattern").alias("depth"), F.lit(True).alias("is_terminal"), none.cast("long").alias("value"), none.cast("double").alias("weight"))
+    return scan.merged(candidates, table, "greedy")
+
+
+def _searched(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """`rows` with the list `hits` in place of `text`."""
     index = PatternIndex(patterns.select("pattern").toArrow()["pattern"].combine_chunks().cast(pa.string()))
     shared = rows.sparkSession.sparkContext.broadcast(index)
@@ -194,7 +253,7 @@ def _searched(rows: DataFrame, patterns: DataFrame, free_only: bool) -> DataFram
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, shared.value.search(batch.column("text"), free_only)], names=[*names, "hits"])
+            yield pa.RecordBatch.from_arrays([*columns, shared.value.search(batch.column("text"))], names=[*names, "hits"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
     return rows.mapInArrow(search, ", ".join([*fields, f"hits array<{scan.HIT}>"]))

@@ -7,12 +7,12 @@ length of the longest prefix starting at word i, the visited starts are those no
 covered by an earlier visited interval [j, j + L(j)), and a visited start is a hit
 when its longest prefix is a phrase.
 
-The words are never moved. A dictionary that was measured to be small is sent to every
-task as sorted arrays, which walk whole batches of documents. A larger one is cut by a
-hash of the phrase into slices of that size, each with all prefixes of its phrases, and
-the texts are read once per slice: the longest prefix at a start is the longest of the
-slices, so only starts meet per document, where they are folded. Both ways run the same
-code on the same rows and give the same result.
+A dictionary that was measured to be small is sent to every task as sorted arrays, which
+walk whole batches of documents. A larger one stays distributed: tasks build a compact
+filter of its prefixes, which is all that is sent, and one pass over the texts walks with
+it. The few word runs that pass are joined with the prefix table, which decides, and meet
+again per document, where they are folded. The words themselves never move, and both ways
+give the same result.
 
 Every row of the texts gives one row, whatever its key: null texts hold no word, null
 keys and keys that stand on several rows stay apart, an empty dictionary finds nothing.
@@ -20,10 +20,8 @@ keys and keys that stand on several rows stay apart, an empty dictionary finds n
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.operators.membership import KeyFilter, mixed, text_hashes
 from termweave.operators.prefixes import prefix_rows
 
 # Stands between two list elements; never a word, so no phrase crosses it.
 BOUNDARY = ""
 
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
 MAX_PREFIXES = 1_000_000
 MAX_PREFIX_BYTES = 64 * 1024 * 1024
 
@@ -50,6 +51,7 @@ class DictionarySize:
     phrases: int
     prefixes: int
     bytes: int
+    longest: int
 
     @classmethod
     def measure(cls, entries: DataFrame) -> DictionarySize:
@@ -58,11 +60,13 @@ class DictionarySize:
             F.count(F.lit(1)).alias("phrases"),
             F.coalesce(F.sum(depth), F.lit(0)).alias("prefixes"),
             F.coalesce(F.sum(F.octet_length("phrase") * depth), F.lit(0)).alias("bytes"),
+            F.coalesce(F.max(depth), F.lit(0)).alias("longest"),
         ).first()
-        return cls(row["phrases"], row["prefixes"], row["bytes"])
+        return cls(row["phrases"], row["prefixes"], row["bytes"], row["longest"])
 
-    def slices(self, max_prefixes: int = MAX_PREFIXES, max_bytes: int = MAX_PREFIX_BYTES) -> int:
-        return max(1, math.ceil(self.prefixes / max_prefixes), math.ceil(self.bytes / max_bytes))
+    def fits(self, max_prefixes: int = MAX_PREFIXES, max_bytes: int = MAX_PREFIX_BYTES) -> bool:
+        """Whether the prefixes may be sent to every task."""
+        return self.prefixes <= max_prefixes and self.bytes <= max_bytes
 
 
 def visited(at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -182,7 +186,7 @@ def _sums(hits: pa.ListArray) -> list[pa.Array]:
 
 
 def _fold(starts: pa.ListArray, walk: str) -> pa.ListArray:
-    """Hits of a document from the starts that all slices found in it."""
+    """Hits of a document from the prefixes found in it."""
     sizes = pc.list_value_length(starts).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = starts.flatten()
     document = np.repeat(np.arange(len(sizes)), sizes)
@@ -191,7 +195,7 @@ def _fold(starts: pa.ListArray, walk: str) -> pa.ListArray:
     if walk == "overlapping":
         kept = np.lexsort((n, pos, document))
     else:
-        # The longest of the slices, as a phrase if it is one in any of them.
+        # The longest at each start.
         order = np.lexsort((~phrase, -n, pos, document))
         span = int((pos + n).max(initial=0)) + 1
         at = (document * span + pos)[order]
@@ -232,33 +236,91 @@ def _found(words: DataFrame, key: str, dictionary, walk: str, sums: bool, max_pr
     present = F.coalesce("words", F.array().cast("array<string>"))
     n_words = F.size(F.filter(present, lambda w: w != BOUNDARY)).cast("long")
     rows = words.select(key, n_words.alias("n_words"), present.alias("words"))
-    slices = dictionary.size().slices(max_prefixes, max_bytes)
-    if slices == 1:
+    size = dictionary.size()
+    if size.fits(max_prefixes, max_bytes):
         return _walked(rows, dictionary.entries, walk, sums)
-    # A row is told by its key and its words; rows that are equal in both have equal hits.
-    rows = rows.withColumn("_row", F.md5(F.array_join("words", " ")))
-    sliced = dictionary.entries.withColumn("_slice", F.pmod(F.xxhash64("phrase"), F.lit(slices)))
-    step = "overlapping" if walk == "overlapping" else "longest"
-    parts = [_walked(rows, sliced.where(F.col("_slice") == i).drop("_slice"), step, False) for i in range(slices)]
-    return merged(parts, [key, "n_words"], "_row", walk, sums)
+    table = prefix_rows(dictionary.entries).select("prefix", "depth", "is_terminal", "value", "weight")
+    return merged(_candidates(rows, table, size), table, walk, sums)
 
 
-def merged(parts: list[DataFrame], columns: list[str], row: str, walk: str, sums: bool = False) -> DataFrame:
-    """`columns` with the hits that follow from the starts (`hits`) each of `parts` found; each part has all rows.
+def _run_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a run of words from that of the run without its last one."""
+    return mixed(before + GOLDEN) ^ word
 
-    Rows are told by `columns` and `row`, a digest of their text; as often as a row is
-    repeated in the parts, it is in the result.
-    """
-    told = reduce(DataFrame.unionByName, parts).groupBy(*columns, row).agg(
-        F.flatten(F.collect_set("hits")).alias("_starts"), (F.count(F.lit(1)) / len(parts)).cast("int").alias("_copies")
-    )
-    copied = told.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns, "_starts")
+
+def _prefix_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """Hashes of the prefixes of a column, word by word as the texts are walked."""
+    words = pc.split_pattern(batch.column("prefix"), " ")
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, first = text_hashes(words.flatten()), np.cumsum(size) - size
+    out = np.zeros(len(size), np.uint64)
+    for depth in range(int(size.max(initial=0))):
+        long = np.flatnonzero(size > depth)
+        out[long] = _run_hash(out[long], flat[first[long] + depth])
+    return out
+
+
+def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize) -> DataFrame:
+    """Word runs of `rows` that may be prefixes, as `(_row, _told, pos, n, prefix)`, and one row at -1 per row that carries its columns."""
+    shared = rows.sparkSession.sparkContext.broadcast(KeyFilter.of(table.select("prefix"), _prefix_hashes, size.prefixes))
+    longest, kept = size.longest, [c for c in rows.columns if c != "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            bounds, flat = np.concatenate([[0], np.cumsum(sizes)]), lists.flatten()
+            hashes, end = text_hashes(flat), np.repeat(bounds[1:], sizes)
+            real = pc.not_equal(flat, BOUNDARY).to_numpy(zero_copy_only=False).astype(bool)
+            at, so_far = np.arange(len(hashes)), np.zeros(len(hashes), np.uint64)
+            found_at, found_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for depth in range(1, longest + 1):
+                inside = at + depth - 1 < end[at]
+                at, so_far = at[inside], so_far[inside]
+                so_far = _run_hash(so_far, hashes[at + depth - 1])
+                held = shared.value.may_hold(so_far) & real[at + depth - 1]
+                at, so_far = at[held], so_far[held]
+                if not len(at):
+                    break
+                found_at.append(at)
+                found_n.append(np.full(len(at), depth))
+            at, n = np.concatenate(found_at), np.concatenate(found_n)
+            row = np.searchsorted(bounds, at, side="right") - 1
+            words = flat.to_pylist() if len(at) else []
+            prefix = [" ".join(words[i : i + k]) for i, k in zip(at.tolist(), n.tolist(), strict=True)]
+            # Keys without a partner, one for each row, spread evenly.
+            own = [f"{BOUNDARY}\0{i}" for i in batch.column("_row").to_pylist()]
+            every = np.arange(batch.num_rows)
+            told = pa.StructArray.from_arrays([batch.column(c) for c in kept if c != "_row"], names=[c for c in kept if c != "_row"])
+            columns = [
+                batch.column("_row").take(pa.array(np.concatenate([every, row]))),
+                told.take(pa.array(np.concatenate([every, np.zeros(len(row), np.int64)]), mask=np.concatenate([np.zeros(len(every), bool), np.ones(len(row), bool)]))),
+                pa.array(np.concatenate([np.full(len(every), -1), at - bounds[row]]).astype(np.int32)),
+                pa.array(np.concatenate([np.zeros(len(every), np.int64), n]).astype(np.int32)),
+                pa.array([*own, *prefix], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["_row", "_told", "pos", "n", "prefix"])
+
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    columns = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "words")
+    return numbered.mapInArrow(run, f"_row long, _told struct<{columns}>, pos int, n int, prefix string")
+
+
+def merged(candidates: DataFrame, table: DataFrame, walk: str, sums: bool = False) -> DataFrame:
+    """The columns of each row with the hits that follow from those of its candidates that `table(prefix, depth, ...)` holds."""
+    known = table.select(F.col("prefix").alias("_prefix"), "depth", "is_terminal", "value", "weight")
+    met = candidates.join(known, (F.col("prefix") == F.col("_prefix")) & (F.col("n") == F.col("depth")), "left")
+    phrase = F.when(F.col("is_terminal"), F.col("prefix"))
+    useful = F.col("is_terminal") if walk == "overlapping" else F.col("is_terminal") | ((F.col("n") > 1) & F.col("_prefix").isNotNull())
+    hit = F.when(useful, F.struct("pos", "n", phrase.alias("phrase"), "value", "weight"))
+    told = met.where(useful | (F.col("pos") < 0)).groupBy("_row").agg(F.first("_told", ignorenulls=True).alias("_told"), F.collect_list(hit).alias("_starts"))
+    rows = told.select("_told.*", "_starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _with_column(batch, *_outcome(_fold(batch.column("_starts"), walk), sums))
 
-    return copied.mapInArrow(run, _schema(copied.drop("_starts"), sums))
+    return rows.mapInArrow(run, _schema(rows.drop("_starts"), sums))
 
 
 def phrase_hits(

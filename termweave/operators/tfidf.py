@@ -42,7 +42,7 @@ def tfidf(
     """`(key, phrase_id, tf, idf, tfidf)`, each document scaled to length one."""
     counts = term_counts(docs, key, text, vocab, stop_words, **limits)
     idf = document_frequency(counts, docs).select("phrase_id", "idf")
-    if vocab.size().slices(limits.get("max_prefixes", scan.MAX_PREFIXES)) == 1:
+    if vocab.size().fits(limits.get("max_prefixes", scan.MAX_PREFIXES)):
         # One row per vocabulary phrase, whose number was just checked.
         return scaled(counts.join(F.broadcast(idf), "phrase_id"), key)
     return scaled(salted_join(counts, idf, "phrase_id"), key)

@@ -186,3 +186,19 @@ def test_stored_prefixes_keep_weights_and_insertions(spark, small, tmp_path):
     store.save_store(spark.createDataFrame(rows, "keyword string, trie_id long, weight double, dict string, source string"), str(tmp_path / "s"), weight="weight")
     loaded = PhraseDictionary.from_prefixes(store.load_part(spark, str(tmp_path / "s")), weighted=True)
     assert {(e.phrase, e.value, e.weight, e.ord, e.last_ord) for e in loaded.entries.collect()} == {("machine", 9, 0.1, 1, 9), ("learning rate", 3, 0.7, 3, 3)}
+
+
+def test_large_dictionary_is_filtered_in_one_pass(spark, small):
+    """One scan of the texts whatever the dictionary's size; the filter never drops a key, and the join takes out what it lets through."""
+    from termweave.operators.membership import KeyFilter, text_hashes
+
+    docs = spark.createDataFrame([(i, "machine learning model and learning rate") for i in range(50)], "doc long, text string")
+    found = small.search(docs, "doc", "text", max_prefixes=1)
+    assert {tuple(h.phrase for h in r.hits) for r in found.collect()} == {("machine learning model", "learning rate")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    keys = spark.range(5_000).selectExpr("cast(id as string) AS k")
+    held = KeyFilter.of(keys, lambda b: text_hashes(b.column("k")), 5_000)
+    import pyarrow as pa
+
+    assert held.may_hold(text_hashes(pa.array([str(i) for i in range(5_000)]))).all()
+    assert held.may_hold(text_hashes(pa.array([f"x{i}" for i in range(5_000)]))).mean() < 0.2
