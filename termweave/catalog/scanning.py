@@ -107,6 +107,17 @@ def prefix_table(spark, sf):
     return rows.select("prefix", "depth", "is_terminal", "value", F.round("weight", 6).alias("weight"))
 
 
+@query(
+    "dictionary_fold",
+    f"""SELECT phrase, list_reduce(list(p_partkey ORDER BY p_partkey), lambda old, new: (3 * old + new) % 1000003) AS value
+    FROM (SELECT p_partkey, array_to_string({sql_words('p_type')}, ' ') AS phrase FROM part) GROUP BY phrase""",
+)
+def dictionary_fold(spark, sf):
+    """Values of a repeated phrase folded in the order of insertion, by a rule that depends on it."""
+    built = PhraseDictionary.build(table(spark, sf, "part"), "p_type", "p_partkey", fold=lambda old, new: (3 * old + new) % 1000003)
+    return built.entries.select("phrase", "value")
+
+
 @query("trie_counts", f"WITH {SQL_DICT} SELECT count(*) + 1 AS nodes, count(*) FILTER (is_terminal) AS phrases FROM prefixes")
 def trie_counts(spark, sf):
     return phrase_dictionary(spark, sf).counts()

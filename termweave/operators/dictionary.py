@@ -25,12 +25,18 @@ def phrase_entries(
     by: Sequence[str] = (),
     lemmas: DataFrame | None = None,
     combine: Callable[[str], Column] | None = None,
+    fold: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """One row per distinct non-empty phrase (per group of `by`).
 
     Of equal phrases the last insertion gives the weight, and the value unless
-    `combine` (an aggregate such as `F.max`) says how their values become one.
+    `combine` (an aggregate such as `F.max`) says how their values become one, or
+    `fold(old, new)` is called for every later insertion in order. A fold may depend on
+    the order, so the values of one phrase (16 bytes each) meet in one task; an aggregate
+    is combined on the map side and has no such limit.
     """
+    if combine and fold:
+        raise ValueError("give combine or fold, not both")
     df, words = phrase_words(df, phrase, normalise, lemmas)
     rows = df.select(
         *by,
@@ -41,13 +47,22 @@ def phrase_entries(
     ).where(F.size("words") > 0)
     return rows.groupBy(*by, F.array_join("words", " ").alias("phrase")).agg(
         F.first("words").alias("words"),
-        (combine("value").cast("long") if combine else F.max_by("value", "ord")).alias("value"),
+        _one_value(combine, fold).alias("value"),
         F.max_by("weight", "ord").alias("weight"),
         F.min("ord").alias("ord"),
         F.max("ord").alias("last_ord"),
     )
 
 
+def _one_value(combine: Callable[[str], Column] | None, fold: Callable[[Column, Column], Column] | None) -> Column:
+    if combine:
+        return combine("value").cast("long")
+    if fold is None:
+        return F.max_by("value", "ord")
+    inserted = F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"])
+    return F.aggregate(F.slice(inserted, 2, F.size(inserted)), F.element_at(inserted, 1), lambda old, new: fold(old, new).cast("long"))
+
+
 def phrase_words(df: DataFrame, text: str | Column, normalise: bool, lemmas: DataFrame | None) -> tuple[DataFrame, Column]:
     """The words of a text column as dictionaries compare them, and the rows to take them from.
 
@@ -87,6 +102,7 @@ class PhraseDictionary:
         normalise: bool = True,
         lemmas: DataFrame | None = None,
         combine: Callable[[str], Column] | None = None,
+        fold: Callable[[Column, Column], Column] | None = None,
     ) -> PhraseDictionary:
         """Dictionary from a table; `order` (default: `value`) is the insertion order."""
         if not isinstance(df.schema[phrase].dataType, T.StringType):
@@ -94,7 +110,7 @@ class PhraseDictionary:
         for column in filter(None, (value, weight, order)):
             if column not in df.columns:
                 raise ValueError(f"missing column {column!r}")
-        entries = phrase_entries(df, phrase, value, weight, order, normalise, lemmas=lemmas, combine=combine)
+        entries = phrase_entries(df, phrase, value, weight, order, normalise, lemmas=lemmas, combine=combine, fold=fold)
         return cls(entries, weighted=weight is not None, normalise=normalise, lemmas=lemmas)
 
     @classmethod

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.session import durable
+from termweave.session import durable, release
 
 
 def id_first(df: DataFrame, id_column: str) -> DataFrame:
@@ -110,8 +110,32 @@ def topic_levels(
 
 
 def topic_closure(triples: DataFrame, root: str, relationship: str = "superTopicOf") -> DataFrame:
-    """Distinct topics below `root`."""
-    return topic_levels(triples, root, relationship, visit_once=True).select("end_id").distinct()
+    """Distinct topics below `root`; a cycle back to the root makes it one of them.
+
+    A topic with one parent is below the root if that parent is, so such topics point to
+    their parent and the pointers are doubled until they lead to a topic with several
+    parents, with none, or to the root: a chain takes a logarithmic number of rounds.
+    Only the topics with several parents are then walked, level by level. Pointers that
+    run in a cycle end nowhere and stop with the longest possible chain.
+    """
+    edges = durable(triples.where(F.col("relationship") == relationship).select("start_id", "end_id").where("start_id IS NOT NULL AND end_id IS NOT NULL").distinct())
+    parents = durable(edges.groupBy("end_id").agg(F.count(F.lit(1)).alias("n"), F.min("start_id").alias("up")))
+    single = (F.col("n") == 1) & (F.col("end_id") != F.lit(root))
+    pointers = durable(parents.where(single).select(F.col("end_id").alias("topic"), "up"))
+    for _ in range(pointers.count().bit_length() + 1):
+        ahead = pointers.select(F.col("topic").alias("up"), F.col("up").alias("next"))
+        moved = durable(pointers.join(ahead, "up", "left").select("topic", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("_moved")))
+        release(pointers)
+        pointers = moved
+        if moved.where("_moved").isEmpty():
+            break
+    heads = pointers.select(F.col("topic").alias("start_id"), F.col("up").alias("head"))
+    joints = parents.where(~single).select("end_id")
+    between = edges.join(joints, "end_id", "left_semi").join(heads, "start_id", "left").select(F.coalesce("head", "start_id").alias("start_id"), F.lit(relationship).alias("relationship"), "end_id")
+    walked = topic_levels(durable(between.distinct()), root, relationship, visit_once=True).select("end_id").distinct()
+    reached = durable(walked.unionByName(triples.sparkSession.createDataFrame([(root,)], "end_id string")).distinct())
+    below = pointers.join(reached.withColumnRenamed("end_id", "up"), "up", "left_semi").select(F.col("topic").alias("end_id"))
+    return below.unionByName(walked).distinct()
 
 
 def load_counts(tables: dict[str, DataFrame], tag: str) -> DataFrame:

@@ -271,3 +271,45 @@ def test_rest_of_a_product_is_bounded():
     for threshold in (-1.1, 0.2, 0.9, 0.99):
         found = {(x, y) for xs, ys, _ in _pairs_above(ids_a, a, ids_b, b, threshold) for x, y in zip(xs, ys)}
         assert found == {(str(i), str(j)) for i, j in zip(*np.nonzero(a @ b.T > threshold))}
+
+
+def test_five_numbers_by_selection(spark, monkeypatch):
+    import numpy as np
+
+    from termweave.operators import compare
+
+    rng = np.random.default_rng(8)
+    groups = {"even": rng.normal(size=500), "wide": 10.0 ** rng.uniform(-200, 200, 400) * rng.choice([-1, 1], 400), "same": np.full(300, 2.5), "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "ties": rng.integers(0, 4, 350).astype(float)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("even", None), ("none", None), ("even", float("nan"))]
+    df = spark.createDataFrame(rows, "s string, v double").repartition(5)
+    for ranked in (10_000, 60):
+        monkeypatch.setattr(compare, "RANKED_ROWS", ranked)
+        monkeypatch.setattr(compare, "RANGES", 1024)
+        found = {r.s: list(r)[1:] for r in compare.five_numbers(df, "s", "v").collect()}
+        assert found.keys() == groups.keys()
+        for g, values in groups.items():
+            assert found[g] == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.75, 1]).tolist(), rel=1e-12)
+
+
+def test_closure_takes_few_rounds_and_ends_in_cycles(spark, monkeypatch):
+    rounds = []
+    plain = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: rounds.append(1) or plain(df))
+    schema = "start_id string, relationship string, end_id string"
+    chain = spark.createDataFrame([(f"t{i}", "superTopicOf", f"t{i + 1}") for i in range(5_000)], schema)
+    assert graph.topic_closure(chain, "t0").count() == 5_000 and len(rounds) < 25
+    edges = [("r", "a"), ("a", "b"), ("b", "c"), ("c", "b"), ("b", "d"), ("r", "d"), ("d", "e"), ("e", "r"), ("x", "y"), ("y", "x"), ("y", "e"), ("z", "q"), ("p", "p"), ("c", "q"), ("q", "s")]
+    df = spark.createDataFrame([(a, "superTopicOf", b) for a, b in edges], schema)
+    assert {r.end_id for r in graph.topic_closure(df, "r").collect()} == set("abcdeqsr")
+    assert {r.end_id for r in graph.topic_closure(df, "p").collect()} == {"p"}
+    assert graph.topic_closure(df, "nowhere").count() == 0
+
+
+def test_fold_in_insertion_order(spark):
+    from termweave.operators.dictionary import PhraseDictionary
+
+    df = spark.createDataFrame([("Deep Net", 5, 2), ("deep net", 3, 1), ("deep-net", 10, 3), ("graph", 1, 4)], "keyword string, trie_id long, o long")
+    built = PhraseDictionary.build(df, order="o", fold=lambda old, new: old * 2 - new)
+    assert {r.phrase: r.value for r in built.entries.collect()} == {"deep net": (3 * 2 - 5) * 2 - 10, "graph": 1}
+    with pytest.raises(ValueError):
+        PhraseDictionary.build(df, fold=lambda a, b: a, combine=F.max)
