@@ -295,20 +295,21 @@ def sql_tfidf() -> str:
     from termweave.catalog.cleaning import SQL_FOLD
     from termweave.catalog.registry import SQL_STOP_WORDS
 
-    return f"""{sql_phrases()},
+    return f"""{sql_phrases(4)},
     words AS (SELECT doc_id, list_filter(regexp_extract_all(lower({SQL_FOLD.format('text')}), '\\b\\w\\w+\\b'), lambda w: w NOT IN ({SQL_STOP_WORDS})) AS w FROM documents),
     tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM words),
-    grams AS (SELECT doc_id, word AS g1, word || ' ' || lead(word, 1) OVER o AS g2, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS g3
+    grams AS (SELECT doc_id, word AS g1, word || ' ' || lead(word, 1) OVER o AS g2, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS g3,
+                     word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o AS g4
               FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
     tf AS (SELECT doc_id, keyword, count(*) AS tf
-           FROM (SELECT doc_id, g1 AS keyword FROM grams UNION ALL SELECT doc_id, g2 FROM grams UNION ALL SELECT doc_id, g3 FROM grams) JOIN phrases USING (keyword)
+           FROM (SELECT doc_id, g1 AS keyword FROM grams UNION ALL SELECT doc_id, g2 FROM grams UNION ALL SELECT doc_id, g3 FROM grams UNION ALL SELECT doc_id, g4 FROM grams) JOIN phrases USING (keyword)
            GROUP BY ALL),
     idf AS (SELECT keyword, count(*) AS df, (SELECT count(*) FROM documents) AS n_docs, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY keyword)"""
 
 
 def vocabulary(spark, sf):
-    """Phrase ids are the alphabetical positions of the phrases."""
-    return tf.vocabulary(dense_id(phrase_table(spark, sf), ["keyword"], "trie_id"))
+    """All phrases of one to four words; their ids are their alphabetical positions."""
+    return tf.vocabulary(dense_id(phrase_table(spark, sf, longest=4), ["keyword"], "trie_id"))
 
 
 SQL_VOCABULARY = "vocab AS (SELECT keyword, row_number() OVER (ORDER BY keyword) - 1 AS phrase_id FROM phrases)"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from termweave.catalog.registry import documents, query, table
-from termweave.catalog.shaping import doc_keywords
+from termweave.catalog.registry import documents, query, sql_words, table
+from termweave.functions.text import dictionary_words
 from termweave.functions.vectors import as_doubles, parse_vector, trigram_vector
-from termweave.operators.similarity import pair_cosines, similar_keywords, similar_pairs, threshold_sweep
+from termweave.operators.similarity import pair_cosines, similar_keywords, threshold_sweep
 from termweave.plans import dictionaries as dic
 
 # The test vectors are random: their cosines stay below 0.5, far under those of real phrase embeddings.
@@ -16,6 +16,7 @@ THRESHOLDS = [0.25, 0.28, 0.3, 0.33, 0.36, 0.4]
 
 
 def core_vectors(spark, sf):
+    """The even half of the vectors plays the core dictionary, all of them the candidates."""
     source = F.element_at(F.array(F.lit("cso"), F.lit("method"), F.lit("task")), (F.col("label") % 3 + 1).cast("int"))
     even = table(spark, sf, "embeddings").where(F.col("vec_id") % 2 == 0)
     return even.select(F.concat(F.lit("k"), "vec_id").alias("keyword"), source.alias("source"), "embedding")
@@ -95,19 +96,48 @@ def vector_lookup(spark, sf):
     return wanted.join(stored, "keyword")
 
 
-@query("trigram_vectors")
+SQL_TRIGRAMS = f"""all_words AS (SELECT unnest({sql_words('text')}) AS keyword FROM documents),
+    core_words AS (SELECT keyword, min(item_id) AS item FROM (SELECT item_id, unnest({sql_words('text')}) AS keyword FROM benchmark) GROUP BY keyword),
+    keywords AS (SELECT keyword FROM all_words UNION SELECT keyword FROM core_words),
+    numbers AS (SELECT keyword, ('0x' || substr(md5(substr('  ' || keyword || '  ', i, 3)), 1, 7))::INT AS h
+                FROM (SELECT keyword, unnest(range(1, length(keyword) + 3)) AS i FROM keywords)),
+    counts AS (SELECT keyword, h % 64 AS slot, sum(CASE WHEN h // 64 % 2 = 1 THEN -1 ELSE 1 END)::DOUBLE AS n FROM numbers GROUP BY ALL),
+    lengths AS (SELECT keyword, sqrt(sum(n * n)) AS length FROM counts GROUP BY keyword),
+    trigrams AS (
+        SELECT keyword, list(CASE WHEN length = 0 THEN 0 ELSE coalesce(n, 0) / length END ORDER BY s.slot) AS embedding
+        FROM (SELECT * FROM lengths, (SELECT unnest(range(64)) AS slot)) s LEFT JOIN counts USING (keyword, slot) GROUP BY keyword)"""
+
+
+def document_words(spark, sf):
+    return documents(spark, sf).select(F.explode(dictionary_words("text")).alias("keyword"))
+
+
+@query("trigram_vectors", f"WITH {SQL_TRIGRAMS} SELECT keyword, embedding FROM trigrams WHERE keyword IN (SELECT keyword FROM all_words)")
 def trigram_vectors(spark, sf):
-    """Hashed trigram vectors of the distinct long document words."""
-    words = doc_keywords(spark, sf).where("score <= 0.125").select("keyword").distinct()
+    """Hashed trigram vectors of all distinct document words."""
+    words = document_words(spark, sf).distinct()
     return words.select("keyword", trigram_vector("keyword").alias("embedding"))
 
 
-@query("similar_words")
+# Cosines of these vectors are whole numbers over square roots of whole numbers; none lies at this limit.
+NEAR_WORDS = 0.7501
+
+
+@query(
+    "similar_words",
+    f"""WITH {SQL_TRIGRAMS}, near_words AS (
+        SELECT e.keyword, ['cso', 'method', 'task'][item % 3 + 1] AS source, c.keyword AS core_keyword
+        FROM core_words JOIN trigrams c USING (keyword) JOIN trigrams e ON e.keyword <> c.keyword
+        WHERE e.keyword IN (SELECT keyword FROM all_words) AND list_inner_product(c.embedding, e.embedding) > {NEAR_WORDS})
+    SELECT keyword, source, core_keyword FROM near_words
+    QUALIFY list_position(['cso', 'method', 'task'], source) = min(list_position(['cso', 'method', 'task'], source)) OVER (PARTITION BY keyword)""",
+)
 def similar_words(spark, sf):
-    """Extended dictionary end to end on trigram vectors: long words near core words."""
-    words = doc_keywords(spark, sf).where("score <= 0.1")
-    core = words.groupBy("keyword").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("n")).where("n >= 3")
-    core = core.select("keyword", "source", trigram_vector("keyword").alias("embedding"))
-    vectors = words.select("keyword").distinct().select("keyword", trigram_vector("keyword").alias("embedding"))
-    ext = dic.extended_candidates(words, vectors)
-    return dic.extended_dictionary(dic.similar_to_core(core, ext, 0.75), 0.75)
+    """Extended dictionary end to end on trigram vectors: all document words near a word of the benchmark texts."""
+    source = F.element_at(F.array(F.lit("cso"), F.lit("method"), F.lit("task")), (F.col("item") % 3 + 1).cast("int"))
+    held = table(spark, sf, "benchmark").select("item_id", F.explode(dictionary_words("text")).alias("keyword"))
+    core = held.groupBy("keyword").agg(F.min("item_id").alias("item")).select("keyword", source.alias("source"), trigram_vector("keyword").alias("embedding"))
+    words = document_words(spark, sf)
+    vectors = words.distinct().select("keyword", trigram_vector("keyword").alias("embedding"))
+    ext = dic.extended_candidates(words.withColumn("score", F.lit(0.0)), vectors)
+    return dic.extended_dictionary(similar_keywords(core, ext, NEAR_WORDS), NEAR_WORDS)

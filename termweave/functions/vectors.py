@@ -44,15 +44,18 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
 def trigram_vector(phrase: Column | str, dim: int = 64) -> Column:
     """Deterministic phrase embedding: signed hashed character-trigram counts, unit length.
 
-    Stands in for a model-made embedding where no vector table is at hand.
+    A trigram's number is its md5's first seven hex digits: the rest by `dim` is its slot,
+    the parity of the quotient its sign. Stands in for a model-made embedding where no
+    vector table is at hand.
     """
     padded = F.concat(F.lit("  "), F.lower(_c(phrase)), F.lit("  "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.xxhash64(F.substr(padded, i, F.lit(3))))
+    number = lambda gram: F.conv(F.left(F.md5(gram), F.lit(7)), 16, 10).cast("int")
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: number(F.substr(padded, i, F.lit(3))))
 
-    def signed_counts(hashes: Column) -> Column:
+    def signed_counts(numbers: Column) -> Column:
         def slot_sum(slot: Column) -> Column:
-            mine = F.filter(hashes, lambda h: F.pmod(h, F.lit(dim)) == slot)
-            return F.aggregate(mine, F.lit(0.0), lambda t, h: t + F.when(h < 0, -1.0).otherwise(1.0))
+            mine = F.filter(numbers, lambda h: h % dim == slot)
+            return F.aggregate(mine, F.lit(0.0), lambda t, h: t + F.when(F.floor(h / dim) % 2 == 1, -1.0).otherwise(1.0))
 
         return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), slot_sum)
 

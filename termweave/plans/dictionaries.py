@@ -21,7 +21,6 @@ from termweave.operators.frequency import by_precedence, keyword_frequency, subt
 from termweave.operators.graph import topic_levels
 from termweave.operators.keyphrase import extract_keywords, keyword_rows
 from termweave.operators.patterns import substring_hits
-from termweave.operators.similarity import similar_keywords
 from termweave.operators.skew import dense_id, keep_first
 
 
@@ -76,11 +75,6 @@ def extended_candidates(keywords: DataFrame, vectors: DataFrame, threshold: floa
     return counts.join(vectors, "keyword")
 
 
-def similar_to_core(core: DataFrame, ext: DataFrame, lowest: float, **limits: int) -> DataFrame:
-    """The similarity join once, at the lowest threshold of a sweep."""
-    return similar_keywords(core, ext, lowest, **limits)
-
-
 def extended_dictionary(
     similar: DataFrame, threshold: float, order: Sequence[str] = SOURCE_PRECEDENCE_EXTENDED
 ) -> DataFrame:
