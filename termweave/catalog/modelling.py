@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from termweave.catalog.registry import documents, query, table
@@ -41,12 +43,47 @@ def report(spark, sf):
     return scored.select("class", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("batch_score")
+def sql_fit(steps: int, reg_param: float = 0.01) -> str:
+    """CTEs `fit_idf` and `s{steps}(keyword, w, v)` after `sql_tfidf`; the intercept has an empty keyword."""
+    steepest = 0.5 + reg_param
+    flat = math.sqrt(reg_param / steepest)
+    chain = f"""labelled AS MATERIALIZED (SELECT doc_id, quality::DOUBLE AS y FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL),
+    fit_idf AS MATERIALIZED (
+        SELECT keyword, ln((1 + (SELECT count(*) FROM labelled)) / (1 + count(*))) + 1 AS idf FROM tf JOIN labelled USING (doc_id) GROUP BY keyword),
+    fit_w AS (SELECT doc_id, keyword, tf * idf AS w FROM tf JOIN labelled USING (doc_id) JOIN fit_idf USING (keyword)),
+    x AS MATERIALIZED (SELECT doc_id, keyword, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS x FROM fit_w),
+    s0 AS MATERIALIZED (SELECT keyword, 0::DOUBLE AS w, 0::DOUBLE AS v FROM (SELECT keyword FROM fit_idf UNION ALL SELECT ''))"""
+    for i in range(1, steps + 1):
+        chain += f""",
+    e{i} AS MATERIALIZED (
+        SELECT doc_id, 1 / (1 + exp(-(coalesce(m, 0) + (SELECT v FROM s{i - 1} WHERE keyword = '')))) - y AS e
+        FROM labelled LEFT JOIN (SELECT doc_id, sum(x * v) AS m FROM x JOIN s{i - 1} USING (keyword) GROUP BY doc_id) USING (doc_id)),
+    g{i} AS (SELECT keyword, sum(x * e) AS g FROM x JOIN e{i} USING (doc_id) GROUP BY keyword UNION ALL SELECT '', sum(e) FROM e{i}),
+    s{i} AS MATERIALIZED (
+        SELECT keyword, w2 AS w, w2 + {(1 - flat) / (1 + flat)!r} * (w2 - w) AS v
+        FROM (SELECT keyword, w, v - (g / (SELECT count(*) FROM labelled) + CASE WHEN keyword = '' THEN 0 ELSE {reg_param} * v END) / {steepest!r} AS w2
+              FROM s{i - 1} JOIN g{i} USING (keyword)))"""
+    return chain
+
+
+FIT_STEPS = 30
+
+
+@query(
+    "batch_score",
+    f"""WITH {sql_tfidf()}, {sql_fit(FIT_STEPS)},
+    used AS (SELECT doc_id, keyword, tf * coalesce(f.idf, ln(1 + (SELECT count(*) FROM labelled)) + 1) AS u FROM tf LEFT JOIN fit_idf f USING (keyword)),
+    scaled AS (SELECT doc_id, keyword, u / sqrt(sum(u * u) OVER (PARTITION BY doc_id)) AS u FROM used),
+    margins AS (SELECT doc_id, sum(u * w) AS m FROM scaled JOIN s{FIT_STEPS} USING (keyword) GROUP BY doc_id),
+    scored AS (SELECT doc_id, 1 / (1 + exp(-(coalesce(m, 0) + (SELECT w FROM s{FIT_STEPS} WHERE keyword = '')))) AS p FROM documents LEFT JOIN margins USING (doc_id))
+    SELECT doc_id, (p > 0.5)::INT AS prediction, round(p, 6) AS probability FROM scored""",
+)
 def batch_score(spark, sf):
     """Logistic regression on TF-IDF of the vocabulary, fitted on the labelled documents and applied to every document."""
     vocab = vocabulary(spark, sf)
-    model = models.fit_text_classifier(labelled_documents(spark, sf), "doc_id", "text", "label", vocab)
-    return models.score_texts(model, documents(spark, sf).select("doc_id", "text"), "doc_id", "text", vocab)
+    model = models.fit_text_classifier(labelled_documents(spark, sf), "doc_id", "text", "label", vocab, steps=FIT_STEPS)
+    scored = models.score_texts(model, documents(spark, sf).select("doc_id", "text"), "doc_id", "text", vocab)
+    return scored.withColumn("probability", F.round("probability", 6))
 
 
 @query(
@@ -75,6 +112,16 @@ def source_classifier(spark, sf):
     return class_report(predictions, "source", "predicted")
 
 
+@query(
+    "covariance",
+    """WITH c AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1)::INT AS i FROM embeddings)
+    SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 6) + 0 AS covariance FROM c a JOIN c b USING (vec_id) GROUP BY a.i, b.i""",
+)
+def covariance(spark, sf):
+    found = models.covariance(table(spark, sf, "embeddings"), "embedding")
+    return found.withColumn("covariance", F.round("covariance", 6) + 0.0)
+
+
 @query("pca2")
 def pca2(spark, sf):
-    return models.principal_components(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return models.principal_components(table(spark, sf, "embeddings"), "vec_id", "embedding")[0]

@@ -1,24 +1,26 @@
-"""Models on phrase features, all in Spark ML."""
+"""Models on phrase features and embeddings."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, IndexToString, StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termweave.functions.vectors import dot
 from termweave.operators import tfidf
 from termweave.operators.compare import class_weights
 from termweave.operators.skew import salted_join
-from termweave.session import durable
+from termweave.session import durable, release
+
 
 @dataclass(frozen=True)
 class TextClassifier:
@@ -36,35 +38,62 @@ class TextClassifier:
         return tfidf.scaled(known.withColumn("idf", F.coalesce("idf", F.lit(self.unseen_idf))), key)
 
 
-@F.udf(VectorUDT())
-def _sparse(size, ids, values):
-    """Spark offers no expression that makes a sparse vector; used for the labelled documents of a fit only."""
-    return Vectors.sparse(size, ids, values)
+#: Rows of one phrase that meet in a task while gradients are taken; more frequent phrases are cut by document.
+ROWS_PER_PIECE = 1_000_000
 
 
-def fit_text_classifier(docs: DataFrame, key: str, text: str, label: str, vocab, reg_param: float = 0.01, iterations: int = 50) -> TextClassifier:
+def fit_text_classifier(docs: DataFrame, key: str, text: str, label: str, vocab, reg_param: float = 0.01, steps: int = 30) -> TextClassifier:
     """Logistic regression on length-normalised TF-IDF of the vocabulary phrases; `key` must be unique.
 
-    A phrase's value (`trie_id`) is its place in the coefficient vector, so it must be
-    a number from 0 on. The vocabulary itself never reaches the driver; the solver keeps
-    one coefficient per phrase there. `iterations` bounds the solver, not the data.
+    Takes a fixed number of accelerated gradient steps from zero on the mean loss plus
+    `reg_param / 2` times the squared coefficients. Coefficients are rows by phrase from
+    start to end: a step joins them with the documents' values and adds the slopes on
+    the map side. Only the intercept and the number of documents reach the driver. Rows
+    without a label are left out; without any row all coefficients are zero.
     """
+    docs = docs.where(F.col(label).isNotNull())
     counts = durable(tfidf.term_counts(docs, key, text, vocab))
-    frequency = durable(tfidf.document_frequency(counts, docs).select("phrase_id", "idf"))
-    unseen = math.log(1.0 + docs.count()) + 1
-    size = (vocab.entries.agg(F.max("value").alias("last")).first()["last"] or 0) + 1
-    rows = tfidf.scaled(salted_join(counts, frequency, "phrase_id"), key)
-    entries = F.array_sort(F.collect_list(F.struct("phrase_id", "tfidf")))
-    vectors = rows.groupBy(key).agg(entries.alias("_entries"))
-    labelled = docs.select(key, F.col(label).cast("double").alias("_label")).join(vectors, key, "left")
-    entries = F.coalesce("_entries", F.array().cast("array<struct<phrase_id:bigint,tfidf:double>>"))
-    data = labelled.select("_label", _sparse(F.lit(size), entries["phrase_id"].cast("array<int>"), entries["tfidf"]).alias("features"))
-    fitted = LogisticRegression(labelCol="_label", featuresCol="features", regParam=reg_param, maxIter=iterations).fit(data)
-    weights = fitted.coefficients.toArray()
-    used = weights.nonzero()[0]
-    table = pd.DataFrame({"phrase_id": used.astype("int64"), "weight": weights[used]})
-    coefficients = docs.sparkSession.createDataFrame(table, "phrase_id long, weight double")
-    return TextClassifier(frequency, coefficients, float(fitted.intercept), unseen)
+    frequency = durable(tfidf.document_frequency(counts, docs).select("phrase_id", "idf", F.ceil(F.col("df") / ROWS_PER_PIECE).cast("int").alias("pieces")))
+    targets = durable(docs.select(key, F.col(label).cast("double").alias("_label")))
+    n = targets.count()
+    scaled = tfidf.scaled(salted_join(counts, frequency, "phrase_id"), key).select(key, "phrase_id", "tfidf")
+    piece = F.pmod(F.xxhash64(key), F.col("pieces")).cast("int")
+    values = durable(salted_join(scaled, frequency.select("phrase_id", "pieces"), "phrase_id").select(key, "phrase_id", piece.alias("piece"), "tfidf"))
+    # The intercept is the row without a phrase.
+    rows = frequency.select("phrase_id", "pieces").unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("phrase_id"), F.lit(0).alias("pieces")))
+    state = durable(rows.select("phrase_id", "pieces", F.lit(0.0).alias("weight"), F.lit(0.0).alias("ahead")))
+    for _ in range(steps):
+        following = durable(_gradient_step(values, targets, state, key, max(n, 1), reg_param))
+        release(state)
+        state = following
+    intercept = state.where("phrase_id IS NULL").first()["weight"]
+    release(counts, values, targets)
+    coefficients = state.where("phrase_id IS NOT NULL").select("phrase_id", "weight")
+    return TextClassifier(frequency.select("phrase_id", "idf"), coefficients, float(intercept), math.log(1.0 + n) + 1)
+
+
+def _gradient_step(values: DataFrame, targets: DataFrame, state: DataFrame, key: str, n: int, reg_param: float) -> DataFrame:
+    """The next `(phrase_id, pieces, weight, ahead)`; slopes are taken at `ahead`, where the momentum has carried the weights.
+
+    Documents have length one, so the slope of the mean loss with its intercept changes
+    by at most half the way, and a step of one over that and the penalty cannot diverge.
+    """
+    steepest = 0.5 + reg_param
+    flat = math.sqrt(reg_param / steepest)
+    momentum = (1 - flat) / (1 + flat)
+    copies = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
+    spread = state.where("phrase_id IS NOT NULL").select("phrase_id", "ahead", copies)
+    margins = values.join(spread, ["phrase_id", "piece"]).groupBy(key).agg(F.sum(F.col("tfidf") * F.col("ahead")).alias("_margin"))
+    intercept = state.where("phrase_id IS NULL").select("ahead").scalar()
+    chance = 1 / (1 + F.exp(-(F.coalesce("_margin", F.lit(0.0)) + intercept)))
+    errors = targets.join(margins, key, "left").select(key, (chance - F.col("_label")).alias("_error"))
+    slopes = values.join(errors, key).groupBy("phrase_id").agg(F.sum(F.col("tfidf") * F.col("_error")).alias("_slope"))
+    slopes = slopes.unionByName(errors.agg(F.sum("_error").alias("_slope")).withColumn("phrase_id", F.lit(None).cast("long")))
+    met = state.join(slopes.withColumnRenamed("phrase_id", "_phrase"), F.col("phrase_id").eqNullSafe(F.col("_phrase")), "left")
+    penalty = F.when(F.col("phrase_id").isNull(), 0.0).otherwise(F.col("ahead") * reg_param)
+    moved = F.col("ahead") - (F.coalesce("_slope", F.lit(0.0)) / n + penalty) / steepest
+    stepped = met.select("phrase_id", "pieces", F.col("weight").alias("_before"), moved.alias("weight"))
+    return stepped.select("phrase_id", "pieces", "weight", (F.col("weight") + momentum * (F.col("weight") - F.col("_before"))).alias("ahead"))
 
 
 def linear_scores(features: DataFrame, key: str, coefficients: DataFrame, intercept: float) -> DataFrame:
@@ -124,11 +153,66 @@ def fit_source_classifier(
     return best, named.select(key, label, "predicted")
 
 
-def principal_components(df: DataFrame, key: str, embedding: str, k: int = 2) -> DataFrame:
-    """`(key, pc1 … pck)`: coordinates on the first principal components of centred vectors."""
-    data = df.select(key, array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
-    fitted = PCA(k=k, inputCol="features", outputCol="pc").fit(data)
-    projected = fitted.transform(data).select(key, vector_to_array("pc").alias("pc"))
-    means = projected.agg(F.array(*[F.avg(F.col("pc")[i]) for i in range(k)]).alias("m")).scalar()
-    centred = projected.withColumn("_m", means)
-    return centred.select(key, *[(F.col("pc")[i] - F.col("_m")[i]).alias(f"pc{i + 1}") for i in range(k)])
+def covariance(df: DataFrame, embedding: str) -> DataFrame:
+    """`(i, j, covariance)` of the components of a vector column, places from 1, both halves.
+
+    Every task adds its vectors' products in one matrix per batch, so that a partition
+    sends one row per pair of components, whatever the number of vectors. Null vectors,
+    those with null or non-finite components and those of another length than the first
+    non-null one are left out. Under two vectors there are no rows.
+    """
+    vectors = df.select(F.col(embedding).cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    first = vectors.select(F.size("v").alias("n")).first()
+    size = first["n"] if first else 1
+    sums = vectors.where((F.size("v") == size) & F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)))
+    # The first vector as origin: products of values far from zero would lose digits.
+    origin = sums.first()
+    if origin is None:
+        return df.sparkSession.createDataFrame([], "i int, j int, covariance double")
+    added = sums.mapInArrow(_products(origin["v"]), "i int, j int, total double").groupBy("i", "j").agg(F.sum("total").alias("total"))
+    # Place 0 stands for the number one: (0, 0) counts the vectors, (i, 0) adds the components.
+    n = added.where("i = 0 AND j = 0").select("total").scalar()
+    means = added.where("j = 0 AND i > 0").select("i", F.col("total").alias("sum"))
+    both = added.where("i > 0 AND j > 0").join(means, "i").join(means.select(F.col("i").alias("j"), F.col("sum").alias("sum_j")), "j")
+    counted = both.withColumn("n", n).where("n > 1")
+    return counted.select("i", "j", ((F.col("total") - F.col("sum") * F.col("sum_j") / F.col("n")) / (F.col("n") - 1)).alias("covariance"))
+
+
+def _products(origin: list[float]):
+    def run(batches):
+        size = len(origin)
+        total = np.zeros((size + 1, size + 1))
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) - np.array(origin)
+            one = np.hstack([np.ones((len(flat), 1)), flat])
+            total += one.T @ one
+        i, j = np.indices(total.shape, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "total"])
+
+    return run
+
+
+def principal_components(df: DataFrame, key: str, embedding: str, k: int = 2) -> tuple[DataFrame, list[float]]:
+    """`(key, pc1 … pck)`, coordinates on the first principal components, and the share of the variance each explains.
+
+    The matrix of covariances, whose size is that of one vector squared, is decomposed on the
+    driver. A component's largest entry is positive, so that signs do not depend on the
+    solver. Vectors that `covariance` leaves out have null coordinates.
+    """
+    rows = covariance(df, embedding).collect()
+    if not rows:
+        return df.select(key, *[F.lit(None).cast("double").alias(f"pc{i + 1}") for i in range(k)]), [0.0] * k
+    size = max(r["i"] for r in rows)
+    matrix = np.zeros((size, size))
+    for r in rows:
+        matrix[r["i"] - 1, r["j"] - 1] = r["covariance"]
+    values, vectors = np.linalg.eigh(matrix)
+    top = vectors[:, ::-1][:, :k].T
+    top *= np.sign(top[np.arange(len(top)), np.abs(top).argmax(axis=1)])[:, None]
+    vector = F.col(embedding).cast("array<double>")
+    valid = (F.size(vector) == size) & F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x))
+    placed = df.select(key, *[F.when(valid, dot(vector, F.array(*[F.lit(float(x)) for x in axis]))).alias(f"pc{i + 1}") for i, axis in enumerate(top)])
+    means = placed.agg(F.array(*[F.avg(f"pc{i + 1}") for i in range(len(top))]).alias("m")).scalar()
+    centred = placed.withColumn("_m", means).select(key, *[(F.col(f"pc{i + 1}") - F.col("_m")[i]).alias(f"pc{i + 1}") for i in range(len(top))])
+    variance = float(values.sum())
+    return centred, [float(x) / variance if variance > 0 else 0.0 for x in values[::-1][:k]]

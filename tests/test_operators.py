@@ -313,3 +313,50 @@ def test_fold_in_insertion_order(spark):
     assert {r.phrase: r.value for r in built.entries.collect()} == {"deep net": (3 * 2 - 5) * 2 - 10, "graph": 1}
     with pytest.raises(ValueError):
         PhraseDictionary.build(df, fold=lambda a, b: a, combine=F.max)
+
+
+def test_text_classifier_takes_the_same_steps_as_arrays(spark, monkeypatch):
+    monkeypatch.setattr(models, "ROWS_PER_PIECE", 2)
+    rows = [(i, "alpha beta" if i % 2 else "gamma beta", float(i % 2)) for i in range(9)] + [(9, None, 1.0), (10, "", 0.0), (11, "alpha", None)]
+    docs = spark.createDataFrame(rows, "id long, text string, label double")
+    vocab = tfidf.vocabulary(spark.createDataFrame([("alpha", 0), ("beta", 1), ("gamma", 2)], "keyword string, trie_id long"))
+    model = models.fit_text_classifier(docs, "id", "text", "label", vocab, reg_param=0.1, steps=4)
+    used = [r for r in rows if r[2] is not None]
+    counts = np.array([[(r[1] or "").split().count(w) for w in ("alpha", "beta", "gamma")] for r in used], float)
+    x = counts * (np.log((1 + len(used)) / (1 + (counts > 0).sum(axis=0))) + 1)
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = np.hstack([np.divide(x, length, out=np.zeros_like(x), where=length > 0), np.ones((len(used), 1))])
+    y, w, v = np.array([r[2] for r in used]), np.zeros(4), np.zeros(4)
+    flat = np.sqrt(0.1 / 0.6)
+    for _ in range(4):
+        slope = x.T @ (1 / (1 + np.exp(-x @ v)) - y) / len(used) + 0.1 * v * [1, 1, 1, 0]
+        stepped = v - slope / 0.6
+        w, v = stepped, stepped + (1 - flat) / (1 + flat) * (stepped - w)
+    got = {r["phrase_id"]: r["weight"] for r in model.coefficients.collect()}
+    assert np.allclose([got[0], got[1], got[2], model.intercept], w)
+
+
+def test_text_classifier_without_rows(spark):
+    docs = spark.createDataFrame([], "id long, text string, label double")
+    vocab = tfidf.vocabulary(spark.createDataFrame([("alpha", 0)], "keyword string, trie_id long"))
+    model = models.fit_text_classifier(docs, "id", "text", "label", vocab, steps=2)
+    assert model.coefficients.count() == 0 and model.intercept == 0
+
+
+def test_components_equal_those_of_the_array(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(60, 4)) * [5, 2, 1, 0.1] + 1000
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(100, None), (101, [1.0, None, 2.0, 3.0]), (102, [1.0]), (103, [float("nan")] * 4), (104, [float("inf")] * 4)]
+    df = spark.createDataFrame(rows, "id long, e array<double>").repartition(3)
+    found = {(r["i"], r["j"]): r["covariance"] for r in models.covariance(df, "e").collect()}
+    want = np.cov(points.T)
+    assert len(found) == 16 and all(np.isclose(found[i + 1, j + 1], want[i, j]) for i in range(4) for j in range(4))
+    placed, shares = models.principal_components(df, "id", "e")
+    got = {r["id"]: (r["pc1"], r["pc2"]) for r in placed.collect()}
+    values, vectors = np.linalg.eigh(want)
+    ours = np.array([got[i] for i in range(60)])
+    plain = (points - points.mean(axis=0)) @ vectors[:, ::-1][:, :2]
+    assert np.allclose(np.abs(ours), np.abs(plain)) and np.allclose(shares, values[::-1][:2] / values.sum())
+    assert all(got[i] == (None, None) for i in range(100, 105))
+    assert models.covariance(df.limit(0), "e").count() == 0
+    assert models.principal_components(df.limit(0), "id", "e")[1] == [0.0, 0.0]
