@@ -7,6 +7,7 @@ functions are used.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -127,8 +128,10 @@ def canonical(records: DataFrame, record: str = "record", mappings: tuple[Mappin
 def canonical_json(records: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Adds `fingerprint`, `layout` and `turns` to rows whose `record` is a JSON text, each of any known layout.
 
-    The fingerprint is taken from each text's own schema. Texts that are null, no JSON
-    or of an unknown layout have a null layout and no turns.
+    The fingerprint is taken from each text's own schema. A record with more fields than
+    any mapping has is read by the mapping with the most paths that are all in the record
+    (ties: the first listed). Texts that are null, no JSON or hold no mapping's paths have
+    a null layout and no turns; `rejects` gives them.
     """
     schema = F.schema_of_variant(F.try_parse_json(F.col(record)))
     # `OBJECT<a: STRING, b: ARRAY<OBJECT<c: STRING>>>`: scalar types (or null) are left out, names and nesting stay.
@@ -140,7 +143,36 @@ def canonical_json(records: DataFrame, record: str = "record", mappings: tuple[M
             fits = F.col("fingerprint").isin([hashlib.md5(s.encode()).hexdigest() for s in _shapes(mapping.paths)])
             layout = F.when(fits, F.lit(mapping.name)).otherwise(layout)
             turns = F.when(fits, mapping.turns(F.from_json(record, JSON_TYPES[mapping.name]))).otherwise(turns)
-    return out.withColumn("layout", layout).withColumn("turns", turns)
+    fields = F.from_json(record, "map<string, string>")
+    out = out.withColumn("_exact", layout).withColumn("_fields", F.when(F.col("_exact").isNull(), fields))
+    layout = F.col("_exact")
+    for mapping in sorted((m for m in mappings if m.name in JSON_TYPES), key=lambda m: -len(m.paths)):
+        held = layout.isNull() & _holds(F.col("_fields"), mapping.paths)
+        turns = F.when(held, mapping.turns(F.from_json(record, JSON_TYPES[mapping.name]))).otherwise(turns)
+        layout = F.when(held, F.lit(mapping.name)).otherwise(layout)
+    return out.withColumn("layout", layout).withColumn("turns", turns).drop("_exact", "_fields")
+
+
+def rejects(canonical: DataFrame) -> DataFrame:
+    """The rows of `canonical_json` that no mapping fits."""
+    return canonical.where("layout IS NULL")
+
+
+def _has_key(name: str) -> Callable[[Column], Column]:
+    return lambda record: F.coalesce(F.map_contains_key(record, name), F.lit(False))
+
+
+def _holds(fields: Column, paths: tuple[str, ...]) -> Column:
+    """Whether a record, as a map from its fields to their JSON texts, has all the paths; a list of records may also be empty."""
+    tests = []
+    for path in paths:
+        name, _, inner = path.partition("[].")
+        test = F.map_contains_key(fields, name)
+        if inner:
+            parts = F.from_json(fields[name], "array<map<string, string>>")
+            test = (F.size(parts) == 0) | F.exists(parts, _has_key(inner))
+        tests.append(F.coalesce(test, F.lit(False)))
+    return functools.reduce(lambda a, b: a & b, tests)
 
 
 def _shapes(paths: tuple[str, ...]) -> list[str]:

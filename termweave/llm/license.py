@@ -90,7 +90,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", base=BASE_PH
     """`(key, text_hash, template, label, base, start, end, score)`: verified spans, in words from 0, end exclusive.
 
     A phrase must be there word by word (score 1). A passage counts if its matched
-    k-grams, over diagonals at most `SLACK` apart, cover `LEAST_COVERED` of it; the score is the
+    different k-grams, over diagonals at most `SLACK` apart, cover `LEAST_COVERED` of it; the score is the
     covered share. Case of A-Z is ignored. Null and empty texts have no spans. Rows with one key and one text are one.
     """
     templates = template_grams(docs.sparkSession, (base, more), passages)
@@ -108,14 +108,15 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", base=BASE_PH
     votes = grams.join(F.broadcast(templates), "hash").where(equal).withColumn("diagonal", F.col("pos") - F.col("at"))
     span = ["_key", "text_hash", "template", "label", "base", "words", "gram"]
     # Distinct, as equal rows vote alike.
-    lines = votes.groupBy(*span, "diagonal").agg(F.size(F.collect_set("at")).alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"))
+    lines = votes.groupBy(*span, "diagonal").agg(F.collect_set("at").alias("places"), F.min("at").alias("low"), F.max("at").alias("high")).withColumn("votes", F.size("places"))
     phrases = lines.where((F.col("gram") == PHRASE_GRAM) & (F.col("votes") == F.col("words") - F.col("gram") + 1))
     phrases = phrases.select(*span[:5], F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("words")).alias("end"), F.lit(1.0).alias("score"))
     order = W.partitionBy(*span).orderBy("diagonal")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(order)) > SLACK
     merged = lines.where(F.col("gram") == PASSAGE_GRAM).withColumn("group", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(order))
-    merged = merged.groupBy(*span, "group").agg(
-        F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("start"), (F.max(F.col("diagonal") + F.col("high")) + F.first("gram")).alias("end")
+    # A place of the template that several diagonals of a span hold counts once.
+    merged = merged.withColumn("at", F.explode("places")).groupBy(*span, "group").agg(
+        F.count_distinct("at").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("start"), (F.max(F.col("diagonal") + F.col("high")) + F.first("gram")).alias("end")
     )
     score = F.least(F.lit(1.0), (F.col("votes") + F.col("gram") - 1) / F.col("words"))
     longer = merged.withColumn("score", score).where(F.col("score") >= LEAST_COVERED).select(*span[:5], "start", "end", "score")

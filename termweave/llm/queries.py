@@ -109,7 +109,7 @@ def _license_sql() -> str:
         FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS pos FROM words, (VALUES ({license.PHRASE_GRAM}), ({license.PASSAGE_GRAM})) AS size(k))
     ),
     lines AS (
-        SELECT doc_id, template, label, base, k, n, pos - place AS diagonal, count(DISTINCT place) AS votes
+        SELECT doc_id, template, label, base, k, n, pos - place AS diagonal, list(DISTINCT place) AS places, count(DISTINCT place) AS votes
         FROM rolled JOIN grams USING (k, gram) GROUP BY ALL
     ),
     phrases AS (SELECT doc_id, label, base, diagonal AS start, 1.0::DOUBLE AS score FROM lines WHERE k = {license.PHRASE_GRAM} AND votes = n - k + 1),
@@ -118,7 +118,7 @@ def _license_sql() -> str:
     ),
     grouped AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM marked),
     passages AS (
-        SELECT doc_id, label, base, NULL::BIGINT AS start, least(1.0::DOUBLE, (sum(votes) + any_value(k) - 1)::DOUBLE / any_value(n)) AS score
+        SELECT doc_id, label, base, NULL::BIGINT AS start, least(1.0::DOUBLE, (len(list_distinct(flatten(list(places)))) + any_value(k) - 1)::DOUBLE / any_value(n)) AS score
         FROM grouped GROUP BY doc_id, template, label, base, part
     ),
     found AS (SELECT * FROM phrases UNION ALL SELECT * FROM passages WHERE score >= {license.LEAST_COVERED}),

@@ -47,6 +47,29 @@ def test_layouts_by_fingerprint(spark):
     assert null.formatted == "" and null.loss_spans == []
 
 
+def test_layouts_with_more_fields_and_rejects(spark):
+    turns = [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a", "weight": 1}]
+    records = [
+        {"id": "x", "conversations": turns},
+        {"messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a", "meta": {"role": "no"}}], "id": 3},
+        {"instruction": "q", "input": "", "output": "a", "history": []},
+        {"instruction": "q", "output": "a", "source": None},
+        {"prompt": "q", "response": "a", "completion": "a"},
+        {"messages": [], "id": 1},
+        {"messages": "text", "id": 1},
+        {"messages": [{"who": "x"}], "id": 1},
+        {"conversations": [None], "id": 1},
+        [1],
+    ]
+    df = spark.createDataFrame(list(enumerate([json.dumps(r) for r in records] + ["", None, "{"])), "id int, record string")
+    made = chat.canonical_json(df)
+    rows = made.orderBy("id").collect()
+    assert [r.layout for r in rows] == ["from and value", "messages", "instruction", "instruction without input", "prompt and completion", "messages"] + [None] * 7
+    for r in rows[:5]:
+        assert [(t.role, t.text) for t in r.turns] == [("user", "q"), ("assistant", "a")]
+    assert rows[5].turns == [] and sorted(r.id for r in chat.rejects(made).collect()) == list(range(6, 13))
+
+
 def brute(vectors, queries, k):
     out = set()
     for q, x in queries.items():

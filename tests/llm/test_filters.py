@@ -172,6 +172,14 @@ def test_a_larger_host_excuses_no_line(spark):
         assert all(rows[i].removed_words == (30 if i < 21 else 0) for i in rows)
 
 
+def test_template_places_count_once(spark):
+    """Diagonals 0, 2, 5 and 8 are one span of four matches, but the first and the last are of the same place: three of the eight, under the limit."""
+    texts = ["a b c d c d e f a b c d h i j k", "a b c d e f g h i j k", "a b c d e f g h i j"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = license.spans(df, base=(), more=(), passages=(("a b c d e f g h i j k", "x"),)).collect()
+    assert {r.doc_id: round(r.score, 6) for r in found} == {1: 1.0, 2: round(10 / 11, 6)}
+
+
 def test_license_spans(spark):
     passage = license.PASSAGES[0][0]
     changed = passage.replace("free of charge", "free of any charge").replace("merge ", "")
