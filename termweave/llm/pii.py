@@ -2,14 +2,15 @@
 
 Plain identifiers are found by fixed patterns. For disguised ones, small transducers
 rewrite the text and remember for each rewritten place where it came from: look-alike
-characters become ASCII, invisible ones vanish, spelled digits become digits, and `at` and
-`dot` in brackets or words become signs. The same patterns run over the rewritten text, and
+characters and character references become ASCII, invisible ones vanish, spelled digits become
+digits, and `at` and `dot` in brackets, words or odd signs become signs. The same patterns run over the rewritten text, and
 what touches a rewritten place is mapped back to its span in the source.
 """
 
 from __future__ import annotations
 
 import bisect
+import html
 import re
 import unicodedata
 
@@ -27,20 +28,29 @@ DIGITS = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Look-alikes of ASCII letters in other scripts (fixed values); full-width and styled forms follow by rule.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһӏАВЕКМНОРСТУХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlABEKMHOPCTYXIJSaopvikABEZHIKMNOPTYX", strict=True))
+LOOKALIKES |= dict(zip("ԛԝүѵᴦՏՍՕսօոհցքյⅼ", "qwyvrSUOuonhgpjl", strict=True))
+#: Names of Latin letters that look like a plain one: with marks, script, dotless and so on, small capitals, Greek names.
+LATIN = re.compile(r"LATIN (?P<size>SMALL|CAPITAL) LETTER (?:(?:SCRIPT|DOTLESS|LONG|OPEN|BARRED|BLACKLETTER) )?(?P<letter>[A-Z]|ALPHA|IOTA)(?: WITH .*)?|LATIN LETTER SMALL CAPITAL (?P<capital>[A-Z])")
 #: Characters that show nothing (fixed values).
 INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "|".join(SPELLED)
+TIMES = {"double": 2, "triple": 3, "treble": 3}
+_TIMES = rf"(?:{'|'.join(TIMES)})[\s-]+"
 SPELLED_RUN = re.compile(rf"(?i)\b(?:plus\s+)?(?:{_WORD})(?:(?:[\s,-]+|\s*[\[({{]?\bdot\b[\])}}]?\s*)(?:{_WORD})\b){{3,}}")
 SPELLED_PART = re.compile(rf"(?i)\b(plus|dot|{_WORD})\b|[\[({{\])}}\s,-]+")
 #: Spelled digits and numerals in any mixture; `dot` in words or brackets may stand between them.
 _ALONE = r"(?<![^\W\d_])(?:{})(?![^\W\d_])"
-_DIGIT, _GAP_DOT = rf"(?:{_ALONE.format(_WORD)}|[0-9]++)", rf"\s*+(?:[\[({{]\s*+)?{_ALONE.format('dot')}\s*+(?:[\])}}]\s*+)?"
+_DIGIT, _GAP_DOT = rf"(?:{_ALONE.format(f'(?:{_TIMES})?(?:{_WORD})')}|{_ALONE.format(f'{_TIMES}[0-9]')}(?![0-9])|[0-9]++)", rf"\s*+(?:[\[({{]\s*+)?{_ALONE.format('dot')}\s*+(?:[\])}}]\s*+)?"
 MIXED_RUN = re.compile(rf"(?i)(?:(?:{_ALONE.format('plus')}|\+)[\s(]*)?{_DIGIT}(?:(?:{_GAP_DOT}|[\s,()-]++|\.)?{_DIGIT})+")
-MIXED_PART = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>{_GAP_DOT})|(?P<word>{_WORD})|(?P<number>[0-9]+)|(?P<gap>[\s,()-]+)")
+MIXED_PART = re.compile(rf"(?i)(?P<plus>plus)|(?P<dot>{_GAP_DOT})|(?P<word>(?:{_TIMES})?(?:{_WORD})|{_TIMES}[0-9])|(?P<number>[0-9]+)|(?P<gap>[\s,()-]+)")
 _AT, _DOT = r"\s*[\[({<]\s*at\s*[\])}>]\s*", r"\s*[\[({<]\s*(?:dot|punto|punkt|point)\s*[\])}>]\s*"
+#: Signs that stand for a dot where the domain has no dot of its own.
+_ODD_DOT = r"\s*[\u00B7\u2022\u30FB\u3002\uFF61\u06D4]\s*"
+#: A dot between spaces counts before these last labels only (fixed values); elsewhere it ends a sentence.
+_APART = r"\s+\.\s+(?=(?:[A-Z0-9-]+\s+\.\s+){0,8}(?:com|org|net|edu|gov|mil|int|info|biz)(?![A-Z0-9-]))"
 #: A bracketed `at`, or an `at` in words that is followed by a `dot` in words or brackets.
-DISGUISED = re.compile(rf"(?i)(?<=[A-Z0-9])(?:(?P<at>{_AT}|\s*@\s*)|(?P<word>\s+at\s+))(?P<name>[A-Z0-9-]+)(?P<rest>(?:(?:{_DOT}|\s+dot\s+|\.)[A-Z0-9-]+)+)")
+DISGUISED = re.compile(rf"(?i)(?<=[A-Z0-9])(?:(?P<at>{_AT}|\s*@\s*)|(?P<word>\s+at\s+))(?P<name>[A-Z0-9-]+)(?P<rest>(?:(?:{_DOT}|\s+dot\s+|{_APART}|{_ODD_DOT}|\.)[A-Z0-9-]+)+)")
 #: A disguised dot of the local part, read backwards.
 LOCAL_DOT = re.compile(r"(?i)(?:\s*[\])}>]\s*(?:tod|otnup|tknup|tniop)\s*[\[({<]\s*|\s+tod\s+)(?=[A-Z0-9])")
 LOCAL_RUN = re.compile(r"(?i)[A-Z0-9._%+-]+")
@@ -51,8 +61,10 @@ PROSE = frozenset(
 )
 PROSE_LAST = PROSE | {"matrix", "product", "products", "plot", "plots", "notation"}
 LABEL = re.compile(r"[a-z]{2,}|xn--[a-z0-9-]+")
-DOT = re.compile(rf"(?i){_DOT}|\s+dot\s+")
-BEYOND = re.compile("[^\x00-ɏ]|[" + INVISIBLE[0] + "]")
+DOT = re.compile(rf"(?i){_DOT}|\s+dot\s+|\s+\.\s+|(?P<odd>{_ODD_DOT})")
+BEYOND = re.compile("[^\x00-\x7f]")
+#: A character reference, or an escaped at sign between letters.
+REFERENCE = re.compile(r"(?i)&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|commat|period|plus|lowbar|nbsp|zwnj|zwj|shy);|(?<=[a-z0-9])(?P<escape>%40)(?=[a-z0-9])")
 
 
 def _luhn(digits: str) -> bool:
@@ -125,18 +137,38 @@ class Rewritten:
         return i < len(self.new) and self.new[i] < end
 
 
+class Plain(dict):
+    """What a character beyond ASCII is rewritten to: one ASCII character, nothing, or itself."""
+
+    def __missing__(self, c: str) -> str:
+        by = "" if c in INVISIBLE else LOOKALIKES.get(c)
+        if by is None:
+            by = unicodedata.normalize("NFKC", c)
+            if len(by) == 1 and not by.isascii() and by.isdigit():
+                by = str(unicodedata.digit(by))
+            if not by.isascii() and (named := LATIN.fullmatch(unicodedata.name(by[0], ""))):
+                letter = (named["capital"] or named["letter"])[0]
+                by = letter if named["size"] == "CAPITAL" else letter.lower()
+            if len(by) != 1 or not by.isascii():
+                by = LOOKALIKES.get(by, c)
+        self[c] = by
+        return by
+
+
+PLAIN = Plain()
+
+
 def _character_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
-    for m in BEYOND.finditer(text):
-        c = m[0]
-        if c in INVISIBLE:
-            out.append((m.start(), m.end(), ""))
-            continue
-        by = LOOKALIKES.get(c) or unicodedata.normalize("NFKC", c)
-        if len(by) == 1 and not by.isascii() and by.isdigit():
-            by = str(unicodedata.digit(by))
-        if by != c and by.isascii() and len(by) == 1:
-            out.append((m.start(), m.end(), by))
+    if not text.isascii():
+        out = [(m.start(), m.end(), by) for m in BEYOND.finditer(text) if (by := PLAIN[m[0]]) != m[0]]
+    if "&" in text or "%40" in text:
+        for m in REFERENCE.finditer(text):
+            c = "@" if m["escape"] else html.unescape(m[0])
+            by = PLAIN[c] if len(c) == 1 and not c.isascii() else c
+            if by == "" or len(by) == 1 and by.isascii():
+                out.append((m.start(), m.end(), by))
+        out.sort()
     return out
 
 
@@ -150,6 +182,12 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _digits(word: str) -> str:
+    """A spelled digit, as often as a word before it says."""
+    *times, digit = re.split(r"[\s-]+", word.lower())
+    return SPELLED.get(digit, digit) * (TIMES[times[0]] if times else 1)
+
+
 def _mixed_edits(text: str) -> list[tuple[int, int, str]]:
     """Runs of spelled digits and numerals that hold an identifier when rewritten. What is between two numerals stays."""
     out = []
@@ -166,7 +204,7 @@ def _mixed_edits(text: str) -> list[tuple[int, int, str]]:
                 joined = not near[0] or near[0].lastgroup == "plus" or all(x and (x.lastgroup == "word" or len(x[0]) == 1) for x in near)
                 edits.append((m.start(), m.end(), "" if joined else " "))
             elif kind != "number":
-                edits.append((m.start(), m.end(), "+" if kind == "plus" else "." if kind == "dot" else SPELLED.get(m[0].lower(), "")))
+                edits.append((m.start(), m.end(), "+" if kind == "plus" else "." if kind == "dot" else _digits(m[0])))
         moved = [(a - run.start(), b - run.start(), by) for a, b, by in edits]
         if plain_spans(Rewritten(run[0], moved).text):
             out += edits
@@ -189,11 +227,12 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
         dotted = DOT.search(m["rest"])
         if m["word"] and not dotted or m["at"] == "@" and not dotted:
             continue
+        whole = "." in m["rest"]  # a domain with a dot of its own ends before an odd one
         if m["word"] and not _in_words(m["name"], m["rest"]):
             continue
         sign = "at" if m["at"] else "word"
         out.append((m.start(sign), m.end(sign), "@"))
-        out += [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in DOT.finditer(m["rest"])]
+        out += [(m.start("rest") + d.start(), m.start("rest") + d.end(), ".") for d in DOT.finditer(m["rest"]) if not (whole and d["odd"])]
         back = back or text[::-1]
         size, at = len(text), len(text) - m.start()
         while (part := LOCAL_RUN.match(back, at)) and (d := LOCAL_DOT.match(back, part.end())):
@@ -228,11 +267,12 @@ def _word_edits(text: str) -> list[list[tuple[int, int, str]]]:
 
 def disguised_spans(text: str) -> list[tuple[int, str, int]]:
     """`(start, kind, end)` of identifiers that only the rewritten text shows."""
-    first = Rewritten(text, _character_edits(text)) if not text.isascii() and BEYOND.search(text) else None
+    characters = _character_edits(text)
+    first = Rewritten(text, characters) if characters else None
     middle = first.text if first else text
     out = []
     for edits in _word_edits(middle):
-        if not edits and not (first and first.new):
+        if not edits and not first:
             continue
         second, found = Rewritten(middle, edits), []
         for start, kind, end in plain_spans(second.text):

@@ -76,6 +76,31 @@ def test_mixed_digits_any_label_and_long_local_parts():
         assert pii.all_spans(text) == ([], []), text
 
 
+def test_references_odd_signs_marks_and_repeated_digits():
+    cases = {
+        "to jane&#64;acme.com now": ("email", "jane&#64;acme.com"),
+        "to jane&#x40;acme&period;com now": ("email", "jane&#x40;acme&period;com"),
+        "to jane&commat;acme.com now": ("email", "jane&commat;acme.com"),
+        "to jane%40acme.com now": ("email", "jane%40acme.com"),
+        "to jane @ acme . com now": ("email", "jane @ acme . com"),
+        "to jane @ mail . acme . org now": ("email", "jane @ mail . acme . org"),
+        "to jane\uff20acme\u3002com now": ("email", "jane\uff20acme\u3002com"),
+        "to jane@acme\u00b7com now": ("email", "jane@acme\u00b7com"),
+        "to j\u0251ne@x.com now": ("email", "j\u0251ne@x.com"),
+        "to jos\u00e9@x.com now": ("email", "jos\u00e9@x.com"),
+        "to \u0458an\u0435@\u0445.com now": ("email", "\u0458an\u0435@\u0445.com"),
+        "call plus one 212 double five five 0199 now": ("phone", "plus one 212 double five five 0199"),
+        "call +1 212 triple 5 zero one nine nine now": ("phone", "+1 212 triple 5 zero one nine nine"),
+    }
+    for text, (kind, part) in cases.items():
+        assert (kind, part) in [(k, text[a:b]) for a, k, b in pii.all_spans(text)[1]], text
+        assert f"<{kind.upper()}>" in pii.redacted(text) and part not in pii.redacted(text)
+    for text in ("lunch @ noon . bring food", "see you @ home . Thanks", "R&D &amp; &#64; 100%", "a double five and a triple", "caf\u00e9 cr\u00e8me \u00b7 th\u00e9"):
+        assert pii.all_spans(text) == ([], []), text
+    plain, spans = pii.all_spans("to jane@acme.com\u3002Thanks")
+    assert plain == spans and len(plain) == 1
+
+
 def test_pii_over_tables(spark):
     df = make_docs(spark, [*EDGES, "a@b.com +1 (222) 555-2020, 1.2.3.4"], spans=F.lit(1), plain=F.lit(2))
     rows = sorted(pii.find(df).collect(), key=lambda r: r.doc_id)
