@@ -94,3 +94,18 @@ def test_top_k_edge_cases(spark):
     df = spark.createDataFrame(rows, "id long, vector array<double>, score int").withColumn("floor", F.lit("x"))
     assert {tuple(r) for r in topk.top_k(df, df, 5).collect()} == {(1, 1, 6, 6), (6, 1, 1, 6)}
     assert topk.top_k(df.limit(0), df, 5).count() == 0 and topk.top_k(df, df.limit(0), 5).count() == 0
+
+
+def test_top_k_of_clusters_visits_few_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "PASSING", 40)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 16))
+    points = np.floor(900 * (centers[rng.integers(0, 40, 6_000)] / np.linalg.norm(centers, axis=1).mean() + 0.02 * rng.normal(size=(6_000, 16))))
+    points[1_000:3_000] = points[0]  # a third of the rows is one vector
+    vectors = {i: [float(x) for x in v] for i, v in enumerate(points)}
+    df = spark.createDataFrame(list(vectors.items()), "id long, vector array<double>")
+    visited: list[int] = []
+    found = {tuple(r) for r in topk.top_k(df, df.where("id % 50 = 0"), 5, visited=visited).collect()}
+    assert found == brute(vectors, {i: v for i, v in vectors.items() if i % 50 == 0}, 5)
+    shards, queries, visits = visited
+    assert queries == 120 and visits < shards * queries / 2
