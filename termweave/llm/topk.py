@@ -336,13 +336,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vecto
     held, asked = clean(vectors), clean(queries)
     balls, placed = deal(held)
     crowds = asked.mapInArrow(_counted_visits(balls, k), "ball long, n long").groupBy("ball").agg(F.sum("n").alias("n"))
+    passes = 0
     for r in crowds.collect():
         balls.slices[r.ball] = max(1, -(-r.n // PASSING))
+        passes += r.n * int(balls.parts[r.ball])
     cells = int((balls.parts * balls.slices)[balls.rows > 0].sum())
+    # Small cells share a task.
+    tasks = max(SHARDS, -(-int((balls.rows * balls.slices).sum()) // SHARD_ROWS), -(-passes // PASSING))
     residents = placed.select("id", "vector", "ball").mapInArrow(_residents(balls), CELL)
 
     def run(passing: DataFrame) -> DataFrame:
-        met = residents.unionByName(passing).repartition(max(1, min(cells, 20_000)), "cell")
+        met = residents.unionByName(passing).repartition(max(1, min(cells, tasks, 20_000)), "cell")
         return met.sortWithinPartitions("cell", "size", "asks").mapInArrow(_searched(k), FOUND)
 
     asked = asked.select("id", "vector").mapInArrow(_homes(balls, k), "id long, vector array<double>, home long")
