@@ -7,7 +7,7 @@ of a pattern is compared with it byte by byte.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -148,8 +148,9 @@ def substring_hits(
     pattern: str = "keyword",
     max_alternatives: int = MAX_ALTERNATIVES,
     max_bytes: int = MAX_PATTERN_BYTES,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """`(key, hits array<string>)`: at every free position the longest pattern wins.
+    """`(key, *keep, hits array<string>)`: at every free position the longest pattern wins.
 
     Few patterns become one alternation, longest first, evaluated natively. More are
     searched by their window hashes, sent to every task. Patterns that exceed the checked
@@ -163,19 +164,21 @@ def substring_hits(
     ).first()
     empty = F.array().cast("array<string>")
     if size["n"] == 0:
-        return docs.select(key, empty.alias("hits"))
+        return docs.select(key, *keep, empty.alias("hits"))
     if size["n"] <= max_alternatives:
         words = [r["pattern"] for r in distinct.orderBy(F.desc(F.length("pattern")), "pattern").collect()]
         alternation = "(" + "|".join(_quoted(w) for w in words) + ")"
         found = F.regexp_extract_all(F.col(text), F.lit(alternation), F.lit(1))
-        return docs.select(key, F.coalesce(found, empty).alias("hits"))
+        return docs.select(key, *keep, F.coalesce(found, empty).alias("hits"))
 
-    rows = docs.select(key, F.col(text).alias("text"))
+    # Under names of their own, as a kept column may be the text or be called like it.
+    kept = {name: f"_kept_{i}" for i, name in enumerate([key, *keep])}
+    rows = docs.select(*[F.col(c).alias(own) for c, own in kept.items()], F.col(text).alias("text"))
     if size["bytes"] <= max_bytes:
         found = _searched(rows, distinct)
     else:
         found = _filtered(rows, distinct, size["n"])
-    return found.select(key, F.col("hits.phrase").alias("hits"))
+    return found.select(*[F.col(own).alias(c) for c, own in kept.items()], F.col("hits.phrase").alias("hits"))
 
 
 LETTERS = np.random.default_rng(0).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)

@@ -102,10 +102,14 @@ def dictionary_counts(dictionary: DataFrame) -> DataFrame:
 def negative_documents(
     docs: DataFrame, key: str, text: str, core: DataFrame, max_hits: int = NEGATIVE_MAX_HITS
 ) -> DataFrame:
-    """Cleaned documents of more than ten words with fewer than `max_hits` core keyword hits."""
+    """Cleaned documents of more than ten words with fewer than `max_hits` core keyword hits.
+
+    The scan hands the documents on, so they are read and cleaned once and meet no join;
+    rows that repeat a key are judged each by its own text.
+    """
     cleaned = docs.withColumn(text, abstract_clean(text)).where(word_count(text) > MIN_ABSTRACT_WORDS)
-    hits = substring_hits(cleaned, key, text, core).select(key, F.size("hits").alias("_hits"))
-    return cleaned.join(hits.where(F.col("_hits") < max_hits).drop("_hits"), key, "left_semi")
+    nested = cleaned.select(key, text, F.struct(*cleaned.columns).alias("_row"))
+    return substring_hits(nested, key, text, core, keep=["_row"]).where(F.size("hits") < max_hits).select("_row.*")
 
 
 def negative_keywords(extracted: DataFrame, lowest: int = NEGATIVE_MIN_FREQUENCY, highest: int = 2**62) -> DataFrame:

@@ -360,3 +360,19 @@ def test_components_equal_those_of_the_array(spark):
     assert all(got[i] == (None, None) for i in range(100, 105))
     assert models.covariance(df.limit(0), "e").count() == 0
     assert models.principal_components(df.limit(0), "id", "e")[1] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_alternatives": 0}, {"max_alternatives": 0, "max_bytes": 0}])
+def test_scan_hands_columns_on(spark, limits):
+    docs = spark.createDataFrame([(1, "a graph of graphs", "x"), (1, "none", None), (None, None, "y"), (2, "", "z")], "id long, text string, hits string")
+    words = spark.createDataFrame([("graph",), ("graphs",)], "keyword string")
+    found = substring_hits(docs, "id", "text", words, keep=["text"], **limits)
+    assert sorted(((r.id, r.text, r.hits) for r in found.collect()), key=str) == sorted([(1, "a graph of graphs", ["graph", "graphs"]), (1, "none", []), (None, None, []), (2, "", [])], key=str)
+
+
+def test_negative_documents_are_judged_row_by_row(spark):
+    long = " ".join(["plain words of a text that goes on"] * 3)
+    docs = spark.createDataFrame([(1, long, 7), (1, f"{long} graph theory", 8), (None, long, 9), (2, "short", 1)], "id long, text string, other int").withColumn("hits", F.lit(1))
+    core = spark.createDataFrame([("graph theory",)], "keyword string")
+    rows = dic.negative_documents(docs, "id", "text", core, max_hits=1).collect()
+    assert sorted((r.other for r in rows)) == [7, 9] and rows[0].asDict().keys() == {"id", "text", "other", "hits"}
