@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGES, make_docs
@@ -262,3 +263,103 @@ def test_digest_is_of_the_written_spans(spark, sf):
     for r in QUERIES["op3_pii"](spark, sf).collect():
         written = ",".join(f"{k}:{a}:{b}" for a, k, b in plain(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """Hosts with shared menus, copies, edited copies and short texts, judged by plain counting."""
+    rng = np.random.default_rng(11)
+
+    def words(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 10_000, n))
+
+    menus = [words(int(n)) for n in (12, 9, 30)]
+    rows = []
+    for i in range(400):
+        own = [words(int(rng.integers(2, 14))) for _ in range(int(rng.integers(0, 6)))]
+        shown = [menus[m].upper() if rng.random() < 0.3 else f"  {menus[m]} " for m in range(3) if rng.random() < (0.06, 0.4, 0.7)[m]]
+        lines_of = [*own, *shown]
+        rng.shuffle(lines_of)
+        rows.append((i, "\n".join(lines_of), ["a", "b", None][int(rng.integers(0, 3)) if i % 3 else 0]))
+    rows += [(1_000 + i, rows[5][1], rows[5][2]) for i in range(60)]  # copies make none of their lines boilerplate
+    rows += [(2_000 + i, f"{words(3)}\n{menus[0]} {i}", "c") for i in range(25)]  # numbers don't tell lines apart
+    rows += [(3_000, None, "a"), (3_001, "", None), (3_002, "x " * 40, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def normal(line):
+        return re.sub("[0-9]+", "0", " ".join(re.findall("[^\x20\x09-\x0d]+", line)).lower())
+
+    held = {}
+    for text, host in {(t, h) for _, t, h in rows}:
+        for line in {normal(x) for x in (text or "").split("\n")} - {""}:
+            held[host, line] = held.get((host, line), 0) + 1
+    expected = {}
+    for key, text, host in rows:
+        every = (text or "").split()
+        gone = sum(len(x.split()) for x in (text or "").split("\n") if held.get((host, normal(x)), 0) > lines.LINE_DOCUMENTS)
+        failed = len(every) < 20 or 100 * repeated(every) > 30 * len(every)
+        expected[key] = (failed, gone, not failed and len(every) - gone >= lines.LEAST_LEFT * len(every))
+    assert {r.doc_id: (r.base_failed, r.removed_words, r.kept) for r in lines.judge(df).collect()} == expected
+    kept = [x[2] for x in expected.values()]
+    assert 20 < sum(kept) < len(kept) - 20 and any(not f and not k for f, _, k in expected.values())
+
+
+def plain_score(model, text):
+    """The score by single features: distinct words with their edges cut, and shares of word shapes."""
+    every = text.split()
+    found = {xxhash.xxh64_intdigest(w.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").encode()) % ordinal.WORDS for w in every}
+    score = sum(float(model.words[i]) for i in found)
+    for w in every:
+        shape = re.sub("[a-z]+", "a", re.sub("[A-Z]+", "A", re.sub("[0-9]+", "0", w)))
+        score += ordinal.SHAPE_SCALE * float(model.shapes[xxhash.xxh64_intdigest(shape.encode(), 1) % ordinal.SHAPES]) / len(every)
+    if len(every) >= 20:
+        score += ordinal.SHAPE_SCALE * float(model.shapes[ordinal.SHAPES]) * max(0.0, 1 - 3 * len(found) / len(every))
+    return score
+
+
+def test_ordinal_fit_and_tails_equal_a_plain_computation(spark):
+    """The fit reaches the penalised likelihood that plain descent along numeric slopes reaches; grades and tails follow from single features."""
+    rng = np.random.default_rng(3)
+    grades = rng.integers(0, 3, 90).tolist()
+    texts = [" ".join(f"{'abcdef'[x]}" for x in rng.choice(6, 3, replace=False, p=np.roll([0.4, 0.25, 0.15, 0.1, 0.05, 0.05], 2 * g))) for g in grades]
+    penalty = 2e-3
+    features = ordinal.Features()
+    rows = [(*features.of(t), g) for t, g in zip(texts, grades, strict=True)]
+    model = ordinal.fit_rows(rows, 3, penalty=penalty, steps=3_000)
+
+    used = sorted({int(i) for r in rows for i in r[0]})
+    shape = [i for i in range(ordinal.SHAPES + 1) if any(r[1][i] for r in rows)]
+    x = np.array([[float(i in set(r[0].tolist())) for i in used] for r in rows])
+    y = np.array([[float(r[1][i]) for i in shape] for r in rows])
+    weight = np.array([len(grades) / (3 * grades.count(g)) for g in grades])
+    at = np.arange(len(grades))
+
+    def tails(v):
+        z = x @ v[: len(used)] + y @ v[len(used) : -2]
+        return np.stack([1 / (1 + np.exp(v[-2] - z)), 1 / (1 + np.exp(v[-2] + np.exp(v[-1]) - z))], axis=1)
+
+    def smooth(v):
+        edges = np.hstack([np.ones((len(at), 1)), tails(v), np.zeros((len(at), 1))])
+        return float(-(weight * np.log(edges[at, grades] - edges[at, np.array(grades) + 1])).sum() / len(at) + 5e-6 * (v[len(used) : -2] ** 2).sum())
+
+    def whole(v):
+        return smooth(v) + penalty * np.abs(v[: len(used)]).sum()
+
+    v = np.zeros(len(used) + len(shape) + 2)
+    v[-2] = -1.0
+    steps = np.eye(len(v)) * 1e-5
+    for _ in range(6_000):
+        slope = np.array([(smooth(v + d) - smooth(v - d)) / 2e-5 for d in steps])
+        slope[len(used) : -2] /= ordinal.SHAPE_SCALE**2
+        v = v - 0.5 * slope
+        v[: len(used)] = np.sign(v[: len(used)]) * np.maximum(np.abs(v[: len(used)]) - 0.5 * penalty, 0)
+    own = np.concatenate([model.words[used], model.shapes[shape], [model.thresholds[0], np.log(np.diff(model.thresholds)[0])]]).astype(float)
+    assert abs(whole(own) - whole(v)) < 2e-3
+    assert np.abs(tails(own) - tails(v)).max() < 0.03
+
+    more = ["Hello, World 42 (a) b!", "a b c " * 12, "zz -- a\tA", "", None]
+    df = spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string")
+    for r in ordinal.rate(df, model).collect():
+        z = plain_score(model, r.text or "")
+        tail = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert abs(r.expected_grade - sum(tail)) < 1e-5
+        assert abs(r.tail - (tail[-1] if (r.text or "").strip() else 0)) < 1e-5 and r.selected == (r.tail >= 0.5)
