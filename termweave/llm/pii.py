@@ -62,7 +62,7 @@ PROSE = frozenset(
 PROSE_LAST = PROSE | {"matrix", "product", "products", "plot", "plots", "notation"}
 LABEL = re.compile(r"[a-z]{2,}|xn--[a-z0-9-]+")
 DOT = re.compile(rf"(?i){_DOT}|\s+dot\s+|\s+\.\s+|(?P<odd>{_ODD_DOT})")
-BEYOND = re.compile("[^\x00-\x7f]")
+BEYOND, BEYOND_LATIN = re.compile("[^\x00-\x7f]"), re.compile("[^\x00-\u00AC\u00AE-\u024F]")
 #: A character reference, or an escaped at sign between letters.
 REFERENCE = re.compile(r"(?i)&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|commat|period|plus|lowbar|nbsp|zwnj|zwj|shy);|(?<=[a-z0-9])(?P<escape>%40)(?=[a-z0-9])")
 
@@ -137,6 +137,10 @@ class Rewritten:
         return i < len(self.new) and self.new[i] < end
 
 
+#: Without one of these a text has no address, plain or disguised.
+ADDRESS = re.compile(r"(?i)[@\uFE6B\uFF20]|%40|&(?:#0*64|#x0*40|commat);|dot|[\[({<]\s*(?:at|punto|punkt|point)(?![a-z])")
+
+
 class Plain(dict):
     """What a character beyond ASCII is rewritten to: one ASCII character, nothing, or itself."""
 
@@ -161,7 +165,9 @@ PLAIN = Plain()
 def _character_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     if not text.isascii():
-        out = [(m.start(), m.end(), by) for m in BEYOND.finditer(text) if (by := PLAIN[m[0]]) != m[0]]
+        # Letters with marks matter in addresses only; most texts have none.
+        pattern = BEYOND if ADDRESS.search(text) else BEYOND_LATIN
+        out = [(m.start(), m.end(), by) for m in pattern.finditer(text) if (by := PLAIN[m[0]]) != m[0]]
     if "&" in text or "%40" in text:
         for m in REFERENCE.finditer(text):
             c = "@" if m["escape"] else html.unescape(m[0])
@@ -224,7 +230,7 @@ def _in_words(name: str, rest: str) -> bool:
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
     out, back = [], None
     for m in DISGUISED.finditer(text):
-        dotted = DOT.search(m["rest"])
+        dotted = any(not m["word"] or any(c.isalpha() for c in d[0]) for d in DOT.finditer(m["rest"]))
         if m["word"] and not dotted or m["at"] == "@" and not dotted:
             continue
         whole = "." in m["rest"]  # a domain with a dot of its own ends before an odd one

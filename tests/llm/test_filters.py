@@ -96,7 +96,7 @@ def test_references_odd_signs_marks_and_repeated_digits():
     for text, (kind, part) in cases.items():
         assert (kind, part) in [(k, text[a:b]) for a, k, b in pii.all_spans(text)[1]], text
         assert f"<{kind.upper()}>" in pii.redacted(text) and part not in pii.redacted(text)
-    for text in ("lunch @ noon . bring food", "see you @ home . Thanks", "R&D &amp; &#64; 100%", "a double five and a triple", "caf\u00e9 cr\u00e8me \u00b7 th\u00e9"):
+    for text in ("lunch @ noon . bring food", "see you @ home . Thanks", "R&D &amp; &#64; 100%", "a double five and a triple", "caf\u00e9 cr\u00e8me \u00b7 th\u00e9", "look at page\u00b7two", "look at acme . com"):
         assert pii.all_spans(text) == ([], []), text
     plain, spans = pii.all_spans("to jane@acme.com\u3002Thanks")
     assert plain == spans and len(plain) == 1
