@@ -23,9 +23,10 @@ from termweave.operators.membership import KeyFilter, mixed
 MAX_ALTERNATIVES = 64
 MAX_PATTERN_BYTES = 32 * 1024 * 1024
 # Texts are searched in blocks of about this size; a longer text is a block of its own.
-BLOCK_BYTES = 4 * 1024 * 1024
+BLOCK_BYTES = 1024 * 1024
 COMPARED_BYTES = 16 * 1024 * 1024
 
+POWERS = 21  # one table of powers, 16 MB, serves all blocks but those of longer texts
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 FILTER_BITS = 20
 
@@ -34,7 +35,7 @@ def _quoted(pattern: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in pattern)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(base: int, size: int) -> np.ndarray:
     steps = np.full(size, base, np.uint64)
     steps[0] = 1
@@ -45,7 +46,7 @@ class Windows:
     """Hashes of any windows of a byte array."""
 
     def __init__(self, data: np.ndarray, letters: np.ndarray):
-        size = 1 << max(10, len(data).bit_length())
+        size = 1 << max(POWERS, len(data).bit_length())
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[data] * _powers(BASE, size)[: len(data)], dtype=np.uint64)])
         self.back = _powers(pow(BASE, -1, 1 << 64), size)
 
@@ -112,23 +113,16 @@ class PatternIndex:
         return at[found], best[found]
 
     def search(self, texts: pa.Array) -> pa.Array:
-        """Per text the longest pattern at every start outside an earlier hit."""
+        """Per text the longest pattern at every start outside an earlier hit; the texts are one block."""
         texts = pc.fill_null(texts, "")
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-        block = (np.cumsum(sizes) - sizes) // BLOCK_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
-        positions, patterns, rows = [], [], []
-        for first, last in zip(edges, edges[1:]):
-            data = np.frombuffer(b"".join(t.as_buffer() for t in texts.slice(first, last - first)), np.uint8)
-            bounds = np.cumsum(sizes[first:last])
-            at, pattern = self.longest(data, bounds)
-            free = scan.visited(at, self.sizes[pattern])
-            at, pattern = at[free], pattern[free]
-            row = np.searchsorted(bounds, at, side="right")
-            positions.append(at - (bounds - sizes[first:last])[row])
-            patterns.append(pattern)
-            rows.append(row + first)
-        at, pattern, row = (np.concatenate(part) for part in (positions, patterns, rows))
+        data = np.frombuffer(b"".join(t.as_buffer() for t in texts), np.uint8)
+        bounds = np.cumsum(sizes)
+        at, pattern = self.longest(data, bounds)
+        free = scan.visited(at, self.sizes[pattern])
+        at, pattern = at[free], pattern[free]
+        row = np.searchsorted(bounds, at, side="right")
+        at = at - (bounds - sizes)[row]
         columns = [
             pa.array(at.astype(np.int32)),
             pa.array(self.sizes[pattern].astype(np.int32)),
@@ -255,8 +249,11 @@ def _searched(rows: DataFrame, patterns: DataFrame) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, shared.value.search(batch.column("text"))], names=[*names, "hits"])
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            # A block's hits leave before the next one is searched.
+            for part in scan.parts(batch, sizes, BLOCK_BYTES):
+                columns = [part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, shared.value.search(part.column("text"))], names=[*names, "hits"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
     return rows.mapInArrow(search, ", ".join([*fields, f"hits array<{scan.HIT}>"]))

@@ -37,6 +37,9 @@ BOUNDARY = ""
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
+#: Lists are walked in runs of about so many words; a longer list is a run of its own.
+WORDS_AT_ONCE = 200_000
+
 MAX_PREFIXES = 1_000_000
 MAX_PREFIX_BYTES = 64 * 1024 * 1024
 
@@ -69,6 +72,20 @@ class DictionarySize:
         return self.prefixes <= max_prefixes and self.bytes <= max_bytes
 
 
+def parts(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about `limit` together, so that the work on it takes bounded memory however large batches are."""
+    of = (np.cumsum(sizes) - sizes) // limit
+    edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), batch.num_rows]
+    for first, last in zip(edges, edges[1:], strict=False):
+        if last > first:
+            yield batch.slice(first, last - first)
+
+
+def _word_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from parts(batch, pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64), WORDS_AT_ONCE)
+
+
 def visited(at: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which starts (ascending) the greedy walk visits; `length` is that of the longest prefix there."""
     begin, end = [], []
@@ -220,8 +237,8 @@ def _walked(rows: DataFrame, entries: DataFrame, walk: str, sums: bool) -> DataF
     walker = rows.sparkSession.sparkContext.broadcast(PrefixWalker(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _with_column(batch, *_outcome(walker.value.scan(batch, walk), sums))
+        for part in _word_parts(batches):
+            yield _with_column(part, *_outcome(walker.value.scan(part, walk), sums))
 
     return rows.mapInArrow(run, _schema(rows.drop("words"), sums))
 
@@ -266,14 +283,14 @@ def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize) -> Data
     longest, kept = size.longest, [c for c in rows.columns if c != "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _word_parts(batches):
             lists = batch.column("words")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             bounds, flat = np.concatenate([[0], np.cumsum(sizes)]), lists.flatten()
             hashes, end = text_hashes(flat), np.repeat(bounds[1:], sizes)
             real = pc.not_equal(flat, BOUNDARY).to_numpy(zero_copy_only=False).astype(bool)
             at, so_far = np.arange(len(hashes)), np.zeros(len(hashes), np.uint64)
-            found_at, found_n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            found_at, found_n, prefix = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
             for depth in range(1, longest + 1):
                 inside = at + depth - 1 < end[at]
                 at, so_far = at[inside], so_far[inside]
@@ -284,10 +301,9 @@ def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize) -> Data
                     break
                 found_at.append(at)
                 found_n.append(np.full(len(at), depth))
+                prefix.append(pc.binary_join_element_wise(*[flat.take(pa.array(at + i)) for i in range(depth)], " ").cast(pa.string()))
             at, n = np.concatenate(found_at), np.concatenate(found_n)
             row = np.searchsorted(bounds, at, side="right") - 1
-            words = flat.to_pylist() if len(at) else []
-            prefix = [" ".join(words[i : i + k]) for i, k in zip(at.tolist(), n.tolist(), strict=True)]
             # Keys without a partner, one for each row, spread evenly.
             own = [f"{BOUNDARY}\0{i}" for i in batch.column("_row").to_pylist()]
             every = np.arange(batch.num_rows)
@@ -297,7 +313,7 @@ def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize) -> Data
                 told.take(pa.array(np.concatenate([every, np.zeros(len(row), np.int64)]), mask=np.concatenate([np.zeros(len(every), bool), np.ones(len(row), bool)]))),
                 pa.array(np.concatenate([np.full(len(every), -1), at - bounds[row]]).astype(np.int32)),
                 pa.array(np.concatenate([np.zeros(len(every), np.int64), n]).astype(np.int32)),
-                pa.array([*own, *prefix], pa.string()),
+                pa.concat_arrays([pa.array(own, pa.string()), *prefix]),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["_row", "_told", "pos", "n", "prefix"])
 
