@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,9 +40,9 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(scale == 0, F.lit(0.0)).otherwise(dot(a, b) / scale)
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use(value)` with the value computed once, not once per element of an inner lambda."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+@lru_cache(maxsize=1 << 16)
+def _number(gram: str) -> int:
+    return int(hashlib.md5(gram.encode()).hexdigest()[:7], 16)
 
 
 def trigram_vector(phrase: Column | str, dim: int = 64) -> Column:
@@ -46,20 +50,21 @@ def trigram_vector(phrase: Column | str, dim: int = 64) -> Column:
 
     A trigram's number is its md5's first seven hex digits: the rest by `dim` is its slot,
     the parity of the quotient its sign. Stands in for a model-made embedding where no
-    vector table is at hand.
+    vector table is at hand. Batches are counted as arrays: as an expression, every slot
+    looks at every trigram, and each condition on the vector does so again.
     """
-    padded = F.concat(F.lit("  "), F.lower(_c(phrase)), F.lit("  "))
-    number = lambda gram: F.conv(F.left(F.md5(gram), F.lit(7)), 16, 10).cast("int")
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: number(F.substr(padded, i, F.lit(3))))
 
-    def signed_counts(numbers: Column) -> Column:
-        def slot_sum(slot: Column) -> Column:
-            mine = F.filter(numbers, lambda h: h % dim == slot)
-            return F.aggregate(mine, F.lit(0.0), lambda t, h: t + F.when(F.floor(h / dim) % 2 == 1, -1.0).otherwise(1.0))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), slot_sum)
-
-    def scaled(raw: Column) -> Column:
-        return _bind(norm(raw), lambda length: F.transform(raw, lambda x: F.when(length == 0, 0.0).otherwise(x / length)))
-
-    return _bind(_bind(grams, signed_counts), scaled)
+    def counted(texts: pa.Array) -> pa.Array:
+        numbers, row = [], []
+        for i, text in enumerate(texts.to_pylist()):
+            grams = [_number(text[k : k + 3]) for k in range(len(text) - 2)] if text is not None else []
+            numbers += grams
+            row += [i] * len(grams)
+        number, vectors = np.array(numbers, np.int64), np.zeros((len(texts), dim))
+        np.add.at(vectors, (np.array(row, np.int64), number % dim), np.where(number // dim % 2 == 1, -1.0, 1.0))
+        length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+        unknown = np.repeat(pc.is_null(texts).to_numpy(zero_copy_only=False), dim)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim), pa.array(unit.ravel(), mask=unknown))
+
+    return F.arrow_udf(counted, "array<double>")(F.concat(F.lit("  "), F.lower(_c(phrase)), F.lit("  ")))
