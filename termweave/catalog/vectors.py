@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from termweave.catalog.registry import documents, query, sql_words, table
 from termweave.functions.text import dictionary_words
 from termweave.functions.vectors import as_doubles, parse_vector, trigram_vector
-from termweave.operators.similarity import pair_cosines, similar_keywords, threshold_sweep
+from termweave.operators.similarity import best_similar, pair_cosines, similar_keywords, threshold_sweep
 from termweave.plans import dictionaries as dic
 
 # The test vectors are random: their cosines stay below 0.5, far under those of real phrase embeddings.
@@ -34,8 +34,8 @@ SQL_SIMILAR = f"""similar_rows AS (
     WHERE c.vec_id % 2 = 0 AND list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) > {LOWEST})"""
 
 
-def similar(spark, sf, **limits):
-    return similar_keywords(core_vectors(spark, sf), ext_vectors(spark, sf), LOWEST, **limits)
+def similar(spark, sf, threshold=LOWEST, **limits):
+    return similar_keywords(core_vectors(spark, sf), ext_vectors(spark, sf), threshold, **limits)
 
 
 @query("similar_phrases", f"WITH {SQL_SIMILAR} SELECT keyword, source, core_keyword, round(cos, 6) AS cos FROM similar_rows")
@@ -57,7 +57,8 @@ def similar_phrases_cells(spark, sf):
     FROM owner GROUP BY threshold""",
 )
 def sweep(spark, sf):
-    return threshold_sweep(similar(spark, sf), THRESHOLDS, ("cso", "method", "task"))
+    best = best_similar(core_vectors(spark, sf), ext_vectors(spark, sf), LOWEST)
+    return threshold_sweep(best, THRESHOLDS, ("cso", "method", "task"))
 
 
 @query(
@@ -67,7 +68,7 @@ def sweep(spark, sf):
     QUALIFY list_position(['cso', 'method', 'task'], source) = min(list_position(['cso', 'method', 'task'], source)) OVER (PARTITION BY keyword)""",
 )
 def extended_dictionary(spark, sf):
-    return dic.extended_dictionary(similar(spark, sf), 0.3)
+    return dic.extended_dictionary(similar(spark, sf, 0.3), 0.3)
 
 
 @query(

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from termweave.functions.vectors import as_doubles, cosine
@@ -41,6 +41,12 @@ def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs_above(core_ids, core: np.ndarray, ext_ids, ext: np.ndarray, threshold: float) -> Iterator[tuple]:
+    """Ids and cosines of the pairs above the threshold."""
+    for i, j, cos in _places_above(core, ext, threshold):
+        yield core_ids[i], ext_ids[j], cos
+
+
+def _places_above(core: np.ndarray, ext: np.ndarray, threshold: float) -> Iterator[tuple]:
     """Pairs above the threshold, one bounded product block after the other.
 
     The dimensions are taken by falling weight. After the leading quarter the rest of a
@@ -68,7 +74,7 @@ def _pairs_above(core_ids, core: np.ndarray, ext_ids, ext: np.ndarray, threshold
                 i, j = np.nonzero(part > threshold)
                 cos = part[i, j]
             if len(i):
-                yield core_ids[left + i], ext_ids[start + j], cos
+                yield left + i, start + j, cos
 
 
 def _comparable(vectors: DataFrame) -> DataFrame:
@@ -93,16 +99,21 @@ def similar_pairs(
     those of another length than core's have no cosine and are in no pair, whichever
     form runs. Core vectors of different lengths raise an error.
     """
+    core, ext, size = _measured(core, ext)
+    if size["n"] * size["dim"] * 8 + size["ids"] <= max_bytes:
+        return _broadcast_pairs(core, ext, threshold)
+    return _cell_pairs(core, ext, threshold, size["n"], rows_per_cell)
+
+
+def _measured(core: DataFrame, ext: DataFrame) -> tuple[DataFrame, DataFrame, Row]:
+    """The comparable rows of both sides, and what core takes."""
     core, ext = _comparable(core), _comparable(ext)
     own = F.size("vector")
     text = F.coalesce(F.sum(F.octet_length("id")), F.lit(0))
     size = core.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(own), F.lit(0)).alias("dim"), F.coalesce(F.min(own), F.lit(0)).alias("least"), text.alias("ids")).first()
     if size["least"] != size["dim"]:
         raise ValueError(f"core vectors have {size['least']} to {size['dim']} values")
-    ext = ext.where(own == size["dim"])
-    if size["n"] * size["dim"] * 8 + size["ids"] <= max_bytes:
-        return _broadcast_pairs(core, ext, threshold)
-    return _cell_pairs(core, ext, threshold, size["n"], rows_per_cell)
+    return core, ext.where(own == size["dim"]), size
 
 
 def _broadcast_pairs(core: DataFrame, ext: DataFrame, threshold: float) -> DataFrame:
@@ -230,7 +241,7 @@ def _cell_pairs(core: DataFrame, ext: DataFrame, threshold: float, n_core: int,
     def dealt(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, resident: bool) -> Iterator[pa.RecordBatch]:
         """Each row once per run of its cell's visitors (residents), or once per piece of residents (visitors)."""
         own, other = (pieces, runs) if resident else (runs, pieces)
-        hashed = np.array([zlib.crc32(x.encode()) for x in batch.column("id").to_pylist()], np.int64)
+        hashed = np.array([zlib.crc32((x or "").encode()) for x in batch.column("id").to_pylist()], np.int64)
         slot = hashed[row] % own[cell]
         copies = other[cell]
         again = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
@@ -309,6 +320,43 @@ def similar_keywords(core: DataFrame, ext: DataFrame, threshold: float, **limits
     return found.groupBy("keyword", "source", "core_keyword").agg(F.max("cos").alias("cos"))
 
 
+def best_similar(core: DataFrame, ext: DataFrame, threshold: float, max_bytes: int = MAX_BROADCAST_BYTES, **limits: int) -> DataFrame:
+    """`(keyword, source, cos)`: the best cosine of each row of `ext` with the core keywords of a source, as `similar_keywords` pairs them.
+
+    All pairs are compared, but where core is broadcast at most one row per keyword and
+    source leaves a task, not one per pair. A keyword on several rows has several.
+    """
+    left = core.select(F.to_json(F.struct(F.col("source").alias("s"), F.col("keyword").alias("k"))).alias("id"), as_doubles("embedding").alias("vector"))
+    right = ext.select(F.lower("keyword").alias("id"), as_doubles("embedding").alias("vector"))
+    left, right, size = _measured(left, right)
+    if size["n"] * size["dim"] * 8 + size["ids"] > max_bytes:
+        return similar_keywords(core, ext, threshold, max_bytes=max_bytes, **limits).drop("core_keyword")
+    parsed = F.from_json("id", "s string, k string")
+    named = left.select(parsed["s"].alias("source"), parsed["k"].alias("id"), "vector").where("id IS NOT NULL").toArrow()
+    sources: dict[str | None, int] = {}
+    source = np.array([sources.setdefault(s, len(sources)) for s in named["source"].to_pylist()], np.int64)
+    names: dict[str, int] = {}
+    name = np.array([names.setdefault(k, len(names)) for k in named["id"].to_pylist()], np.int64)
+    matrix = _unit_rows(_matrix(named["vector"].combine_chunks(), named.num_rows))
+    shared = core.sparkSession.sparkContext.broadcast((list(sources), source, names, name, matrix))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources, source, names, name, matrix = shared.value
+        for batch in batches:
+            if not len(name) or not batch.num_rows:
+                continue
+            ids, other = _side(pa.Table.from_batches([batch]))
+            own = np.array([names.get(k, -1) for k in ids], np.int64)
+            best = np.full((len(sources), len(ids)), -np.inf)
+            for i, j, cos in _places_above(matrix, other, threshold):
+                differs = name[i] != own[j]
+                np.maximum.at(best, (source[i[differs]], j[differs]), cos[differs])
+            s, j = np.nonzero(best > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j], pa.string()), pa.array([sources[x] for x in s.tolist()], pa.string()), pa.array(best[s, j])], names=["keyword", "source", "cos"])
+
+    return right.where(F.col("id").isNotNull()).select("id", "vector").mapInArrow(compare, "keyword string, source string, cos double")
+
+
 def threshold_sweep(similar: DataFrame, thresholds: list[float], order: tuple[str, ...]) -> DataFrame:
     """Distinct keywords in total and per source for every threshold, in one pass.
 
