@@ -35,6 +35,21 @@ def _quoted(pattern: str) -> str:
     return "".join(c if c.isalnum() or c == " " else "\\" + c for c in pattern)
 
 
+def _alternation(words: Sequence[str]) -> str:
+    """A regular expression that finds what the alternatives, longest first, find: equal beginnings are tried once, longer ends before shorter ones."""
+    ends: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        if word:
+            ends.setdefault(word[0], []).append(word[1:])
+    parts = []
+    for first, rest in ends.items():
+        if len(rest) == 1:
+            parts.append(_quoted(first + rest[0]))
+        else:
+            parts.append(_quoted(first) + f"(?:{_alternation(rest)})" + ("?" if "" in rest else ""))
+    return "|".join(parts)
+
+
 @lru_cache(maxsize=2)
 def _powers(base: int, size: int) -> np.ndarray:
     steps = np.full(size, base, np.uint64)
@@ -161,8 +176,7 @@ def substring_hits(
         return docs.select(key, *keep, empty.alias("hits"))
     if size["n"] <= max_alternatives:
         words = [r["pattern"] for r in distinct.orderBy(F.desc(F.length("pattern")), "pattern").collect()]
-        alternation = "(" + "|".join(_quoted(w) for w in words) + ")"
-        found = F.regexp_extract_all(F.col(text), F.lit(alternation), F.lit(1))
+        found = F.regexp_extract_all(F.col(text), F.lit(f"({_alternation(words)})"), F.lit(1))
         return docs.select(key, *keep, F.coalesce(found, empty).alias("hits"))
 
     # Under names of their own, as a kept column may be the text or be called like it.
