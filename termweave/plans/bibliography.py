@@ -15,7 +15,6 @@ from termweave.functions.text import last_path_part
 from termweave.operators.graph import to_edges, to_nodes
 from termweave.operators.skew import keyed_values, salted_join
 
-
 def external_ids(papers: DataFrame, locations: DataFrame, site: str = "arxiv") -> DataFrame:
     """Adds `openalex_id` by the last part of the landing page; null where unknown."""
     known = locations.where(F.contains("landing_page_url", F.lit(site))).select(
@@ -31,10 +30,16 @@ def of_keys(facts: DataFrame, column: str, keys: DataFrame, key: str) -> DataFra
 
 
 def with_works(papers: DataFrame, works: DataFrame, dropped: tuple[str, ...] = (), suffix: str = "_openalex") -> DataFrame:
-    """Work columns on the papers; clashing names get the suffix."""
+    """Work columns on the papers; clashing names get the suffix.
+
+    Papers without a work meet nothing; dealt by their own id, they do not lie in one task.
+    """
     matching = of_keys(works, "id", papers, "openalex_id").drop(*dropped)
     renamed = matching.select([F.col(c).alias(c + suffix if c in papers.columns else c) for c in matching.columns])
-    return papers.join(renamed, papers["openalex_id"] == renamed["id" + suffix], "left")
+    spread = papers.withColumn("_dealt", F.xxhash64(F.coalesce("openalex_id", "id")))
+    met = renamed.withColumn("_met", F.xxhash64("id" + suffix))
+    equal = (spread["openalex_id"] == met["id" + suffix]) & (spread["_dealt"] == met["_met"])
+    return spread.join(met, equal, "left").drop("_dealt", "_met")
 
 
 def translate(edges: DataFrame, column: str, papers: DataFrame, name: str, external: str = "openalex_id") -> DataFrame:
