@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from termweave.functions.text import extraction_clean, fulltext_clean
@@ -178,3 +179,62 @@ def test_fulltext_steps_are_computed_once(spark):
     cleaned = docs.select(fulltext_clean("t").alias("c"))
     assert plan(cleaned).count("regexp_replace(lower(") == 1
     assert [r.c and r.c[:9] for r in cleaned.collect()] == [None, None, None, "body text"]
+
+
+def _named(spark, n, times=1):
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i}", ["cso", None][i % 2], rng.normal(size=8).tolist()) for i in range(n)]
+    core = spark.createDataFrame([(k, s, rng.normal(size=8).tolist() if t else v) for k, s, v in rows for t in range(times)], "keyword string, source string, embedding array<double>")
+    ext = spark.createDataFrame([(k.upper(), v) for k, _, v in rows for _ in range(times)], "keyword string, embedding array<double>")
+    return core, ext
+
+
+def _by_hand(core, ext, threshold):
+    best = {}
+    for k, s, v in core.collect():
+        for e, w in ext.collect():
+            cos = float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+            if cos > threshold and e.lower() != k:
+                best[e.lower(), s, k] = max(best.get((e.lower(), s, k), -2.0), cos)
+    return {k: round(v, 9) for k, v in best.items()}
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_bytes": 0, "rows_per_cell": 5}])
+@pytest.mark.parametrize("times", [1, 2])
+def test_similar_keywords_move_no_pair_of_unique_names(spark, limits, times):
+    core, ext = _named(spark, 40, times)
+    found = similarity.similar_keywords(core, ext, 0.2, **limits)
+    rows = found.collect()
+    assert {(r.keyword, r.source, r.core_keyword): round(r.cos, 9) for r in rows} == _by_hand(core, ext, 0.2) and len(rows) == len(_by_hand(core, ext, 0.2))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Aggregate [keyword" in plan) == (times == 2)
+
+
+def test_crowded_cells_are_met_in_shards(spark, monkeypatch):
+    """A visitor of many cells is sent once for each shard, not once for each cell."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(str(i), rng.normal(size=16).tolist()) for i in range(300)], "id string, vector array<double>")
+    seen = {}
+    for size in (0, 150):
+        monkeypatch.setattr(similarity, "SHARD_ROWS", size)
+        dealt = spark.sparkContext.accumulator(0)
+        plain = similarity._streamed
+
+        def counted(threshold):
+            inner = plain(threshold)
+
+            def run(batches):
+                def told():
+                    for b in batches:
+                        dealt.add(b.num_rows)
+                        yield b
+
+                yield from inner(told())
+
+            return run
+
+        monkeypatch.setattr(similarity, "_streamed", counted)
+        seen[size] = {(r.core_id, r.ext_id) for r in similarity.similar_pairs(df, df, 0.1, max_bytes=0, rows_per_cell=10).collect()}, dealt.value
+        monkeypatch.setattr(similarity, "_streamed", plain)
+    assert seen[0][0] == seen[150][0] and seen[150][0]
+    assert seen[150][1] < 300 * 5 < seen[0][1]
