@@ -257,7 +257,7 @@ def _found(words: DataFrame, key: str, dictionary, walk: str, sums: bool, max_pr
     if size.fits(max_prefixes, max_bytes):
         return _walked(rows, dictionary.entries, walk, sums)
     table = prefix_rows(dictionary.entries).select("prefix", "depth", "is_terminal", "value", "weight")
-    return merged(_candidates(rows, table, size), table, walk, sums)
+    return _joined(_candidates(rows, table, size, walk), rows.drop("words"), table, walk, sums)
 
 
 def _run_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -277,9 +277,17 @@ def _prefix_hashes(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize) -> DataFrame:
-    """Word runs of `rows` that may be prefixes, as `(_row, _told, pos, n, prefix)`, and one row at -1 per row that carries its columns."""
-    shared = rows.sparkSession.sparkContext.broadcast(KeyFilter.of(table.select("prefix"), _prefix_hashes, size.prefixes))
+def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize, walk: str) -> DataFrame:
+    """Word runs of `rows` that may count, one row for each part of a batch and distinct run: `(_part, _told, n, prefix, at)`.
+
+    `at` holds the places of the run, counted through the words of the part, whose size is
+    bounded. One row of each part, without a prefix, carries the columns of its rows and how
+    many words come before each. A run that no phrase may end with counts only as a longer
+    prefix, which one word is not, so frequent short words do not leave the task.
+    """
+    sc = rows.sparkSession.sparkContext
+    shared = sc.broadcast(KeyFilter.of(table.select("prefix"), _prefix_hashes, size.prefixes))
+    ends = sc.broadcast(KeyFilter.of(table.where("is_terminal").select("prefix"), _prefix_hashes, size.phrases))
     longest, kept = size.longest, [c for c in rows.columns if c != "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +298,8 @@ def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize) -> Data
             hashes, end = text_hashes(flat), np.repeat(bounds[1:], sizes)
             real = pc.not_equal(flat, BOUNDARY).to_numpy(zero_copy_only=False).astype(bool)
             at, so_far = np.arange(len(hashes)), np.zeros(len(hashes), np.uint64)
-            found_at, found_n, prefix = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            runs, places, depths = [pa.nulls(1, pa.string())], [bounds[:-1]], [np.zeros(1, np.int32)]
+            counts = [np.array([len(sizes)])]
             for depth in range(1, longest + 1):
                 inside = at + depth - 1 < end[at]
                 at, so_far = at[inside], so_far[inside]
@@ -299,27 +308,70 @@ def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize) -> Data
                 at, so_far = at[held], so_far[held]
                 if not len(at):
                     break
-                found_at.append(at)
-                found_n.append(np.full(len(at), depth))
-                prefix.append(pc.binary_join_element_wise(*[flat.take(pa.array(at + i)) for i in range(depth)], " ").cast(pa.string()))
-            at, n = np.concatenate(found_at), np.concatenate(found_n)
-            row = np.searchsorted(bounds, at, side="right") - 1
-            # Keys without a partner, one for each row, spread evenly.
-            own = [f"{BOUNDARY}\0{i}" for i in batch.column("_row").to_pylist()]
-            every = np.arange(batch.num_rows)
-            told = pa.StructArray.from_arrays([batch.column(c) for c in kept if c != "_row"], names=[c for c in kept if c != "_row"])
+                told = at[ends.value.may_hold(so_far)] if depth == 1 or walk == "overlapping" else at
+                prefix = pc.binary_join_element_wise(*[flat.take(pa.array(told + i)) for i in range(depth)], " ").cast(pa.string()).dictionary_encode()
+                which = prefix.indices.to_numpy(zero_copy_only=False)
+                runs.append(prefix.dictionary)
+                places.append(told[np.argsort(which, kind="stable")])
+                counts.append(np.bincount(which, minlength=len(prefix.dictionary)))
+                depths.append(np.full(len(prefix.dictionary), depth, np.int32))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+            n = len(offsets) - 1
+            told = pa.StructArray.from_arrays([batch.column(c) for c in kept], names=kept)
             columns = [
-                batch.column("_row").take(pa.array(np.concatenate([every, row]))),
-                told.take(pa.array(np.concatenate([every, np.zeros(len(row), np.int64)]), mask=np.concatenate([np.zeros(len(every), bool), np.ones(len(row), bool)]))),
-                pa.array(np.concatenate([np.full(len(every), -1), at - bounds[row]]).astype(np.int32)),
-                pa.array(np.concatenate([np.zeros(len(every), np.int64), n]).astype(np.int32)),
-                pa.concat_arrays([pa.array(own, pa.string()), *prefix]),
+                pa.array(np.full(n, batch.column("_row")[0].as_py())),
+                pa.ListArray.from_arrays(pa.array([0, *[len(told)] * n], pa.int32()), told),
+                pa.array(np.concatenate(depths)),
+                pa.concat_arrays(runs),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places).astype(np.int32))),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["_row", "_told", "pos", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, names=["_part", "_told", "n", "prefix", "at"])
 
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     columns = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "words")
-    return numbered.mapInArrow(run, f"_row long, _told struct<{columns}>, pos int, n int, prefix string")
+    return numbered.mapInArrow(run, f"_part long, _told array<struct<{columns}>>, n int, prefix string, at array<int>")
+
+
+def _joined(candidates: DataFrame, rows: DataFrame, table: DataFrame, walk: str, sums: bool) -> DataFrame:
+    """The columns of each row with the hits that follow from those runs that `table(prefix, depth, ...)` holds; the runs of a part meet again, sorted."""
+    known = table.select(F.col("prefix").alias("_prefix"), "depth", "is_terminal", "value", "weight")
+    # A key of its own for the row without a prefix: nulls would meet in one task.
+    own_key = F.coalesce("prefix", F.concat(F.lit(f"{BOUNDARY}\0"), F.col("_part").cast("string")))
+    met = candidates.withColumn("_run", own_key).join(known, (F.col("_run") == F.col("_prefix")) & (F.col("n") == F.col("depth")), "left")
+    useful = F.col("is_terminal") if walk == "overlapping" else F.col("is_terminal") | ((F.col("n") > 1) & F.col("_prefix").isNotNull())
+    phrase = F.when(F.col("is_terminal"), F.col("prefix")).alias("phrase")
+    told = met.where(useful | (F.col("n") == 0)).select("_part", "_told", "n", phrase, "value", "weight", "at")
+
+    def folded(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        first, runs = whole.slice(0, 1), whole.slice(1)
+        of, begin = first.column("_told").flatten(), first.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(runs.column("at")).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = runs.column("at").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        place, run = place[order], pa.array(np.repeat(np.arange(len(sizes)), sizes)[order])
+        row = np.searchsorted(begin, place, side="right") - 1
+        columns = [pa.array((place - begin[row]).astype(np.int32)), *[runs.column(c).take(run) for c in HIT_COLUMNS[1:]]]
+        bounds = pa.array(np.searchsorted(row, np.arange(len(of) + 1)).astype(np.int32))
+        outcome, names = _outcome(_fold(pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays(columns, names=HIT_COLUMNS)), walk), sums)
+        return pa.RecordBatch.from_arrays([*of.flatten(), *outcome], names=[*[f.name for f in of.type], *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            part = batch.column("_part").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b > a and part[a] != now:
+                    if held:
+                        yield folded(held)
+                    now, held = part[a], []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield folded(held)
+
+    return told.repartition("_part").sortWithinPartitions("_part", "n").mapInArrow(run, _schema(rows, sums))
 
 
 def merged(candidates: DataFrame, table: DataFrame, walk: str, sums: bool = False) -> DataFrame:
