@@ -100,7 +100,7 @@ def linear_score(spark, sf):
     ids = vocab.entries.select(F.col("value").alias("phrase_id")).where("phrase_id % 3 <> 0")
     coefficients = ids.select("phrase_id", ((F.col("phrase_id") % 7 - 3) / 2).alias("weight"))
     features = tf.tfidf(documents(spark, sf), "doc_id", "text", vocab)
-    scored = models.linear_scores(features, "doc_id", coefficients, 0.25)
+    scored = models.linear_scores(features, "doc_id", coefficients, 0.25, vocab)
     return scored.withColumn("probability", F.round("probability", 6))
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
@@ -34,7 +35,7 @@ class TextClassifier:
     def features(self, docs: DataFrame, key: str, text: str, vocab) -> DataFrame:
         """`(key, phrase_id, tf, idf, tfidf)` with the idf of the fit."""
         counts = tfidf.term_counts(docs, key, text, vocab)
-        known = salted_join(counts, self.idf, "phrase_id", "left")
+        known = tfidf.by_phrase(counts, self.idf, vocab, "left")
         return tfidf.scaled(known.withColumn("idf", F.coalesce("idf", F.lit(self.unseen_idf))), key)
 
 
@@ -46,13 +47,17 @@ def fit_text_classifier(docs: DataFrame, key: str, text: str, label: str, vocab,
     """Logistic regression on length-normalised TF-IDF of the vocabulary phrases; `key` must be unique.
 
     Takes a fixed number of accelerated gradient steps from zero on the mean loss plus
-    `reg_param / 2` times the squared coefficients. Coefficients are rows by phrase from
-    start to end: a step joins them with the documents' values and adds the slopes on
-    the map side. Only the intercept and the number of documents reach the driver. Rows
-    without a label are left out; without any row all coefficients are zero.
+    `reg_param / 2` times the squared coefficients. Where the vocabulary was measured to be
+    small, a step sends the coefficients to every task, which adds its documents' slopes.
+    Otherwise coefficients are rows by phrase from start to end: a step joins them with the
+    documents' values and adds the slopes on the map side, and only the intercept and the
+    number of documents reach the driver. Rows without a label are left out; without any
+    row all coefficients are zero.
     """
     docs = docs.where(F.col(label).isNotNull())
     counts = durable(tfidf.term_counts(docs, key, text, vocab))
+    if vocab.size().fits():
+        return _fit_sent(docs, key, label, counts, reg_param, steps)
     frequency = durable(tfidf.document_frequency(counts, docs).select("phrase_id", "idf", F.ceil(F.col("df") / ROWS_PER_PIECE).cast("int").alias("pieces")))
     targets = durable(docs.select(key, F.col(label).cast("double").alias("_label")))
     n = targets.count()
@@ -72,6 +77,55 @@ def fit_text_classifier(docs: DataFrame, key: str, text: str, label: str, vocab,
     return TextClassifier(frequency.select("phrase_id", "idf"), coefficients, float(intercept), math.log(1.0 + n) + 1)
 
 
+def _fit_sent(docs: DataFrame, key: str, label: str, counts: DataFrame, reg_param: float, steps: int) -> TextClassifier:
+    """The fit over a vocabulary whose size was checked; one row per key, with its number of labels, their sum and its phrases."""
+    spark = docs.sparkSession
+    frequency = durable(tfidf.document_frequency(counts, docs).select("phrase_id", "idf"))
+    scaled = tfidf.scaled(counts.join(F.broadcast(frequency), "phrase_id"), key)
+    vectors = scaled.groupBy(key).agg(F.collect_list(F.struct("phrase_id", "tfidf")).alias("_x"))
+    targets = docs.groupBy(key).agg(F.count(F.lit(1)).alias("labels"), F.sum(F.col(label).cast("double")).alias("total"))
+    values = durable(targets.join(vectors, key, "left").select("labels", "total", F.col("_x.phrase_id").alias("ids"), F.col("_x.tfidf").alias("x")))
+    n = values.agg(F.coalesce(F.sum("labels"), F.lit(0)).alias("n")).first()["n"]
+    ids = np.sort(frequency.select("phrase_id").toArrow()["phrase_id"].to_numpy())
+    steepest = 0.5 + reg_param
+    flat = math.sqrt(reg_param / steepest)
+    # The intercept stands behind the phrases and is not held back.
+    penalty = np.append(np.full(len(ids), reg_param), 0.0)
+    weight, ahead = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
+    for _ in range(steps):
+        shared = spark.sparkContext.broadcast((ids, ahead))
+        found = values.mapInArrow(_slopes(shared), "place long, slope double").groupBy("place").agg(F.sum("slope").alias("slope")).toArrow()
+        slope = np.zeros(len(ids) + 1)
+        slope[found["place"].to_numpy()] = found["slope"].to_numpy()
+        moved = ahead - (slope / max(n, 1) + penalty * ahead) / steepest
+        weight, ahead = moved, moved + (1 - flat) / (1 + flat) * (moved - weight)
+        shared.unpersist()
+    release(counts, values)
+    coefficients = spark.createDataFrame(pa.table({"phrase_id": pa.array(ids, pa.int64()), "weight": weight[:-1]}))
+    return TextClassifier(frequency, coefficients, float(weight[-1]), math.log(1.0 + n) + 1)
+
+
+def _slopes(shared):
+    """Per partition one row for each place with a slope of the summed loss."""
+
+    def run(batches):
+        ids, ahead = shared.value
+        slope = np.zeros(len(ids) + 1)
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.searchsorted(ids, batch.column("ids").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            margin = np.bincount(row, x * ahead[place], batch.num_rows) + ahead[-1]
+            error = batch.column("labels").to_numpy() / (1 + np.exp(-margin)) - batch.column("total").to_numpy()
+            slope[:-1] += np.bincount(place, x * error[row], len(ids))
+            slope[-1] += error.sum()
+        own = np.flatnonzero(slope)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(slope[own])], names=["place", "slope"])
+
+    return run
+
+
 def _gradient_step(values: DataFrame, targets: DataFrame, state: DataFrame, key: str, n: int, reg_param: float) -> DataFrame:
     """The next `(phrase_id, pieces, weight, ahead)`; slopes are taken at `ahead`, where the momentum has carried the weights.
 
@@ -96,19 +150,21 @@ def _gradient_step(values: DataFrame, targets: DataFrame, state: DataFrame, key:
     return stepped.select("phrase_id", "pieces", "weight", (F.col("weight") + momentum * (F.col("weight") - F.col("_before"))).alias("ahead"))
 
 
-def linear_scores(features: DataFrame, key: str, coefficients: DataFrame, intercept: float) -> DataFrame:
+def linear_scores(features: DataFrame, key: str, coefficients: DataFrame, intercept: float, vocab=None) -> DataFrame:
     """`(key, probability)` of the positive class from `features(key, phrase_id, tfidf)`.
 
-    Products are summed on the map side; frequent phrases are cut into pieces.
+    Products are summed on the map side; frequent phrases are cut into pieces, unless `vocab`
+    is given and small: then the coefficients of its phrases are sent to every task.
     """
-    products = salted_join(features.select(key, "phrase_id", "tfidf"), coefficients, "phrase_id", "left")
+    values = features.select(key, "phrase_id", "tfidf")
+    products = tfidf.by_phrase(values, coefficients, vocab, "left") if vocab else salted_join(values, coefficients, "phrase_id", "left")
     margin = F.coalesce(F.sum(F.col("tfidf") * F.col("weight")), F.lit(0.0)) + intercept
     return products.groupBy(key).agg((1 / (1 + F.exp(-margin))).alias("probability"))
 
 
 def score_texts(model: TextClassifier, docs: DataFrame, key: str, text: str, vocab) -> DataFrame:
     """`(key, prediction, probability)` of the positive class; without a known phrase the intercept decides."""
-    scored = linear_scores(model.features(docs, key, text, vocab), key, model.coefficients, model.intercept)
+    scored = linear_scores(model.features(docs, key, text, vocab), key, model.coefficients, model.intercept, vocab)
     nothing = 1 / (1 + math.exp(-model.intercept))
     probability = F.coalesce("probability", F.lit(nothing))
     joined = docs.select(key).join(scored, key, "left").select(key, probability.alias("probability"))
