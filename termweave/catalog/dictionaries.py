@@ -41,8 +41,8 @@ def extended_dictionary(spark, sf):
     return dic.extended_dictionary(similar.distinct(), 0.5)
 
 
-def merged_dictionary(spark, sf):
-    return dic.merged_dictionary(core_dictionary(spark, sf), extended_dictionary(spark, sf))
+def merged_dictionary(spark, sf, core=None):
+    return dic.merged_dictionary(core_dictionary(spark, sf) if core is None else core, extended_dictionary(spark, sf))
 
 
 @query(
@@ -143,9 +143,9 @@ SQL_NEGATIVE = f"""cleaned AS (SELECT doc_id, {SQL_ABSTRACT.format('text')} AS t
                  GROUP BY keyword HAVING count(*) >= 7)"""
 
 
-def negative_documents(spark, sf):
+def negative_documents(spark, sf, core=None):
     english = documents(spark, sf).where("lang = 'en'").select("doc_id", "text")
-    return dic.negative_documents(english, "doc_id", "text", core_dictionary(spark, sf).select("keyword"))
+    return dic.negative_documents(english, "doc_id", "text", (core_dictionary(spark, sf) if core is None else core).select("keyword"))
 
 
 @query("negative_documents", f"WITH {SQL_CORE}, {SQL_NEGATIVE} SELECT doc_id, t AS text FROM neg_docs")
@@ -159,9 +159,10 @@ def negative_docs(spark, sf):
     SELECT keyword, source, dict, keyword IN (SELECT keyword FROM negative) AS removed FROM merged""",
 )
 def negative_dictionary(spark, sf):
-    words = negative_documents(spark, sf).select(F.explode(F.split("text", " ")).alias("keyword")).where(F.length("keyword") > 3)
+    core = core_dictionary(spark, sf)
+    words = negative_documents(spark, sf, core).select(F.explode(F.split("text", " ")).alias("keyword")).where(F.length("keyword") > 3)
     negative = dic.negative_keywords(words)
-    kept, removed = dic.split_by_negative(merged_dictionary(spark, sf).drop("trie_id"), negative)
+    kept, removed = dic.split_by_negative(merged_dictionary(spark, sf, core).drop("trie_id"), negative)
     both = kept.withColumn("removed", F.lit(False)).unionByName(removed.withColumn("removed", F.lit(True)))
     return both.select("keyword", "source", "dict", "removed")
 

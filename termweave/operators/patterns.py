@@ -93,8 +93,10 @@ class PatternIndex:
         lengths, firsts = np.unique(self.sizes[order], return_index=True)
         self.by_length = [(int(n), hashes[part], part) for n, part in zip(lengths, np.split(order, firsts[1:]))]
         self.shortest = min(8, int(lengths[0]))
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[windows.hashes(self.starts, self.shortest) >> np.uint64(64 - FILTER_BITS)] = True
+        # For each beginning, a bit for each length of the patterns that have it; the last bit stands for all further lengths.
+        self.filter = np.zeros(1 << FILTER_BITS, np.uint64)
+        bit = np.minimum(np.searchsorted(lengths, self.sizes), 63).astype(np.uint64)
+        np.bitwise_or.at(self.filter, windows.hashes(self.starts, self.shortest) >> np.uint64(64 - FILTER_BITS), np.uint64(1) << bit)
 
     def _equal(self, data: np.ndarray, at: np.ndarray, pattern: np.ndarray, length: int) -> np.ndarray:
         """Whether the windows at `at` are the patterns, compared in pieces of bounded size."""
@@ -113,11 +115,13 @@ class PatternIndex:
             return empty, empty
         windows = Windows(data, self.letters)
         every = np.arange(len(data) - self.shortest + 1)
-        at = np.flatnonzero(self.filter[windows.hashes(every, self.shortest) >> np.uint64(64 - FILTER_BITS)])
+        held = self.filter[windows.hashes(every, self.shortest) >> np.uint64(64 - FILTER_BITS)]
+        at = np.flatnonzero(held)
+        held = held[at]
         room = bounds[np.searchsorted(bounds, at, side="right")] - at
         best = np.full(len(at), -1, np.int64)
-        for length, hashes, pattern in self.by_length:
-            fits = np.flatnonzero(room >= length)
+        for i, (length, hashes, pattern) in enumerate(self.by_length):
+            fits = np.flatnonzero((room >= length) & (held & np.uint64(1 << min(i, 63)) != 0))
             wanted = windows.hashes(at[fits], length)
             slot = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
             likely = hashes[slot] == wanted

@@ -22,6 +22,7 @@ from termweave.operators.graph import topic_levels
 from termweave.operators.keyphrase import extract_keywords, keyword_rows
 from termweave.operators.patterns import substring_hits
 from termweave.operators.skew import dense_id, keep_first
+from termweave.session import durable
 
 
 def topic_triples(raw: DataFrame) -> DataFrame:
@@ -119,6 +120,7 @@ def negative_keywords(extracted: DataFrame, lowest: int = NEGATIVE_MIN_FREQUENCY
 
 
 def split_by_negative(dictionary: DataFrame, negative: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dictionary without the negative keywords, and the removed rows."""
-    removed = dictionary.join(negative.select("keyword").distinct(), "keyword", "left_semi")
+    """Dictionary without the negative keywords, and the removed rows. The negative keywords are found once, not once for each side."""
+    negative = durable(negative.select("keyword").distinct())
+    removed = dictionary.join(negative, "keyword", "left_semi")
     return subtract(dictionary, negative), removed
