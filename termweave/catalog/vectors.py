@@ -8,7 +8,9 @@ from termweave.catalog.registry import documents, query, sql_words, table
 from termweave.functions.text import dictionary_words
 from termweave.functions.vectors import as_doubles, parse_vector, trigram_vector
 from termweave.operators.similarity import best_similar, pair_cosines, similar_keywords, threshold_sweep
+from termweave.operators.words import word_counts
 from termweave.plans import dictionaries as dic
+from termweave.session import durable
 
 # The test vectors are random: their cosines stay below 0.5, far under those of real phrase embeddings.
 LOWEST = 0.25
@@ -138,7 +140,9 @@ def similar_words(spark, sf):
     source = F.element_at(F.array(F.lit("cso"), F.lit("method"), F.lit("task")), (F.col("item") % 3 + 1).cast("int"))
     held = table(spark, sf, "benchmark").select("item_id", F.explode(dictionary_words("text")).alias("keyword"))
     core = held.groupBy("keyword").agg(F.min("item_id").alias("item")).select("keyword", source.alias("source"), trigram_vector("keyword").alias("embedding"))
-    words = document_words(spark, sf)
-    vectors = words.distinct().select("keyword", trigram_vector("keyword").alias("embedding"))
-    ext = dic.extended_candidates(words.withColumn("score", F.lit(0.0)), vectors)
-    return dic.extended_dictionary(similar_keywords(core, ext, NEAR_WORDS), NEAR_WORDS)
+    # The texts are read once, vectors made once and pairs found once; each is read several times below.
+    words = durable(word_counts(documents(spark, sf), "text").groupBy("keyword").agg(F.sum("times").alias("times")))
+    vectors = words.select("keyword", trigram_vector("keyword").alias("embedding"))
+    ext = dic.extended_candidates(words.withColumn("score", F.lit(0.0)), vectors, times="times")
+    similar = similar_keywords(durable(core), durable(ext.select("keyword", "embedding")), NEAR_WORDS)
+    return dic.extended_dictionary(durable(similar), NEAR_WORDS)

@@ -51,20 +51,26 @@ def trigram_vector(phrase: Column | str, dim: int = 64) -> Column:
     A trigram's number is its md5's first seven hex digits: the rest by `dim` is its slot,
     the parity of the quotient its sign. Stands in for a model-made embedding where no
     vector table is at hand. Batches are counted as arrays: as an expression, every slot
-    looks at every trigram, and each condition on the vector does so again.
+    looks at every trigram, and each condition on the vector does so again. Conditions on
+    the vector stay behind it: carried below a `distinct` or to the other side of a join,
+    they would have it made for every occurrence of a phrase.
     """
 
     def counted(texts: pa.Array) -> pa.Array:
-        numbers, row = [], []
-        for i, text in enumerate(texts.to_pylist()):
-            grams = [_number(text[k : k + 3]) for k in range(len(text) - 2)] if text is not None else []
-            numbers += grams
-            row += [i] * len(grams)
-        number, vectors = np.array(numbers, np.int64), np.zeros((len(texts), dim))
-        np.add.at(vectors, (np.array(row, np.int64), number % dim), np.where(number // dim % 2 == 1, -1.0, 1.0))
+        known = [text or "" for text in texts.to_pylist()]
+        size = np.array([len(text) for text in known], np.int64)
+        grams = np.maximum(0, size - 2)
+        row = np.repeat(np.arange(len(known)), grams)
+        points = np.frombuffer("".join(known).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.arange(len(row)) + (np.cumsum(size - grams) - (size - grams))[row]
+        codes, which = np.unique((points[at] << 42) | (points[at + 1] << 21) | points[at + 2], return_inverse=True)
+        mask = (1 << 21) - 1
+        number = np.array([_number(chr(c >> 42) + chr(c >> 21 & mask) + chr(c & mask)) for c in codes.tolist()], np.int64)[which]
+        signs = np.where(number // dim % 2 == 1, -1.0, 1.0)
+        vectors = np.bincount(row * dim + number % dim, signs, len(known) * dim).astype(np.float64).reshape(-1, dim)
         length = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
         unknown = np.repeat(pc.is_null(texts).to_numpy(zero_copy_only=False), dim)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim), pa.array(unit.ravel(), mask=unknown))
 
-    return F.arrow_udf(counted, "array<double>")(F.concat(F.lit("  "), F.lower(_c(phrase)), F.lit("  ")))
+    return F.arrow_udf(counted, "array<double>").asNondeterministic()(F.concat(F.lit("  "), F.lower(_c(phrase)), F.lit("  ")))

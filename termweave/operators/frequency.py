@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.operators.skew import salted_join
 
 
-def keyword_frequency(keywords: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def occurrences(times: str | None) -> Column:
+    """How often the rows of a group occur; with `times`, a row stands for so many."""
+    return F.sum(times) if times else F.count(F.lit(1))
+
+
+def keyword_frequency(keywords: DataFrame, by: Sequence[str] = (), times: str | None = None) -> DataFrame:
     """`(…by, keyword, frequency, frequency_normalized)`, the share of the most frequent keyword.
 
     Counting combines on the map side. The maximum is one value (a scalar
-    subquery) or one row per group joined back.
+    subquery) or one row per group joined back. With `times`, a row stands for so many.
     """
-    counts = keywords.groupBy(*by, "keyword").agg(F.count(F.lit(1)).alias("frequency"))
+    counts = keywords.groupBy(*by, "keyword").agg(occurrences(times).alias("frequency"))
     if not by:
         top = counts.agg(F.max("frequency")).scalar()
         return counts.withColumn("frequency_normalized", F.col("frequency") / top)

@@ -70,9 +70,10 @@ def core_dictionary(
     return dense_id(ordered, ["_place", F.desc("frequency"), "keyword"], "trie_id").drop("_place")
 
 
-def extended_candidates(keywords: DataFrame, vectors: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:
-    """`(keyword, frequency, frequency_normalized, embedding)` of all paper keywords with a vector."""
-    counts = keyword_frequency(keywords.where(F.col("score").cast("double") <= threshold).select("keyword"))
+def extended_candidates(keywords: DataFrame, vectors: DataFrame, threshold: float = SCORE_THRESHOLD, times: str | None = None) -> DataFrame:
+    """`(keyword, frequency, frequency_normalized, embedding)` of all paper keywords with a vector; with `times`, a row stands for so many."""
+    good = keywords.where(F.col("score").cast("double") <= threshold)
+    counts = keyword_frequency(good.select("keyword", *([times] if times else [])), times=times)
     return counts.join(vectors, "keyword")
 
 
