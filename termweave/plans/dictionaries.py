@@ -17,12 +17,12 @@ from termweave.functions.fixed import (
     SOURCE_PRECEDENCE_EXTENDED,
 )
 from termweave.functions.text import abstract_clean, topic_label, uri_local_name, word_count
-from termweave.operators.frequency import by_precedence, keyword_frequency, subtract
+from termweave.operators.frequency import by_precedence, keyword_frequency, occurrences, subtract
 from termweave.operators.graph import topic_levels
 from termweave.operators.keyphrase import extract_keywords, keyword_rows
 from termweave.operators.patterns import substring_hits
 from termweave.operators.skew import dense_id, keep_first
-from termweave.session import durable
+from termweave.session import durable, release
 
 
 def topic_triples(raw: DataFrame) -> DataFrame:
@@ -51,14 +51,17 @@ def core_dictionary(
     threshold: float = SCORE_THRESHOLD,
     order: Sequence[str] = SOURCE_PRECEDENCE_CORE,
     min_chars: int = MIN_KEYWORD_CHARS,
+    times: str | None = None,
 ) -> DataFrame:
     """`(keyword, frequency, frequency_normalized, source, trie_id)` from `(keyword, score, source)`.
 
     A keyword belongs to its strongest source only. Frequencies are counted before
-    sources are compared, so precedence works on distinct keywords.
+    sources are compared, so precedence works on distinct keywords. The counts are read
+    four times, so they are made durable: the keywords are found once. With `times`, a
+    row of the keywords stands for so many.
     """
     good = keywords.where(F.col("score").cast("double") <= threshold)
-    counts = good.groupBy("source", "keyword").agg(F.count(F.lit(1)).alias("frequency"))
+    counts = durable(good.groupBy("source", "keyword").agg(occurrences(times).alias("frequency")))
     owned = by_precedence(counts, order)
     tops = owned.groupBy("source").agg(F.max("frequency").alias("_top"))
     shared = owned.join(tops, "source").select(
@@ -67,7 +70,9 @@ def core_dictionary(
     kept = shared.where(F.length("keyword") > min_chars)
     place = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(("task", "method", "cso"))])
     ordered = kept.withColumn("_place", place)
-    return dense_id(ordered, ["_place", F.desc("frequency"), "keyword"], "trie_id").drop("_place")
+    numbered = dense_id(ordered, ["_place", F.desc("frequency"), "keyword"], "trie_id").drop("_place")
+    release(counts)
+    return numbered
 
 
 def extended_candidates(keywords: DataFrame, vectors: DataFrame, threshold: float = SCORE_THRESHOLD, times: str | None = None) -> DataFrame:
