@@ -257,7 +257,7 @@ def _found(words: DataFrame, key: str, dictionary, walk: str, sums: bool, max_pr
     if size.fits(max_prefixes, max_bytes):
         return _walked(rows, dictionary.entries, walk, sums)
     table = prefix_rows(dictionary.entries).select("prefix", "depth", "is_terminal", "value", "weight")
-    return _joined(_candidates(rows, table, size, walk), rows.drop("words"), table, walk, sums)
+    return joined(_candidates(rows, table, size, walk), rows.drop("words"), table, walk, sums)
 
 
 def _run_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -298,8 +298,7 @@ def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize, walk: s
             hashes, end = text_hashes(flat), np.repeat(bounds[1:], sizes)
             real = pc.not_equal(flat, BOUNDARY).to_numpy(zero_copy_only=False).astype(bool)
             at, so_far = np.arange(len(hashes)), np.zeros(len(hashes), np.uint64)
-            runs, places, depths = [pa.nulls(1, pa.string())], [bounds[:-1]], [np.zeros(1, np.int32)]
-            counts = [np.array([len(sizes)])]
+            runs = []
             for depth in range(1, longest + 1):
                 inside = at + depth - 1 < end[at]
                 at, so_far = at[inside], so_far[inside]
@@ -310,29 +309,42 @@ def _candidates(rows: DataFrame, table: DataFrame, size: DictionarySize, walk: s
                     break
                 told = at[ends.value.may_hold(so_far)] if depth == 1 or walk == "overlapping" else at
                 prefix = pc.binary_join_element_wise(*[flat.take(pa.array(told + i)) for i in range(depth)], " ").cast(pa.string()).dictionary_encode()
-                which = prefix.indices.to_numpy(zero_copy_only=False)
-                runs.append(prefix.dictionary)
-                places.append(told[np.argsort(which, kind="stable")])
-                counts.append(np.bincount(which, minlength=len(prefix.dictionary)))
-                depths.append(np.full(len(prefix.dictionary), depth, np.int32))
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-            n = len(offsets) - 1
-            told = pa.StructArray.from_arrays([batch.column(c) for c in kept], names=kept)
-            columns = [
-                pa.array(np.full(n, batch.column("_row")[0].as_py())),
-                pa.ListArray.from_arrays(pa.array([0, *[len(told)] * n], pa.int32()), told),
-                pa.array(np.concatenate(depths)),
-                pa.concat_arrays(runs),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places).astype(np.int32))),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["_part", "_told", "n", "prefix", "at"])
+                runs.append((depth, prefix.dictionary, told, prefix.indices.to_numpy(zero_copy_only=False)))
+            yield part_rows(batch, kept, bounds[:-1], runs)
 
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     columns = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "words")
-    return numbered.mapInArrow(run, f"_part long, _told array<struct<{columns}>>, n int, prefix string, at array<int>")
+    return numbered.mapInArrow(run, PART_ROWS.format(columns))
 
 
-def _joined(candidates: DataFrame, rows: DataFrame, table: DataFrame, walk: str, sums: bool) -> DataFrame:
+PART_ROWS = "_part long, _told array<struct<{}>>, n int, prefix string, at array<int>"
+
+
+def part_rows(part: pa.RecordBatch, kept: list[str], begin: np.ndarray, found: list[tuple[int, pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The rows that stand for a part of a batch: one with its columns and where each of its rows begins, and one per run.
+
+    What was found are, for each size, the distinct runs, and the places with the run that is there.
+    """
+    runs, places, sizes, counts = [pa.nulls(1, pa.string())], [begin], [np.zeros(1, np.int32)], [np.array([len(begin)])]
+    for size, distinct, at, which in found:
+        runs.append(distinct)
+        places.append(at[np.argsort(which, kind="stable")])
+        sizes.append(np.full(len(distinct), size, np.int32))
+        counts.append(np.bincount(which, minlength=len(distinct)))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+    n = len(offsets) - 1
+    told = pa.StructArray.from_arrays([part.column(c) for c in kept], names=kept)
+    columns = [
+        pa.array(np.full(n, part.column("_row")[0].as_py())),
+        pa.ListArray.from_arrays(pa.array([0, *[len(told)] * n], pa.int32()), told),
+        pa.array(np.concatenate(sizes)),
+        pa.concat_arrays(runs),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places).astype(np.int32))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["_part", "_told", "n", "prefix", "at"])
+
+
+def joined(candidates: DataFrame, rows: DataFrame, table: DataFrame, walk: str, sums: bool) -> DataFrame:
     """The columns of each row with the hits that follow from those runs that `table(prefix, depth, ...)` holds; the runs of a part meet again, sorted."""
     known = table.select(F.col("prefix").alias("_prefix"), "depth", "is_terminal", "value", "weight")
     # A key of its own for the row without a prefix: nulls would meet in one task.
@@ -374,23 +386,6 @@ def _joined(candidates: DataFrame, rows: DataFrame, table: DataFrame, walk: str,
     return told.repartition("_part").sortWithinPartitions("_part", "n").mapInArrow(run, _schema(rows, sums))
 
 
-def merged(candidates: DataFrame, table: DataFrame, walk: str, sums: bool = False) -> DataFrame:
-    """The columns of each row with the hits that follow from those of its candidates that `table(prefix, depth, ...)` holds."""
-    known = table.select(F.col("prefix").alias("_prefix"), "depth", "is_terminal", "value", "weight")
-    met = candidates.join(known, (F.col("prefix") == F.col("_prefix")) & (F.col("n") == F.col("depth")), "left")
-    phrase = F.when(F.col("is_terminal"), F.col("prefix"))
-    useful = F.col("is_terminal") if walk == "overlapping" else F.col("is_terminal") | ((F.col("n") > 1) & F.col("_prefix").isNotNull())
-    hit = F.when(useful, F.struct("pos", "n", phrase.alias("phrase"), "value", "weight"))
-    told = met.where(useful | (F.col("pos") < 0)).groupBy("_row").agg(F.first("_told", ignorenulls=True).alias("_told"), F.collect_list(hit).alias("_starts"))
-    rows = told.select("_told.*", "_starts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _with_column(batch, *_outcome(_fold(batch.column("_starts"), walk), sums))
-
-    return rows.mapInArrow(run, _schema(rows.drop("_starts"), sums))
-
-
 def phrase_hits(
     words: DataFrame, key: str, dictionary, overlapping: bool = False, max_prefixes: int = MAX_PREFIXES, max_bytes: int = MAX_PREFIX_BYTES
 ) -> DataFrame:
